@@ -18,7 +18,9 @@ def _query(module: str, name: str):
 
 NAMES = {
     "op1_audio_features": "media",
+    "op4_best_fit": "packing",
     "op6_top_k": "topk",
+    "op8_separator_scan": "tokencount",
     "op9_byte_bpe": "bpe",
 }
 

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: Queries that are held by the driver and sent to every executor at a time, in bytes of vectors.
 BLOCK_BYTES = 16_000_000
-#: Beyond this size of a component the products are summed with Python's integers.
-EXACT = 2**24
 
 
 def segment_bounds(dim: int, parts: int) -> np.ndarray:
@@ -40,51 +38,48 @@ class QueryBlock:
         """Fold candidates into ``best``: scores and ids of the k best so far for each query.
 
         With the segments' means m and deviations s, the squared distance of q and x is at least
-        the sum of (m_q - m_x)^2 + (s_q - s_x)^2. A candidate stays while that lower bound is
-        within the distance of the query's k-th best; bounds go from coarse to fine segments, and
-        only survivors get an exact product. Distances and products are tied by the norms.
+        the sum of (m_q - m_x)^2 + (s_q - s_x)^2, each weighted by the segment's length. A
+        candidate stays while that lower bound is within the distance of the query's k-th best;
+        bounds go from coarse to fine segments, and only survivors get an exact product. As
+        distance^2 = |q|^2 + |x|^2 - 2 q.x, the same test reads: an upper bound of q.x, the sum of
+        m_q m_x + s_q s_x, is at least the k-th best product.
         """
-        scores, found = best
-        for a in range(0, len(ids), chunk):
-            x, x_ids = vectors[a : a + chunk], ids[a : a + chunk]
-            norm = (x * x).sum(axis=1)
-            floor = scores[:, -1]
-            # distance^2 = |q|^2 + |x|^2 - 2 q.x, so q.x >= floor means distance^2 <= |q|^2 + |x|^2 - 2 floor
-            alive = None
-            for at, own in zip(self.at, self.stats, strict=True):
-                theirs = np.hstack(segment_stats(x, at))
-                if alive is None:
-                    product = own @ theirs.T
-                    rows, cols = np.nonzero(product + 1e-6 * (1 + np.abs(product)) >= floor[:, None])
-                else:
-                    rows, cols = alive
-                    product = np.empty(len(rows))
-                    for b in range(0, len(rows), 65536):
-                        product[b : b + 65536] = np.einsum("ij,ij->i", own[rows[b : b + 65536]], theirs[cols[b : b + 65536]])
-                    keep = product + 1e-6 * (1 + np.abs(product)) >= floor[rows]
-                    rows, cols = rows[keep], cols[keep]
-                alive = rows, cols
-            if alive is None:
-                alive = tuple(np.nonzero(np.ones((len(self.ids), len(x)), bool)))
-            rows, cols = alive
-            keep = self.ids[rows] != x_ids[cols]
-            rows, cols = rows[keep], cols[keep]
-            if not len(rows):
-                continue
-            exact = np.empty(len(rows), scores.dtype)
-            for b in range(0, len(rows), 65536):
-                exact[b : b + 65536] = np.einsum("ij,ij->i", self.vectors[rows[b : b + 65536]], x[cols[b : b + 65536]])
+        a, step = 0, 128
+        while a < len(ids):
+            x, x_ids = vectors[a : a + step], ids[a : a + step]
+            theirs = [np.hstack(segment_stats(x, at)) for at in self.at]
+            for b in range(0, len(self.ids), chunk):
+                self._block(slice(b, b + chunk), x, x_ids, theirs, k, best)
+            a, step = a + step, min(chunk, 2 * step)
+
+    def _block(self, own: slice, x: np.ndarray, x_ids: np.ndarray, theirs: list[np.ndarray], k: int, best: tuple[np.ndarray, np.ndarray]) -> None:
+        scores, found = best[0][own], best[1][own]
+        floor = scores[:, -1]
+        alive = self.ids[own][:, None] != x_ids
+        for mine, stats in zip(self.stats, theirs, strict=True):
+            bound = mine[own] @ stats.T
+            alive &= bound + 1e-6 * (1 + np.abs(bound)) >= floor[:, None]
+        left = np.count_nonzero(alive)
+        if left * 16 > alive.size:  # one matrix product is cheaper than so many single ones
+            exact = self.vectors[own] @ x.T
+            rows, cols = np.nonzero(alive & (exact >= floor[:, None]))
+            exact = exact[rows, cols]
+        else:
+            rows, cols = np.nonzero(alive)
+            exact = np.einsum("ij,ij->i", self.vectors[own][rows], x[cols])
             keep = exact >= floor[rows]
-            rows, exact, their = rows[keep], exact[keep], x_ids[cols[keep]]
-            touched = np.unique(rows)
-            rows = np.concatenate((rows, np.repeat(touched, k)))
-            exact = np.concatenate((exact, scores[touched].ravel()))
-            their = np.concatenate((their, found[touched].ravel()))
-            order = np.lexsort((their, -exact, rows))
-            rows, exact, their = rows[order], exact[order], their[order]
-            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            keep = rank < k
-            scores[rows[keep], rank[keep]], found[rows[keep], rank[keep]] = exact[keep], their[keep]
+            rows, cols, exact = rows[keep], cols[keep], exact[keep]
+        if not len(rows):
+            return
+        touched = np.unique(rows)
+        rows = np.concatenate((rows, np.repeat(touched, k)))
+        exact = np.concatenate((exact, scores[touched].ravel()))
+        their = np.concatenate((x_ids[cols], found[touched].ravel()))
+        order = np.lexsort((their, -exact, rows))
+        rows, exact, their = rows[order], exact[order], their[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = rank < k
+        scores[rows[keep], rank[keep]], found[rows[keep], rank[keep]] = exact[keep], their[keep]
 
 
 def int_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -107,7 +102,7 @@ def by_dim(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids[rows], flat[(at[rows][:, None] + np.arange(d))].reshape(len(rows), d)
 
 
-def top_k(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, levels: tuple[int, ...] = (4, 16)) -> DataFrame:
+def top_k(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, levels: tuple[int, ...] = (8, 32)) -> DataFrame:
     """The k highest integer inner products of every query with all other rows, ties to smaller ids.
 
     ``is_query`` is a condition on ``vec_id``. Returns ``query_id, rank, vec_id, score``. Components
