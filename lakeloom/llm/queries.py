@@ -19,9 +19,11 @@ def _query(module: str, name: str):
 NAMES = {
     "op1_audio_features": "media",
     "op4_best_fit": "packing",
+    "op5_toxicity": "toxicity",
     "op6_top_k": "topk",
     "op8_separator_scan": "tokencount",
     "op9_byte_bpe": "bpe",
+    "op10_quality": "quality",
 }
 
 
