@@ -18,6 +18,7 @@ def _query(module: str, name: str):
 
 NAMES = {
     "op1_audio_features": "media",
+    "op2_simhash": "simhash",
     "op4_best_fit": "packing",
     "op5_toxicity": "toxicity",
     "op6_top_k": "topk",
