@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a worker remembers with their ids before it forgets all of them.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 #: Texts of these characters are split here; others are split by the library itself.
 PLAIN = regex.compile("[\x00-ɏ]*")
 
@@ -58,22 +58,20 @@ class Encoder:
         self.split = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: list[str]) -> list[list[int]]:
         words = [self.split.findall(t) if PLAIN.fullmatch(t) else None for t in texts]
-        new = list({w for ws in words if ws for w in ws if w not in self.known})
+        known = self.known
+        new = list({w for ws in words if ws for w in ws if w not in known})
         for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = tuple(e.ids)
+            known[w] = tuple(e.ids)
         other = iter(self.lib.encode_batch_fast([t for t, ws in zip(texts, words, strict=True) if ws is None], add_special_tokens=False))
-        found = [
-            np.fromiter(next(other).ids if ws is None else chain.from_iterable(map(self.known.__getitem__, ws)), dtype=np.int32)
-            for ws in words
-        ]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        found = [next(other).ids if ws is None else list(chain.from_iterable(map(known.__getitem__, ws))) for ws in words]
+        if len(known) > CACHE_WORDS:
+            known.clear()
         return found
 
 
-def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about so many characters each."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -85,11 +83,12 @@ def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
-def encode(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
+def encode(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True, decoded: bool = False) -> DataFrame:
     """Encode every whole text; one row a row of the input.
 
     Returns ``doc_id, ids array<int>`` and with ``offsets`` also ``starts, ends array<int>``, the
-    characters (code points, end exclusive) that each token covers. A null text counts as empty
+    characters (code points, end exclusive) that each token covers; with ``decoded`` also ``decoded
+    binary``, the bytes that the ids decode to, for a round trip in one pass. A null text counts as empty
     and an empty text has no tokens; strings of special tokens are ordinary text; texts of any
     length are encoded whole; repeated rows are kept; other columns are ignored.
     """
@@ -98,22 +97,25 @@ def encode(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc, sizes = Encoder(path, pattern), np.array([len(b) for b in token_bytes(path)], dtype=np.int64) if offsets else None
+        enc, table = Encoder(path, pattern), token_bytes(path)
+        sizes = np.array([len(b) for b in table], dtype=np.int64)
         for batch in batches:
             all_texts = batch.column(1).to_pylist()
             for a, b in slices(all_texts):
                 ids = enc(all_texts[a:b])
-                off = np.zeros(len(ids) + 1, dtype=np.int32)
-                np.cumsum([len(x) for x in ids], out=off[1:])
-                lists = lambda parts: pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), type=pa.int32()))  # noqa: E731, B023
-                out = {"doc_id": batch.column(0).slice(a, b - a), "ids": lists(ids)}
+                off = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32)
+                out = {"doc_id": batch.column(0).slice(a, b - a), "ids": pa.ListArray.from_arrays(off, pa.array(flat))}
                 if offsets:
-                    spans = [char_offsets(t.encode(), sizes[x]) for t, x in zip(all_texts[a:b], ids, strict=True)]
-                    out |= {"starts": lists([s for s, _ in spans]), "ends": lists([e for _, e in spans])}
+                    spans = [char_offsets(t.encode(), sizes[np.array(x, np.int64)]) for t, x in zip(all_texts[a:b], ids, strict=True)]
+                    for name, side in (("starts", 0), ("ends", 1)):
+                        out[name] = pa.ListArray.from_arrays(off, pa.array(np.concatenate([s[side] for s in spans])))
+                if decoded:
+                    out["decoded"] = pa.array([b"".join(map(table.__getitem__, x)) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets)
+    return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str] | None = None, text: bool = True) -> DataFrame:
@@ -145,6 +147,6 @@ def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     path = tokenizers_dir.path("byte_bpe_50k.json")
-    ids = encode(table(spark, sf_dir, "documents"), path, tokenizers_dir.PATTERN, offsets=False)
-    ids = ids.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_sha256", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256))
-    return decode(ids, path, ["n_tokens", "ids_sha256"], text=False).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = encode(table(spark, sf_dir, "documents"), path, tokenizers_dir.PATTERN, offsets=False, decoded=True)
+    joined = F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
