@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a worker remembers with their ids before it forgets all of them.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 300_000
 #: Texts of these characters are split here; others are split by the library itself.
 PLAIN = regex.compile("[\x00-ɏ]*")
 
@@ -57,13 +57,15 @@ class Encoder:
         self.lib.encode_special_tokens = True
         self.split = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
+        back = {b: c for c, b in byte_chars().items()}
+        self.chars = str.maketrans({b: back[b] for b in range(256)})
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
         words = [self.split.findall(t) if PLAIN.fullmatch(t) else None for t in texts]
-        known = self.known
-        new = list({w for ws in words if ws for w in ws if w not in known})
-        for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = tuple(e.ids)
+        merge, known = self.lib.model.tokenize, self.known
+        for w in {w for ws in words if ws for w in ws}.difference(known):
+            # the vocabulary is written in characters that stand for bytes
+            known[w] = tuple(t.id for t in merge(w.encode().decode("latin-1").translate(self.chars)))
         other = iter(self.lib.encode_batch_fast([t for t, ws in zip(texts, words, strict=True) if ws is None], add_special_tokens=False))
         found = [next(other).ids if ws is None else list(chain.from_iterable(map(known.__getitem__, ws))) for ws in words]
         if len(known) > CACHE_WORDS:
