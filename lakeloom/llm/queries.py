@@ -22,6 +22,7 @@ NAMES = {
     "op4_best_fit": "packing",
     "op5_toxicity": "toxicity",
     "op6_top_k": "topk",
+    "op7_suffix_dedup": "suffix",
     "op8_separator_scan": "tokencount",
     "op9_byte_bpe": "bpe",
     "op10_quality": "quality",
