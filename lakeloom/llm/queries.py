@@ -19,6 +19,7 @@ def _query(module: str, name: str):
 NAMES = {
     "op1_audio_features": "media",
     "op2_simhash": "simhash",
+    "op3_main_text": "html",
     "op4_best_fit": "packing",
     "op5_toxicity": "toxicity",
     "op6_top_k": "topk",
