@@ -320,11 +320,12 @@ def spans(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), scope: str = "lakeloom") -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), text: bool = False, scope: str = "lakeloom") -> DataFrame:
     """Remove every byte that a ``length``-byte string covers which also starts anywhere else.
 
     Returns a row a row of the input: ``doc_id, n_bytes, n_removed, n_spans long, kept binary`` and
-    the columns in ``keep``. Strings are UTF-8 bytes of one text, judged on the input; overlaps and
+    the columns in ``keep``; with ``text`` also ``kept_text``, the kept bytes without those that are no
+    whole character. Strings are UTF-8 bytes of one text, judged on the input; overlaps and
     repeats within a text count; all copies of a passage go. Null texts count as empty, texts shorter
     than ``length`` stay whole; repeated rows are copies of each other; an empty table gives no rows.
     Bytes may be cut inside a character.
@@ -338,8 +339,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, count, kept = [], [], [], []
-            for text, runs in zip(batch.column(1), batch.column(2), strict=True):
-                data = text.as_py().encode()
+            for own, runs in zip(batch.column(1), batch.column(2), strict=True):
+                data = own.as_py().encode()
                 cut = spans(runs.as_py(), length)
                 at, rest = 0, []
                 for a, b in cut:
@@ -351,9 +352,11 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
                 removed.append(len(data) - len(kept[-1]))
                 count.append(len(cut))
             out = {"doc_id": batch.column(0), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept": pa.array(kept, pa.binary())}
+            if text:
+                out["kept_text"] = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string())
             yield pa.RecordBatch.from_pydict(out | {c: batch.column(3 + k) for k, c in enumerate(keep)})
 
-    schema = ", ".join(["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept binary", *(f"`{c}` {kinds[c]}" for c in keep)])
+    schema = ", ".join(["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept binary", *["kept_text string"] * text, *(f"`{c}` {kinds[c]}" for c in keep)])
     return joined.mapInArrow(run, schema)
 
 
