@@ -1,0 +1,15 @@
+"""Registered queries over the standard tables."""
+
+from __future__ import annotations
+
+import importlib
+
+from .base import QUERIES, SQL
+
+MODULES = ["profile"]
+
+
+def load():
+    for name in MODULES:
+        importlib.import_module(f"{__name__}.{name}")
+    return QUERIES, SQL
