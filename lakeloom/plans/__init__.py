@@ -6,7 +6,7 @@ import importlib
 
 from .base import QUERIES, SQL
 
-MODULES = ["profile"]
+MODULES = ["profile", "terms", "ordered"]
 
 
 def load():
