@@ -6,7 +6,7 @@ import importlib
 
 from .base import QUERIES, SQL
 
-MODULES = ["profile", "terms", "ordered"]
+MODULES = ["profile", "terms", "ordered", "search", "texts", "stores"]
 
 
 def load():
