@@ -55,7 +55,8 @@ def f20_quantise(spark, d):
     rows = store(spark, d).select("id", "v", V.quantized_int8(F.col("v")).alias("x")).select("id", "v", "x.*")
     back = V.dequantized(F.col("q"), F.col("scale"))
     error = F.array_max(F.zip_with(F.col("v"), back, lambda a, b: F.abs(a.cast("double") - b)))
-    return rows.select("id", F.round("scale", 9).alias("scale"), "q", F.round(error, 9).alias("error"))
+    rows = rows.withColumn("error", F.round(error, 9))
+    return rows.select("id", F.round(F.col("scale"), 9).alias("scale"), "q", "error")
 
 
 @query("f20_bits", f"WITH {UNIT} SELECT id, list_transform(range(0, len(raw) // 8), lambda i: CAST(list_sum(list_transform(range(0, 8), lambda k: CASE WHEN raw[i * 8 + k + 1] >= 0 THEN CAST(pow(2, k) AS BIGINT) ELSE 0 END)) AS INTEGER)) AS bits FROM u")

@@ -8,23 +8,24 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import lexicon as L
 from ..operators import stores as S
+from ..operators import terms as T
 from .base import query, table
+from .terms import RARE, rare
 
-EDGES = "e AS (SELECT DISTINCT least(l_suppkey, l_partkey % 100 + 1) AS a, greatest(l_suppkey, l_partkey % 100 + 1) AS b FROM lineitem WHERE l_orderkey % 97 = 0 AND l_suppkey <> l_partkey % 100 + 1)"
+EDGES = "e AS (SELECT a, b, round(jaccard, 6) AS score FROM j WHERE jaccard >= 0.2)"
 
 
 def edges(spark, d):
-    """Suppliers that share orders of a kind: a small graph from a large table."""
-    rows = table(spark, d, "lineitem").where("l_orderkey % 97 = 0").select("l_suppkey", (F.col("l_partkey") % 100 + 1).alias("p"))
-    return rows.select(F.least("l_suppkey", "p").alias("a"), F.greatest("l_suppkey", "p").alias("b")).where("a <> b").distinct()
+    """Similar documents, as the similarity join finds them."""
+    return T.set_similarity(rare(spark, d), 0.2).select("a", "b", F.round("jaccard", 6).alias("score"))
 
 
-@query("a37_degrees", f"WITH {EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT a AS node, count(*) AS degree FROM s GROUP BY 1")
+@query("a37_degrees", RARE + f", {EDGES}, y AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT a AS node, count(*) AS degree FROM y GROUP BY 1")
 def a37_degrees(spark, d):
-    return G.degrees(edges(spark, d))
+    return G.degrees(edges(spark, d).select("a", "b"))
 
 
-@query("a39_components", f"""WITH RECURSIVE {EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS other FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.other = s.a) SELECT node, min(other) AS component FROM r GROUP BY 1""")
+@query("a39_components", RARE.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {EDGES}, y AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS other FROM y UNION SELECT r.node, y.b FROM r JOIN y ON r.other = y.a) SELECT node, min(other) AS component FROM r GROUP BY 1""")
 def a39_components(spark, d):
     return G.components(edges(spark, d))
 
@@ -36,17 +37,17 @@ def a38_core_numbers(spark, d):
 
 @query("g1_strong_components")
 def g1_strong_components(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey % 311 = 0")
-    return G.strong_components(rows.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100 + 1).alias("b")))
+    """Documents that name each other among their five best partners, directly or around."""
+    pairs = T.both_ways(T.set_similarity(rare(spark, d), 0.1).select("a", "b", "jaccard"))
+    return G.strong_components(T.top_neighbours(pairs, "jaccard", 5).select("a", "b"))
 
 
-@query("g2_best_paths", f"""WITH {EDGES}, w AS (SELECT a, b, round(1.0 / (1 + (a * 7 + b * 3) % 5), 6)::DOUBLE AS score FROM e WHERE (a + b) % 7 = 0), s AS (SELECT a, b, score FROM w UNION SELECT b, a, score FROM w),
-p2 AS (SELECT x.a, y.b, x.score * y.score AS score, [x.a, x.b, y.b] AS nodes FROM s x JOIN s y ON x.b = y.a WHERE y.b <> x.a AND x.score >= 0.1 AND x.score * y.score >= 0.1),
-p3 AS (SELECT p2.a, y.b, p2.score * y.score AS score FROM p2 JOIN s y ON p2.b = y.a WHERE NOT list_contains(nodes, y.b) AND p2.score * y.score >= 0.1),
+@query("g2_best_paths", RARE + f""", {EDGES}, y AS (SELECT a, b, score FROM e UNION SELECT b, a, score FROM e),
+p2 AS (SELECT x.a, z.b, x.score * z.score AS score, [x.a, x.b, z.b] AS nodes FROM y x JOIN y z ON x.b = z.a WHERE z.b <> x.a AND x.score >= 0.1 AND x.score * z.score >= 0.1),
+p3 AS (SELECT p2.a, y.b, p2.score * y.score AS score FROM p2 JOIN y ON p2.b = y.a WHERE NOT list_contains(nodes, y.b) AND p2.score * y.score >= 0.1),
 f AS (SELECT a, b, score, 2 AS hops FROM p2 UNION ALL SELECT a, b, score, 3 FROM p3), r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY round(score, 9) DESC, hops) AS k FROM f WHERE a < b) SELECT a, b, round(score, 6) AS score, hops FROM r WHERE k = 1""")
 def g2_best_paths(spark, d):
-    weighted = edges(spark, d).where("(a + b) % 7 = 0").withColumn("score", F.round(1.0 / (1 + (F.col("a") * 7 + F.col("b") * 3) % 5), 6))
-    return G.best_paths(weighted, 3, 0.1).withColumn("score", F.round("score", 6))
+    return G.best_paths(edges(spark, d), 3, 0.1).withColumn("score", F.round("score", 6))
 
 
 @query("g4_depths", """WITH RECURSIVE p AS (SELECT CAST(p_partkey AS BIGINT) AS node, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part), r AS (SELECT node, 0 AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.node, depth + 1 FROM p JOIN r ON p.parent = r.node) SELECT * FROM r""")
@@ -75,12 +76,13 @@ def s17_add_weights(spark, d):
     return out.withColumn("weight", F.col("weight").cast("decimal(38,0)"))
 
 
-@query("s18_upsert", """WITH o AS (SELECT c_custkey AS key, c_name AS content, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) END AS content, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE -c_acctbal END AS balance FROM customer WHERE c_custkey % 4 <> 0)
+@query("s18_upsert", """WITH o AS (SELECT c_custkey AS key, c_name AS content, c_acctbal AS balance FROM customer WHERE c_mktsegment <> 'BUILDING'), n AS (SELECT c_custkey AS key, CASE WHEN c_nationkey < 12 THEN upper(c_name) END AS content, CASE WHEN c_nationkey = 5 THEN NULL ELSE -c_acctbal END AS balance FROM customer WHERE c_acctbal > 0)
 SELECT coalesce(n.key, o.key) AS key, coalesce(n.content, o.content) AS content, CASE WHEN n.key IS NOT NULL THEN n.balance ELSE o.balance END AS balance FROM o FULL JOIN n ON o.key = n.key""")
 def s18_upsert(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("content"), F.col("c_acctbal").alias("balance"))
-    old = c.where("key % 3 <> 0")
-    new = c.where("key % 4 <> 0").select("key", F.expr("if(key % 2 = 0, upper(content), null)").alias("content"), F.expr("if(key % 5 = 0, null, -balance)").alias("balance"))
+    c = table(spark, d, "customer")
+    key, content, balance = F.col("c_custkey").alias("key"), F.col("c_name").alias("content"), F.col("c_acctbal").alias("balance")
+    old = c.where("c_mktsegment <> 'BUILDING'").select(key, content, balance)
+    new = c.where("c_acctbal > 0").select(key, F.when(F.col("c_nationkey") < 12, F.upper("c_name")).alias("content"), F.when(F.col("c_nationkey") != 5, -F.col("c_acctbal")).alias("balance"))
     return S.upsert_keep_null(old, new, ["key"], ("balance",))
 
 
