@@ -90,15 +90,16 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, delimite
 
 
 def sniff(spark: SparkSession, path: str) -> str:
-    """csv, tsv, json or jsonl. A first line that is a whole JSON object means jsonl."""
+    """csv, tsv, json or jsonl. Two lines that are JSON objects of their own mean jsonl."""
     for end in ("csv", "tsv", "jsonl", "json"):
         if path.lower().endswith("." + end):
             if end != "json":
                 return end
-    first = next((r.value for r in spark.read.text(path).limit(20).collect() if r.value.strip()), "")
-    if first.strip().startswith("{") and first.strip().endswith("}"):
+    head = [r.value.strip() for r in spark.read.text(path).limit(20).collect() if r.value.strip()]
+    first = head[0] if head else ""
+    if len(head) > 1 and all(x.startswith("{") and x.endswith("}") for x in head[:2]):
         return "jsonl"
-    if first.strip().startswith(("{", "[")):
+    if first.startswith(("{", "[")):
         return "json"
     return "tsv" if "\t" in first else "csv"
 
