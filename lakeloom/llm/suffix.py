@@ -26,8 +26,8 @@ LENGTH, GRAM = 400, 128
 SEGMENT_STARTS = 4096
 #: Bytes of segments that share a suffix array, about.
 SHARD_BYTES = 1_000_000
-#: Hashes with more distinct segments than this are spread by single windows.
-HOT_SEGMENTS = 512
+#: Hashes with more distinct segments than this, more than fit a shard, are spread by single windows.
+HOT_SEGMENTS = 4096
 _TABLE = np.random.default_rng(20240401).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
@@ -101,23 +101,25 @@ def two_stage_sort(text: np.ndarray, wanted: np.ndarray, raw: bytes, end: np.nda
     """
     n = len(text)
     step = np.sign(np.diff(text.astype(np.int16), append=0))
-    decided = np.where(step != 0, np.arange(n), n - 1)
+    at = np.arange(n, dtype=np.int32)
+    decided = np.where(step != 0, at, np.int32(n - 1))
     decided = np.minimum.accumulate(decided[::-1])[::-1]
     small = step[decided] > 0
     small[text == 0] = True
     # an L suffix is induced from its successor, up to the next S suffix or the end of the segment
-    next_small = np.minimum.accumulate(np.where(small, np.arange(n), n - 1)[::-1])[::-1]
+    next_small = np.minimum.accumulate(np.where(small, at, np.int32(n - 1))[::-1])[::-1]
     last = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
     edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, last + 1, 1)
     np.add.at(edge, np.minimum(next_small[np.minimum(last + 1, n - 1)], n - 1) + 1, -1)
     inset = wanted | (np.cumsum(edge[:n]) > 0) | (text == 0)
-    direct = np.flatnonzero(inset & small & (text > 0))
-    stop = np.minimum(direct + length, end[direct])
-    keys = [raw[a:b] for a, b in zip(direct.tolist(), stop.tolist(), strict=True)]
-    direct = direct[sorted(range(len(keys)), key=keys.__getitem__)]
-    del keys
+    direct = np.flatnonzero(inset & small & (text > 0)).astype(np.int32)
+    direct = direct[np.argsort(text[direct], kind="stable")]
     cuts = np.searchsorted(text[direct], np.arange(258))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):  # one bucket's keys are held at a time
+        part = direct[a:b]
+        keys = [raw[x:y] for x, y in zip(part.tolist(), np.minimum(part + length, end[part]).tolist(), strict=True)]
+        direct[a:b] = part[sorted(range(len(keys)), key=keys.__getitem__)]
     buckets: list[list[np.ndarray]] = [[] for _ in range(257)]
     large = inset & ~small
     order = []
@@ -139,12 +141,12 @@ def two_stage_sort(text: np.ndarray, wanted: np.ndarray, raw: bytes, end: np.nda
         return same
 
     for c in range(257):
-        wave = np.concatenate(buckets[c]) if buckets[c] else np.zeros(0, np.int64)
+        wave = np.concatenate(buckets[c]) if buckets[c] else np.zeros(0, np.int32)
         buckets[c] = []
         while len(wave):  # suffixes that begin with a run of c
             order.append(wave)
             wave = induce(wave, c)
-        seeds = np.flatnonzero(text == 0)[1:] if c == 0 else direct[cuts[c] : cuts[c + 1]]
+        seeds = np.flatnonzero(text == 0)[1:].astype(np.int32) if c == 0 else direct[cuts[c] : cuts[c + 1]]
         if len(seeds):
             order.append(seeds)
             induce(seeds, c)
@@ -175,14 +177,14 @@ def repeated_starts(parts: list[bytes], counts: np.ndarray, length: int) -> list
     text = data.astype(np.uint16) + 1
     text[0] = 0
     text[first + size] = 0
-    owner = np.zeros(len(raw), np.int64)
+    owner = np.zeros(len(raw), np.int32)
     owner[first] = 1
-    owner = np.maximum(np.cumsum(owner) - 1, 0)
-    wanted = np.zeros(len(raw) + 1, np.int64)
+    owner = np.maximum(np.cumsum(owner, dtype=np.int32) - 1, 0)
+    wanted = np.zeros(len(raw) + 1, np.int8)
     np.add.at(wanted, first, 1)
     np.add.at(wanted, first + size - length + 1, -1)
-    wanted = np.cumsum(wanted[:-1]) > 0
-    order = two_stage_sort(text, wanted, raw, (first + size)[owner], length)
+    wanted = np.cumsum(wanted[:-1], dtype=np.int8) > 0
+    order = two_stage_sort(text, wanted, raw, (first + size).astype(np.int32)[owner], length)
     order = order[wanted[order]]
     new = common_prefixes(data, order, length) < length
     group = np.cumsum(new) - 1
@@ -331,10 +333,10 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     Bytes may be cut inside a character.
     """
     rows = keyed(documents, id_col, text_col)
-    found = repeats(rows, length, gram, scope)
+    found = repeats(rows, length, gram, scope).withColumnRenamed("runs", "_runs")
     kinds = dict(documents.dtypes)
     joined = rows.join(found, ["_id", "_h"], "left")
-    joined = joined.select(F.col(id_col).cast("long").alias("doc_id"), "_text", "runs", *(F.col(c) for c in keep))
+    joined = joined.select(F.col(id_col).cast("long").alias("doc_id"), "_text", "_runs", *(F.col(c) for c in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
