@@ -1,0 +1,381 @@
+"""Operators against brute force, round trips and held-out labels."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lakeloom.llm import bpe, common, components, html, media, packing, quality, simhash, suffix, tokencount, topk, toxicity
+
+ODD = [(1, "héé wörld 日本 🎉🎉x it's  \n\n b"), (2, None), (3, ""), (4, "a b"), (4, "a b"), (5, "<|endoftext|> don't\t 123 "), (None, "null id"), (6, "word " * 9000)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Nulls, empty and long texts, repeated rows, and columns with names that operators use."""
+    rows = spark.createDataFrame(ODD, "doc_id long, text string")
+    return rows.withColumns({"score": F.lit("own"), "fp": F.lit(1), "row": F.lit(2), "source": F.lit(None).cast("string"), "runs": F.lit("r")})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, source string")
+
+
+def tiktoken_ids():
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def test_bpe(docs, none):
+    path, ids_of = public_tokenizers.path("byte_bpe_50k.json"), tiktoken_ids()
+    got = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
+    assert sorted((r.ids, bytes(r.decoded)) for r in got.collect()) == sorted((ids_of(t or ""), (t or "").encode()) for _, t in ODD)
+    first = got.where("doc_id = 1").first()
+    assert [ODD[0][1][a:b] for a, b in zip(first.starts, first.ends)][:4] == ["h", "é", "é", " w"]
+    back = bpe.decode(got.select("doc_id", "ids"), path)
+    assert sorted(r.text for r in back.collect()) == sorted(t or "" for _, t in ODD)
+    assert bpe.encode(none, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_audio(docs, none):
+    rows = media.audio_clips(docs).collect()
+    assert len(rows) == len(ODD)
+    texts = collections.defaultdict(set)
+    for r in rows:
+        rate, stored = media.wav_samples(bytes(r.media))
+        n = r.n_bytes
+        assert rate == 12_000 and len(stored) == r.payload_bytes and r.payload_bytes % 64 == 0 and r.payload_bytes >= 64
+        texts[bytes(stored[:n])].add(bytes(r.features))
+        table = media.read_features(bytes(r.features))
+        assert table["tensor"].type.shape == [64, 32] and table.num_rows == -(-r.n_frames // 64)
+        assert sum(len(s) for s in table["segments"].to_pylist()) == r.n_segments
+    assert all(len(v) == 1 for v in texts.values()) and set(texts) == {(t or "").encode() for _, t in ODD}
+    assert media.audio_clips(none).count() == 0
+
+
+def test_resampler_and_energy():
+    rng = np.random.default_rng(0)
+    for source, target in ((12_000, 8_000), (8_000, 12_000), (11_025, 8_000)):
+        r, x = media.Resampler(source, target), rng.standard_normal(300)
+        wide = np.zeros(len(x) * r.up)
+        wide[:: r.up] = x
+        want = np.convolve(wide, r.taps)[r.wide :][:: r.down]
+        got = r(x)
+        n = min(len(got), len(want))
+        assert np.allclose(got[:n], want[:n])
+    assert media.hysteresis(np.array([0, 1, 3, 1, 0, 1, 1, 0.0]), 0.5, 2).tolist() == [[1, 4]]
+    assert media.hysteresis(np.zeros(3), 0.5, 2).tolist() == []
+
+
+def test_audio_digests(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in common.table(spark, sf, "documents").collect()}
+    for r in media.op1_audio_features(spark, sf).collect():
+        p = media.text_payload(texts[r.doc_id])
+        m = media.wav_bytes(p, 12_000)
+        want = (len(texts[r.doc_id].encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest())
+        assert tuple(r)[1:7] == want
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 8) / 64]) for i in range(300)]
+    rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, [1.0, 2.0]), (305, []), (0, rows[0][1]), (None, rows[1][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(9))
+    q = np.array([[np.floor(64 * x) for x in v] for _, v in rows[:300]])
+    want = set()
+    for i in range(0, 300, 20):
+        s = q @ q[i]
+        best = sorted((j for j in range(300) if j != i), key=lambda j: (-s[j], j))[:20]
+        copies = [j for j in best for _ in range(2 if j == 0 else 1)][:20]
+        want |= {(i, k + 1, j, int(s[j])) for k, j in enumerate(copies)}
+    got = {tuple(r) for r in topk.top_k(df.repartition(5), F.col("vec_id") % 20 == 0).collect()}
+    assert {r for r in got if r[0] < 300} == want
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_top_k_sql(spark, sf):
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    assert sorted(map(tuple, topk.op6_top_k(spark, sf).collect())) == sorted(c.sql(topk.OP6_SQL).fetchall())
+
+
+def test_packing(spark, docs, none):
+    rng = random.Random(2)
+    rows = [(i, rng.choice("ab" if rng.random() < 0.6 else "cdef"), rng.choice([str(rng.randrange(40)), str(i)]), rng.randrange(1, 260)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, c string, n long").withColumn("text", F.lit(""))
+    got = packing.pack(df, 100, 2, cluster=F.col("c"), tokens=F.col("n")).toPandas()
+    size, source, cluster = {r[0]: r[3] for r in rows}, {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
+    assert got.groupby("doc_id").n_tokens.sum().to_dict() == size
+    for _, part in got.groupby("bin_id"):
+        assert part.n_tokens.sum() <= 100 and part.position.tolist() is not None
+        if len(part) > 1:
+            assert max(collections.Counter(source[d] for d in part.doc_id).values()) <= 2
+            assert max(collections.Counter(cluster[d] for d in part.doc_id).values()) == 1
+    assert len(packing.pack(docs, 100).toPandas().doc_id) > len(ODD) and packing.pack(none).count() == 0
+
+
+def test_best_fit_is_tightest():
+    import pandas as pd
+
+    rng = random.Random(4)
+    rows = pd.DataFrame({"doc_id": range(400), "piece": 0, "row": range(400), "n_tokens": [rng.randrange(1, 60) for _ in range(400)], "source": [rng.choice("aabbcde") for _ in range(400)], "cluster": [str(rng.randrange(90)) for _ in range(400)]})
+    got = packing.pack_shard(rows, 100, 2)
+    bins: list[dict] = []
+    for r in got.itertuples():
+        fits = [(b["left"], k) for k, b in enumerate(bins) if b["left"] >= r.n_tokens and b["s"][r.source] < 2 and r.cluster not in b["c"]]
+        if fits:
+            assert bins[r.bin]["left"] == min(fits)[0] and (bins[r.bin]["left"], r.bin) in fits
+        else:
+            assert r.bin == len(bins)
+            bins.append({"left": 100, "s": collections.Counter(), "c": set()})
+        b = bins[r.bin]
+        b["left"] -= r.n_tokens
+        b["s"][r.source] += 1
+        b["c"].add(r.cluster)
+
+
+@pytest.mark.parametrize("block", [2, 4, 6, 10, 1000])
+def test_separator_scan(spark, tmp_path, block):
+    np.array([1, 2, 9, 9, 3, 4, 5, 6, 7, 8, 1, 2, 3, 9, 5, 9, 9, 1], "<u2").tofile(tmp_path / "x.bin")
+    np.zeros(0, "<u2").tofile(tmp_path / "e.bin")
+    np.array([9], "<u2").tofile(tmp_path / "s.bin")
+    got = tokencount.count_tokens(spark, str(tmp_path), 9, 2, block)
+    rows = lambda name: [(r.ordinal, r.start, r.n_tokens) for r in got.where(F.col("file").endswith(name)).orderBy("ordinal").collect()]
+    assert rows("x.bin") == [(0, 0, 2), (1, 3, 0), (2, 4, 9), (3, 14, 1), (4, 16, 0), (5, 17, 1)]
+    assert rows("e.bin") == [] and rows("s.bin") == [(0, 0, 0)]
+
+
+def test_separator_scan_of_documents(spark, sf):
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {r.doc_id: len(enc.encode_ordinary(r.text or "")) for r in common.table(spark, sf, "documents").collect()}
+    assert {r.doc_id: r.n_tokens for r in tokencount.op8_separator_scan(spark, sf).collect()} == want
+
+
+def brute_fingerprint(text):
+    words = re.findall("[^\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)] * bool(words)
+    h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark, sf, docs):
+    rows = [(r.doc_id, r.text) for r in common.table(spark, sf, "documents").collect()]
+    fp = {i: brute_fingerprint(t) for i, t in rows}
+    parent = {i: i for i in fp}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(fp)
+    for a in ids:
+        for b in ids:
+            if a < b and (fp[a] ^ fp[b]).bit_count() <= 4:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    want = {i: (f"{fp[i]:016x}", find(i)) for i in ids}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op2_simhash(spark, sf).collect()} == want
+    odd = simhash.near_components(docs)
+    assert odd.count() == len(ODD) and {r.component_id for r in odd.where("fp = 0").collect()} == {2}
+    assert simhash.near_components(docs.limit(0)).count() == 0
+
+
+def test_ball_links_of_clusters(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "UNFOLD", 20_000)  # so that the next bits split the work
+    rng = random.Random(6)
+    centers = [rng.getrandbits(64) for _ in range(12)]
+    fps = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for c in centers for _ in range(25)} | {0, 3}
+    signed = [x - (1 << 64) if x >> 63 else x for x in sorted(fps)]
+    links = simhash.ball_links(spark.createDataFrame([(x, x) for x in signed], "fp long, id long"), len(fps)).collect()
+    assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 4 for r in links)
+    group = lambda pairs: components_of(signed, pairs)
+    assert group([(r.a, r.b) for r in links]) == group([(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
+
+
+def components_of(nodes, pairs):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return {n: find(n) for n in nodes}
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = components_of({x for p in pairs for x in p}, pairs)
+    assert all(want[n] == r for n, r in got.items()) and {n for n in want if want[n] != n} <= set(got)
+
+
+def test_near_copies(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    base = [[word() for _ in range(300)] for _ in range(30)]
+    rows, owner = [], {}
+    for k, words in enumerate(base):
+        for _ in range(4):
+            copy = list(words)
+            if _:
+                copy[rng.randrange(300)] = word()
+            owner[len(rows)] = k
+            rows.append((len(rows), " ".join(copy)))
+    left = [r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame([*rows, (None, "x"), (900, "")], "doc_id long, text string")).collect()]
+    assert sorted(x for x in left if x is not None) == [*range(0, 120, 4), 900] and None in left
+
+
+def brute_repeats(texts, size):
+    count = collections.Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - size + 1):
+            if count[t[i : i + size]] > 1:
+                gone[i : i + size] = b"\1" * size
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        yield len(t), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), kept
+
+
+def test_repeated_starts():
+    rng = random.Random(3)
+    for _ in range(150):
+        letters, size = rng.choice([b"ab", b"abc", b"a", bytes(range(1, 255)), b"\0\xff"]), rng.choice([3, 5, 8])
+        parts = list({bytes(rng.choice(letters) for _ in range(rng.randint(size, 40))) for _ in range(rng.randint(1, 6))})
+        times = np.array([rng.choice([1, 1, 2]) for _ in parts])
+        count = collections.Counter()
+        for p, k in zip(parts, times, strict=True):
+            for i in range(len(p) - size + 1):
+                count[p[i : i + size]] += int(k)
+        for p, runs in zip(parts, suffix.repeated_starts(parts, times, size), strict=True):
+            assert [i for a, b in runs for i in range(a, b + 1)] == [i for i in range(len(p) - size + 1) if count[p[i : i + size]] > 1]
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_suffix_dedup(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT_SEGMENTS", hot)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 300))) for _ in range(40)]
+    for _ in range(20):
+        a, b = rng.choice(texts), rng.choice(texts)
+        x = rng.randint(0, len(a))
+        texts.append(b[: rng.randint(0, len(b))] + a[x : x + rng.randint(300, 1500)] + "é" * rng.randint(0, 3) + b[-50:])
+    texts += ["x" * 1000, "x" * 399, "x" * 400, "", "ab" * 900, texts[0], texts[0]]
+    texts += [rng.choice(words) * rng.randint(0, 20) + texts[5][:700] + rng.choice(words) * rng.randint(1, 90) for _ in range(25)]
+    got = suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    want = dict(enumerate(brute_repeats([t.encode() for t in texts], 400)))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()} == want
+    odd = suffix.remove_repeats(docs)
+    assert odd.count() == len(ODD) and odd.where("doc_id = 6").first().n_removed == 45_000
+    assert suffix.remove_repeats(docs.limit(0)).count() == 0
+
+
+PAGE = """<html><body class="has-sidebar"><header class="site"><h1>Site</h1></header><nav>menu</nav><div class="notice">Cookies</div>
+<article><header><h1>Title &amp; more</h1></header><p>One <b>two</b><br>three<p>Four &copy; &am<ul><li>a<li>b</ul><div class="ad">buy</div><form>f</form>
+<p>Same line in every page</p><p>own {k}</p><section class="comments"><article><p>nice</p></article></section></article><aside>side</aside><footer>f</footer><script>var a="</p>"</script>"""
+
+
+def test_html(spark):
+    rows = [(k, f"https://h.example/{k}", PAGE.replace("{k}", str(k))) for k in range(12)]
+    rows += [(20, None, None), (21, "x", ""), (22, "https://one.example", "<div id=top>menu</div><div class=post><h1>T</h1><p>long text here</p><p>more</p></div><div class=footer>x"), (22, "https://h.example/0", PAGE.replace("{k}", "0"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("own"))
+    got = html.extract_text(df).collect()
+    assert len(got) == len(rows)
+    text = {(r.page_id, r.url): r.text for r in got}
+    assert text[3, "https://h.example/3"] == "own 3"  # all else is the template
+    assert text[20, None] == "" and text[21, "x"] == "" and text[22, "https://one.example"] == "T\n\nlong text here\n\nmore"
+    few = html.extract_text(df.where("page_id < 3")).where("page_id = 1").first()
+    assert few.text == "Title & more\n\nOne two three\n\nFour © &am\n\na\n\nb\n\nSame line in every page\n\nown 1" and few.n_chars == len(few.text)
+    assert html.extract_text(df.limit(0)).count() == 0
+
+
+def test_html_pages(spark, sf):
+    import html as entities
+
+    source = {r.page_id: r.html for r in common.table(spark, sf, "pages").collect()}
+    for r in html.op3_main_text(spark, sf).collect():
+        article = re.search(r"<article>(.*?)</article>", source[r.page_id], re.S)[1]
+        parts = [" ".join(entities.unescape(re.sub(r"<[^>]*>", " ", q)).split()) for q in re.split(r"</?(?:p|h1)>", article)]
+        assert r.text == "\n\n".join(p for p in parts if p)
+
+
+def rank_sum(y, p):
+    order = np.argsort(p)
+    rank = np.empty(len(p))
+    rank[order] = np.arange(len(p))
+    return (rank[y == 1].mean() - ((y == 1).sum() - 1) / 2) / (y == 0).sum()
+
+
+def test_quality_held_out(spark, docs):
+    sf = "/root/testdata/sf0.1"
+    scored = quality.op10_quality(spark, sf).join(common.table(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
+    assert rank_sum(scored.quality.values, scored.score.values) > 0.99 and (scored.predicted == scored.quality).mean() > 0.98
+    model = quality.AdditiveModel().fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0))
+    odd = quality.score_quality(docs, model, keep=("runs",))
+    assert odd.count() == len(ODD) and quality.score_quality(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_gradients():
+    net = toxicity.Network()
+    _, words, index, mask = toxicity.block([(0, ["a", "bb", "ccc", "a"]), (1, ["dd", "e"])])
+    y, weight = np.array([1, 0], np.float32), np.ones(2, np.float32)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    grads = net.gradients(words, index, mask, y, weight)
+
+    def loss():
+        v, _ = net.inputs(words)
+        p = toxicity.sigmoid(net.forward(v.astype(np.float64), index, mask))
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    for name, g in grads.items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        was, step = net.p[name][at], 1e-3
+        net.p[name][at] = was + step
+        up = loss()
+        net.p[name][at] = was - step
+        down = loss()
+        net.p[name][at] = was
+        assert abs(g[at] - (up - down) / (2 * step)) < 1e-4
+
+
+def test_toxicity_windows(spark, docs):
+    for n in (1, 47, 48, 49, 72, 73, 500):
+        covered = {i for a in toxicity.windows_of(n) for i in range(a, min(a + toxicity.WINDOW, n))}
+        assert covered == set(range(n))
+    rng = random.Random(1)
+    plain = [[rng.choice(["sun", "tree", "walk", "blue", "house", "river"]) + str(rng.randrange(30)) for _ in range(rng.randrange(5, 120))] for _ in range(160)]
+    y = np.array([k % 2 for k in range(160)], np.float32)
+    for d, bad in zip(plain, y, strict=True):
+        if bad:
+            d[rng.randrange(len(d))] = rng.choice(["vile", "foulest", "vilest"])
+    net = toxicity.fit(plain[:120], y[:120])
+    assert ((net.probabilities(plain[120:]) >= 0.5) == y[120:]).mean() > 0.9
+    odd = toxicity.score_toxicity(docs, net, keep=("runs",)).collect()
+    assert len(odd) == len(ODD) and all(r.score == 0 for r in odd if r.doc_id in (2, 3))
+    assert toxicity.score_toxicity(docs.limit(0), net).count() == 0
+    empty = toxicity.fit([], np.zeros(0, np.float32))
+    assert empty.probabilities([["a"], []]).max() < 0.5
