@@ -41,13 +41,13 @@ def cut_at(buffer: str, most: int, least: int) -> int:
     return most
 
 
-def text_chunks(rows: DataFrame, key: str, text: str, most: int, least: int = 0, idle: str = "1 minute") -> DataFrame:
+def text_chunks(rows: DataFrame, key: str, text: str, most: int, least: int = 0, idle: str | None = None) -> DataFrame:
     """``key, seq long, content``: chunks of texts that grow row by row.
 
-    What is left over waits for more; it is sent when nothing comes for ``idle`` of processing time. State is one
-    string of at most ``most`` characters a key.
+    What is left over waits for more; with ``idle`` ("1 minute") it is sent when nothing comes for so long of
+    processing time, which needs a trigger that goes on. State is one string of at most ``most`` characters a key.
     """
-    millis = {"second": 1000, "minute": 60_000, "hour": 3_600_000}[idle.split()[1].rstrip("s")] * int(idle.split()[0])
+    millis = {"second": 1000, "minute": 60_000, "hour": 3_600_000}[idle.split()[1].rstrip("s")] * int(idle.split()[0]) if idle else 0
 
     def pop(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         buffer, seq = state.get if state.exists else ("", 0)
@@ -64,11 +64,12 @@ def text_chunks(rows: DataFrame, key: str, text: str, most: int, least: int = 0,
                 out.append((k[0], seq, buffer[:at].strip()))
                 buffer, seq = buffer[at:].lstrip(), seq + 1
             state.update((buffer, seq))
-            state.setTimeoutDuration(millis)
+            if millis:
+                state.setTimeoutDuration(millis)
         yield pd.DataFrame(out, columns=[key, "seq", "content"])
 
     kind = dict(rows.dtypes)[key]
-    return rows.groupBy(key).applyInPandasWithState(pop, f"{key} {kind}, seq long, content string", "buffer string, seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(pop, f"{key} {kind}, seq long, content string", "buffer string, seq long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def index_new_files(found: DataFrame, store: str, checkpoint: str, chunk, keys: tuple[str, ...] = ("path", "mtime", "size")):
