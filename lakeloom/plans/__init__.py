@@ -6,7 +6,7 @@ import importlib
 
 from .base import QUERIES, SQL
 
-MODULES = ["profile", "terms", "ordered", "search", "texts", "stores", "labels", "streams"]
+MODULES = ["profile", "terms", "ordered", "search", "texts", "stores", "labels", "streams", "relations"]
 
 
 def load():
