@@ -96,12 +96,12 @@ def w19_budget(spark, d):
     return found.select("source", "doc_id", "before")
 
 
-@query("w8_trend_labels", """WITH d AS (SELECT event_type, date_trunc('day', ts)::DATE AS day, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2),
-x AS (SELECT *, round(mean - lag(mean) OVER (PARTITION BY event_type ORDER BY day), 4) AS delta FROM d)
+@query("w8_trend_labels", """WITH d AS (SELECT event_type, date_trunc('day', ts)::DATE AS day, round(sum(value), 2) AS total FROM events GROUP BY 1, 2),
+x AS (SELECT *, round(total - lag(total) OVER (PARTITION BY event_type ORDER BY day), 4) AS delta FROM d)
 SELECT event_type, day, delta, CASE WHEN delta IS NULL THEN 'start' WHEN delta > 0.5 THEN 'rise' WHEN delta < -0.5 THEN 'fall' ELSE 'steady' END AS label FROM x""")
 def w8_trend_labels(spark, d):
-    daily = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 4).alias("mean"))
-    return O.trend_labels(daily, ["event_type"], ["day"], "mean", 0.5).select("event_type", "day", "delta", "label")
+    daily = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 2).alias("total"))
+    return O.trend_labels(daily, ["event_type"], ["day"], "total", 0.5).select("event_type", "day", "delta", "label")
 
 
 @query("w14_lead_rates", """SELECT event_id, round((epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1000000.0, 6) AS seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
