@@ -73,7 +73,7 @@ def flips(bits: int, most: int) -> np.ndarray:
 
 
 def star_links(variants: np.ndarray, owner: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the owners of each variant that occurs again: to the smallest of them and to the one before."""
+    """Links of the owners of each variant that occurs again to the smallest of them."""
     ordered = np.sort(variants)
     again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     none = np.zeros(0, np.int64)
@@ -90,9 +90,7 @@ def star_links(variants: np.ndarray, owner: np.ndarray, fps: np.ndarray) -> tupl
     v, f = v[order], f[order]
     new = np.concatenate(([True], v[1:] != v[:-1]))
     first = f[np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))]
-    before = np.concatenate((f[:1], f[:-1]))
-    a, b = np.concatenate((first[~new], before[~new])), np.concatenate((f[~new], f[~new]))
-    pairs = np.unique(np.stack((a, b)), axis=1)
+    pairs = np.unique(np.stack((first[~new], f[~new])), axis=1)
     return pairs[0], pairs[1]
 
 
@@ -120,32 +118,34 @@ def meet(fps: np.ndarray, base: np.ndarray, left: np.ndarray, bits: int) -> Iter
 
 
 def ball_links(fps: DataFrame, rows: int, radius: int = 4) -> DataFrame:
-    """``a, b``: links that connect exactly the distinct fingerprints ``fp`` within an even ``radius``.
+    """``a, b``: links that connect exactly the distinct fingerprints ``fp``, named by ``id``, within an even ``radius``.
 
     Whatever shares a variant is within the radius of each other, so the owners of a variant get a
-    chain and a star of links instead of all pairs; each link is verified. ``rows`` is the number of
+    star of links instead of all pairs; each link is verified. ``rows`` is the number of
     fingerprints and sets how finely variants are spread.
     """
     half = radius // 2
     total = rows * sum(math.comb(64, k) for k in range(half + 1))
     lead = min(24, max(6, math.ceil(math.log2(max(1, total / UNFOLD)))))
     masks = F.array(*(F.lit(int(m)) for m in flips(lead, half)))
-    sent = fps.select("fp", F.explode(masks).alias("mask")).select(F.shiftrightunsigned("fp", 64 - lead).bitwiseXOR(F.col("mask")).alias("class"), "fp")
+    sent = fps.select("fp", "id", F.explode(masks).alias("mask"))
+    sent = sent.select(F.shiftrightunsigned("fp", 64 - lead).bitwiseXOR(F.col("mask")).alias("class"), "fp", "id")
 
     def run(table: pa.Table) -> pa.Table:
         kind = np.uint64(table.column(0)[0].as_py())
-        own = np.unique(table.column(1).to_numpy().view(np.uint64))
+        own, at = np.unique(table.column(1).to_numpy().view(np.uint64), return_index=True)
+        ids = table.column(2).to_numpy()[at]
         low = np.uint64((1 << (64 - lead)) - 1)
         base = (own & low) | (kind << np.uint64(64 - lead))
         left = half - np.bitwise_count(own ^ base).astype(np.int64)
-        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x, y in meet(own, base, left, 64 - lead):
             x, y = x.astype(np.uint64), y.astype(np.uint64)
             near = np.bitwise_count(x ^ y) <= radius
-            a.append(x[near])
-            b.append(y[near])
+            a.append(ids[np.searchsorted(own, x[near])])
+            b.append(ids[np.searchsorted(own, y[near])])
         pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
-        return pa.table({"a": pa.array(pairs[0].view(np.int64)), "b": pa.array(pairs[1].view(np.int64))})
+        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
     return sent.groupBy("class").applyInArrow(run, "a long, b long").distinct()
 
@@ -160,7 +160,7 @@ def near_components(documents: DataFrame, words: int = 4, radius: int = 4, id_co
     """
     docs = materialize(fingerprints(documents, words, id_col, text_col), scope)
     fps = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), scope)
-    found = components(ball_links(fps, fps.count(), radius), scope)
+    found = components(ball_links(fps.select("fp", F.col("fp").alias("id")), fps.count(), radius), scope)
     roots = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = materialize(roots, scope)
     lowest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -210,36 +210,30 @@ def word_fingerprints(documents: DataFrame, tables: int) -> DataFrame:
 
 
 def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
-    """``doc_id, shingles binary``: the sorted distinct shingle hashes of each text, eight bytes each."""
+    """``doc_id, shingles array<long>``: the sorted distinct shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                found = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
+                ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))], names=["doc_id", "shingles"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those links ``a, b`` whose documents' shingle sets have a Jaccard similarity of ``least`` or more."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
+    """Those links ``a, b`` whose documents' shingle sets have a Jaccard similarity of ``least`` or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = sorted((len(x), len(y)))
-                if small < least * large:  # the sizes alone rule it out
-                    good.append(False)
-                    continue
-                both = np.sort(np.concatenate((x, y)))
-                shared = np.count_nonzero(both[1:] == both[:-1])
-                good.append(shared >= least * (len(both) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return links.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    Sets whose sizes alone rule that out are not compared.
+    """
+    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"of_{name}"))
+    pairs = links.join(side("a"), "a").join(side("b"), "b")
+    x, y = F.size("of_a"), F.size("of_b")
+    pairs = pairs.where(F.least(x, y) >= least * F.greatest(x, y))
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.where(shared >= least * (x + y - shared)).select("a", "b")
 
 
 def near_copies(documents: DataFrame, words: int = 5, least: float = 0.8, tables: int = 3, radius: int = 4, scope: str = "lakeloom") -> DataFrame:
@@ -258,9 +252,7 @@ def near_copies(documents: DataFrame, words: int = 5, least: float = 0.8, tables
     links = None
     for n in names:
         fps = materialize(texts.groupBy(F.col(n).alias("fp")).agg(F.min("rep").alias("rep"), F.count("*").alias("texts")), scope)
-        near = ball_links(fps.select("fp"), fps.count(), radius)
-        a, b = fps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), fps.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
-        across = near.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        across = ball_links(fps.select("fp", F.col("rep").alias("id")), fps.count(), radius)
         first = fps.where("texts > 1").select("fp", F.col("rep").alias("a"))
         within = texts.join(first, texts[n] == first["fp"]).where("rep <> a").select("a", F.col("rep").alias("b"))
         found = across.unionAll(within)
