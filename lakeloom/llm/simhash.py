@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import components
 
-#: Variants that a task unfolds at a time.
+#: Variants that a task unfolds at a time, and about how many of them it gets in all.
 UNFOLD = 2_000_000
+TASK_VARIANTS = 8 * UNFOLD
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -126,7 +127,7 @@ def ball_links(fps: DataFrame, rows: int, radius: int = 4) -> DataFrame:
     """
     half = radius // 2
     total = rows * sum(math.comb(64, k) for k in range(half + 1))
-    lead = min(24, max(6, math.ceil(math.log2(max(1, total / UNFOLD)))))
+    lead = min(24, max(3, math.ceil(math.log2(max(1, total / TASK_VARIANTS)))))
     masks = F.array(*(F.lit(int(m)) for m in flips(lead, half)))
     sent = fps.select("fp", "id", F.explode(masks).alias("mask"))
     sent = sent.select(F.shiftrightunsigned("fp", 64 - lead).bitwiseXOR(F.col("mask")).alias("class"), "fp", "id")
