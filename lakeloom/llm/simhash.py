@@ -29,6 +29,10 @@ from .components import components
 UNFOLD = 2_000_000
 TASK_VARIANTS = 8 * UNFOLD
 
+#: Documents and words of a group of candidates that one side of a comparison holds.
+BLOCK = 2048
+BLOCK_WORDS = 4_000_000
+
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
     """XXH64 of every shingle of ``words`` words, repeats included, of the text with A-Z lower-cased.
@@ -181,7 +185,7 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def word_fingerprints(documents: DataFrame, tables: int) -> DataFrame:
-    """``doc_id, same string, f0, f1, ... long``: a digest of the words and fingerprints over single words.
+    """``doc_id, same string, n long, f0, f1, ... long``: a digest of the words, their number and fingerprints over single words.
 
     Words weigh the root of how often they occur. Fingerprints over long shingles change too much
     between texts that share four fifths of them, those over words hardly change.
@@ -202,11 +206,11 @@ def word_fingerprints(documents: DataFrame, tables: int) -> DataFrame:
                     with np.errstate(over="ignore"):
                         x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
                         found.append(fingerprint((x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB), weight))
-                rows.append((xxhash.xxh3_128_hexdigest(b" ".join(parts)), *found))
-            columns = list(zip(*rows, strict=True)) or [()] * (tables + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "same", *names])
+                rows.append((xxhash.xxh3_128_hexdigest(b" ".join(parts)), len(parts), *found))
+            columns = list(zip(*rows, strict=True)) or [()] * (tables + 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "same", "n", *names])
 
-    schema = ", ".join(["doc_id long", "same string", *(f"{n} long" for n in names)])
+    schema = ", ".join(["doc_id long", "same string", "n long", *(f"{n} long" for n in names)])
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -224,32 +228,82 @@ def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those links ``a, b`` whose documents' shingle sets have a Jaccard similarity of ``least`` or more.
-
-    Sets whose sizes alone rule that out are not compared.
+def connect(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of the numbers 0 to n - 1 that each can reach by the links ``a``, ``b``."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        open_links = x != y
+        if not open_links.any():
+            return root
+        a, b, x, y = a[open_links], b[open_links], x[open_links], y[open_links]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def shared_counts(flat: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """How many of the numbers ``flat`` each owner in ``left`` shares with each in ``right``; no owner holds one twice."""
+    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    again = count[at] > 1
+    owner, at = owner[again], (np.cumsum(count > 1) - 1)[at[again]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    total = int(at[-1]) + 1 if len(at) else 0
+    shared = np.zeros((len(left), len(right)), np.float32)  # exact up to 2**24
+    held = np.zeros((int(max(left.max(), right.max())) + 1, min(columns, total)), np.float32)
+    for c in range(0, total, columns):
+        lo, hi = np.searchsorted(at, (c, c + columns))
+        held[:] = 0
+        held[owner[lo:hi], at[lo:hi] - c] = 1
+        shared += held[left] @ held[right].T
+    return shared
+
+
+def similar(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links that connect exactly the documents of a group ``doc_id, root, n`` with Jaccard similarities of ``least`` or more.
+
+    All pairs of a group are compared: similarity is not transitive, so no document can stand for
+    another. A group of more than ``BLOCK`` documents or ``BLOCK_WORDS`` words (``n`` a document) is
+    dealt into blocks by a hash, and each pair of blocks is one task. What a task finds leaves it as a spanning forest.
     """
-    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"of_{name}"))
-    pairs = links.join(side("a"), "a").join(side("b"), "b")
-    x, y = F.size("of_a"), F.size("of_b")
-    pairs = pairs.where(F.least(x, y) >= least * F.greatest(x, y))
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.where(shared >= least * (x + y - shared)).select("a", "b")
+    many = groups.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"), F.count("*").alias("docs"))
+    rows = groups.join(many.where("docs > 1").drop("docs"), "root").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    rows = rows.join(sets, "doc_id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc_id", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, block = table.column("i")[0].as_py(), table.column("j")[0].as_py(), table.column("block").to_numpy()
+        ids, lists = table.column("doc_id").to_numpy(), table.column("shingles").combine_chunks()
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        shared = shared_counts(lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), sizes), left, right)
+        x, y = np.nonzero(shared >= least * (sizes[left][:, None] + sizes[right] - shared) - 1e-3)
+        x, y, found = left[x], right[y], shared[x, y].astype(float)
+        near = (x != y) & (found >= least * (sizes[x] + sizes[y] - found) - 1e-9)
+        root = connect(len(ids), x[near], y[near])
+        tied = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[tied]), "b": pa.array(ids[root[tied]])})
+
+    return rows.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_copies(documents: DataFrame, words: int = 5, least: float = 0.8, tables: int = 3, radius: int = 4, scope: str = "lakeloom") -> DataFrame:
     """``doc_id, group_id``: documents that are copies of others, and the smallest id of their group.
 
     Texts with equal words (A-Z lower-cased) are copies. Of the rest, candidates are the texts with
-    word fingerprints within ``radius`` bits in one of ``tables`` tables; those with a Jaccard
-    similarity of ``least`` over shingles of ``words`` words are linked, and links make groups.
+    word fingerprints within ``radius`` bits in one of ``tables`` tables, directly or through others;
+    those of all their pairs with a Jaccard similarity of ``least`` over shingles of ``words`` words
+    are linked, and links make groups.
     Documents without a copy do not appear, nor do rows with a null id or without words.
     """
     whole = documents.where(F.col("doc_id").isNotNull())
     docs = materialize(word_fingerprints(whole.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0), tables), scope)
     docs = docs.where(F.col("same") != xxhash.xxh3_128_hexdigest(b""))
     names = [f"f{k}" for k in range(tables)]
-    texts = materialize(docs.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.first(n).alias(n) for n in names)), scope)
+    texts = materialize(docs.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), *(F.first(n).alias(n) for n in names)), scope)
     links = None
     for n in names:
         fps = materialize(texts.groupBy(F.col(n).alias("fp")).agg(F.min("rep").alias("rep"), F.count("*").alias("texts")), scope)
@@ -259,10 +313,11 @@ def near_copies(documents: DataFrame, words: int = 5, least: float = 0.8, tables
         found = across.unionAll(within)
         links = found if links is None else links.unionAll(found)
     links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), scope)
-    wanted = links.select(F.col("a").alias("doc_id")).unionAll(links.select("b")).distinct()
-    one = whole.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    close = components(links, scope)
+    close = materialize(texts.join(close, texts["rep"] == close["node"]).select(F.col("rep").alias("doc_id"), "root", "n"), scope)
+    one = whole.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(close.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(shingle_sets(one, words), scope)
-    groups = components(materialize(similar(links, sets, least), scope), scope)
+    groups = components(materialize(similar(close, sets, least), scope), scope)
     named = texts.join(groups, texts["rep"] == groups["node"], "left").select("same", "copies", F.coalesce("root", "rep").alias("group_id"), F.col("root").isNotNull().alias("linked"))
     named = named.where("linked or copies > 1").select("same", "group_id")
     return docs.join(named, "same").select("doc_id", "group_id")

@@ -249,6 +249,31 @@ def test_near_copies(spark):
     assert sorted(x for x in left if x is not None) == [*range(0, 120, 4), 900] and None in left
 
 
+def near_groups(rows, words=5, least=0.8):
+    """Smallest ids of the groups by brute force over all pairs."""
+    sets = {i: {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} for i, w in ((i, t.split()) for i, t in rows)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9]
+    return components_of(sorted(sets), pairs)
+
+
+def test_near_copies_around_another_centre(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for k in range(3):
+        words = [f"w{k}x{n}" for n in range(200)]
+        rows.append((len(rows), " ".join(rng.sample(words, 200))))  # the smallest id: the same words in another order
+        for _ in range(12):
+            at, copy = rng.randrange(199), list(words)
+            copy[at], copy[at + 1] = copy[at + 1], copy[at]
+            rows.append((len(rows), " ".join(copy)))
+    want = near_groups(rows)
+    assert len(set(want.values())) == 6
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (2048, 5):
+        monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+        assert sorted(r.doc_id for r in simhash.drop_near_copies(frame).collect()) == sorted(set(want.values()))
+
+
 def brute_repeats(texts, size):
     count = collections.Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
     for t in texts:
