@@ -12,7 +12,6 @@ the number of fingerprints; a fingerprint reaches 1 + b + b(b-1)/2 tasks for b b
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,6 +32,9 @@ TASK_VARIANTS = 8 * UNFOLD
 BLOCK = 2048
 BLOCK_WORDS = 4_000_000
 
+#: Shingles that a task counts, about.
+BUCKET_KEYS = 2_000_000
+
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
     """XXH64 of every shingle of ``words`` words, repeats included, of the text with A-Z lower-cased.
@@ -181,37 +183,116 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-copies for filtering: candidates by ball hashing of word fingerprints, verified on shingles.
+# Near-copies for filtering: every pair of a Jaccard similarity, found by prefixes of shingle sets.
+
+
+def word_digests(documents: DataFrame) -> DataFrame:
+    """``doc_id, same string, n long``: a digest of the words (A-Z lower-cased) of each text and their number."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [(t.as_py() or "").encode().lower().split() for t in batch.column(1)]
+            same = pa.array([xxhash.xxh3_128_hexdigest(b" ".join(p)) for p in parts], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, pa.array([len(p) for p in parts], pa.int64())], names=["doc_id", "same", "n"])
 
-def word_fingerprints(documents: DataFrame, tables: int) -> DataFrame:
-    """``doc_id, same string, n long, f0, f1, ... long``: a digest of the words, their number and fingerprints over single words.
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, same string, n long")
 
-    Words weigh the root of how often they occur. Fingerprints over long shingles change too much
-    between texts that share four fifths of them, those over words hardly change.
+
+def prefix_size(n, least: float):
+    """How many elements of two sets, the first in one order of all elements, hold one in common at a Jaccard similarity of ``least``.
+
+    The sets share ``least`` of the larger one at the least, so fewer than all of a prefix can be missing in the other.
     """
-    names = [f"f{k}" for k in range(tables)]
+    return n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+
+
+def packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+    """A row a bucket, with the bytes of that bucket's values of each column."""
+    order = np.argsort(bucket, kind="stable")
+    own, start = np.unique(bucket[order], return_index=True)
+    parts = [order[x:y] for x, y in zip(start, [*start[1:], len(order)][: len(own)], strict=True)]
+    return pa.table({"bucket": pa.array(own, pa.int32()), **{k: pa.array([x[p].tobytes() for p in parts], pa.binary()) for k, x in columns.items()}})
+
+
+def unpacked(table: pa.Table, **kinds) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in kinds.items()]
+
+
+def prefix_links(documents: DataFrame, total: int, words: int, least: float, scope: str) -> DataFrame:
+    """``a, b``: links that connect, directly or through others, all documents with a Jaccard similarity of ``least`` or more.
+
+    Shingles are ordered by the number of documents, with the odd hashes last, which are counted
+    only where a document has too few even ones for a prefix. One task a bucket of shingles
+    counts and passes on what occurs again; one a bucket of documents finds the prefixes; and one a
+    bucket of shingles links the documents that share a prefix's shingle, if neither set is too
+    small for the other, by a spanning forest. ``total`` is the number of words of all documents.
+    """
+    buckets = min(4096, max(8, math.ceil(total / 2 / BUCKET_KEYS)))
+    place = lambda x: ((x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    kinds = {"keys": np.uint64, "docs": np.int64, "sizes": np.int32, "evens": np.int32}
+    schema = "bucket int, keys binary, docs binary, sizes binary, evens binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows, held = [], [], 0
+
+        def flush() -> list[pa.RecordBatch]:
+            k, count = np.concatenate(keys), [len(x) for x in keys]
+            d, n, e = (np.repeat(np.array(x, t), count) for x, t in zip(zip(*rows, strict=True), (np.int64, np.int32, np.int32), strict=True))
+            return packed(place(k), {"keys": k, "docs": d, "sizes": n, "evens": e}).to_batches()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash64 = xxhash.xxh64_intdigest
         for batch in batches:
-            rows: list[tuple] = []
-            for text in batch.column(1):
-                parts = (text.as_py() or "").encode().lower().split()
-                count = Counter(parts)
-                weight = np.sqrt(np.fromiter(count.values(), float, len(count)))
-                h = np.array([hash64(w, 42) for w in count], np.uint64)
-                found = []
-                for k in range(tables):
-                    with np.errstate(over="ignore"):
-                        x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-                        found.append(fingerprint((x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB), weight))
-                rows.append((xxhash.xxh3_128_hexdigest(b" ".join(parts)), len(parts), *found))
-            columns = list(zip(*rows, strict=True)) or [()] * (tables + 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "same", "n", *names])
-
-    schema = ", ".join(["doc_id long", "same string", "n long", *(f"{n} long" for n in names)])
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.unique(shingle_hashes(text.as_py(), words))
+                if not len(own):
+                    continue
+                odd = (own & np.uint64(1)).astype(bool)
+                even = own[~odd]
+                more = max(0, int(prefix_size(np.int64(len(own)), least)) - len(even))
+                keys.append(np.concatenate((even, own[odd][:more])))
+                rows.append((doc, len(own), len(even)))
+                held += len(keys[-1])
+                if held >= 1 << 20:
+                    yield from flush()
+                    keys, rows, held = [], [], 0
+        if held:
+            yield from flush()
+
+    def again(table: pa.Table) -> pa.Table:
+        key, doc, size, even = unpacked(table, **kinds)
+        order = np.lexsort((doc, key))
+        order = order[np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])))]
+        key, doc, size, even = key[order], doc[order], size[order], even[order]
+        _, at, count = np.unique(key, return_inverse=True, return_counts=True)
+        df = count[at]
+        some = df > 1
+        bucket = (doc[some].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        return packed(bucket, {"keys": key[some], "docs": doc[some], "sizes": size[some], "evens": even[some], "df": df[some].astype(np.int32)})
+
+    def choose(table: pa.Table) -> pa.Table:
+        key, doc, size, even, df = unpacked(table, **kinds, df=np.int32)
+        odd = (key & np.uint64(1)).astype(bool)
+        order = np.lexsort((key, df, odd, doc))
+        key, doc, size, even, odd = key[order], doc[order], size[order], even[order], odd[order]
+        _, first, at = np.unique(doc, return_index=True, return_inverse=True)
+        unique = even - np.bincount(at, ~odd, len(first)).astype(np.int64)[at]  # these come first and occur nowhere else
+        rank = unique + np.arange(len(doc)) - first[at]
+        some = odd | (rank < prefix_size(size.astype(np.int64), least))
+        return packed(place(key[some]), {"keys": key[some], "docs": doc[some], "sizes": size[some]})
+
+    def link(table: pa.Table) -> pa.Table:
+        key, doc, size = unpacked(table, keys=np.uint64, docs=np.int64, sizes=np.int32)
+        order = np.lexsort((doc, size, key))
+        key, doc, size = key[order], doc[order], size[order]
+        # in order of size, sets that may be similar are tied through all that lie between them
+        tied = np.flatnonzero((key[1:] == key[:-1]) & (size[:-1] >= least * size[1:] - 1e-9))
+        ids, ends = np.unique(np.concatenate((doc[tied], doc[tied + 1])), return_inverse=True)
+        root = connect(len(ids), ends[: len(tied)], ends[len(tied) :])
+        some = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[some]), "b": pa.array(ids[root[some]])})
+
+    found = documents.select("doc_id", "text").mapInArrow(pack, schema).groupBy("bucket").applyInArrow(again, f"{schema}, df binary")
+    found = found.groupBy("bucket").applyInArrow(choose, schema.replace(", evens binary", ""))
+    return materialize(found.groupBy("bucket").applyInArrow(link, "a long, b long"), scope)
 
 
 def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
@@ -290,32 +371,23 @@ def similar(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return rows.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_copies(documents: DataFrame, words: int = 5, least: float = 0.8, tables: int = 3, radius: int = 4, scope: str = "lakeloom") -> DataFrame:
+def near_copies(documents: DataFrame, words: int = 5, least: float = 0.8, scope: str = "lakeloom") -> DataFrame:
     """``doc_id, group_id``: documents that are copies of others, and the smallest id of their group.
 
-    Texts with equal words (A-Z lower-cased) are copies. Of the rest, candidates are the texts with
-    word fingerprints within ``radius`` bits in one of ``tables`` tables, directly or through others;
-    those of all their pairs with a Jaccard similarity of ``least`` over shingles of ``words`` words
-    are linked, and links make groups.
+    Texts with equal words (A-Z lower-cased) are copies. Of the rest, all pairs with a Jaccard
+    similarity of ``least`` or more over the distinct shingles of ``words`` words are linked, and
+    links make groups. Candidates are the texts that share a shingle of their prefixes, directly or
+    through others, which leaves no such pair out; all pairs of candidates are compared.
     Documents without a copy do not appear, nor do rows with a null id or without words.
     """
-    whole = documents.where(F.col("doc_id").isNotNull())
-    docs = materialize(word_fingerprints(whole.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0), tables), scope)
-    docs = docs.where(F.col("same") != xxhash.xxh3_128_hexdigest(b""))
-    names = [f"f{k}" for k in range(tables)]
-    texts = materialize(docs.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), *(F.first(n).alias(n) for n in names)), scope)
-    links = None
-    for n in names:
-        fps = materialize(texts.groupBy(F.col(n).alias("fp")).agg(F.min("rep").alias("rep"), F.count("*").alias("texts")), scope)
-        across = ball_links(fps.select("fp", F.col("rep").alias("id")), fps.count(), radius)
-        first = fps.where("texts > 1").select("fp", F.col("rep").alias("a"))
-        within = texts.join(first, texts[n] == first["fp"]).where("rep <> a").select("a", F.col("rep").alias("b"))
-        found = across.unionAll(within)
-        links = found if links is None else links.unionAll(found)
-    links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), scope)
+    whole = documents.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = materialize(word_digests(whole).where("n > 0"), scope)
+    texts = materialize(docs.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), scope)
+    total = docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    links = prefix_links(whole, total, words, least, scope)
     close = components(links, scope)
     close = materialize(texts.join(close, texts["rep"] == close["node"]).select(F.col("rep").alias("doc_id"), "root", "n"), scope)
-    one = whole.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(close.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = whole.select("doc_id", "text").join(close.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(shingle_sets(one, words), scope)
     groups = components(materialize(similar(close, sets, least), scope), scope)
     named = texts.join(groups, texts["rep"] == groups["node"], "left").select("same", "copies", F.coalesce("root", "rep").alias("group_id"), F.col("root").isNotNull().alias("linked"))

@@ -274,6 +274,27 @@ def test_near_copies_around_another_centre(spark, monkeypatch):
         assert sorted(r.doc_id for r in simhash.drop_near_copies(frame).collect()) == sorted(set(want.values()))
 
 
+def test_near_copies_by_kind_of_edit(spark):
+    rng = random.Random(21)
+    fresh = (f"v{n}" for n in range(10**6))
+    common = [next(fresh) for _ in range(40)]  # one passage that many texts share
+    rows = []
+    for k in range(40):
+        words = [next(fresh) for _ in range(rng.choice([6, 60, 100, 150, 300]))] + common * (k % 2)
+        n = len(words)
+        added = lambda most: [next(fresh) for _ in range(rng.randrange(1, most))]
+        at = sorted(rng.sample(range(n), 3))
+        copies = [words, words + added(n // 4 + 2), added(n // 4 + 2) + words, words[: n - rng.randrange(1, n // 5 + 2)], words[: at[1]] + added(n // 8 + 2) + words[at[1] :]]
+        copies += [[next(fresh) if i in at else w for i, w in enumerate(words)], [next(fresh) if i == at[0] else w for i, w in enumerate(words)], words + words]
+        rows += [" ".join(c) for c in copies]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = near_groups(rows)
+    assert 40 < len(set(want.values())) < len(rows) - 100
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
+
+
 def brute_repeats(texts, size):
     count = collections.Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
     for t in texts:
