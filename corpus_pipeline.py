@@ -26,9 +26,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network accepts."""
+    """Documents that the toxicity network accepts; it also learns from those that an earlier stage has rejected."""
     common.put_on_path(spark)
-    return _rejected_go(docs, toxicity.score_toxicity, toxicity.train(docs, common.table(spark, sf_dir, "labels")), 0)
+    model = toxicity.train(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return _rejected_go(docs, toxicity.score_toxicity, model, 0)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """The pipeline on whole small tables: columns, decisions and the packing of what is left."""
 
+import pytest
+
 import corpus_pipeline
-from lakeloom.llm import common
+from lakeloom.llm import common, toxicity
 
 
 def test_pipeline(spark, sf):
@@ -25,3 +27,20 @@ def test_pipeline_of_odd_rows(spark, sf):
         for _, stage in corpus_pipeline.STAGES[2:4]:
             assert stage(spark, frame, sf).dtypes == docs.dtypes
             stage(spark, frame, sf).collect()
+
+
+def test_toxicity_learns_from_rejected_documents(spark, sf, monkeypatch):
+    class Fitted(Exception):
+        pass
+
+    def fit(docs, y):
+        raise Fitted(len(y), int(y.sum()))
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    seen = []
+    for left in (docs, docs.join(labels.where("toxic = 1 or quality = 0"), "doc_id", "left_anti")):
+        with pytest.raises(Fitted) as found:
+            corpus_pipeline.keep_civil(spark, left, sf)
+        seen.append(found.value.args)
+    assert seen[0] == seen[1] and seen[0][1] > 0
