@@ -199,10 +199,11 @@ def repeated_starts(parts: list[bytes], counts: np.ndarray, length: int) -> list
     return found
 
 
-def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows with ``_id`` and ``_h``, which together name a document and its text, and ``_text``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return documents.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_text"))
+def keyed(documents: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``_id`` and ``_h``, which together name a document and its text, ``_text``, the id, and the columns in ``keep`` as ``_k0``, ``_k1``, ..."""
+    text, own = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{id_col}`").cast("long")
+    kept = [F.col(f"`{c}`").alias(f"_k{k}") for k, c in enumerate(keep)]
+    return documents.select(F.coalesce(own, F.lit(-(2**63))).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_text"), own.alias("_doc"), *kept)
 
 
 def find_segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -322,28 +323,28 @@ def spans(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), text: bool = False, scope: str = "lakeloom") -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), text: bool = False, least_words: int = 0, scope: str = "lakeloom") -> DataFrame:
     """Remove every byte that a ``length``-byte string covers which also starts anywhere else.
 
     Returns a row a row of the input: ``doc_id, n_bytes, n_removed, n_spans long, kept binary`` and
     the columns in ``keep``; with ``text`` also ``kept_text``, the kept bytes without those that are no
-    whole character. Strings are UTF-8 bytes of one text, judged on the input; overlaps and
+    whole character. With ``least_words`` only maximal runs of at least so many words go. Strings are UTF-8 bytes of one text, judged on the input; overlaps and
     repeats within a text count; all copies of a passage go. Null texts count as empty, texts shorter
     than ``length`` stay whole; repeated rows are copies of each other; an empty table gives no rows.
-    Bytes may be cut inside a character.
+    Bytes may be cut inside a character. Columns of any name may be there; only the id, the text and ``keep`` are read.
     """
-    rows = keyed(documents, id_col, text_col)
+    rows = keyed(documents, id_col, text_col, keep)
     found = repeats(rows, length, gram, scope).withColumnRenamed("runs", "_runs")
     kinds = dict(documents.dtypes)
     joined = rows.join(found, ["_id", "_h"], "left")
-    joined = joined.select(F.col(id_col).cast("long").alias("doc_id"), "_text", "_runs", *(F.col(c) for c in keep))
+    joined = joined.select("_doc", "_text", "_runs", *(f"_k{k}" for k in range(len(keep))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, count, kept = [], [], [], []
             for own, runs in zip(batch.column(1), batch.column(2), strict=True):
                 data = own.as_py().encode()
-                cut = spans(runs.as_py(), length)
+                cut = [(a, b) for a, b in spans(runs.as_py(), length) if not least_words or len(data[a:b].split()) >= least_words]
                 at, rest = 0, []
                 for a, b in cut:
                     rest.append(data[at:a])
@@ -362,10 +363,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     return joined.mapInArrow(run, schema)
 
 
-
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What is left of every document without the 400-byte strings that occur elsewhere."""
     from .common import table
 
-    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), text=True)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"))

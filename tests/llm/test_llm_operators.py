@@ -198,14 +198,15 @@ def test_simhash(spark, sf, docs):
     assert simhash.near_components(docs.limit(0)).count() == 0
 
 
-def test_ball_links_of_clusters(spark, monkeypatch):
+@pytest.mark.parametrize("class_rows", [simhash.CLASS_ROWS, 150])  # the second splits classes by further bits
+def test_ball_links_of_clusters(spark, monkeypatch, class_rows):
     monkeypatch.setattr(simhash, "UNFOLD", 20_000)  # so that the next bits split the work
     rng = random.Random(6)
     centers = [rng.getrandbits(64) for _ in range(12)]
     fps = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for c in centers for _ in range(25)} | {0, 3}
+    fps |= {centers[0] ^ (1 << a) ^ (1 << b) for a in range(0, 64, 5) for b in range(a)}
     signed = [x - (1 << 64) if x >> 63 else x for x in sorted(fps)]
-    links = simhash.ball_links(spark.createDataFrame([(x, x) for x in signed], "fp long, id long"), len(fps)).collect()
-    assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 4 for r in links)
+    links = simhash.ball_links(spark.createDataFrame([(x, x) for x in signed], "fp long, id long"), len(fps), class_rows=class_rows).collect()
     group = lambda pairs: components_of(signed, pairs)
     assert group([(r.a, r.b) for r in links]) == group([(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
 
@@ -270,29 +271,49 @@ def test_near_copies_around_another_centre(spark, monkeypatch):
     assert len(set(want.values())) == 6
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for block in (2048, 5):
-        monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "CENTRES", min(block, 16) // 4 + 1)
         assert sorted(r.doc_id for r in simhash.drop_near_copies(frame).collect()) == sorted(set(want.values()))
 
 
+EDITS = ["one word", "three words", "passage of a tenth added", "passage of a quarter added", "a sixth cut off", "words twice"]
+
+
 def test_near_copies_by_kind_of_edit(spark):
+    """Nothing goes that brute force would keep; how many copies of a Jaccard similarity of 0.8 are found depends on the edit."""
     rng = random.Random(21)
     fresh = (f"v{n}" for n in range(10**6))
     common = [next(fresh) for _ in range(40)]  # one passage that many texts share
-    rows = []
-    for k in range(40):
-        words = [next(fresh) for _ in range(rng.choice([6, 60, 100, 150, 300]))] + common * (k % 2)
+    rows, kinds = [], {}
+    for k in range(60):
+        words = [next(fresh) for _ in range(rng.choice([60, 100, 150, 300]))] + common * (k % 2)
         n = len(words)
-        added = lambda most: [next(fresh) for _ in range(rng.randrange(1, most))]
-        at = sorted(rng.sample(range(n), 3))
-        copies = [words, words + added(n // 4 + 2), added(n // 4 + 2) + words, words[: n - rng.randrange(1, n // 5 + 2)], words[: at[1]] + added(n // 8 + 2) + words[at[1] :]]
-        copies += [[next(fresh) if i in at else w for i, w in enumerate(words)], [next(fresh) if i == at[0] else w for i, w in enumerate(words)], words + words]
-        rows += [" ".join(c) for c in copies]
-    rng.shuffle(rows)
-    rows = list(enumerate(rows))
+        at = rng.sample(range(n), 3)
+        copies = [[next(fresh) if i == at[0] else w for i, w in enumerate(words)], [next(fresh) if i in at else w for i, w in enumerate(words)]]
+        copies += [[next(fresh) for _ in range(n // share)] + words for share in (10, 4)] + [words[: n - n // 6], words + words]
+        base = len(rows)
+        rows.append((base, " ".join(words)))
+        for kind, c in zip(EDITS, copies):
+            kinds[len(rows)] = (kind, base)
+            rows.append((len(rows), " ".join(c)))
     want = near_groups(rows)
-    assert 40 < len(set(want.values())) < len(rows) - 100
-    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(want[i] == want[g] for i, g in got.items())
+    recall = {}
+    for kind in EDITS:
+        near = [i for i, (k, base) in kinds.items() if k == kind and want[i] == want[base]]
+        recall[kind] = (sum(got.get(i) == got.get(kinds[i][1], kinds[i][1]) for i in near) / len(near) if near else None, len(near))
+    print(recall)
+    assert recall["one word"][0] >= 0.95 and recall["three words"][0] >= 0.7 and recall["words twice"][0] >= 0.95
+
+
+def test_near_copies_of_ids_with_two_texts(spark):
+    words = [f"a{k}" for k in range(80)]
+    rows = [(1, " ".join(words)), (1, "another text of the same id"), (2, " ".join(words)), (2, "something that has no copy at all"), (3, " ".join(words).upper()), (4, " ".join(words[:-1]) + " changed"), (4, None), (None, " ".join(words)), (5, "x " * 30_000), (6, "x " * 30_000 + "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"th": F.lit(0), "key": F.lit("k"), "gone_id": F.lit(1)})
+    left = [(r.doc_id, r.text) for r in simhash.drop_near_copies(frame).collect()]
+    assert sorted(left, key=str) == sorted([rows[k] for k in (0, 1, 3, 6, 7, 8)] + ([rows[9]] if rows[9] in left else []), key=str)
+    assert simhash.drop_near_copies(frame.limit(0)).count() == 0
 
 
 def brute_repeats(texts, size):
@@ -340,6 +361,20 @@ def test_suffix_dedup(spark, docs, monkeypatch, hot):
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_clashing_names_and_short_passages(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"one {passage} end"), (2, f"two {passage} more"), (3, "short line " * 25), (4, None), (4, "short line " * 25)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = frame.withColumns({c: F.lit(c) for c in ("_id", "_h", "_text", "_runs", "_doc", "_k0", "runs", "h", "seg", "start", "kept", "n_bytes")})
+    for df in (frame, clash):
+        got = suffix.remove_repeats(df, 192, 64, text=True, least_words=55).collect()
+        want = [(1, "one" + "end"), (2, "two" + "more"), (3, rows[2][1]), (4, ""), (4, rows[2][1])]
+        assert sorted((r.doc_id, r.kept_text) for r in got) == want
+        assert {r.n_spans for r in got if r.doc_id in (1, 2)} == {1} and {r.n_removed for r in got if r.doc_id in (3, 4)} == {0}
+    kept = suffix.remove_repeats(clash, 192, 64, keep=("_runs", "_id")).collect()
+    assert len(kept) == 5 and {(r._runs, r._id) for r in kept} == {("_runs", "_id")}
+
+
 PAGE = """<html><body class="has-sidebar"><header class="site"><h1>Site</h1></header><nav>menu</nav><div class="notice">Cookies</div>
 <article><header><h1>Title &amp; more</h1></header><p>One <b>two</b><br>three<p>Four &copy; &am<ul><li>a<li>b</ul><div class="ad">buy</div><form>f</form>
 <p>Same line in every page</p><p>own {k}</p><section class="comments"><article><p>nice</p></article></section></article><aside>side</aside><footer>f</footer><script>var a="</p>"</script>"""
