@@ -27,6 +27,21 @@ def number(value: Column) -> Column:
     return F.replace(F.trim(value), F.lit(","), F.lit("")).try_cast("double")
 
 
+def chosen_columns(columns: list[str], include: list[str] | None = None, exclude: list[str] | None = None) -> list[str]:
+    """The columns that an include list names (all without one), in their own order, less those of an exclude list; case does not matter."""
+    wanted = {c.strip().lower() for c in include or ()}
+    gone = {c.strip().lower() for c in exclude or ()}
+    return [c for c in columns if (not wanted or c.lower() in wanted) and c.lower() not in gone]
+
+
+def listed_only(value: Column, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
+    """Whether a value is on the include list (any value without one) and not on the exclude list, trimmed and without case; null is on none."""
+    v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    clean = lambda names: [n.strip().lower() for n in names or ()]
+    on = v.isin(clean(include)) if include else F.lit(True)
+    return on & ~v.isin(clean(exclude)) if exclude else on
+
+
 def column_kinds(cells: DataFrame, least_ratio: float = 0.6) -> DataFrame:
     """``column, cells, missing, numbers, kind``: numeric if at least ``least_ratio`` of the present cells are numbers."""
     kind = classify(F.col("value"))

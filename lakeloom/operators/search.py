@@ -53,6 +53,15 @@ def federated(results: DataFrame, mode: str = "combined") -> DataFrame:
     return out.withColumn("position", F.row_number().over(Window.orderBy(F.desc("final"), "store", "id")))
 
 
+def union_of(stores: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several stores as one bag, with the name of each as ``store``; columns that one lacks are null."""
+    out = None
+    for name, rows in stores.items():
+        part = rows.withColumn("store", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def by_document(hits: DataFrame, document: str, top_chunks: int) -> DataFrame:
     """Hits of each document: count, best and mean score, and the best chunks."""
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, top_chunks)

@@ -77,6 +77,49 @@ def reordered(rows: DataFrame, first: list[str], id_col: str = "id", pos: str =
     return rows.withColumn(pos, F.row_number().over(Window.orderBy(F.when(at > 0, at).otherwise(len(first) + 1), pos)))
 
 
+def upsert_segments(old: DataFrame | None, new: DataFrame, by: list[str], id_col: str, order: str | None = None) -> DataFrame:
+    """Segments with ``pos``: known ids take the new content at their old place, the others follow in their order."""
+    mine = Window.partitionBy(*by).orderBy(order or id_col)
+    if old is None:
+        return new.withColumn("pos", F.row_number().over(mine))
+    known = old.select(*by, id_col, "pos")
+    last = old.groupBy(*by).agg(F.max("pos").alias("_last"))
+    held = new.join(known, [*by, id_col], "left")
+    again = held.where("pos is not null")
+    added = held.where("pos is null").drop("pos").join(last, by, "left").withColumn("pos", F.coalesce("_last", F.lit(0)) + F.row_number().over(mine)).drop("_last")
+    kept = old.join(new.select(*by, id_col), [*by, id_col], "left_anti")
+    return kept.unionByName(again).unionByName(added)
+
+
+def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row a key: the first in order."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
+
+
+def latest_memory(rows: DataFrame, by: list[str], id_col: str, order: list[str], most: int) -> DataFrame:
+    """The last row of each id, and of these the newest ``most`` of each scope."""
+    rest = [c for c in rows.columns if c not in (*by, id_col)]
+    last = rows.groupBy(*by, id_col).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*by, id_col, "_row.*")
+    w = Window.partitionBy(*by).orderBy(*(F.desc(c) for c in order))
+    return last.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
+def cache_features(similarity: Column, left: Column, right: Column, age_hours: Column) -> Column:
+    """``[similarity, 1 - difference of the lengths by the larger, 1 / (1 + days)]`` of a prompt against a cache entry."""
+    n, m = F.length(left), F.length(right)
+    return F.array(similarity, 1 - F.abs(n - m) / F.greatest(n, m, F.lit(1)), 1 / (1 + F.greatest(age_hours, F.lit(0.0)) / 24))
+
+
+def cache_admission(candidates: DataFrame, least_similarity: float, weights: list[float], bias: float, least_decision: float) -> DataFrame:
+    """``query_id, entry_id, similarity, decision, hit``: the best cache entry of each prompt by similarity, then the smaller id, and whether a
+    learned logistic unit over ``features`` accepts it."""
+    best = candidates.groupBy("query_id").agg(F.max_by(F.struct("entry_id", "similarity", "features"), F.struct("similarity", -F.col("entry_id"))).alias("b")).select("query_id", "b.*")
+    raw = sum((F.lit(w) * F.get("features", F.lit(k)) for k, w in enumerate(weights)), F.lit(bias))
+    out = best.withColumn("decision", 1 / (1 + F.exp(-raw)))
+    return out.withColumn("hit", (F.col("similarity") >= least_similarity) & (F.col("decision") >= least_decision)).drop("features")
+
+
 def replay(rows: DataFrame, by: list[str], order: str, features: Column, label: Column, rate: float, kind: str = "logistic") -> DataFrame:
     """``weights, bias`` of each group after one pass of an online learner over its rows in order.
 

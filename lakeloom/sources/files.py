@@ -115,6 +115,101 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What a row of a store catalog may hold.
+CATALOG = "path string, store_type string, label string, min_score double, max_results int"
+
+
+def load_catalog(spark: SparkSession, path: str, kind: str | None = None, store_types: tuple[str, ...] = ("sqlite", "faiss")) -> tuple[DataFrame, DataFrame]:
+    """Store descriptions of a catalog file (jsonl, json, csv or tsv) and its bad rows.
+
+    Bad are rows that cannot be parsed, that have no path or an unknown store type; they come with ``error``.
+    A missing label is the path.
+    """
+    kind = kind or sniff(spark, path)
+    schema = T.StructType.fromDDL(f"{CATALOG}, _corrupt string")
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    if kind in ("csv", "tsv"):
+        rows = reader.csv(path, header=True, sep="\t" if kind == "tsv" else ",")
+    else:
+        rows = reader.json(path, multiLine=kind == "json")
+    error = (
+        F.when(F.col("_corrupt").isNotNull(), "not readable")
+        .when(F.coalesce(F.trim("path"), F.lit("")) == "", "no path")
+        .when(~F.coalesce(F.lower("store_type").isin(*store_types), F.lit(False)), "unknown store type")
+    )
+    rows = rows.withColumn("error", error)
+    good = rows.where("error is null").select("path", F.lower("store_type").alias("store_type"), F.coalesce("label", "path").alias("label"), "min_score", "max_results")
+    return good, rows.where("error is not null").select("path", "error")
+
+
+def catalog_with(inline: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Stores given inline and those of a catalog, one list; columns that one side lacks are null."""
+    return inline.unionByName(catalog, allowMissingColumns=True)
+
+
+def chunk_table(spark: SparkSession, candidates: list[str]) -> str | None:
+    """The first of the candidate tables or views that the session knows."""
+    return next((name for name in candidates if spark.catalog.tableExists(name)), None)
+
+
+def replace_folder(df: DataFrame, path: str) -> None:
+    """Write a table beside its place, then swap it in by renames, so a reader sees the old or the new one.
+
+    A first write has nothing to swap out. What a failed swap leaves is the old table under ``<path>.old``.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to, staged, old = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".new", ".old"))
+    fs = to.getFileSystem(conf)
+    df.write.mode("overwrite").parquet(path + ".new")
+    fs.delete(old, True)
+    if fs.exists(to) and not fs.rename(to, old):
+        raise OSError(f"cannot set {path} aside")
+    if not fs.rename(staged, to):
+        raise OSError(f"cannot move the new table to {path}")
+    fs.delete(old, True)
+
+
+def labelled_output(texts: DataFrame, kind: str, label: str) -> DataFrame:
+    """``kind, label, line, content``: lines of tool output (``text``) with what made them."""
+    if kind not in ("compiler", "interpreter", "transpiled"):
+        raise ValueError(f"unknown kind of output: {kind}")
+    return texts.select(*[c for c in texts.columns if c != "text"], F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.posexplode(lines("text")).alias("pos", "content")).withColumn("line", F.col("pos") + 1).drop("pos")
+
+
+def math_blocks(docs: DataFrame) -> DataFrame:
+    """``id, start, end, kind, content``: LaTeX formulas of a text, by an Arrow-batched scanner.
+
+    Comments (from an unescaped ``%`` to the end of the line) are blanked first. Environments, brackets and
+    dollar spans are taken by start, then end; one that overlaps an earlier accepted one is dropped.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        names = "equation|align|gather|multline|eqnarray|displaymath|math"
+        kinds = [
+            ("environment", re.compile(rf"\\begin\{{(({names})\*?)\}}(.*?)\\end\{{\1\}}", re.S)),
+            ("bracket", re.compile(r"\\\[(.*?)\\\]", re.S)),
+            ("bracket", re.compile(r"\\\((.*?)\\\)", re.S)),
+            ("dollars", re.compile(r"(?<!\\)\$\$(.+?)(?<!\\)\$\$", re.S)),
+            ("dollar", re.compile(r"(?<![\\$])\$(?!\$)((?:\\.|[^$\\])+?)\$(?!\$)", re.S)),
+        ]
+        comment = re.compile(r"(?<!\\)%[^\n]*")
+        for pdf in batches:
+            out = []
+            for i, text in zip(pdf["id"], pdf["text"], strict=True):
+                plain = comment.sub(lambda m: " " * len(m[0]), text or "")
+                at = 0
+                for start, end, kind in sorted((m.start(), m.end(), k) for k, p in kinds for m in p.finditer(plain)):
+                    if start >= at:
+                        out.append((i, start, end, kind, plain[start:end]))
+                        at = end
+            yield pd.DataFrame(out, columns=["id", "start", "end", "kind", "content"])
+
+    return docs.select("id", "text").mapInPandas(run, f"id {dict(docs.dtypes)['id']}, start int, end int, kind string, content string")
+
+
 def dictionary_entries(rows: DataFrame) -> DataFrame:
     """``word, definition`` from rows with any of the usual column names."""
     pick = lambda names: F.coalesce(*(F.col(c).cast("string") for c in names if c in rows.columns), F.lit(None).cast("string"))
