@@ -24,23 +24,30 @@ def degrees(edges: DataFrame, score: str | None = None) -> DataFrame:
     return symmetric(edges).groupBy(F.col("a").alias("node")).agg(*found)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, cut=checkpointed) -> DataFrame:
     """``node, component``: the smallest node that each node of an edge can reach.
 
-    Every round takes the smallest label of the neighbours and then the label's own label, so
-    distances to the smallest node halve; it ends when no label changes.
+    Alternates two steps until nothing changes: every node ties its larger neighbours, then its smaller ones, to
+    the smallest node it knows. Each takes a grouped minimum, which is aggregated before it is shuffled, and a
+    join on the node, whose hot keys Spark can split; ``cut`` ends the lineage of each round.
     """
-    both = checkpointed(symmetric(edges.select("a", "b")))
-    labels = checkpointed(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = checkpointed(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label")))
-        changed = after.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = after
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
+    both = edges.select("a", "b")
+    nodes = symmetric(both).select(F.col("a").alias("node")).distinct()
+    links = cut(both.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = lambda rows: tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    seen = state(links)
+    while seen[0]:
+        around = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = around.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = cut(moved.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
+        now = state(links)
+        if now == seen:
+            break
+        seen = now
+    return nodes.join(links, nodes["node"] == links["a"], "left").select("node", F.coalesce("b", "node").alias("component"))
 
 
 def core_numbers(edges: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Term statistics and similarity joins over token sets.
 
 Similarity joins go through an inverted index: an equi-join on the term, so only pairs that share one
-are ever built. Terms of more than ``max_df_ratio`` of the documents are left out first where the
-operator has that parameter.
+are ever built. Joins with a threshold index the rarest terms of each set only, as many as a pair above
+the threshold must share one of; equal sets take part once. Nothing else is left out, but by
+``max_df_ratio`` where an operator has that parameter.
 """
 
 from __future__ import annotations
@@ -25,10 +26,53 @@ def keywords(counts: DataFrame, top: int, ties: str = "term") -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def rare_terms(sets: DataFrame, documents: int, max_df_ratio: float) -> DataFrame:
-    """Rows of ``id, term`` whose term is in at most that share of the documents."""
-    common = sets.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") > max_df_ratio * documents).select("term")
-    return sets.join(common, "term", "left_anti")
+def set_classes(sets: DataFrame) -> DataFrame:
+    """``id, copies, n, terms``: the distinct term sets of ``id, term``, each named by the smallest id that has it."""
+    held = sets.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    key = F.sha2(F.array_join("terms", "\n"), 256)
+    found = held.groupBy(key.alias("_key")).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("terms").alias("terms"))
+    return found.select("id", "copies", F.size("terms").alias("n"), "terms")
+
+
+def set_members(sets: DataFrame) -> DataFrame:
+    """``id, class_id``: the smallest id with the same term set."""
+    key = F.sha2(F.array_join(F.array_sort(F.collect_set("term")), "\n"), 256)
+    held = sets.groupBy("id").agg(key.alias("_key"))
+    return held.join(held.groupBy("_key").agg(F.min("id").alias("class_id")), "_key").select("id", "class_id")
+
+
+def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """``a, b, shared, jaccard, overlap``: all pairs a < b of distinct term sets (named as by ``set_classes``) with a Jaccard similarity of ``least`` > 0 or more.
+
+    Exact by prefixes: in one order of all terms, the rarest first, two such sets share one of their first
+    ``n - ceil(least * n) + 1`` terms, so frequent terms are no join keys; sizes rule out further pairs
+    before the sets are compared.
+    """
+    from .state import checkpointed
+
+    classes = checkpointed(set_classes(sets))
+    each = classes.select("id", "n", F.explode("terms").alias("term"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    ranked = each.join(df, "term").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("by"))
+    size = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
+    posted = ranked.select("id", "n", F.explode(F.slice("by", F.lit(1), size)).alias("t")).where("t.df > 1").select("id", "n", "t.term")
+    a, b = (posted.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), "term") for x in "ab")
+    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9)
+    pairs = a.join(b, "term").where(near).select("a", "b").distinct()
+    one, other = (classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("terms").alias(f"t_{x}")) for x in "ab")
+    out = pairs.join(one, "a").join(other, "b").withColumn("shared", F.size(F.array_intersect("t_a", "t_b")).cast("long"))
+    out = out.withColumns({"jaccard": F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), "overlap": F.col("shared") / F.least("n_a", "n_b")})
+    return out.where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard", "overlap")
+
+
+def scoped_similarity(sets: DataFrame, by: list[str], least: float = 0.0, least_shared: int = 1) -> DataFrame:
+    """``by..., a, b, shared, jaccard, overlap`` of the term sets ``by..., id, term`` of one scope, as the chunks of a file or the turns of a conversation."""
+    size = sets.groupBy(*by, "id").agg(F.count("*").alias("n"))
+    held = sets.join(size, [*by, "id"])
+    a, b = (held.select(*by, "term", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    out = a.join(b, [*by, "term"]).where("a < b").groupBy(*by, "a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    out = out.withColumns({"jaccard": F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), "overlap": F.col("shared") / F.least("n_a", "n_b")})
+    return out.where((F.col("jaccard") >= least) & (F.col("shared") >= least_shared)).select(*by, "a", "b", "shared", "jaccard", "overlap")
 
 
 def shared_terms(left: DataFrame, right: DataFrame, within: Column | None = None) -> DataFrame:
@@ -51,9 +95,9 @@ def set_similarity(sets: DataFrame, least: float = 0.0, least_shared: int = 1, w
     return out.where((F.col("jaccard") >= least) & (F.col("shared") >= least_shared)).select("a", "b", "shared", "jaccard", "overlap")
 
 
-def top_neighbours(pairs: DataFrame, score: str, top: int) -> DataFrame:
-    """The best partners of each ``a``, ties to the smaller ``b``."""
-    order = Window.partitionBy("a").orderBy(F.desc(score), "b")
+def top_neighbours(pairs: DataFrame, score: str, top: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The best partners of each ``a`` (of a scope), ties to the smaller ``b``."""
+    order = Window.partitionBy(*by, "a").orderBy(F.desc(score), "b")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
@@ -62,16 +106,20 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *rest))
 
 
-def tfidf_cosine(counts: DataFrame, documents: int, least: float, top: int, max_df_ratio: float = 1.0) -> DataFrame:
-    """``a, b, cosine``: pairs a < b that survive in the top list of a, whatever b's list says."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= max_df_ratio * documents)
-    weighted = counts.join(df, "term").select("id", "term", (F.col("n") * (F.log((F.lit(documents) + 1) / (F.col("df") + 1)) + 1)).alias("w"))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
-    a, b = unit.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), unit.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    pairs = a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
+def tfidf_cosine(counts: DataFrame, by: list[str], least: float, top: int, max_df_ratio: float = 0.75) -> DataFrame:
+    """``by..., a, b, cosine``: pairs a < b of one scope (``by..., id, term, n``) that survive in the top list of a, whatever b's list says.
+
+    Terms in more than ``max_df_ratio`` of a scope's members have no weight.
+    """
+    size = counts.select(*by, "id").distinct().groupBy(*by).agg(F.count("*").alias("of"))
+    df = counts.groupBy(*by, "term").agg(F.count("*").alias("df")).join(size, by).where(F.col("df") <= max_df_ratio * F.col("of"))
+    weighted = counts.join(df, [*by, "term"]).select(*by, "id", "term", (F.col("n") * (F.log((F.col("of") + 1) / (F.col("df") + 1)) + 1)).alias("w"))
+    norms = weighted.groupBy(*by, "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = weighted.join(norms, [*by, "id"]).select(*by, "id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    a, b = (unit.select(*by, F.col("id").alias(x), "term", F.col("w").alias(f"w_{x}")) for x in "ab")
+    pairs = a.join(b, [*by, "term"]).where("a < b").groupBy(*by, "a", "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("cosine")).where(F.col("cosine") >= least)
     pairs = pairs.withColumn("cosine", F.round("cosine", 9))  # ties must not hang on the order of a sum
-    return top_neighbours(both_ways(pairs), "cosine", top).where("a < b").select("a", "b", "cosine")
+    return top_neighbours(both_ways(pairs), "cosine", top, tuple(by)).where("a < b").select(*by, "a", "b", "cosine")
 
 
 def cooccurrence(counts: DataFrame, top_terms: int) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import ordered as O
 from ..operators import terms as T
 from .base import query, table
 from .ordered import JACCARD, TERMS, terms
-from .terms import RARE, counts, rare
+from .terms import COUNTS, TURN_PAIRS, counts, turn_counts
 
 SENTENCES = r"list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')"
 
@@ -39,16 +39,17 @@ def j21_evidence(spark, d):
     return pairs.select("item_id", "conv_id", "turn", "shared", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 6).alias("jaccard"))
 
 
-@query("j23_sentence_references", RARE + " SELECT a, b, shared FROM j WHERE jaccard >= 0.1 AND shared >= 4")
-def j23_sentence_references(spark, d):
-    return T.set_similarity(rare(spark, d), 0.1, 4).select("a", "b", "shared")
+@query("j23_record_references", TURN_PAIRS + " SELECT conv_id, a, b, shared FROM j WHERE jaccard >= 0.05 AND shared >= 3")
+def j23_record_references(spark, d):
+    """Turns of a conversation that share terms enough by number and by share."""
+    return T.scoped_similarity(turn_counts(spark, d).drop("n"), ["conv_id"], 0.05, 3).select("conv_id", "a", "b", "shared")
 
 
-@query("j41_source_overlap", RARE.split(", p AS")[0].rsplit(", z AS", 1)[0] + """, l AS (SELECT DISTINCT source AS id, term FROM s JOIN documents ON s.id = doc_id), z AS (SELECT id, count(*) AS n FROM l GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM l a JOIN l b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)
+@query("j41_source_overlap", f"""WITH {COUNTS}, l AS (SELECT DISTINCT source AS id, term FROM counts JOIN documents ON counts.id = doc_id), z AS (SELECT id, count(*) AS n FROM l GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM l a JOIN l b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)
 SELECT a, b, shared, round(shared / least(x.n, y.n), 6) AS overlap FROM p JOIN z x ON x.id = a JOIN z y ON y.id = b""")
 def j41_source_overlap(spark, d):
     source = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
-    labels = rare(spark, d).join(source, "id").select(F.col("source").alias("id"), "term").distinct()
+    labels = counts(spark, d).join(source, "id").select(F.col("source").alias("id"), "term").distinct()
     return T.set_similarity(labels).select("a", "b", "shared", F.round("overlap", 6).alias("overlap"))
 
 
@@ -186,7 +187,7 @@ def o13_takeaways(spark, d):
     return s.withColumn("n", F.size(F.array_intersect(listed, X.tokens("sentence")))).where("n > 0").orderBy(F.desc("n"), "sentence").limit(20)
 
 
-@query("a20_topic_buckets", "WITH " + RARE.split("WITH ", 1)[1].split(", n AS")[0] + " SELECT term, count(*) AS documents, CAST(sum(n) AS BIGINT) AS n, min(id) AS first_document FROM counts GROUP BY 1 HAVING count(*) >= 2")
+@query("a20_topic_buckets", f"WITH {COUNTS} SELECT term, count(*) AS documents, CAST(sum(n) AS BIGINT) AS n, min(id) AS first_document FROM counts GROUP BY 1 HAVING count(*) >= 2")
 def a20_topic_buckets(spark, d):
     return counts(spark, d).groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("n"), F.min("id").alias("first_document")).where("documents >= 2")
 

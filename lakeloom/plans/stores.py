@@ -10,39 +10,44 @@ from ..operators import lexicon as L
 from ..operators import stores as S
 from ..operators import terms as T
 from .base import query, table
-from .terms import RARE, rare
+from .terms import PAIRS, similar
 
-EDGES = "e AS (SELECT a, b, round(jaccard, 6) AS score FROM j WHERE jaccard >= 0.2)"
+EDGES = "e AS (SELECT a, b, round(jaccard, 6) AS score FROM j), y AS (SELECT a, b, score FROM e UNION SELECT b, a, score FROM e)"
+RECURSIVE = PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def edges(spark, d):
     """Similar documents, as the similarity join finds them."""
-    return T.set_similarity(rare(spark, d), 0.2).select("a", "b", F.round("jaccard", 6).alias("score"))
+    return similar(spark, d).select("a", "b", F.round("jaccard", 6).alias("score"))
 
 
-@query("a37_degrees", RARE + f", {EDGES}, y AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT a AS node, count(*) AS degree FROM y GROUP BY 1")
+@query("a37_degrees", PAIRS + f", {EDGES} SELECT a AS node, count(*) AS degree FROM y GROUP BY 1")
 def a37_degrees(spark, d):
     return G.degrees(edges(spark, d).select("a", "b"))
 
 
-@query("a39_components", RARE.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {EDGES}, y AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS other FROM y UNION SELECT r.node, y.b FROM r JOIN y ON r.other = y.a) SELECT node, min(other) AS component FROM r GROUP BY 1""")
+@query("a39_components", RECURSIVE + f""", {EDGES}, r AS (SELECT a AS node, a AS other FROM y UNION SELECT r.node, y.b FROM r JOIN y ON r.other = y.a) SELECT node, min(other) AS component FROM r GROUP BY 1""")
 def a39_components(spark, d):
     return G.components(edges(spark, d))
 
 
-@query("a38_core_numbers")
+@query("a38_core_numbers", RECURSIVE + f""", {EDGES}, h AS (SELECT a AS node, count(*) AS c, 0 AS i FROM y GROUP BY 1
+UNION ALL SELECT node, max(least(c, r)) AS c, i + 1 AS i FROM (SELECT y.a AS node, h.c, h.i, row_number() OVER (PARTITION BY y.a ORDER BY h.c DESC) AS r FROM y JOIN h ON h.node = y.b WHERE h.i < 40) GROUP BY node, i)
+SELECT node, CAST(c AS INTEGER) AS core FROM h WHERE i = 40""")
 def a38_core_numbers(spark, d):
+    """Core numbers; the SQL takes them as the limit of h-indices of the neighbours' values."""
     return G.core_numbers(edges(spark, d))
 
 
-@query("g1_strong_components")
+@query("g1_strong_components", RECURSIVE + f""", {EDGES}, t AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM y) WHERE k <= 2),
+r AS (SELECT a, b FROM t UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a), n AS (SELECT a AS node FROM t UNION SELECT b FROM t)
+SELECT node, least(node, (SELECT min(x.b) FROM r x JOIN r z ON z.a = x.b AND z.b = x.a WHERE x.a = node)) AS component FROM n""")
 def g1_strong_components(spark, d):
-    """Documents that name each other among their five best partners, directly or around."""
-    pairs = T.both_ways(T.set_similarity(rare(spark, d), 0.1).select("a", "b", "jaccard"))
-    return G.strong_components(T.top_neighbours(pairs, "jaccard", 5).select("a", "b"))
+    """Documents that name each other among their two best partners, directly or around."""
+    return G.strong_components(T.top_neighbours(T.both_ways(edges(spark, d)), "score", 2).select("a", "b"))
 
 
-@query("g2_best_paths", RARE + f""", {EDGES}, y AS (SELECT a, b, score FROM e UNION SELECT b, a, score FROM e),
+@query("g2_best_paths", PAIRS + f""", {EDGES},
 p2 AS (SELECT x.a, z.b, x.score * z.score AS score, [x.a, x.b, z.b] AS nodes FROM y x JOIN y z ON x.b = z.a WHERE z.b <> x.a AND x.score >= 0.1 AND x.score * z.score >= 0.1),
 p3 AS (SELECT p2.a, y.b, p2.score * y.score AS score FROM p2 JOIN y ON p2.b = y.a WHERE NOT list_contains(nodes, y.b) AND p2.score * y.score >= 0.1),
 f AS (SELECT a, b, score, 2 AS hops FROM p2 UNION ALL SELECT a, b, score, 3 FROM p3), r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY round(score, 9) DESC, hops) AS k FROM f WHERE a < b) SELECT a, b, round(score, 6) AS score, hops FROM r WHERE k = 1""")
@@ -50,6 +55,14 @@ def g2_best_paths(spark, d):
     return G.best_paths(edges(spark, d), 3, 0.1).withColumn("score", F.round("score", 6))
 
 
+@query("g3_adjacency", PAIRS + f", {EDGES} SELECT a AS node, list(b ORDER BY b) AS neighbours, list(score ORDER BY b) AS scores FROM y GROUP BY 1")
+def g3_adjacency(spark, d):
+    """Neighbours of each node with their scores, in order."""
+    held = F.array_sort(F.collect_list(F.struct("b", "score")))
+    found = G.symmetric(edges(spark, d)).groupBy(F.col("a").alias("node")).agg(held.alias("x"))
+    return found.select("node", F.col("x.b").alias("neighbours"), F.col("x.score").alias("scores"))
+
+
 @query("g4_depths", """WITH RECURSIVE p AS (SELECT CAST(p_partkey AS BIGINT) AS node, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part), r AS (SELECT node, 0 AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.node, depth + 1 FROM p JOIN r ON p.parent = r.node) SELECT * FROM r""")
 def g4_depths(spark, d):
     key = F.col("p_partkey").cast("long")

@@ -82,38 +82,60 @@ def rounded(pairs):
     return pairs.withColumns({"jaccard": F.round("jaccard", 6), "overlap": F.round("overlap", 6)})
 
 
-#: Terms of at most a twentieth of the documents, as the similarity joins use them.
-RARE = f"""WITH {COUNTS}, n AS (SELECT count(*) AS of FROM documents), df AS (SELECT term, count(*) AS df FROM counts GROUP BY 1),
-s AS (SELECT id, term FROM counts JOIN df USING (term), n WHERE df <= 0.05 * n.of), z AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+#: Pairs of distinct term sets of whole documents, each named by the smallest id that has it.
+PAIRS = f"""WITH {COUNTS}, k AS (SELECT id, string_agg(term, ' ' ORDER BY term) AS k FROM counts GROUP BY 1), c AS (SELECT min(id) AS id, count(*) AS copies, k FROM k GROUP BY k),
+s AS (SELECT id, unnest(string_split(k, ' ')) AS term FROM c), z AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM s a JOIN s b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2),
-j AS (SELECT a, b, shared, shared / (x.n + y.n - shared) AS jaccard, shared / least(x.n, y.n) AS overlap FROM p JOIN z x ON x.id = a JOIN z y ON y.id = b)"""
+j AS (SELECT a, b, shared, shared / (x.n + y.n - shared) AS jaccard, shared / least(x.n, y.n) AS overlap FROM p JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE shared / (x.n + y.n - shared) >= 0.5)"""
 
 
-def rare(spark, d):
-    return T.rare_terms(counts(spark, d).select("id", "term"), documents(spark, d).count(), 0.05)
+def similar(spark, d):
+    """Pairs of distinct term sets of documents with a Jaccard similarity of a half."""
+    return T.jaccard_pairs(counts(spark, d).select("id", "term"), 0.5)
 
 
-@query("j1_cross_references", RARE + """, e AS (SELECT a, b, shared FROM j WHERE shared >= 3 UNION ALL SELECT b, a, shared FROM j WHERE shared >= 3),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS INTEGER) AS rank FROM e) SELECT * FROM r WHERE rank <= 5""")
+TURNS = f"""tok AS (SELECT conv_id, turn AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9_]+)', 1)) AS term FROM conversations),
+counts AS (SELECT conv_id, id, term, count(*) AS n FROM tok WHERE length(term) >= 3 AND term NOT IN ({STOP}) GROUP BY 1, 2, 3)"""
+TURN_PAIRS = f"""WITH {TURNS}, z AS (SELECT conv_id, id, count(*) AS n FROM counts GROUP BY 1, 2), p AS (SELECT a.conv_id, a.id AS a, b.id AS b, count(*) AS shared FROM counts a JOIN counts b ON a.conv_id = b.conv_id AND a.term = b.term AND a.id < b.id GROUP BY 1, 2, 3),
+j AS (SELECT p.*, shared / (x.n + y.n - shared) AS jaccard, shared / least(x.n, y.n) AS overlap FROM p JOIN z x ON x.conv_id = p.conv_id AND x.id = a JOIN z y ON y.conv_id = p.conv_id AND y.id = b)"""
+
+
+def turn_counts(spark, d):
+    """Terms of the turns of conversations, which are to each conversation what chunks are to a file."""
+    words = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("id"), F.explode(tokens("text", least=3, stopwords=STOPWORDS)).alias("term"))
+    return words.groupBy("conv_id", "id", "term").agg(F.count("*").alias("n"))
+
+
+@query("j1_cross_references", TURN_PAIRS + """, e AS (SELECT conv_id, a, b, shared FROM p WHERE shared >= 2 UNION ALL SELECT conv_id, b, a, shared FROM p WHERE shared >= 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, a ORDER BY shared DESC, b) AS INTEGER) AS rank FROM e) SELECT * FROM r WHERE rank <= 5""")
 def j1_cross_references(spark, d):
-    pairs = T.shared_terms(rare(spark, d), rare(spark, d), F.col("a") < F.col("b")).where("shared >= 3")
-    return T.top_neighbours(T.both_ways(pairs), "shared", 5)
+    """For each turn the turns of its conversation that share most terms with it."""
+    pairs = T.scoped_similarity(turn_counts(spark, d).drop("n"), ["conv_id"], least_shared=2).select("conv_id", "a", "b", "shared")
+    return T.top_neighbours(T.both_ways(pairs), "shared", 5, ("conv_id",))
 
 
-@query("j5_jaccard_pairs", RARE + " SELECT a, b, shared, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap FROM j WHERE jaccard >= 0.2")
+@query("j5_jaccard_pairs", PAIRS + " SELECT a, b, shared, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap FROM j")
 def j5_jaccard_pairs(spark, d):
-    return rounded(T.set_similarity(rare(spark, d), 0.2))
+    return rounded(similar(spark, d))
+
+
+@query("j5_members", PAIRS + ", y AS (SELECT a, b FROM j UNION ALL SELECT b, a FROM j) SELECT k.id, c.id AS class_id, (SELECT count(*) FROM y WHERE y.a = c.id) AS links FROM k JOIN c USING (k)")
+def j5_members(spark, d):
+    """Each document with the class of its term set, and how many other classes that is similar to."""
+    links = T.both_ways(similar(spark, d).select("a", "b")).groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("links"))
+    members = T.set_members(counts(spark, d).select("id", "term"))
+    return members.join(links, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-@query("j2_tfidf_cosine", f"""WITH {COUNTS}, n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM counts GROUP BY 1),
-w AS (SELECT id, term, counts.n * (ln((n.n + 1) / (df + 1)) + 1) AS w FROM counts JOIN df USING (term), n WHERE df <= 0.05 * n.n), z AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
-u AS (SELECT id, term, w / norm AS w FROM w JOIN z USING (id)),
-p AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.2),
-e AS (SELECT a, b, round(cosine, 9) AS cosine FROM p UNION ALL SELECT b, a, round(cosine, 9) FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM e)
-SELECT a, b, round(cosine, 6) AS cosine FROM r WHERE rank <= 5 AND a < b""")
+@query("j2_tfidf_cosine", f"""WITH {TURNS}, n AS (SELECT conv_id, count(DISTINCT id) AS of FROM counts GROUP BY 1), df AS (SELECT conv_id, term, count(*) AS df FROM counts GROUP BY 1, 2),
+w AS (SELECT conv_id, id, term, counts.n * (ln((of + 1) / (df + 1)) + 1) AS w FROM counts JOIN df USING (conv_id, term) JOIN n USING (conv_id) WHERE df <= 0.75 * of), z AS (SELECT conv_id, id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1, 2),
+u AS (SELECT conv_id, id, term, w / norm AS w FROM w JOIN z USING (conv_id, id)),
+p AS (SELECT a.conv_id, a.id AS a, b.id AS b, sum(a.w * b.w) AS cosine FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.term = b.term AND a.id < b.id GROUP BY 1, 2, 3 HAVING sum(a.w * b.w) >= 0.02),
+e AS (SELECT conv_id, a, b, round(cosine, 9) AS cosine FROM p UNION ALL SELECT conv_id, b, a, round(cosine, 9) FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, a ORDER BY cosine DESC, b) AS rank FROM e)
+SELECT conv_id, a, b, round(cosine, 6) AS cosine FROM r WHERE rank <= 5 AND a < b""")
 def j2_tfidf_cosine(spark, d):
-    found = T.tfidf_cosine(counts(spark, d), documents(spark, d).count(), 0.2, 5, 0.05)
-    return found.withColumn("cosine", F.round("cosine", 6))
+    """Similar turns of a conversation, by the weight of the terms that they share."""
+    return T.tfidf_cosine(turn_counts(spark, d), ["conv_id"], 0.02, 5).withColumn("cosine", F.round("cosine", 6))
 
 
 @query("j3_bipartite_match")
