@@ -30,6 +30,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
+def count_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two maps of counts; 0 if one is empty."""
+    shared = F.filter(F.map_keys(a), lambda k: F.map_contains_key(b, k))
+    total_of = lambda m: F.sqrt(total(F.transform(F.map_values(m), lambda x: x.cast("double") * x)))
+    n = total_of(a) * total_of(b)
+    return F.when(n == 0, F.lit(0.0)).otherwise(total(F.transform(shared, lambda k: F.try_element_at(a, k).cast("double") * F.try_element_at(b, k))) / n)
+
+
 def truncated(v: Column, size: int) -> Column:
     return F.slice(v, 1, size)
 

@@ -112,11 +112,14 @@ def band_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     return a.join(b, "_bucket").where(rule if condition is None else rule & condition).drop("_bucket")
 
 
-def parent_heading(headings: DataFrame, by: list[str]) -> DataFrame:
-    """``parent, end`` of headings (``line, depth``): the nearest earlier shallower one, and the last line before the next one as shallow."""
-    w = Window.partitionBy(*by).orderBy("line")
-    held = headings.withColumn("_past", F.collect_list(F.struct("line", "depth")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    held = held.withColumn("_next", F.collect_list(F.struct("line", "depth")).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    parent = F.array_max(F.transform(F.filter("_past", lambda h: h["depth"] < F.col("depth")), lambda h: h["line"]))
-    end = F.array_min(F.transform(F.filter("_next", lambda h: h["depth"] <= F.col("depth")), lambda h: h["line"])) - 1
-    return held.withColumns({"parent": parent, "end": end}).drop("_past", "_next")
+def parent_heading(headings: DataFrame, by: list[str], levels: int = 6) -> DataFrame:
+    """``parent, end`` of headings (``line, depth`` from 1 to ``levels``): the nearest earlier shallower one, and the last line before the next one as shallow.
+
+    Both come from running values of each level, forwards and backwards, so no row carries its past.
+    """
+    forward, backward = Window.partitionBy(*by).orderBy("line"), Window.partitionBy(*by).orderBy(F.desc("line"))
+    seen = lambda k, w: F.last(F.when(F.col("depth") == k, F.col("line")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    held = headings.withColumns({f"_p{k}": seen(k, forward) for k in range(1, levels + 1)} | {f"_n{k}": seen(k, backward) for k in range(1, levels + 1)})
+    parent = F.array_max(F.array(*(F.when(F.col("depth") > k, F.col(f"_p{k}")) for k in range(1, levels + 1))))
+    end = F.array_min(F.array(*(F.when(F.col("depth") >= k, F.col(f"_n{k}")) for k in range(1, levels + 1)))) - 1
+    return held.withColumns({"parent": parent, "end": end}).drop(*(f"_{s}{k}" for s in "pn" for k in range(1, levels + 1)))
