@@ -1,16 +1,18 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of a host share a template. Its tokens, tags in their place and texts in their place, occur
-equally often in each page; tokens that share the vector of their occurrences form a class, and
-large classes nest into the template. What the template leaves open are slots. The main text is
-what fills the slots inside the article, as far as it is no menu, form, advert or the like.
+Pages of a host share a template. Its tokens, tags in their place, occur equally often in each page;
+tokens that share the vector of their occurrences form a class, and valid classes nest into the
+template. An element whose tags belong to a class is a slot; slots nest as their elements do. The
+main slot is found by going down from the widest one as long as one inner slot holds most of the text
+of all pages that is no link. The text that fills it is the main text, but for slots of menus, forms,
+comments and the like: those are known by HTML's own elements and roles, and by class names only where
+the template has the name, so a name that one page gives to its own paragraph counts for nothing.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,12 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Pages with different texts that a host must have before repeated text counts as template.
-LEAST_PAGES = 8
+#: Pages with different texts that a host must have before its template is deduced.
+LEAST_PAGES = 2
 #: Share of a host's pages that a class must cover.
 LEAST_SHARE = 0.5
-#: Tags that must share a text's occurrences before the text counts as template.
+#: Tags that a valid class must have.
 LEAST_TAGS = 2
+#: Share of a slot's text that an inner slot must hold to be taken for it.
+MOST_TEXT = 0.6
+#: Share of a slot's text in links from which on it is a menu.
+LINKS = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -34,6 +40,7 @@ BLOCK = frozenset(
 )
 #: Elements that a start tag of the key ends when they are open.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd td th tr tbody ul ol dl".split())
 NOT_TEXT = frozenset("head nav footer aside form script style noscript template button select option textarea iframe object svg math canvas audio video menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _WORD = r"ads?|advert\w*|adsense|sponsor(?:ed|s)?|promo(?:tion|tions|s)?|banner|sidebar|comments?|commentlist|respond|replies|disqus|notices?|cookies?|consent|gdpr|newsletter|subscri\w*|signup|login|signin|share|sharing|social|related|recommend\w*|breadcrumbs?|menu|nav|navbar|navigation|footer|masthead|popup|modal|paywall|widgets?|toolbar|pagination|pager|skip|disclaimer|alert"
@@ -48,25 +55,27 @@ def hash64(text: str) -> int:
 
 
 class Node:
-    """An open element: its place, whether its text is unwanted, whether it lies in an article or main part."""
+    """An open element: its place, whether its text is unwanted by HTML's own elements, the place whose class name says so, and whether it lies in an article or main part."""
 
-    __slots__ = ("name", "path", "bad", "root")
+    __slots__ = ("name", "path", "bad", "named", "root")
 
-    def __init__(self, name: str, path: str, bad: bool, root: int):
-        self.name, self.path, self.bad, self.root = name, path, bad, root
+    def __init__(self, name: str, path: str, bad: bool, named: str, root: str):
+        self.name, self.path, self.bad, self.named, self.root = name, path, bad, named, root
 
 
 class Page:
     """Blocks of text and tag tokens of a page.
 
-    ``blocks``: path, text, kind (2 in an article, 1 in a main part, 0 elsewhere), unwanted, position.
+    ``blocks``: path, text, article or main part around it, unwanted, named place, characters in links, position.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, int, bool, int]] = []
+        self.blocks: list[tuple[str, str, str, bool, str, int, int]] = []
         self.tags: list[tuple[str, int]] = []
-        self.stack = [Node("", "", False, 0)]
+        self.stack = [Node("", "", False, "", "")]
         self.text: list[str] = []
+        self.linked: list[str] = []
+        self.links = 0
         self.at = 0
         end = 0
         pos = 0
@@ -75,7 +84,7 @@ class Page:
             if m is None:
                 break
             if m.start() > end:
-                self.text.append(source[end : m.start()])
+                self.add(source[end : m.start()])
             pos = end = m.end()
             name = (m[2] or "").lower()
             if not name:
@@ -90,16 +99,22 @@ class Page:
         if end < len(source):
             tail = source[end:]
             cut = re.search(r"<[a-zA-Z/!][^>]*$", tail)  # a tag that the page breaks off in
-            self.text.append(tail[: cut.start()] if cut else tail)
+            self.add(tail[: cut.start()] if cut else tail)
         self.flush()
 
+    def add(self, text: str) -> None:
+        self.text.append(text)
+        if self.links:
+            self.linked.append(text)
+
     def flush(self) -> None:
         if self.text:
             text = " ".join(entities.unescape("".join(self.text)).split()) if any(not t.isspace() for t in self.text) else ""
-            self.text = []
+            links = len(" ".join("".join(self.linked).split())) if self.linked else 0
+            self.text, self.linked = [], []
             if text:
                 top = self.stack[-1]
-                self.blocks.append((top.path, text, top.root, top.bad, self.at))
+                self.blocks.append((top.path, text, top.root, top.bad, top.named, min(links, len(text)), self.at))
                 self.at += 1
 
     def tag(self, path: str) -> None:
@@ -111,7 +126,7 @@ class Page:
             self.flush()
             ends = ENDS.get(name, {"p"} if name not in ("option",) else set())
             while self.stack[-1].name in ends or (self.inline() and self.block_below() in ends):
-                self.stack.pop()
+                self.links -= self.stack.pop().name == "a"
         elif name == "br":
             self.text.append(" ")
         if name in VOID:
@@ -122,18 +137,21 @@ class Page:
         marks = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if attrs else {}
         label = " ".join(x for x in (marks.get("class", ""), marks.get("id", "")) if x)
         path = f"{up.path}/{name}" + (f".{'.'.join(marks['class'].split())}" if marks.get("class") else "")
-        root = 2 if name == "article" else max(up.root, 1) if name == "main" or marks.get("role") == "main" else up.root
-        if name in ("html", "body", "article", "main"):
-            # what encloses the article says nothing about the article; inside unwanted parts it stays unwanted
+        part = name in ("article", "main") or marks.get("role") == "main"
+        if name in ("html", "body", "main"):
             bad = up.bad
         else:
-            bad = up.bad or name in NOT_TEXT or marks.get("role", "").lower() in ROLES or (name == "header" and up.root == 0)
-            bad = bad or bool(label and UNWANTED.search(label)) or bool(attrs and HIDDEN.search(re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "=", attrs) if "hidden" in attrs and "aria-hidden" not in attrs else attrs))
-        if name == "article" and label and UNWANTED.search(label):
-            bad = True
-        self.stack.append(Node(name, path, bad, root))
+            # an article inside another one is a reader's comment
+            bad = up.bad or name in NOT_TEXT or marks.get("role", "").lower() in ROLES or (name == "header" and not up.root) or (name == "article" and self.in_article())
+            bad = bad or bool(attrs and HIDDEN.search(re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "=", attrs) if "hidden" in attrs and "aria-hidden" not in attrs else attrs))
+        named = up.named or (path if label and name not in ("html", "body") and UNWANTED.search(label) else "")
+        self.stack.append(Node(name, path, bad, named, up.root or (path if part else "")))
+        self.links += name == "a"
         self.tag(path)
 
+    def in_article(self) -> bool:
+        return any(n.name == "article" for n in self.stack)
+
     def inline(self) -> bool:
         return self.stack[-1].name not in BLOCK and len(self.stack) > 1
 
@@ -149,36 +167,77 @@ class Page:
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].name == name:
                 self.tag(self.stack[k].path + "/")
+                self.links -= sum(n.name == "a" for n in self.stack[k:])
                 del self.stack[k:]
                 return
             if name not in BLOCK and self.stack[k].name in BLOCK:
                 return  # an inline end tag does not reach over a block
 
-    def main(self, template_texts: frozenset[int] | set[int] = frozenset(), main_path: str | None = None) -> list[str]:
-        """Texts of the wanted slots: of the articles, else of the main part, else of the fullest container."""
-        wanted = [b for b in self.blocks if not b[3]]
-        best = max((b[2] for b in wanted), default=0)
-        if best:
-            wanted = [b for b in wanted if b[2] == best]
-        elif wanted:
-            if main_path is None or not any(inside(b[0], main_path) for b in wanted):
-                mass = containers(wanted)
-                main_path = max(mass, key=lambda p: (mass[p], p))
-            wanted = [b for b in wanted if inside(b[0], main_path)]
-        return [b[1] for b in wanted if hash64(f"{b[0]}\0{b[1]}") not in template_texts]
+    def wanted(self, named: frozenset[int] | None) -> list[tuple]:
+        """Blocks that no element of HTML and no class name makes unwanted; names count if the template has their place (``None``: always)."""
+        return [b for b in self.blocks if not b[3] and not (b[4] and (named is None or hash64(b[4]) in named))]
+
+    def main(self, named: frozenset[int] | None = None, main_path: str | None = None) -> list[str]:
+        """Texts of the main slot; a page that does not have it is judged by itself."""
+        wanted = self.wanted(named)
+        if main_path is None or not any(inside(b[0], main_path) for b in wanted):
+            main_path = main_slot(masses(wanted), {b[2] for b in wanted if b[2]})
+        return [b[1] for b in wanted if inside(b[0], main_path)]
 
 
 def inside(path: str, container: str) -> bool:
     return path == container or path.startswith(container + "/")
 
 
-def containers(blocks: list[tuple]) -> Counter:
-    """Characters of text by the place that holds their blocks."""
-    mass: Counter = Counter()
-    for path, text, *_ in blocks:
-        head, _, last = path.rpartition("/")
-        mass[head if last.split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") else path] += len(text)
-    return mass
+def masses(blocks: list[tuple]) -> dict[str, list[int]]:
+    """Of each place around wanted blocks: characters, those in links, and whether it holds a first heading."""
+    out: dict[str, list[int]] = {}
+    for path, text, _, _, _, links, _ in blocks:
+        head = path.rpartition("/")[2].split(".")[0] == "h1"
+        at = path
+        if at.rpartition("/")[2].split(".")[0] in LEAF:
+            at = at.rpartition("/")[0]
+        while True:
+            row = out.setdefault(at, [0, 0, 0])
+            row[0] += len(text)
+            row[1] += links
+            row[2] |= head
+            if not at:
+                break
+            at = at.rpartition("/")[0]
+    return out
+
+
+def main_slot(mass: dict[str, list[int]], parts: set[str]) -> str:
+    """The slot (a place with characters, those in links, and headings) that holds the main text.
+
+    An article or main part with text is taken as it is, the one with most text. Else the way leads from the
+    widest slot to the inner one that holds ``MOST_TEXT`` of its text without links, and back to the
+    nearest one around it that holds a first heading, if that is not the whole body.
+    """
+    plain = lambda p: mass[p][0] - mass[p][1]
+    marked = [p for p in parts if p in mass and mass[p][0]]
+    if marked:
+        return max(marked, key=lambda p: (plain(p), -len(p), p))
+    inner: dict[str, list[str]] = {}
+    for p in mass:
+        if p:
+            around = p.rpartition("/")[0]
+            while around and around not in mass:
+                around = around.rpartition("/")[0]
+            inner.setdefault(around, []).append(p)
+    at = ""
+    while inner.get(at):
+        best = max(inner[at], key=lambda p: (plain(p), p))
+        if plain(best) < MOST_TEXT * plain(at) or not plain(best):
+            break
+        at = best
+    around = at
+    while around and not mass[around][2]:
+        around = around.rpartition("/")[0]
+        while around and around not in mass:
+            around = around.rpartition("/")[0]
+    return around if around and around.rpartition("/")[2].split(".")[0] not in ("html", "body") else at
 
 
 def host_of(url) -> F.Column:
@@ -189,120 +248,121 @@ def host_of(url) -> F.Column:
 def occurrences(pages: DataFrame) -> DataFrame:
     """Statistics of tokens by host, added up batch by batch before they are shuffled.
 
-    ``host, kind, token long, pages, total long, vector long, place double, weight long``. Kinds: ``tag``, ``text``
-    (of wanted blocks), ``page`` (one row a different main text), ``all`` (the host's pages), ``box``
-    (containers of text in pages without article and main part). ``vector`` adds up a number drawn from page and count,
-    so tokens with equal vectors of occurrences have equal ones.
+    ``host, kind, token long, label, pages, vector long, place double, chars, links, heads long``. Kinds: ``tag``,
+    ``slot`` (places around wanted text), ``part`` (articles and main parts with text), ``named`` (places with an unwanted
+    class name), ``page`` (one row a different text), ``all`` (the host's pages). ``vector`` adds up a number drawn from page
+    and count, so tokens with equal vectors of occurrences have equal ones.
     """
-    names = ["host", "kind", "token", "label", "pages", "total", "vector", "place", "weight"]
+    names = ["host", "kind", "token", "label", "pages", "vector", "place", "chars", "links", "heads"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats: dict[tuple, list] = {}
             for host, key, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page = Page(source)
-                rows: dict[tuple, list] = {}
-
-                def add(kind: str, token: int, label: str, place: int, weight: int = 0, rows=rows) -> None:
-                    row = rows.setdefault((kind, token, label), [0, place, 0])
-                    row[0] += 1
-                    row[2] += weight
-
+                tags: dict[str, list[int]] = {}
                 for path, at in page.tags:
-                    add("tag", hash64(path), path, at)
-                wanted = [b for b in page.blocks if not b[3]]
-                for path, text, _, _, at in wanted:
-                    add("text", hash64(f"{path}\0{text}"), "", at)
-                if not any(b[2] for b in wanted):
-                    for path, mass in containers(wanted).items():
-                        add("box", hash64(path), path, 0, mass)
-                add("page", hash64("\n\n".join(b[1] for b in wanted)), "", 0)
-                add("all", 0, "", 0)
-                for (kind, token, label), (count, place, weight) in rows.items():
-                    s = stats.setdefault((host, kind, token, label), [0, 0, 0, 0.0, 0])
-                    s[0] += 1
-                    s[1] += count
-                    s[2] += xxhash.xxh3_64_intdigest(b"%d %d" % (key, count)) >> 32
-                    s[3] += place
-                    s[4] += weight
+                    tags.setdefault(path, [0, at])[0] += 1
+                rows = [("tag", hash64(path), path, at, count, (0, 0, 0)) for path, (count, at) in tags.items()]
+                wanted = page.wanted(frozenset())
+                rows += [("slot", hash64(path), path, 0, 1, tuple(m)) for path, m in masses(wanted).items()]
+                rows += [("part", hash64(path), path, 0, 1, (0, 0, 0)) for path in {b[2] for b in wanted if b[2]}]
+                rows += [("named", hash64(path), path, 0, 1, (0, 0, 0)) for path in {b[4] for b in page.blocks if b[4]}]
+                rows.append(("page", hash64("\n\n".join(b[1] for b in page.blocks)), "", 0, 1, (0, 0, 0)))
+                rows.append(("all", 0, "", 0, 1, (0, 0, 0)))
+                for kind, token, label, place, count, mass in rows:
+                    r = stats.setdefault((host, kind, token, label), [0, 0, 0.0, 0, 0, 0])
+                    r[0] += 1
+                    r[1] += xxhash.xxh3_64_intdigest(b"%d %d" % (key, count)) >> 32
+                    r[2] += place
+                    for k in range(3):
+                        r[3 + k] += mass[k]
             if stats:
                 columns = [*zip(*stats, strict=True), *zip(*stats.values(), strict=True)]
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), F.coalesce("html", F.lit("")).alias("html"))
-    schema = "host string, kind string, token long, label string, pages long, total long, vector long, place double, weight long"
+    schema = "host string, kind string, token long, label string, pages long, vector long, place double, chars long, links long, heads long"
     found = rows.mapInArrow(run, schema)
     total = lambda c: F.sum(c).alias(c)
-    return found.groupBy("host", "kind", "token", "label").agg(total("pages"), total("total"), total("vector"), total("place"), total("weight"))
+    return found.groupBy("host", "kind", "token", "label").agg(*(total(c) for c in names[4:]))
 
 
 def templates(pages: DataFrame, scope: str = "lakeloom") -> DataFrame:
-    """One row a host: its template.
+    """One row a host with at least ``LEAST_PAGES`` different pages: its template.
 
-    ``host, pages long, texts array<long>`` (texts that belong to the template), ``main_path
-    string`` (container of most text in pages without article and main part), ``classes
-    array<struct<id:int,parent:int,pages:long,tags:array<string>,texts:int>>``: the valid
-    classes, each with the class it nests in (-1: none) and its tags in page order.
+    ``host, pages long, main_path string`` (the main slot), ``named array<long>`` (places of the template with
+    an unwanted class name, and slots that are mostly links), ``classes array<struct<id:int,parent:int,
+    pages:long,tags:array<string>>>``: the valid classes, each with the class it nests in (-1: none) and its
+    tags in page order.
     """
     tokens = materialize(occurrences(pages), scope)
-    hosts = materialize(tokens.groupBy("host").agg(
-        F.sum(F.when(F.col("kind") == "all", F.col("pages"))).alias("of"),
-        F.count(F.when(F.col("kind") == "page", 1)).alias("different"),
-    ), scope)
+    hosts = tokens.groupBy("host").agg(F.sum(F.when(F.col("kind") == "all", F.col("pages"))).alias("of"), F.count(F.when(F.col("kind") == "page", 1)).alias("different"))
+    hosts = materialize(hosts.where(F.col("different") >= LEAST_PAGES), scope)
     # at most a few tokens more than a page has pass: each must be in half of the host's pages
-    frequent = tokens.where("kind in ('tag', 'text', 'box')").join(hosts, "host")
-    frequent = frequent.where(((F.col("kind") == "box")) | ((F.col("pages") >= LEAST_SHARE * F.col("of")) & (F.col("different") >= LEAST_PAGES)))
-    boxes = frequent.where("kind = 'box'").groupBy("host").agg(F.max_by("label", F.struct("weight", "label")).alias("main_path"))
-    frequent = frequent.where("kind <> 'box'").select("host", "of", "kind", "token", "label", "pages", "vector", (F.col("place") / F.col("pages")).alias("place"))
+    frequent = tokens.where("kind in ('tag', 'slot', 'part', 'named')").join(hosts, "host").where(F.col("pages") >= LEAST_SHARE * F.col("of"))
+    frequent = frequent.select("host", "of", "kind", "token", "label", "pages", "vector", (F.col("place") / F.col("pages")).alias("place"), "chars", "links", "heads")
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         classes: dict[int, list[dict]] = {}
         for r in rows:
-            classes.setdefault(r["vector"], []).append(r)
+            if r["kind"] == "tag":
+                classes.setdefault(r["vector"], []).append(r)
         valid = []
         for members in classes.values():
             members.sort(key=lambda r: (r["place"], r["token"]))
-            if sum(r["kind"] == "tag" for r in members) >= LEAST_TAGS:
+            if len(members) >= LEAST_TAGS:
                 valid.append(members)
         # wider classes first, so that a class nests in the narrowest one around it
         valid.sort(key=lambda c: (c[0]["place"] - c[-1]["place"], c[0]["token"]))
-        out, texts = [], []
+        out = []
         for k, members in enumerate(valid):
             around = [j for j in range(k) if valid[j][0]["place"] <= members[0]["place"] and members[-1]["place"] <= valid[j][-1]["place"]]
-            own = [r["token"] for r in members if r["kind"] == "text"]
-            texts += own
-            out.append({"id": k, "parent": around[-1] if around else -1, "pages": members[0]["pages"], "tags": [r["label"] for r in members if r["kind"] == "tag"], "texts": len(own)})
-        kind = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("pages", pa.int64()), ("tags", pa.list_(pa.string())), ("texts", pa.int32())]))
-        return pa.table({"host": [rows[0]["host"]], "pages": pa.array([rows[0]["of"]], pa.int64()), "texts": pa.array([texts], pa.list_(pa.int64())), "classes": pa.array([out], kind)})
-
-    schema = "host string, pages long, texts array<long>, classes array<struct<id:int,parent:int,pages:long,tags:array<string>,texts:int>>"
-    deduced = frequent.groupBy("host").applyInArrow(run, schema)
-    return deduced.join(boxes, "host", "full_outer")
+            out.append({"id": k, "parent": around[-1] if around else -1, "pages": members[0]["pages"], "tags": [r["label"] for r in members]})
+        # slots are elements whose tags belong to a class of the template
+        known = {tag.rstrip("/") for c in out for tag in c["tags"]} | {""}
+        named = {r["token"] for r in rows if r["kind"] == "named" and r["label"] in known}
+        slots = {r["label"]: [r["chars"], r["links"], r["heads"]] for r in rows if r["kind"] == "slot" and r["label"] in known}
+        low = {r["label"] for r in rows if r["token"] in named}
+        slots = {p: m for p, m in slots.items() if not any(inside(p, n) for n in low)}
+        if "" in slots:
+            slots[""] = [sum(m[k] for p, m in slots.items() if p and "/" not in p[1:]) or slots[""][k] for k in range(2)] + [slots[""][2]]
+        parts = {r["label"] for r in rows if r["kind"] == "part" and r["label"] in slots}
+        found = main_slot(slots, parts) if slots else None
+        if found:
+            named |= {hash64(p) for p, m in slots.items() if p != found and inside(p, found) and m[0] and m[1] >= LINKS * m[0]}
+        kind = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("pages", pa.int64()), ("tags", pa.list_(pa.string()))]))
+        columns = {"host": pa.array([rows[0]["host"]], pa.string()), "pages": pa.array([rows[0]["of"]], pa.int64()), "main_path": pa.array([found or None], pa.string())}
+        return pa.table(columns | {"named": pa.array([sorted(named)], pa.list_(pa.int64())), "classes": pa.array([out], kind)})
+
+    schema = "host string, pages long, main_path string, named array<long>, classes array<struct<id:int,parent:int,pages:long,tags:array<string>>>"
+    return frequent.groupBy("host").applyInArrow(run, schema)
 
 
 def extract_text(pages: DataFrame, scope: str = "lakeloom") -> DataFrame:
     """``page_id, url, text, n_chars long``: the main text of every page, a row a row of the input.
 
     The whole html is read. Blocks (character references decoded, runs of white space one space,
-    trimmed) are joined in page order by two line feeds. Null and empty html, and pages without main
-    text, give an empty text; pages with a null url form a host of their own; tags that are never
-    closed and pages that break off are read as far as they go; repeated rows are kept; other
-    columns are ignored. A host with fewer than 8 different texts has no template texts to remove.
+    trimmed) are joined in page order by two line feeds; text inside the main slot stays, however often
+    other pages repeat it. Null and empty html, and pages without main text, give an empty text; pages with a null
+    url form a host of their own; tags that are never closed and pages that break off are read as far as
+    they go; repeated rows are kept; other columns are ignored. A page without others of its host is
+    judged by itself.
     """
-    found = materialize(templates(pages, scope).select("host", "texts", "main_path"), scope)
+    found = materialize(templates(pages, scope).select("host", "named", "main_path"), scope)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     # the templates have a known size by now: Spark broadcasts them while they are small and shuffles beyond
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "host", "texts", "main_path")
+    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "host", "named", "main_path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[str, frozenset] | None = None
+        held: tuple[str, frozenset | None] | None = None
         for batch in batches:
             out = []
-            for source, host, texts, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True):
+            for source, host, named, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True):
                 if held is None or held[0] != host:
-                    held = host, frozenset(texts.as_py() or ())
+                    held = host, frozenset(named.as_py()) if named.is_valid else None
                 out.append("\n\n".join(Page(source).main(held[1], path)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -387,13 +387,30 @@ def test_html(spark):
     got = html.extract_text(df).collect()
     assert len(got) == len(rows)
     text = {(r.page_id, r.url): r.text for r in got}
-    assert text[3, "https://h.example/3"] == "own 3"  # all else is the template
+    article = "Title & more\n\nOne two three\n\nFour © &am\n\na\n\nb\n\nSame line in every page\n\nown "
+    assert all(text[k, f"https://h.example/{k}"] == article + str(k) for k in range(12))  # what pages repeat stays
     assert text[20, None] == "" and text[21, "x"] == "" and text[22, "https://one.example"] == "T\n\nlong text here\n\nmore"
-    few = html.extract_text(df.where("page_id < 3")).where("page_id = 1").first()
-    assert few.text == "Title & more\n\nOne two three\n\nFour © &am\n\na\n\nb\n\nSame line in every page\n\nown 1" and few.n_chars == len(few.text)
+    for pages in (1, 2, 7, 9):
+        few = html.extract_text(df.where(f"page_id < {pages}")).where("page_id = 0").first()
+        assert few.text == article + "0" and few.n_chars == len(few.text)
     assert html.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_slots_of_the_template(spark):
+    """Without article and main part the template tells the main slot; class names count where the template has them."""
+    body = lambda k: "".join(f"<p>Paragraph {j} of story {k}, {'long ' * 30}</p>" for j in range(2 + k % 3))
+    page = '<html><body><div class="top"><a href=/>Home</a> <a href=/x>More pages</a></div><div class="wrap"><div class="story"><h1>Story {k}</h1>{body}<div class="share"><a href=#>Share {k}</a></div></div><div class="right"><p>Box {k}</p></div></div><div class="end">All rights</div></body></html>'
+    rows = [(k, f"https://n.example/{k}", page.replace("{k}", str(k)).replace("{body}", body(k))) for k in range(6)]
+    special = page.replace("{k}", "9").replace("{body}", '<p class="related">On related matters</p><div class="social history">A social history</div>' + body(9))
+    rows.append((9, "https://n.example/9", special))
+    got = {r.page_id: r.text.split("\n\n") for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert got[k] == [f"Story {k}", *(f"Paragraph {j} of story {k}, {'long ' * 30}".strip() for j in range(2 + k % 3))]
+    assert got[9][:3] == ["Story 9", "On related matters", "A social history"] and len(got[9]) == 3 + 2
+    found = html.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert found.main_path == "/html/body/div.wrap/div.story" and any(c.parent >= 0 for c in found.classes)
+
+
 def test_html_pages(spark, sf):
     import html as entities
 
