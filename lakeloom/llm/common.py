@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="lakeloom-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return "file://" + _LOCAL[0]
 
 
@@ -43,15 +46,33 @@ def materialize(df: DataFrame, scope: str = "lakeloom") -> DataFrame:
     path = f"{shared_dir(spark)}/lakeloom-{scope}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _TABLES.setdefault(scope, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.lakeloom_path = path
+    return held
 
 
-def release(spark: SparkSession, scope: str = "lakeloom") -> None:
-    """Delete what ``materialize`` wrote for a scope; frames that read it end with this."""
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that ``materialize`` returned, once nothing that is still to run reads them."""
+    for df in frames:
+        path = getattr(df, "lakeloom_path", None)
+        if path:
+            delete(df.sparkSession, path)
+            for held in _TABLES.values():
+                if path in held:
+                    held.remove(path)
+
+
+def release(spark: SparkSession, scope: str = "lakeloom") -> None:
+    """Delete what ``materialize`` wrote for a scope and is still there; frames that read it end with this."""
     for path in _TABLES.pop(scope, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        delete(spark, path)
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -77,7 +98,8 @@ def labelled_sample(
 
     The rows are those with the smallest hash of their id, so the choice depends neither on
     partitioning nor on row order. The sample is bounded by ``rows`` and therefore safe to broadcast.
-    Rows with a null id or label are no training rows; an id with several labels counts once a label.
+    Rows with a null id or label are no training rows; an id with several labels counts once a label,
+    one with several texts with the first of them in order.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.select("doc_id", F.col(label).cast("int").alias("y")).distinct()
@@ -87,7 +109,7 @@ def labelled_sample(
     else:
         ranked = ranked.limit(rows)
     texts = documents.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ranked), "doc_id")
+    return texts.join(F.broadcast(ranked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def put_on_path(spark: SparkSession) -> None:

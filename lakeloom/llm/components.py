@@ -3,36 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import materialize
-
-
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+from ..operators import graph
+from .common import discard, materialize
 
 
 def components(links: DataFrame, scope: str = "lakeloom") -> DataFrame:
     """``node, root``: the smallest node that each linked node (long columns ``a``, ``b``) can reach.
 
-    Alternates two steps until nothing changes. In the first, every node ties its larger neighbours to
-    the smallest node it knows; in the second, its smaller ones. Each takes a grouped minimum,
-    which is aggregated before it is shuffled, and a join on the node, whose hot keys Spark can
-    split; each result is written to the shared folder, so a lost executor costs one step. Nodes with
-    no link but to themselves do not appear; null ends are ignored.
+    Each round's links are written to the shared folder, so a lost executor costs one round; those of the
+    round before go then. Nodes with no link but to themselves are their own root; null ends are ignored.
     """
-    links = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = materialize(links, scope)
-    seen = _state(links)
-    while seen[0]:
-        both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = materialize(moved.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), scope)
-        now = _state(links)
-        if now == seen:
-            break
-        seen = now
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    ends = materialize(links.select("a", "b").where("a is not null and b is not null").distinct(), scope)
+    rounds: list[DataFrame] = []
+
+    def cut(df: DataFrame) -> DataFrame:
+        rounds.append(materialize(df, scope))
+        discard(*rounds[:-1])
+        del rounds[:-1]
+        return rounds[0]
+
+    return graph.components(ends, cut).withColumnRenamed("component", "root")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Pages with different texts that a host must have before its template is deduced.
 LEAST_PAGES = 2
@@ -289,7 +289,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
     return found.groupBy("host", "kind", "token", "label").agg(*(total(c) for c in names[4:]))
 
 
-def templates(pages: DataFrame, scope: str = "lakeloom") -> DataFrame:
+def templates(pages: DataFrame, scope: str = "lakeloom", tokens: DataFrame | None = None) -> DataFrame:
     """One row a host with at least ``LEAST_PAGES`` different pages: its template.
 
     ``host, pages long, main_path string`` (the main slot), ``named array<long>`` (places of the template with
@@ -297,7 +297,7 @@ def templates(pages: DataFrame, scope: str = "lakeloom") -> DataFrame:
     pages:long,tags:array<string>>>``: the valid classes, each with the class it nests in (-1: none) and its
     tags in page order.
     """
-    tokens = materialize(occurrences(pages), scope)
+    tokens = materialize(occurrences(pages), scope) if tokens is None else tokens
     hosts = tokens.groupBy("host").agg(F.sum(F.when(F.col("kind") == "all", F.col("pages"))).alias("of"), F.count(F.when(F.col("kind") == "page", 1)).alias("different"))
     hosts = materialize(hosts.where(F.col("different") >= LEAST_PAGES), scope)
     # at most a few tokens more than a page has pass: each must be in half of the host's pages
@@ -351,7 +351,9 @@ def extract_text(pages: DataFrame, scope: str = "lakeloom") -> DataFrame:
     they go; repeated rows are kept; other columns are ignored. A page without others of its host is
     judged by itself.
     """
-    found = materialize(templates(pages, scope).select("host", "named", "main_path"), scope)
+    tokens = materialize(occurrences(pages), scope)
+    found = materialize(templates(pages, scope, tokens).select("host", "named", "main_path"), scope)
+    discard(tokens)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     # the templates have a known size by now: Spark broadcasts them while they are small and shuffles beyond
     joined = rows.join(found, "host", "left").select("page_id", "url", "html", "host", "named", "main_path")

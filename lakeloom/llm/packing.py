@@ -82,7 +82,8 @@ def pack(documents: DataFrame, capacity: int = 2048, per_source: int = 2, id_col
     Items go, longest first, into the open bin with the least room that fits and conflicts with
     nothing: a bin holds at most ``per_source`` items of one source (null is a source) and at most
     one of a duplicate cluster (``cluster``, a column; by default documents with equal words).
-    Corpora are split into shards of about 2048 documents by a hash of their id and words, packed each by itself.
+    Corpora are split into shards of about 2048 documents by a hash of their id, words and row number, so
+    repeated rows are spread as well, and packed each by itself.
 
     Returns a row a piece: ``doc_id, piece int, start long, n_tokens long, bin_id string, position
     int``; ``start`` is the piece's first token. Null and empty texts hold the separator only;
@@ -108,7 +109,7 @@ def pack(documents: DataFrame, capacity: int = 2048, per_source: int = 2, id_col
     items = items.withColumn("n_tokens", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("start")))
     full = F.col("n_tokens") == capacity
     alone = items.where(full).select("doc_id", "piece", "start", "n_tokens", F.concat(F.lit("f"), F.col("row"), F.lit("."), F.col("piece")).alias("bin_id"), F.lit(0).alias("position"))
-    rest = items.where(~full).select("doc_id", "piece", "start", "n_tokens", "source", "cluster", "row", F.pmod(F.xxhash64("doc_id", "cluster", "size"), F.lit(shards)).cast("int").alias("shard"))
+    rest = items.where(~full).select("doc_id", "piece", "start", "n_tokens", "source", "cluster", "row", F.pmod(F.xxhash64("doc_id", "cluster", "size", "row"), F.lit(shards)).cast("int").alias("shard"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = pack_shard(rows, capacity, per_source)
@@ -120,6 +121,22 @@ def pack(documents: DataFrame, capacity: int = 2048, per_source: int = 2, id_col
     return alone.unionByName(packed)
 
 
+def sequences(documents: DataFrame, separator: str = "<|endoftext|>", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``bin_id, n_tokens long, doc_ids array<long>, tokens array<string>``: the packed sequences themselves.
+
+    Tokens are the words of the documents in the order of their pieces, with the separator behind the last word of
+    each document. A sequence has ``capacity`` tokens at most, so it is a bounded group. Of an id with several
+    texts each has its pieces; options are those of ``pack`` but ``tokens``.
+    """
+    named = documents.select(F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit(""))).alias("doc_id"), F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text"), F.col(options.get("source_col", "source")).alias("source"))
+    packed = pack(named, **{k: v for k, v in options.items() if k != "source_col"})
+    words = F.concat(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.array(F.lit(separator)))
+    texts = named.dropDuplicates(["doc_id"]).select("doc_id", "own", words.alias("w"))
+    pieces = packed.join(texts, "doc_id").select("bin_id", "position", "own", F.slice("w", (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int")).alias("t"))
+    rows = pieces.groupBy("bin_id").agg(F.array_sort(F.collect_list(F.struct("position", "own", "t"))).alias("p"))
+    return rows.select("bin_id", F.size(F.flatten("p.t")).cast("long").alias("n_tokens"), F.col("p.own").alias("doc_ids"), F.flatten("p.t").alias("tokens"))
+
+
 def op4_best_fit(spark, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens from all documents."""
     from .common import table

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 
 #: Variants that a task unfolds at a time, and about how many of them it gets in all.
@@ -354,6 +354,7 @@ def similar(groups: DataFrame, sets: DataFrame, least: float, scope: str = "lake
     links = materialize(dealt.groupBy("place", "block").applyInArrow(inside, schema), scope)
     found = materialize(components(links, scope), scope)
     if not large.head(1):
+        discard(rows, links)
         return found
     members = rows.where("blocks > 1").select("group", "key", "n", "blocks").join(found, F.col("key") == F.col("node"), "left")
     members = members.select("group", "key", "n", "blocks", F.coalesce("root", "key").alias("part"))
@@ -394,9 +395,11 @@ def near_copies(documents: DataFrame, words: int = 5, least: float = 0.8, tables
         links.append(texts.join(first, texts[n] == first["fp"]).where("key <> a").select("a", F.col("key").alias("b")))
     close = components(functools.reduce(DataFrame.unionAll, links), scope)
     close = materialize(texts.join(close, texts["key"] == close["node"]).select("key", F.col("root").alias("group"), "n", "rep.*"), scope)
+    discard(*links)
     one = whole.join(close.select("doc_id", "th", "key").hint("shuffle_hash"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     sets = shingle_sets(one, words)
     groups = materialize(similar(close.select("key", "group", "n"), sets, least, scope), scope)
+    discard(close)
     named = texts.join(groups, texts["key"] == groups["node"], "left").select("key", "copies", "rep.doc_id", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = materialize(named.where("linked or copies > 1"), scope)
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("group_id"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 LENGTH, GRAM = 400, 128
 #: Most windows of a segment; longer runs of one hash (periodic texts) are cut.
@@ -283,6 +283,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, scope: str
     all_segments = materialize(find_segments(rows, length, gram), scope)
     often = all_segments.groupBy("h").agg(F.count("*").alias("k"), F.max("twice").alias("twice")).where("k > 1 or twice").select("h")
     some = materialize(all_segments.join(often, "h").drop("twice"), scope)
+    discard(all_segments)
     rep = F.min(F.struct("_id", "_h", "start", "n")).alias("rep")
     distinct = some.groupBy("h", "seg").agg(F.count("*").alias("times"), rep)
     kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds"))
@@ -308,6 +309,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, scope: str
     single = F.collect_list(F.struct(F.col("rel").alias("a"), F.col("rel").alias("b"))).alias("runs")
     hot = hot.join(known, ["d0", "d1"]).groupBy("h", "seg").agg(single)
     found = materialize(cold.unionByName(hot), scope)
+    discard(parts, distinct)
     at = F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
     return some.join(found, ["h", "seg"]).select("_id", "_h", at.alias("runs")).groupBy("_id", "_h").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 

@@ -16,27 +16,36 @@ from pyspark.sql import functions as F
 
 #: Bytes of a block of a file; blocks are scanned independently of each other.
 BLOCK_BYTES = 1 << 20
+#: Documents of a token file; a task writes as many files as it needs.
+FILE_ROWS = 4096
 
 
 def separator_bytes(separator: int, width: int) -> bytes:
     return int(separator).to_bytes(width, "little")
 
 
-def write_token_files(tokens: DataFrame, path: str, separator: int, width: int = 2) -> None:
-    """Write the rows of a ``tokens binary`` column, ids already packed, as flat files: one for each task.
+def write_token_files(tokens: DataFrame, path: str, separator: int, width: int = 2, rows_per_file: int = FILE_ROWS) -> None:
+    """Write the rows of a ``tokens binary`` column, ids already packed, as flat files of ``rows_per_file`` documents.
 
-    The text sink writes the bytes as they are and the separator's bytes as the end of each row.
+    The text sink writes the bytes as they are and the separator's bytes as the end of each row. Files are named
+    ``part-<task>-...-c<file of the task>``, which with the place in the file tells a row's place in its task.
     """
     row_end = separator_bytes(separator, width).decode("iso-8859-1")
     writer = tokens.select(F.col("tokens").cast("string").alias("value")).write
-    writer.option("encoding", "iso-8859-1").option("lineSep", row_end).option("compression", "none").text(path)
+    writer.option("encoding", "iso-8859-1").option("lineSep", row_end).option("compression", "none").option("maxRecordsPerFile", rows_per_file).text(path)
+
+
+def row_of(file, ordinal, rows_per_file: int = FILE_ROWS) -> F.Column:
+    """The row number (as ``monotonically_increasing_id`` gives it) of a document in the scan that ``write_token_files`` wrote."""
+    task, k = F.regexp_extract(file, r"/part-(\d+)-", 1).cast("long"), F.regexp_extract(file, r"-c(\d+)(?:\.[a-z]+)?$", 1).cast("long")
+    return F.shiftleft(task, 33) + k * rows_per_file + ordinal
 
 
 def read_blocks(spark: SparkSession, path: str, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``file string, block long, data binary``: flat files cut at fixed offsets, wherever documents end.
 
     A file is read whole by one task, as Spark's binary source does, so files should stay well under
-    an executor's memory; ``write_token_files`` writes one for each input split.
+    an executor's memory; ``write_token_files`` bounds the documents of a file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,24 +157,35 @@ def packed_ids(documents: DataFrame, ranks: str, pattern: str, width: int = 2, i
     return rows.mapInArrow(run, "doc_id long, tokens binary")
 
 
-def op8_separator_scan(spark, sf_dir: str) -> DataFrame:
-    """Write all documents as flat token files and count each file's documents by the separators.
+def counted_documents(documents: DataFrame, ranks: str, pattern: str, separator: int, width: int = 2, rows_per_file: int = FILE_ROWS, scope: str = "lakeloom") -> DataFrame:
+    """``doc_id, start_token, n_tokens``: all documents (``doc_id, text``) written as flat token files, scanned, and matched to their counts.
 
-    The files carry no ids. A task writes its rows in their order to the file that bears its
-    number, so the row number of a document in the scan is that file's number and the document's ordinal.
+    The files carry no ids. A task writes its rows in their order, so file names and ordinals give the row
+    number of a document in the scan. That both scans are dealt alike is checked: a document without a count
+    or a count without a document is an error, never a null. The token files go when they are counted. Null
+    texts count as empty and have 0 tokens; repeated rows are documents of their own; an empty table gives no rows.
     """
     import uuid
 
+    from .common import delete, materialize, shared_dir
+
+    spark = documents.sparkSession
+    path = f"{shared_dir(spark)}/lakeloom-tokens-{uuid.uuid4().hex}"
+    write_token_files(packed_ids(documents, ranks, pattern, width), path, separator, width, rows_per_file)
+    counts = count_tokens(spark, path, separator, width)
+    counts = materialize(counts.select(row_of(F.col("file"), F.col("ordinal"), rows_per_file).alias("row"), F.col("start").alias("start_token"), "n_tokens"), scope)
+    delete(spark, path)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.lit(True).alias("here"))
+    both = rows.join(counts, "row", "full_outer")
+    whole = F.when(F.col("here").isNull() | F.col("n_tokens").isNull(), F.raise_error(F.lit("the documents were dealt out otherwise when they were written"))).otherwise(F.col("n_tokens"))
+    return both.select("doc_id", "start_token", whole.alias("n_tokens"))
+
+
+def op8_separator_scan(spark, sf_dir: str) -> DataFrame:
+    """Write all documents as flat token files and count each file's documents by the separators."""
     import public_tokenizers as tokenizers_dir
 
-    from .common import shared_dir, table
+    from .common import table
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = f"{shared_dir(spark)}/lakeloom-tokens-{uuid.uuid4().hex}"
-    separator = 50256
-    write_token_files(packed_ids(documents, tokenizers_dir.path("byte_bpe_multi_50k.tiktoken"), tokenizers_dir.PATTERN), path, separator)
-    counts = count_tokens(spark, path, separator)
-    part = F.regexp_extract("file", r"/part-(\d+)-", 1).cast("long")
-    counts = counts.select((F.shiftleft(part, 33) + F.col("ordinal")).alias("row"), F.col("start").alias("start_token"), "n_tokens")
-    rows = documents.select("doc_id", F.monotonically_increasing_id().alias("row"))
-    return rows.join(counts, "row", "left").select("doc_id", "start_token", "n_tokens")
+    return counted_documents(documents, tokenizers_dir.path("byte_bpe_multi_50k.tiktoken"), tokenizers_dir.PATTERN, 50256)

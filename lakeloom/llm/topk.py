@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,7 +103,7 @@ def by_dim(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids[rows], flat[(at[rows][:, None] + np.arange(d))].reshape(len(rows), d)
 
 
-def top_k(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, levels: tuple[int, ...] = (8, 32)) -> DataFrame:
+def top_k(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, levels: tuple[int, ...] = (8, 32), scope: str = "lakeloom") -> DataFrame:
     """The k highest integer inner products of every query with all other rows, ties to smaller ids.
 
     ``is_query`` is a condition on ``vec_id``. Returns ``query_id, rank, vec_id, score``. Components
@@ -112,10 +113,14 @@ def top_k(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_c
     them; an empty table gives no rows. Scores are exact while components stay under 2^24 in size
     and are rounded as doubles beyond.
 
-    Queries go out in blocks of a fixed number of bytes, each against one scan of all candidates, so
-    neither driver nor executors hold more of them at a time. A task returns k rows a query at most.
+    Queries go out in blocks of a fixed number of bytes, each against one scan of all candidates; a block is
+    answered, written and forgotten before the next one is collected, so neither driver nor executors hold
+    more than one. A task returns k rows a query at most.
     """
+    from .common import materialize
+
     spark = df.sparkSession
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     vectors = int_vectors(df, id_col, vector_col, scale)
     queries = vectors.where(is_query)
     rows, dims = queries.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
@@ -142,12 +147,14 @@ def top_k(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_c
                 row, col = np.nonzero(scores > -np.inf)
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(q.ids[row]), "vec_id": pa.array(found[row, col]), "score": pa.array(scores[row, col].astype(np.int64))})
 
-        parts.append(vectors.mapInArrow(run, "query_id long, vec_id long, score long"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks == 1:
+            return found
+        # a query's candidates are all in its own block's run, so each block is answered and written by itself
+        parts.append(materialize(found, scope))
+        sent.destroy()
+    return functools.reduce(DataFrame.unionAll, parts)
 
 
 def op6_top_k(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A step of the network is a word. Its input joins a word embedding, looked up by a hash of the
-lower-cased word, and a character embedding, the mean of hashed embeddings of the word's runs of
-three and five bytes; so inputs depend on the word alone and each distinct word is looked up once a batch.
+A step of the network is a word with the number of times that it follows itself. Its input joins a word embedding,
+looked up by a hash of the lower-cased word, a character embedding, the mean of hashed embeddings of
+the word's runs of three and five bytes, and the logarithm of that number; so inputs depend on the
+step alone and each distinct one is looked up once a batch.
 """
 
 from __future__ import annotations
@@ -33,12 +34,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
 
 
+def bare(step: str) -> str:
+    return step.partition("\t")[0]
+
+
 def word_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of distinct words, buckets of the grams of all words in one row, and where each word's begin.
+    """Buckets of distinct steps' words, buckets of the grams of all words in one row, and where each word's begin.
 
     Grams are the runs of three and of five bytes of the word between two marks.
     """
-    data = [b"<" + w.encode() + b">" for w in words]
+    data = [b"<" + bare(w).encode() + b">" for w in words]
     size = np.fromiter(map(len, data), np.int64, len(data))
     raw = np.frombuffer(b"".join(data), np.uint8).astype(np.uint32)
     ends = np.cumsum(size)
@@ -67,7 +72,7 @@ class Network:
         n = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.p = {"word": rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32), "char": rng.normal(0, 0.3, (BUCKETS, WIDTH)).astype(np.float32)}
         for d in "fb":
-            self.p |= {f"w{d}": n(2 * WIDTH, 3 * HIDDEN), f"u{d}": n(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
+            self.p |= {f"w{d}": n(2 * WIDTH + 1, 3 * HIDDEN), f"u{d}": n(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"a": n(2 * HIDDEN, HIDDEN), "v": n(HIDDEN, 1)[:, 0], "o": n(2 * HIDDEN, 1)[:, 0], "k": np.zeros(1, np.float32)}
         self.scale, self.shift = 1.0, 0.0
         self.seed = seed
@@ -77,7 +82,8 @@ class Network:
         count = np.diff(np.append(at, len(tri)))
         # no slice is empty: a word has a byte at least, and with its two marks a run of three
         chars = np.add.reduceat(self.p["char"][tri], at, axis=0) / count[:, None]
-        return np.hstack((self.p["word"][key], chars)).astype(np.float32), (key, tri, at, count)
+        times = np.array([np.log2(float(w.partition("\t")[2] or 1)) for w in words])[:, None]
+        return np.hstack((self.p["word"][key], chars, times)).astype(np.float32), (key, tri, at, count)
 
     def gru(self, x: np.ndarray, mask: np.ndarray, d: str, trace: list | None = None) -> np.ndarray:
         """Hidden states for projected inputs (steps, rows, 3 * HIDDEN); masked steps keep the state."""
@@ -151,7 +157,7 @@ class Network:
             dv += by_word @ p[f"w{d}"].T
         g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
         np.add.at(g["word"], key, dv[:, :WIDTH])
-        np.add.at(g["char"], tri, np.repeat(dv[:, WIDTH:] / count[:, None], count, axis=0))
+        np.add.at(g["char"], tri, np.repeat(dv[:, WIDTH : 2 * WIDTH] / count[:, None], count, axis=0))
         return g
 
     def score_words(self, docs: list[list[str]]) -> np.ndarray:
@@ -195,8 +201,9 @@ def block(parts: list[tuple[int, list[str]]]) -> tuple[np.ndarray, list[str], np
 
 
 def split_words(text: str | None) -> list[str]:
-    """Lower-cased words of a text; one that follows itself counts once."""
-    return [w for w, _ in groupby((text or "").lower().split())]
+    """Steps of a text: its lower-cased words, one that follows itself with a tab and how often it stands there."""
+    runs = ((w, sum(1 for _ in same)) for w, same in groupby((text or "").lower().split()))
+    return [w if n == 1 else f"{w}\t{n}" for w, n in runs]
 
 
 def telling(docs: list[list[str]], y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
@@ -304,8 +311,8 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = 1500) -> Network:
 def score_toxicity(documents: DataFrame, net: Network, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, score double, predicted int`` and the columns in ``keep``, a row a row of the input.
 
-    Every overlapping window of 48 words of the whole text is scored, with nothing but the text as
-    input, and the highest counts. Null texts count as empty; texts without words score 0.
+    Every overlapping window of 48 steps (words, each with the times it follows itself) of the whole text is scored,
+    with nothing but the text as input, and the highest counts. Null texts count as empty; texts without words score 0.
     """
     kinds = dict(documents.dtypes)
     sent = documents.sparkSession.sparkContext.broadcast(net)  # under 1 MB: its tables have fixed sizes

@@ -175,6 +175,41 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_separator_scan_of_odd_documents(spark, docs, none):
+    import tiktoken
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    want = sorted(((i, len(enc.encode_ordinary(t or ""))) for i, t in ODD), key=str)
+    for rows, per_file in ((docs.repartition(3), 2), (docs.coalesce(1), 3), (docs, 4096)):
+        held = common.materialize(rows.select("doc_id", "text"), "test-tokens")
+        got = tokencount.counted_documents(held, ranks, public_tokenizers.PATTERN, 50256, rows_per_file=per_file)
+        assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=str) == want
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 2)
+    got = tokencount.counted_documents(held, ranks, public_tokenizers.PATTERN, 50256)
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=str) == want
+    assert tokencount.counted_documents(none, ranks, public_tokenizers.PATTERN, 50256).count() == 0
+    common.release(spark, "test-tokens")
+
+
+def test_packed_sequences(spark, docs, none):
+    rows = packing.sequences(docs, "<e>", capacity=100).collect()
+    assert all(r.n_tokens == len(r.tokens) <= 100 for r in rows)
+    found = collections.Counter(t for r in rows for t in r.tokens)
+    want = collections.Counter(w for _, t in ODD for w in [*re.findall("[^\x20\x09-\x0d]+", t or ""), "<e>"])
+    assert found == want and packing.sequences(none).count() == 0
+
+
+def test_packing_query(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in common.table(spark, sf, "documents").collect()}
+    got = packing.op4_best_fit(spark, sf).toPandas()
+    assert got.groupby("doc_id").n_tokens.sum().to_dict() == {i: len(re.findall("[^\x20\x09-\x0d]+", t)) + 1 for i, t in texts.items()}
+    assert got.groupby("bin_id").n_tokens.sum().max() <= 2048
+
+
 def test_simhash(spark, sf, docs):
     rows = [(r.doc_id, r.text) for r in common.table(spark, sf, "documents").collect()]
     fp = {i: brute_fingerprint(t) for i, t in rows}
@@ -375,6 +410,23 @@ def test_suffix_dedup_of_clashing_names_and_short_passages(spark):
     assert len(kept) == 5 and {(r._runs, r._id) for r in kept} == {("_runs", "_id")}
 
 
+def test_suffix_query(spark, sf):
+    texts = {r.doc_id: (r.text or "").encode() for r in common.table(spark, sf, "documents").collect()}
+    want = dict(zip(texts, brute_repeats(list(texts.values()), 400)))
+    for r in suffix.op7_suffix_dedup(spark, sf).collect():
+        n, removed, spans, kept = want[r.doc_id]
+        assert tuple(r)[1:5] == (n, removed, spans, hashlib.sha256(kept).hexdigest()) and r.text == kept.decode("utf-8", "ignore")
+
+
+def test_bpe_query(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in common.table(spark, sf, "documents").collect()}
+    ids_of = tiktoken_ids()
+    for r in bpe.op9_byte_bpe(spark, sf).collect():
+        ids = ids_of(texts[r.doc_id])
+        want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+        assert tuple(r)[1:4] == want
+
+
 PAGE = """<html><body class="has-sidebar"><header class="site"><h1>Site</h1></header><nav>menu</nav><div class="notice">Cookies</div>
 <article><header><h1>Title &amp; more</h1></header><p>One <b>two</b><br>three<p>Four &copy; &am<ul><li>a<li>b</ul><div class="ad">buy</div><form>f</form>
 <p>Same line in every page</p><p>own {k}</p><section class="comments"><article><p>nice</p></article></section></article><aside>side</aside><footer>f</footer><script>var a="</p>"</script>"""
@@ -477,3 +529,19 @@ def test_toxicity_windows(spark, docs):
     assert toxicity.score_toxicity(docs.limit(0), net).count() == 0
     empty = toxicity.fit([], np.zeros(0, np.float32))
     assert empty.probabilities([["a"], []]).max() < 0.5
+
+
+def test_toxicity_held_out(spark):
+    """Held-out labels of the largest small table: most toxic documents are found, hardly a clean one is lost."""
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in common.table(spark, folder, "labels").collect()}
+    rows = [r for r in toxicity.op5_toxicity(spark, folder).collect() if r.held_out and r.doc_id in labels]
+    y, s = np.array([labels[r.doc_id] for r in rows]), np.array([r.score for r in rows])
+    assert all(r.predicted == (r.score >= 0.5) for r in rows)
+    assert rank_sum(y, s) > 0.85 and ((s >= 0.5) & (y == 0)).sum() <= 0.02 * (y == 0).sum() and ((s >= 0.5) & (y == 1)).sum() >= 0.5 * y.sum()
+
+
+def test_toxicity_steps():
+    assert toxicity.split_words("No no NO yes\n no") == ["no\t3", "yes", "no"] and toxicity.split_words(None) == []
+    one, many = toxicity.Network().inputs(["no"])[0], toxicity.Network().inputs(["no\t8"])[0]
+    assert np.allclose(one[:, :-1], many[:, :-1]) and one[0, -1] == 0 and many[0, -1] == 3
