@@ -78,5 +78,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over all documents; each stage's result is written to the shared folder and read again."""
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), "pipeline-stages")
+        kept = common.materialize(stage(spark, docs, sf_dir), "pipeline-stages")
+        common.discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
