@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines, occurrences, sentences, snippet, tokens
 
-#: Largest lexicon, in rows, that is joined by containment.
-MAX_TERMS = 100_000
+#: Largest lexicon, in rows and in bytes of its terms, that is joined by containment.
+MAX_TERMS, MAX_BYTES = 100_000, 4_000_000
 
 
 def checked(terms: DataFrame) -> DataFrame:
     """The lexicon as a broadcast side, after its size has been checked."""
-    if terms.limit(MAX_TERMS + 1).count() > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms: join on tokens instead (by_token)")
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in terms.columns), F.lit(0))
+    rows, size = terms.limit(MAX_TERMS + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    if rows > MAX_TERMS or size > MAX_BYTES:
+        raise ValueError(f"more than {MAX_TERMS} terms or {MAX_BYTES} bytes: join on tokens instead (by_token)")
     return F.broadcast(terms)
 
 

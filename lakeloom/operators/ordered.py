@@ -112,6 +112,25 @@ def band_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     return a.join(b, "_bucket").where(rule if condition is None else rule & condition).drop("_bucket")
 
 
+def nearest_larger(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """``name``: the place (``order``) of the nearest earlier row of the group with a larger whole number ``value`` >= 0; null without one.
+
+    A number is larger than another if at some bit it has a one and the other a zero while all higher bits
+    agree. So for each bit the rows with the same higher bits are one sequence, and the last of them with a one is
+    a running value: no row carries its past.
+    """
+    most = df.agg(F.max(value)).first()[0] or 0
+    bits = F.array(*(F.lit(k) for k in range(max(1, int(most).bit_length()))))
+    n = F.col(value).cast("long")
+    rows = df.select(*by, order, n.alias("_n"), F.explode(bits).alias("_bit"))
+    one = F.expr("shiftright(_n, _bit) & 1")
+    rows = rows.withColumns({"_one": one, "_high": F.expr("shiftright(shiftright(_n, _bit), 1)")})
+    w = Window.partitionBy(*by, "_bit", "_high").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_one") == 1, F.col(order)), ignorenulls=True).over(w)
+    found = rows.withColumn("_last", F.when(F.col("_one") == 0, last)).groupBy(*by, order).agg(F.max("_last").alias(name))
+    return df.join(found, [*by, order], "left")
+
+
 def parent_heading(headings: DataFrame, by: list[str], levels: int = 6) -> DataFrame:
     """``parent, end`` of headings (``line, depth`` from 1 to ``levels``): the nearest earlier shallower one, and the last line before the next one as shallow.
 

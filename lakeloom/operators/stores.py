@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .profile import global_row_number
+
 
 def changed_files(found: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("path", "mtime", "size")) -> DataFrame:
     """Files that are not in the store in this state."""
@@ -74,7 +76,8 @@ def merged_counters(old: DataFrame, new: DataFrame, keys: list[str], top: int |
 def reordered(rows: DataFrame, first: list[str], id_col: str = "id", pos: str = "pos") -> DataFrame:
     """``pos`` anew: listed ids first in their order, the rest as before."""
     at = F.array_position(F.array(*(F.lit(x) for x in first)), F.col(id_col))
-    return rows.withColumn(pos, F.row_number().over(Window.orderBy(F.when(at > 0, at).otherwise(len(first) + 1), pos)))
+    held = rows.withColumns({"_first": F.when(at > 0, at).otherwise(len(first) + 1), "_pos": F.col(pos)}).drop(pos)
+    return global_row_number(held, ["_first", "_pos"]).withColumnRenamed("_row", pos).drop("_first", "_pos")
 
 
 def upsert_segments(old: DataFrame | None, new: DataFrame, by: list[str], id_col: str, order: str | None = None) -> DataFrame:
@@ -105,6 +108,22 @@ def latest_memory(rows: DataFrame, by: list[str], id_col: str, order: list[str],
     return last.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
+def cache_store(entries: DataFrame, new: DataFrame, scope: list[str], key: str) -> DataFrame:
+    """Cache entries (``scope..., key, content, used, uses``) after storing others: known keys take the new content, the later time and one more use a row."""
+    fresh = new.groupBy(*scope, key).agg(F.max_by("content", "used").alias("content"), F.max("used").alias("used"), F.count("*").alias("uses"))
+    both = entries.unionByName(fresh)
+    return both.groupBy(*scope, key).agg(F.max_by("content", "used").alias("content"), F.max("used").alias("used"), F.sum("uses").alias("uses"))
+
+
+def cache_delete(entries: DataFrame, keys: DataFrame, scope: list[str], key: str) -> DataFrame:
+    return entries.join(keys.select(*scope, key).distinct(), [*scope, key], "left_anti")
+
+
+def cache_stats(entries: DataFrame, scope: list[str]) -> DataFrame:
+    """``scope..., entries, uses, last, mean_uses`` of a cache."""
+    return entries.groupBy(*scope).agg(F.count("*").alias("entries"), F.sum("uses").alias("uses"), F.max("used").alias("last"), F.round(F.avg("uses"), 6).alias("mean_uses"))
+
+
 def cache_features(similarity: Column, left: Column, right: Column, age_hours: Column) -> Column:
     """``[similarity, 1 - difference of the lengths by the larger, 1 / (1 + days)]`` of a prompt against a cache entry."""
     n, m = F.length(left), F.length(right)

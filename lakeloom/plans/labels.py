@@ -67,14 +67,27 @@ def p7_required_terms(spark, d):
     return R.missing_required(words, ["the", "and", "that"])
 
 
-@query("a40_leader_clusters")
+STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+OWN = f"list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9_]+)', 1), lambda t: length(t) >= 3 AND t NOT IN ({STOP})))"
+SCORES = "list_transform(s.l, lambda x: len(list_intersect(x, r.t)) / greatest(1, len(x) + len(r.t) - len(list_intersect(x, r.t))))"
+
+
+@query(
+    "a40_leader_clusters",
+    f"""WITH t AS (SELECT conv_id, turn, {OWN} AS t FROM conversations), e AS (SELECT conv_id, [{{'l': []::VARCHAR[][], 'o': []::BIGINT[], 't': []::VARCHAR[]}}] || list({{'l': []::VARCHAR[][], 'o': []::BIGINT[], 't': t}} ORDER BY turn) AS e, list(turn ORDER BY turn) AS turns FROM t GROUP BY 1),
+f AS (SELECT conv_id, turns, list_reduce(e, lambda s, r: {{'l': CASE WHEN coalesce(list_max({SCORES}), 0) >= 0.2 OR len(s.l) >= 4 THEN s.l ELSE list_append(s.l, r.t) END, 'o': list_append(s.o, CASE WHEN coalesce(list_max({SCORES}), 0) >= 0.2 THEN list_position({SCORES}, list_max({SCORES})) - 1 WHEN len(s.l) < 4 THEN len(s.l) END), 't': r.t}}).o AS o FROM e)
+SELECT conv_id AS group, unnest(turns) AS id, unnest(o) AS cluster FROM f""",
+)
 def a40_leader_clusters(spark, d):
     """Turns of each conversation, clustered in order."""
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("group"), F.col("turn").alias("pos"), F.col("turn").alias("id"), token_set("text", least=3, stopwords=STOPWORDS).alias("terms"))
     return R.leader_clusters(rows, 0.2, 4)
 
 
-@query("c15_conversation_segments")
+@query(
+    "c15_conversation_segments",
+    "SELECT conv_id AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS index, upper(role[1]) || lower(role[2:]) AS speaker, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), ' ') AS content FROM conversations",
+)
 def c15_conversation_segments(spark, d):
     w = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.initcap("role"), F.lit(": "), F.col("text")).alias("l")))), lambda x: x["l"]), "\n")
     return R.conversation_segments(table(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(w.alias("text")))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..operators import matches as M
+from ..operators import ordered as O
 from ..operators import stores as S
 from .base import query, table
 
@@ -36,9 +38,8 @@ def j20_document_query(spark, d):
 @query("j28_prior_parent", "WITH h AS (SELECT conv_id, turn, length(text) AS size FROM conversations) SELECT a.conv_id, a.turn, max(b.turn) AS parent FROM h a LEFT JOIN h b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.size > a.size GROUP BY 1, 2")
 def j28_prior_parent(spark, d):
     """The nearest earlier turn that is longer."""
-    past = F.collect_list(F.struct("turn", F.length("text").alias("n"))).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
-    rows = table(spark, d, "conversations").withColumn("past", past)
-    return rows.select("conv_id", "turn", F.array_max(F.transform(F.filter("past", lambda p: p["n"] > F.length("text")), lambda p: p["turn"])).alias("parent"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
+    return O.nearest_larger(rows, ["conv_id"], "turn", "size", "parent").select("conv_id", "turn", "parent")
 
 
 @query("j40_expected_accuracy", """WITH e AS (SELECT * FROM (VALUES ('user', '?'), ('assistant', '.'), ('system', '.')) AS t(role, mark)), s AS (SELECT c.role, CASE WHEN contains(text, mark) THEN 1.0 ELSE 0.0 END AS hit FROM conversations c LEFT JOIN e ON c.role = e.role) SELECT role, count(*) AS n, round(avg(hit), 6) AS accuracy FROM s GROUP BY 1""")
@@ -54,11 +55,15 @@ def j46_key_lookup(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("key"), "c_name").join(F.broadcast(keys), "key").select("pos", "key", "c_name")
 
 
-@query("j18_definition_checks", """WITH w AS (SELECT l_returnflag AS word, l_linestatus AS source, list(DISTINCT l_linenumber) AS s FROM lineitem GROUP BY 1, 2), p AS (SELECT a.word, len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)) AS j FROM w a JOIN w b ON a.word = b.word AND a.source < b.source) SELECT word, round(avg(j), 6) AS agreement FROM p GROUP BY 1""")
+@query("j18_definition_checks", """WITH e AS (SELECT lower(split_part(p_type, ' ', 1)) AS word, p_brand AS dict, min(lower(p_name || ' ' || p_type)) AS text FROM part GROUP BY 1, 2), t AS (SELECT word, dict, list_distinct(regexp_extract_all(text, '([a-z0-9_]+)', 1)) AS w FROM e),
+p AS (SELECT a.word, a.dict AS a, b.dict AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS agreement FROM t a JOIN t b ON a.word = b.word AND a.dict < b.dict) SELECT word, a, b, agreement, agreement >= 0.3 AS consistent FROM p""")
 def j18_definition_checks(spark, d):
-    w = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("word"), F.col("l_linestatus").alias("source")).agg(F.collect_set("l_linenumber").alias("s"))
-    a, b = w.select("word", F.col("source").alias("x"), F.col("s").alias("sx")), w.select("word", F.col("source").alias("y"), F.col("s").alias("sy"))
-    return a.join(b, "word").where("x < y").groupBy("word").agg(F.round(F.avg(V.jaccard(F.col("sx"), F.col("sy"))), 6).alias("agreement"))
+    """Words that two dictionaries define, and whether their definitions agree."""
+    word = F.lower(F.element_at(F.split("p_type", " "), 1))
+    e = table(spark, d, "part").groupBy(word.alias("word"), F.col("p_brand").alias("dict")).agg(F.min(F.lower(F.concat_ws(" ", "p_name", "p_type"))).alias("text"))
+    t = e.select("word", F.col("dict").alias("id"), X.token_set("text").alias("w"))
+    found = M.scoped_pairs(t, ["word"], ["w"]).withColumn("agreement", F.round(V.jaccard(F.col("x.w"), F.col("y.w")), 6))
+    return found.select("word", "a", "b", "agreement", (F.col("agreement") >= 0.3).alias("consistent"))
 
 
 @query("a21_speaker_summaries", "SELECT coalesce(role, 'Unknown') AS speaker, count(*) AS n, count(DISTINCT conv_id) AS conversations, round(avg(length(text)), 4) AS mean_chars, max(turn) AS last_turn FROM conversations GROUP BY 1")
@@ -81,11 +86,18 @@ def a32_level_stats(spark, d):
     return top.unionAll(p.agg(F.lit(1).alias("depth"), F.count("*").alias("nodes"), F.lit(0.0).alias("branching")))
 
 
-@query("a34_review", "SELECT event_type, count(*) AS n, max(ts) AS last_seen, count(DISTINCT user_id) AS sources FROM events GROUP BY 1 ORDER BY n, last_seen, event_type LIMIT 3")
+@query("a34_review", """WITH e AS (SELECT user_id, event_type AS topic, count(*) AS attempts, round(avg(CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END), 6) AS correct, max(ts) AS last_seen FROM events GROUP BY 1, 2), l AS (SELECT max(ts) AS now FROM events),
+r AS (SELECT *, CASE WHEN correct >= 0.8 THEN 7 WHEN correct >= 0.5 THEN 3 ELSE 1 END AS days FROM e), d AS (SELECT *, (epoch_us(now) - epoch_us(last_seen)) // 86400000000 AS age FROM r, l)
+SELECT user_id, topic, attempts, correct, last_seen, days, age >= days AS due, CAST(row_number() OVER (PARTITION BY user_id ORDER BY age < days, correct, last_seen, topic) AS INTEGER) AS rank FROM d""")
 def a34_review(spark, d):
-    """The three rarest and stalest kinds."""
-    found = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last_seen"), F.count_distinct("user_id").alias("sources"))
-    return found.orderBy("n", "last_seen", "event_type").limit(3)
+    """What each user is to review: topics by whether they are due, how well they went and how long ago."""
+    e = table(spark, d, "events")
+    topics = e.groupBy("user_id", F.col("event_type").alias("topic")).agg(F.count("*").alias("attempts"), F.round(F.avg(F.when(F.col("value") >= 50, 1.0).otherwise(0.0)), 6).alias("correct"), F.max("ts").alias("last_seen"))
+    days = F.when(F.col("correct") >= 0.8, 7).when(F.col("correct") >= 0.5, 3).otherwise(1)
+    now = e.agg(F.max("ts").alias("now"))
+    out = topics.withColumn("days", days).join(F.broadcast(now)).withColumn("age", F.floor((O.micros("now") - O.micros("last_seen")) / 86_400_000_000))
+    order = Window.partitionBy("user_id").orderBy(F.col("age") < F.col("days"), "correct", "last_seen", "topic")
+    return out.select("user_id", "topic", "attempts", "correct", "last_seen", "days", (F.col("age") >= F.col("days")).alias("due"), F.row_number().over(order).alias("rank"))
 
 
 @query("a35_dominant_share", "WITH s AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k, sum(n) OVER (PARTITION BY user_id) AS t FROM s) SELECT user_id, event_type, round(n / t, 6) AS share FROM r WHERE k = 1")
@@ -107,7 +119,7 @@ def a48_group_accuracy(spark, d):
     return joined.groupBy("lang").agg(F.round(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0)), 6).alias("accuracy"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
-@query("o5_reorder", "WITH o AS (SELECT n_nationkey AS pos, n_name AS id FROM nation) SELECT id, CAST(row_number() OVER (ORDER BY CASE id WHEN 'NATION_7' THEN 1 WHEN 'NATION_3' THEN 2 ELSE 3 END, pos) AS INTEGER) AS pos FROM o")
+@query("o5_reorder", "WITH o AS (SELECT n_nationkey AS pos, n_name AS id FROM nation) SELECT id, row_number() OVER (ORDER BY CASE id WHEN 'NATION_7' THEN 1 WHEN 'NATION_3' THEN 2 ELSE 3 END, pos) AS pos FROM o")
 def o5_reorder(spark, d):
     return S.reordered(table(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("id")), ["NATION_7", "NATION_3"]).select("id", "pos")
 
@@ -164,14 +176,20 @@ def p30_line_slice(spark, d):
     return rows.select("id", F.array_join(F.slice("l", 2, 2), "\n").alias("content"))
 
 
-@query("p33_aligned_features", "SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) || [0.0::DOUBLE, 0.0::DOUBLE] AS v FROM embeddings")
+@query("p33_aligned_features", "SELECT vec_id, (list_transform(embedding, lambda x: CAST(x AS DOUBLE)) || list_transform(range(0, 70), lambda i: CAST(0 AS DOUBLE)))[1:70] AS v FROM embeddings")
 def p33_aligned_features(spark, d):
-    four = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    return table(spark, d, "embeddings").select("vec_id", F.slice(F.concat(four, F.array_repeat(F.lit(0.0), 6)), 1, 6).alias("v"))
-
-
-@query("s19_cache_keys", "SELECT user_id, event_type, count(*) AS entries FROM events GROUP BY 1, 2")
-def s19_cache_keys(spark, d):
-    """Entries of a cache, found by the hash of their key columns."""
-    rows = table(spark, d, "events").withColumn("key", S.entry_key("user_id", "event_type"))
-    return rows.groupBy("key").agg(F.first("user_id").alias("user_id"), F.first("event_type").alias("event_type"), F.count("*").alias("entries")).drop("key")
+    """Features of one length: padded with zeros or cut."""
+    own = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", F.slice(F.concat(own, F.array_repeat(F.lit(0.0), 70)), 1, 70).alias("v"))
+
+
+@query("s19_cache", """WITH e AS (SELECT user_id, event_type AS k, event_id % 2 = 0 AS second, event_id, props FROM events), c AS (SELECT user_id, k, max_by(props, event_id) AS content, max(event_id) AS used, count(*) AS uses FROM e GROUP BY 1, 2), g AS (SELECT * FROM c WHERE NOT (k = 'error' AND user_id % 2 = 0))
+SELECT user_id, count(*) AS entries, CAST(sum(uses) AS BIGINT) AS uses, max(used) AS last, round(avg(uses), 6) AS mean_uses, list(content ORDER BY used DESC)[1:2] AS newest FROM g GROUP BY 1""")
+def s19_cache(spark, d):
+    """A cache that entries are stored in twice and deleted from, listed and counted by scope."""
+    rows = table(spark, d, "events").select("user_id", F.col("event_type").alias("k"), F.col("props").alias("content"), F.col("event_id").alias("used"))
+    empty = rows.limit(0).withColumn("uses", F.lit(1).cast("long"))
+    held = S.cache_store(S.cache_store(empty, rows.where("used % 2 = 1"), ["user_id"], "k"), rows.where("used % 2 = 0"), ["user_id"], "k")
+    held = S.cache_delete(held, rows.where("k = 'error' and user_id % 2 = 0"), ["user_id"], "k")
+    newest = S.newest(held, ["user_id"], F.col("used"), 2).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("used")).alias("u"), "content"))), lambda x: x["content"]).alias("newest"))
+    return S.cache_stats(held, ["user_id"]).join(newest, "user_id")

@@ -73,45 +73,58 @@ def f18_softmax(spark, d):
 ACTIVATIONS = {"sigmoid": "1 / (1 + exp(-x))", "tanh": "tanh(x)", "relu": "greatest(x, 0)", "leaky": "CASE WHEN x >= 0 THEN x ELSE x * 0.01 END", "softplus": "greatest(x, 0) + ln(1 + exp(-abs(x)))", "linear": "x"}
 
 
-@query("f16_activations", f"WITH {UNIT}, x AS (SELECT id, raw[1] * 8 AS x FROM u) SELECT id, " + ", ".join(f"round({e}, 6) AS {k}" for k, e in ACTIVATIONS.items()) + " FROM x")
+@query("f16_activations", f"WITH {UNIT}, x AS (SELECT id, unnest(raw) * 8 AS x FROM u) SELECT id, " + ", ".join(f"round(sum({e}), 4) AS {k}" for k, e in ACTIVATIONS.items()) + " FROM x GROUP BY 1")
 def f16_activations(spark, d):
-    x = F.get("v", F.lit(0)).cast("double") * 8
-    return store(spark, d).select("id", *(F.round(V.activation(x, k), 6).alias(k) for k in ACTIVATIONS))
+    """Sums of each activation over all components."""
+    total = lambda kind: V.total(F.transform("v", lambda x: V.activation(x.cast("double") * 8, kind)))
+    return store(spark, d).select("id", *(F.round(total(k), 4).alias(k) for k in ACTIVATIONS))
 
 
-FEDERATED = f"""WITH {UNIT}, q AS (SELECT v FROM v WHERE id = 0), s AS (SELECT 'store' || label AS store, v.id AS id, round(list_dot_product(v.v, q.v), 9) AS score FROM v, q),
-r AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY score DESC, id) AS i, count(*) OVER (PARTITION BY store) AS n FROM s),
+FEDERATED = f"""WITH {UNIT}, s AS (SELECT q.id AS query_id, 'store' || c.label AS store, c.id AS id, round(list_dot_product(c.v, q.v), 9) AS score FROM v q JOIN v c ON q.id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, store ORDER BY score DESC, id) AS i, count(*) OVER (PARTITION BY query_id, store) AS n FROM s),
 k AS (SELECT *, CASE WHEN n = 1 THEN 1.0 ELSE 1 - (i - 1) / (n - 1) END AS rs FROM r)"""
 
 
 def hits(spark, d):
-    found = S.vector_search(store(spark, d).select("id", "v"), store(spark, d).where("id = 0"), 1_000_000_000)
-    return found.join(store(spark, d).select("id", F.concat(F.lit("store"), F.col("label")).alias("store")), "id").select("store", "id", "score")
+    """Scores of all vectors, each in its store, with every hundredth."""
+    found = S.all_scores(store(spark, d).select("id", "v"), store(spark, d).where("id % 100 = 0"))
+    return found.join(store(spark, d).select("id", F.concat(F.lit("store"), F.col("label")).alias("store")), "id").select("query_id", "store", "id", "score")
 
 
-@query("o4_federated", FEDERATED + " SELECT store, id, round((rs + greatest(score, 0)) / 2, 6) AS final, CAST(row_number() OVER (ORDER BY round((rs + greatest(score, 0)) / 2, 9) DESC, store, id) AS INTEGER) AS position FROM k WHERE i <= 50")
+@query("o4_federated", FEDERATED + " SELECT query_id, store, id, round((rs + greatest(score, 0)) / 2, 6) AS final, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round((rs + greatest(score, 0)) / 2, 9) DESC, store, id) AS INTEGER) AS position FROM k WHERE i <= 20")
 def o4_federated(spark, d):
-    """The 50 best of each store in one order."""
+    """The 20 best of each store in one order for each query."""
     from pyspark.sql import Window
 
-    place = F.row_number().over(Window.partitionBy("store").orderBy(F.desc("score"), "id"))
-    n = F.count("*").over(Window.partitionBy("store"))
-    ranked = hits(spark, d).withColumns({"i": place, "n": n}).where("i <= 50")
+    own = Window.partitionBy("query_id", "store")
+    n = hits(spark, d).groupBy("query_id", "store").agg(F.count("*").alias("n"))
+    ranked = hits(spark, d).withColumn("i", F.row_number().over(own.orderBy(F.desc("score"), "id"))).where("i <= 20").join(n, ["query_id", "store"])
     rs = F.when(F.col("n") == 1, 1.0).otherwise(1 - (F.col("i") - 1) / (F.col("n") - 1))
     out = ranked.withColumn("final", F.round((rs + F.greatest("score", F.lit(0.0))) / 2, 9))
-    return out.select("store", "id", F.round("final", 6).alias("final"), F.row_number().over(Window.orderBy(F.desc("final"), "store", "id")).alias("position"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "store", "id"))
+    return out.select("query_id", "store", "id", F.round("final", 6).alias("final"), place.alias("position"))
 
 
-@query("a36_document_hits", FEDERATED + " SELECT store, count(*) AS n, round(max(score), 6) AS best, round(avg(score), 6) AS mean, list(id ORDER BY score DESC, id)[1:3] AS chunks FROM s GROUP BY 1")
+@query("a36_document_hits", FEDERATED + " SELECT query_id, store, count(*) AS n, round(max(score), 6) AS best, round(avg(score), 6) AS mean, list(id ORDER BY i) FILTER (i <= 3) AS chunks FROM r GROUP BY 1, 2")
 def a36_document_hits(spark, d):
-    return S.by_document(hits(spark, d), "store", 3).select("store", "n", F.round("best", 6).alias("best"), F.round("mean", 6).alias("mean"), "chunks")
+    """Hits of each store for each query: number, best and mean score, and the three best."""
+    from pyspark.sql import Window
 
+    rows = hits(spark, d)
+    best = rows.withColumn("i", F.row_number().over(Window.partitionBy("query_id", "store").orderBy(F.desc("score"), "id"))).where("i <= 3")
+    chunks = best.groupBy("query_id", "store").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("chunks"))
+    found = rows.groupBy("query_id", "store").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"))
+    return found.join(chunks, ["query_id", "store"])
 
-@query("j7_dot_self_join", f"""WITH {UNIT}, p AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 9) AS score FROM v a JOIN v b ON a.id <> b.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM p WHERE score >= 0.1) SELECT a, b, round(score, 6) AS score FROM r WHERE rank <= 5 AND a < b""")
-def j7_dot_self_join(spark, d):
-    found = S.vector_search(store(spark, d), store(spark, d), 6, 0.1).where("query_id <> id")
-    from pyspark.sql import Window
 
-    again = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("r", again).where("r <= 5 and query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.round("score", 6).alias("score"))
+@query("j7_dot_self_join", f"""WITH {UNIT}, p AS (SELECT a.label, a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 9) AS score FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY score DESC, b) AS rank FROM p WHERE score >= 0.1) SELECT label, a, b, round(score, 6) AS score FROM r WHERE rank <= 5 AND a < b""")
+def j7_dot_self_join(spark, d):
+    """Similar vectors of one label, which is to them what a file is to its chunks."""
+    from ..operators.matches import scoped_pairs
+    from ..operators.terms import both_ways, top_neighbours
+
+    unit = store(spark, d).select("id", "label", V.normalized(F.col("v")).alias("v"))
+    pairs = scoped_pairs(unit, ["label"], ["v"]).select("label", "a", "b", F.round(V.dot(F.col("x.v"), F.col("y.v")), 9).alias("score")).where("score >= 0.1")
+    found = top_neighbours(both_ways(pairs), "score", 5, ("label",)).where("a < b")
+    return found.select("label", "a", "b", F.round("score", 6).alias("score"))

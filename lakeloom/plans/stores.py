@@ -111,7 +111,11 @@ def o7_newest(spark, d):
     return S.newest(table(spark, d, "events"), ["user_id"], F.struct("ts", "event_id"), 3).select("user_id", "event_id")
 
 
-@query("r8_online_learning")
+STEP = "0.1 * (r.y - 1 / (1 + exp(-(s.w * r.x + s.v * r.z + s.b))))"
+
+
+@query("r8_online_learning", f"""WITH e AS (SELECT user_id, [{{'w': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'x': 0.0::DOUBLE, 'z': 0.0::DOUBLE, 'y': 0.0::DOUBLE}}] || list({{'w': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'x': value / 100, 'z': CAST(hour(ts) / 24 AS DOUBLE), 'y': CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END}} ORDER BY event_id) AS e FROM events GROUP BY 1),
+f AS (SELECT user_id, list_reduce(e, lambda s, r: {{'w': s.w + {STEP} * r.x, 'v': s.v + {STEP} * r.z, 'b': s.b + {STEP}, 'x': r.x, 'z': r.z, 'y': r.y}}) AS f FROM e) SELECT user_id, [round(f.w, 9), round(f.v, 9)] AS weights, round(f.b, 9) AS bias FROM f""")
 def r8_online_learning(spark, d):
     rows = table(spark, d, "events").withColumn("y", F.when(F.col("event_type") == "purchase", 1).otherwise(0))
     x = F.array(F.col("value") / 100, F.hour("ts") / 24)
@@ -149,14 +153,22 @@ def a57_prompt(spark, d):
     return merged.groupBy("conv_id").agg(text("island", F.concat_ws(": ", "role", "content"), "\n\n").alias("prompt"))
 
 
-@query("e8_timeline", "WITH r AS (SELECT CAST(floor(epoch(ts) / 7200) AS BIGINT) AS bucket, event_id, row_number() OVER (PARTITION BY floor(epoch(ts) / 7200) ORDER BY ts, event_id) AS i FROM events) SELECT bucket, list(event_id ORDER BY i) AS captions FROM r WHERE i <= 5 GROUP BY 1")
+@query("e8_timeline", """WITH l AS (SELECT min(ts) AS t0 FROM events), r AS (SELECT (epoch_us(ts) - epoch_us(t0)) // 7200000000 AS bucket, event_id, event_type, ts FROM events, l), i AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY ts, event_id) AS i FROM r),
+g AS (SELECT bucket, count(*) AS n, min(ts) AS first, max(ts) AS last, list(event_type || ' ' || event_id ORDER BY i) FILTER (i <= 5) AS captions, count(*) > 5 AS truncated FROM i GROUP BY 1) SELECT *, bucket - lag(bucket) OVER (ORDER BY bucket) > 1 AS after_gap FROM g""")
 def e8_timeline(spark, d):
+    """Two-hour frames from the first event on: their number, span and first five captions, and whether empty frames came before."""
     from ..operators.ordered import micros
 
-    rows = table(spark, d, "events").select(F.floor(micros("ts") / 7_200_000_000).alias("bucket"), "ts", "event_id")
+    rows = table(spark, d, "events").select(micros("ts").alias("us"), "ts", "event_id", "event_type")
+    start = rows.agg(F.min("us").alias("t0"))
+    rows = rows.join(F.broadcast(start)).withColumn("bucket", F.floor((F.col("us") - F.col("t0")) / 7_200_000_000))
     i = F.row_number().over(Window.partitionBy("bucket").orderBy("ts", "event_id"))
-    kept = rows.withColumn("i", i).where("i <= 5")
-    return kept.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_id"))), lambda x: x["event_id"]).alias("captions"))
+    best = rows.withColumn("i", i).where("i <= 5").groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.concat_ws(" ", "event_type", "event_id").alias("c")))), lambda x: x["c"]).alias("captions"))
+    frames = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), (F.count("*") > 5).alias("truncated"))
+    before = frames.select((F.col("bucket") + 1).alias("bucket"), F.lit(True).alias("follows"))
+    first = frames.agg(F.min("bucket").alias("low"))
+    out = frames.join(best, "bucket").join(before, "bucket", "left").join(F.broadcast(first))
+    return out.withColumn("after_gap", F.when(F.col("bucket") > F.col("low"), F.col("follows").isNull())).drop("follows", "low")
 
 
 @query("j26_unresolved", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'")
@@ -196,8 +208,8 @@ def w25_rank_frames(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.ntile(4).over(w).alias("quarter"), F.dense_rank().over(w).alias("place"), F.round(near, 4).alias("near"))
 
 
-@query("u2_quality_confusion", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
-def u2_quality_confusion(spark, d):
+@query("a58_label_confusion", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
+def a58_label_confusion(spark, d):
     return table(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 

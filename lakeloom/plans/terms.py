@@ -138,7 +138,9 @@ def j2_tfidf_cosine(spark, d):
     return T.tfidf_cosine(turn_counts(spark, d), ["conv_id"], 0.02, 5).withColumn("cosine", F.round("cosine", 6))
 
 
-@query("j3_bipartite_match")
+@query("j3_bipartite_match", f"""WITH {COUNTS}, i AS (SELECT item_id AS id, unnest(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9_]+)', 1), lambda t: length(t) >= 3 AND t NOT IN ({STOP})))) AS term FROM benchmark), x AS (SELECT id, count(*) AS n FROM i GROUP BY 1), z AS (SELECT id, count(*) AS n FROM counts GROUP BY 1),
+p AS (SELECT i.id AS a, counts.id AS b, count(*) AS shared FROM i JOIN counts USING (term) GROUP BY 1, 2), j AS (SELECT a, b, shared / (x.n + z.n - shared) AS s FROM p JOIN x ON x.id = a JOIN z ON z.id = b WHERE shared >= 2), k AS (SELECT a, b, round(s, 6) AS s FROM j WHERE s >= 0.02),
+g AS (SELECT unnest(list_reduce(list([{{'a': a, 'b': b, 's': s}}] ORDER BY s DESC, a, b), lambda acc, y: CASE WHEN len(list_filter(acc, lambda q: q.a = y[1].a)) < 3 AND len(list_filter(acc, lambda q: q.b = y[1].b)) < 1 THEN list_concat(acc, y) ELSE acc END)) AS q FROM k) SELECT q.a, q.b, q.s AS jaccard FROM g""")
 def j3_bipartite_match(spark, d):
     """Benchmark items and documents, matched from the best pair on with at most one and three partners."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.explode(F.array_distinct(tokens("text", least=3, stopwords=STOPWORDS))).alias("term"))

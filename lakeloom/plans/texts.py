@@ -32,7 +32,7 @@ def f25_preview(spark, d):
     return docs(spark, d).select("id", X.preview("text", 80).alias("preview"))
 
 
-@query("f25_truncate_bytes")
+@query("f25_truncate_bytes", "WITH c AS (SELECT id, k, substr(text, k, 1) AS c FROM (SELECT doc_id AS id, coalesce(text, '') AS text, unnest(range(1, 51)) AS k FROM documents) WHERE k <= length(text)), b AS (SELECT *, sum(strlen(c)) OVER (PARTITION BY id ORDER BY k) AS n FROM c) SELECT d.doc_id AS id, coalesce(string_agg(c, '' ORDER BY k), '') AS cut FROM documents d LEFT JOIN b ON b.id = d.doc_id AND n <= 50 GROUP BY d.doc_id")
 def f25_truncate_bytes(spark, d):
     """The longest prefix of whole characters in 50 bytes."""
     return docs(spark, d).select("id", X.truncate_utf8("text", 50).alias("cut"))
@@ -177,7 +177,7 @@ def c5_word_chunks(spark, d):
     return C.sliding_words(docs(spark, d), 100, 20)
 
 
-@query("c3_variable_chunks")
+@query("c3_variable_chunks", "WITH k AS (SELECT doc_id AS id, text, unnest(range(0, ((length(text) - 1) // 1400 + 1) * 3)) AS k FROM documents WHERE text <> ''), a AS (SELECT id, text, k, (k // 3) * 1400 + [0, 200, 600][k % 3 + 1] AS a, [200, 400, 800][k % 3 + 1] AS s FROM k) SELECT id, CAST(k AS INTEGER) AS chunk, substr(text, a + 1, s) AS content FROM a WHERE a < length(text)")
 def c3_variable_chunks(spark, d):
     return C.variable_chars(docs(spark, d), [200, 400, 800])
 
