@@ -91,7 +91,7 @@ def hits(spark, d):
     return found.join(store(spark, d).select("id", F.concat(F.lit("store"), F.col("label")).alias("store")), "id").select("query_id", "store", "id", "score")
 
 
-@query("o4_federated", FEDERATED + " SELECT query_id, store, id, round((rs + greatest(score, 0)) / 2, 6) AS final, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round((rs + greatest(score, 0)) / 2, 9) DESC, store, id) AS INTEGER) AS position FROM k WHERE i <= 20")
+@query("o4_federated", FEDERATED + " SELECT query_id, store, id, round(round((rs + greatest(score, 0)) / 2, 9), 6) AS final, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round((rs + greatest(score, 0)) / 2, 9) DESC, store, id) AS INTEGER) AS position FROM k WHERE i <= 20")
 def o4_federated(spark, d):
     """The 20 best of each store in one order for each query."""
     from pyspark.sql import Window
