@@ -9,7 +9,8 @@ step alone and each distinct one is looked up once a batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import chain, groupby, islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +35,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
 
 
-def bare(step: str) -> str:
-    return step.partition("\t")[0]
-
-
 def word_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of distinct steps' words, buckets of the grams of all words in one row, and where each word's begin.
 
     Grams are the runs of three and of five bytes of the word between two marks.
     """
-    data = [b"<" + bare(w).encode() + b">" for w in words]
+    data = [b"<" + (w.partition("\t")[0] if "\t" in w else w).encode() + b">" for w in words]
     size = np.fromiter(map(len, data), np.int64, len(data))
     raw = np.frombuffer(b"".join(data), np.uint8).astype(np.uint32)
     ends = np.cumsum(size)
@@ -82,7 +79,9 @@ class Network:
         count = np.diff(np.append(at, len(tri)))
         # no slice is empty: a word has a byte at least, and with its two marks a run of three
         chars = np.add.reduceat(self.p["char"][tri], at, axis=0) / count[:, None]
-        times = np.array([np.log2(float(w.partition("\t")[2] or 1)) for w in words])[:, None]
+        times = np.zeros((len(words), 1))
+        again = [k for k, w in enumerate(words) if "\t" in w]
+        times[again, 0] = np.log2([float(words[k].partition("\t")[2]) for k in again])
         return np.hstack((self.p["word"][key], chars, times)).astype(np.float32), (key, tri, at, count)
 
     def gru(self, x: np.ndarray, mask: np.ndarray, d: str, trace: list | None = None) -> np.ndarray:
@@ -202,7 +201,10 @@ def block(parts: list[tuple[int, list[str]]]) -> tuple[np.ndarray, list[str], np
 
 def split_words(text: str | None) -> list[str]:
     """Steps of a text: its lower-cased words, one that follows itself with a tab and how often it stands there."""
-    runs = ((w, sum(1 for _ in same)) for w, same in groupby((text or "").lower().split()))
+    words = (text or "").lower().split()
+    if not any(map(eq, words, islice(words, 1, None))):
+        return words
+    runs = ((w, len(list(same))) for w, same in groupby(words))
     return [w if n == 1 else f"{w}\t{n}" for w, n in runs]
 
 

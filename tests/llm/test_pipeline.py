@@ -20,13 +20,17 @@ def test_pipeline(spark, sf):
     common.release(spark, "test")
 
 
-def test_pipeline_of_odd_rows(spark, sf):
-    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (None, "text " * 30, "en", "s", 5), (3, "same words here", "en", "s", 15), (3, "same words here", "en", "s", 15)]
+def test_pipeline_of_odd_rows(spark, sf, monkeypatch):
+    """Nulls, empty texts, repeated rows, an id with two texts, and an empty table, in every stage."""
+    monkeypatch.setattr(toxicity, "train", lambda documents, labels: toxicity.Network())
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (None, "text " * 30, "en", "s", 5), (3, "same words here", "en", "s", 15), (3, "same words here", "en", "s", 15), (3, "another text", "en", "s", 12), (4, "long " * 5000, "en", "s", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for frame in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES[2:4]:
+        for _, stage in corpus_pipeline.STAGES[:4]:
             assert stage(spark, frame, sf).dtypes == docs.dtypes
-            stage(spark, frame, sf).collect()
+            assert stage(spark, frame, sf).count() <= frame.count()
+        packed = corpus_pipeline.STAGES[4][1](spark, frame, sf)
+        assert packed.count() >= frame.count() and packed.where("n_tokens > 2048").count() == 0
 
 
 def test_toxicity_learns_from_rejected_documents(spark, sf, monkeypatch):
