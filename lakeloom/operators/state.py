@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -17,5 +19,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
         found = context.getConf().get("spark.checkpoint.dir")
         if found is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="lakeloom-checkpoint-"))
+        if found is None:
+            found = tempfile.mkdtemp(prefix="lakeloom-checkpoint-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
+        context.setCheckpointDir(found)
     return df.checkpoint()

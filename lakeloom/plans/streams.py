@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def shared(spark: SparkSession) -> str:
     if found is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lakeloom-stream-")
+        own = tempfile.mkdtemp(prefix="lakeloom-stream-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
     return f"{found}/stream-{uuid.uuid4().hex}"
 
 
