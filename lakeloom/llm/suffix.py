@@ -6,7 +6,8 @@ Consecutive windows of one hash form a segment. Segments of a hash that occurs o
 repeat; the others are reduced to distinct ones with their counts, and those of a few hashes at a
 time share a suffix array. It is built by two-stage sorting: suffixes smaller than their successors
 are sorted, the others follow from a scan of the buckets; then adjacent common prefixes tell which
-windows occur again.
+windows occur again. The windows of a hash that has too many different segments for one array, as a very
+common passage in many surroundings gives, are cut again by longer grams, at last by the windows themselves.
 """
 
 from __future__ import annotations
@@ -26,22 +27,33 @@ LENGTH, GRAM = 400, 128
 SEGMENT_STARTS = 4096
 #: Bytes of segments that share a suffix array, about.
 SHARD_BYTES = 1_000_000
-#: Hashes with more distinct segments than this, more than fit a shard, are spread by single windows.
+#: The segments of hashes with more distinct ones than this, more than fit a shard, are cut again by a longer gram.
 HOT_SEGMENTS = 4096
 _TABLE = np.random.default_rng(20240401).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every run of ``size`` (a power of two) bytes, by doubling."""
+    """A hash of every run of ``size`` bytes, from those of powers of two, which follow by doubling."""
     h, k, p = _TABLE[data], 1, np.uint64(0x9E3779B97F4A7C15)
-    while k < size:
-        h = h[:-k] * p + h[k:]
-        with np.errstate(over="ignore"):
+    n, out, at = len(data) - size + 1, np.zeros(max(0, len(data) - size + 1), np.uint64), 0
+    with np.errstate(over="ignore"):
+        while True:
+            if size & k:
+                out = out * np.uint64(0xD6E8FEB86659FD93) + h[at : at + n]
+                at += k
+            if 2 * k > size:
+                break
+            h = h[:-k] * p + h[k:]
             k, p = 2 * k, p * p
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def finer_grams(length: int, gram: int) -> list[int]:
+    """The longer grams by which segments are cut again: twice as long, nearly a window, a window."""
+    return sorted({g for g in (2 * gram, length - length // 25, length) if gram < g <= length})
 
 
 def sliding(x: np.ndarray, width: int, ufunc: np.ufunc, fill: np.uint64) -> np.ndarray:
@@ -244,74 +256,109 @@ def find_segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def fetch(rows: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
-    """The bytes of the distinct segments, or for those of hot hashes a digest of each window.
-
-    ``h, seg, times long, data binary`` or ``h, seg, times, rel int, d0 long, d1 long``.
-    """
-    asked = F.collect_list(F.struct("h", "seg", "times", "start", "n", "hot")).alias("asked")
-    wanted = distinct.select("h", "seg", "times", "hot", "rep.*").groupBy("_id", "_h").agg(asked)
+    """``h, seg, times long, data binary``: the bytes of the distinct segments; repeated rows may send one twice."""
+    asked = F.collect_list(F.struct("h", "seg", "times", "start", "n")).alias("asked")
+    wanted = distinct.select("h", "seg", "times", "rep.*").groupBy("_id", "_h").agg(asked)
     rows = rows.select("_id", "_h", "_text").join(wanted.hint("shuffle_hash"), ["_id", "_h"])
-    names = ["h", "seg", "times", "data", "rel", "d0", "d1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
             out, size = [], 0
             for text, asked in zip(batch.column(0), batch.column(1), strict=True):
                 data = text.as_py().encode()
                 for q in asked.as_py():
                     a, n = q["start"], q["n"]
-                    if q["hot"]:
-                        marks = np.frombuffer(b"".join(digest(data[k : k + length]) for k in range(a, a + n)), np.int64).reshape(-1, 2).tolist()
-                        out += [(q["h"], q["seg"], q["times"], None, k, x, y) for k, (x, y) in enumerate(marks)]
-                        size += 100 * n
-                    else:
-                        out.append((q["h"], q["seg"], q["times"], data[a : a + n + length - 1], None, None, None))
-                        size += n + length
+                    out.append((q["h"], q["seg"], q["times"], data[a : a + n + length - 1]))
+                    size += n + length
                     if size > 4_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                        yield packed(out)
                         out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield packed(out)
 
-    return rows.select("_text", "asked").mapInArrow(run, "h long, seg long, times long, data binary, rel int, d0 long, d1 long")
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        kinds = {"h": pa.int64(), "seg": pa.int64(), "times": pa.int64(), "data": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
+    return rows.select("_text", "asked").mapInArrow(run, "h long, seg long, times long, data binary")
 
-def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, scope: str = "lakeloom") -> DataFrame:
-    """``_id, _h, runs array<struct<a,b>>``: first and last windows of the runs that occur elsewhere too."""
-    all_segments = materialize(find_segments(rows, length, gram), scope)
-    often = all_segments.groupBy("h").agg(F.count("*").alias("k"), F.max("twice").alias("twice")).where("k > 1 or twice").select("h")
-    some = materialize(all_segments.join(often, "h").drop("twice"), scope)
-    discard(all_segments)
-    rep = F.min(F.struct("_id", "_h", "start", "n")).alias("rep")
-    distinct = some.groupBy("h", "seg").agg(F.count("*").alias("times"), rep)
-    kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds"))
-    distinct = materialize(distinct.join(kinds, "h").withColumn("hot", F.col("kinds") > HOT_SEGMENTS).drop("kinds"), scope)
-    total = distinct.where("not hot").agg(F.coalesce(F.sum(F.col("rep.n") + length), F.lit(0))).first()[0]
-    shards = max(1, -(-total // SHARD_BYTES))
-    parts = materialize(fetch(rows, distinct, length), scope)
-    run_type = "array<struct<a:int,b:int>>"
+
+def cut_again(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``h, seg, times, start int, h2, seg2 long, twice boolean, data binary``: the segments of segments by another gram; ``h2`` also tells the ``h``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash64 = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                texts = part.column(3).to_pylist()
+                size = np.fromiter(map(len, texts), np.int64, len(texts))
+                joined, first = b"".join(texts), np.cumsum(size) - size
+                text, start, n, h, twice = segments(np.frombuffer(joined, np.uint8), first, size, length, gram)
+                data = [joined[x:y] for x, y in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)]
+                of = part.column(0).take(pa.array(text))
+                own = (h ^ (of.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+                seg = np.array([hash64(x) for x in data], np.uint64).view(np.int64)
+                columns = {"h": of, "seg": part.column(1).take(pa.array(text)), "times": part.column(2).take(pa.array(text)), "start": pa.array((start - first[text]).astype(np.int32))}
+                yield pa.RecordBatch.from_pydict(columns | {"h2": pa.array(own), "seg2": pa.array(seg), "twice": pa.array(twice), "data": pa.array(data, pa.binary())})
+
+    return parts.select("h", "seg", "times", "data").mapInArrow(run, "h long, seg long, times long, start int, h2 long, seg2 long, twice boolean, data binary")
+
+
+RUNS = "array<struct<a:int,b:int>>"
+
+
+def shifted(runs: str, by: str):
+    return F.transform(runs, lambda r: F.struct((r["a"] + F.col(by)).alias("a"), (r["b"] + F.col(by)).alias("b")))
+
+
+def solve(parts: DataFrame, length: int, grams: list[int], scope: str) -> DataFrame:
+    """``h, seg, runs``: runs (first, last) of windows that occur again, for distinct segments ``h, seg, times, data``.
+
+    Segments of one hash share a suffix array with those of a few others. Those of a hash with more than
+    ``HOT_SEGMENTS`` distinct ones are cut by the next longer gram, which spreads them over further hashes; by the last gram,
+    a whole window, a hash has one segment.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         held = {}
         for h, seg, times, data in zip(*(table.column(c).to_pylist() for c in ("h", "seg", "times", "data")), strict=True):
-            held.setdefault((h, seg), (times, data))  # a repeated row may have sent its segments twice
+            held.setdefault((h, seg), (times, data))
         found = repeated_starts([d for _, d in held.values()], np.array([t for t, _ in held.values()], np.int64), length)
         rows = [(h, seg, [{"a": a, "b": b} for a, b in runs]) for (h, seg), runs in zip(held, found, strict=True) if runs]
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
         return pa.table({"h": pa.array(columns[0], pa.int64()), "seg": pa.array(columns[1], pa.int64()), "runs": pa.array(columns[2], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
 
-    cold = parts.where("data is not null").select("h", "seg", "times", "data", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
-    cold = cold.groupBy("shard").applyInArrow(run, f"h long, seg long, runs {run_type}")
-    hot = parts.where("data is null").select("h", "seg", "times", "rel", "d0", "d1").dropDuplicates(["h", "seg", "rel"])
-    known = hot.groupBy("d0", "d1").agg(F.sum("times").alias("total")).where("total > 1").select("d0", "d1")
-    single = F.collect_list(F.struct(F.col("rel").alias("a"), F.col("rel").alias("b"))).alias("runs")
-    hot = hot.join(known, ["d0", "d1"]).groupBy("h", "seg").agg(single)
-    found = materialize(cold.unionByName(hot), scope)
-    discard(parts, distinct)
-    at = F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
-    return some.join(found, ["h", "seg"]).select("_id", "_h", at.alias("runs")).groupBy("_id", "_h").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    hot = materialize(parts.groupBy("h").agg(F.count_distinct("seg").alias("kinds")).where(F.col("kinds") > HOT_SEGMENTS).select("h"), scope) if grams else None
+    some = hot is not None and bool(hot.head(1))
+    cold = parts.join(hot, "h", "left_anti") if some else parts
+    total = cold.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+    shards = max(1, -(-total // SHARD_BYTES))
+    dealt = cold.select("h", "seg", "times", "data", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
+    found = materialize(dealt.groupBy("shard").applyInArrow(run, f"h long, seg long, runs {RUNS}"), scope)
+    if not some:
+        return found
+    again = materialize(cut_again(parts.join(hot, "h", "left_semi").dropDuplicates(["h", "seg"]), length, grams[0]), scope)
+    often = again.groupBy("h2").agg(F.sum("times").alias("k"), F.max("twice").alias("twice")).where("k > 1 or twice").select("h2")
+    again = materialize(again.join(often, "h2").drop("twice"), scope)
+    inner = materialize(again.groupBy(F.col("h2").alias("h"), F.col("seg2").alias("seg")).agg(F.sum("times").alias("times"), F.first("data").alias("data")), scope)
+    inside = solve(inner, length, grams[1:], scope).select(F.col("h").alias("h2"), F.col("seg").alias("seg2"), "runs")
+    back = again.join(inside, ["h2", "seg2"]).select("h", "seg", shifted("runs", "start").alias("runs"))
+    return found.unionByName(materialize(back.groupBy("h", "seg").agg(F.flatten(F.collect_list("runs")).alias("runs")), scope))
+
+
+def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, scope: str = "lakeloom") -> DataFrame:
+    """``_id, _h, runs array<struct<a,b>>``: first and last windows of the runs that occur elsewhere too."""
+    all_segments = materialize(find_segments(rows, length, gram), scope)
+    often = all_segments.groupBy("h").agg(F.count("*").alias("k"), F.max("twice").alias("twice")).where("k > 1 or twice").select("h")
+    some = materialize(all_segments.join(often, "h").drop("twice"), scope)
+    discard(all_segments)
+    rep = F.min(F.struct("_id", "_h", "start", "n")).alias("rep")
+    distinct = some.groupBy("h", "seg").agg(F.count("*").alias("times"), rep)
+    parts = materialize(fetch(rows, distinct, length), scope)
+    found = solve(parts, length, finer_grams(length, gram), scope)
+    found = some.join(found, ["h", "seg"]).select("_id", "_h", shifted("runs", "start").alias("runs"))
+    return found.groupBy("_id", "_h").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def spans(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:

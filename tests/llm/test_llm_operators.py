@@ -396,6 +396,28 @@ def test_suffix_dedup(spark, docs, monkeypatch, hot):
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_grams_of_any_size():
+    data = np.frombuffer(b"abcabcabdabcabcabd" * 3, np.uint8)
+    for size in (1, 2, 3, 7, 8, 12, 17):
+        h = suffix.gram_hashes(data, size)
+        grams = [bytes(data[k : k + size]) for k in range(len(data) - size + 1)]
+        assert len(h) == len(grams) and len({*zip(grams, h.tolist())}) == len(set(grams)) == len(set(h.tolist()))
+    assert suffix.finer_grams(400, 128) == [256, 384, 400] and suffix.finer_grams(192, 64) == [128, 185, 192] and suffix.finer_grams(8, 8) == []
+
+
+def test_suffix_dedup_of_a_hot_passage(spark, monkeypatch):
+    """A passage in many surroundings: its segments are cut by all longer grams, and the result is that of brute force."""
+    monkeypatch.setattr(suffix, "HOT_SEGMENTS", 5)
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    for size in (130, 300, 398, 420):
+        passage = " ".join(word() for _ in range(90))[:size]
+        texts = [" ".join(word() for _ in range(60)) + passage + " ".join(word() for _ in range(60)) for _ in range(40)]
+        got = suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        want = dict(enumerate(brute_repeats([t.encode() for t in texts], 400)))
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()} == want
+
+
 def test_suffix_dedup_of_clashing_names_and_short_passages(spark):
     passage = " ".join(f"w{k}" for k in range(60))
     rows = [(1, f"one {passage} end"), (2, f"two {passage} more"), (3, "short line " * 25), (4, None), (4, "short line " * 25)]
