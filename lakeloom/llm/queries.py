@@ -27,6 +27,7 @@ NAMES = {
     "op8_separator_scan": "tokencount",
     "op9_byte_bpe": "bpe",
     "op10_quality": "quality",
+    "op13_repair": "repair",
 }
 
 
@@ -35,6 +36,7 @@ def queries():
 
 
 def oracle_sql():
+    from .repair import OP13_SQL
     from .topk import OP6_SQL
 
-    return {"op6_top_k": OP6_SQL}
+    return {"op6_top_k": OP6_SQL, "op13_repair": OP13_SQL}
