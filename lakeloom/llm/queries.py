@@ -27,6 +27,7 @@ NAMES = {
     "op8_separator_scan": "tokencount",
     "op9_byte_bpe": "bpe",
     "op10_quality": "quality",
+    "op11_prefix_trie": "trie",
     "op13_repair": "repair",
 }
 
@@ -38,5 +39,6 @@ def queries():
 def oracle_sql():
     from .repair import OP13_SQL
     from .topk import OP6_SQL
+    from .trie import OP11_SQL
 
-    return {"op6_top_k": OP6_SQL, "op13_repair": OP13_SQL}
+    return {"op6_top_k": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op13_repair": OP13_SQL}
