@@ -28,6 +28,7 @@ NAMES = {
     "op9_byte_bpe": "bpe",
     "op10_quality": "quality",
     "op11_prefix_trie": "trie",
+    "op12_near_embeddings": "caps",
     "op13_repair": "repair",
 }
 
@@ -37,8 +38,9 @@ def queries():
 
 
 def oracle_sql():
+    from .caps import OP12_SQL
     from .repair import OP13_SQL
     from .topk import OP6_SQL
     from .trie import OP11_SQL
 
-    return {"op6_top_k": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op13_repair": OP13_SQL}
+    return {"op6_top_k": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op12_near_embeddings": OP12_SQL, "op13_repair": OP13_SQL}
