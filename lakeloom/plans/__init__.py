@@ -6,7 +6,7 @@ import importlib
 
 from .base import QUERIES, SQL
 
-MODULES = ["profile", "terms", "ordered", "search", "texts", "stores", "labels", "streams", "relations", "lookups", "catalogs", "matches", "measures", "structures"]
+MODULES = ["profile", "terms", "ordered", "search", "texts", "stores", "labels", "streams", "relations", "lookups", "catalogs", "matches", "measures", "structures", "media", "extensions"]
 
 
 def load():
