@@ -10,6 +10,7 @@ from ..operators import profile as P
 from ..operators import search as V
 from ..operators import stores as S
 from ..sources import files as Z
+from . import generated as N
 from .base import query, table
 from .streams import shared
 
@@ -204,11 +205,10 @@ def s25_definitions(spark, d):
     return Z.dictionary_lines(a.unionAll(b))
 
 
-@query("s28_math_blocks", """SELECT p_partkey AS id, kind, content FROM part, (VALUES ('dollar', '$x_{' || 'N' || '}$'), ('environment', '\\begin{align}a&=b\\end{align}'), ('bracket', '\\[y\\]')) v(kind, content)""")
+@query("s28_math_blocks", f"SELECT id, kind, name AS content FROM {N.FORMULAS.sql()}")
 def s28_math_blocks(spark, d):
     """Formulas of LaTeX sources, one of them within a comment and one inside another."""
-    source = F.lit("cost \\$5 $x_{N}$ % not $z$\n\\begin{align}a&=b\\end{align} text \\[y\\] end")
-    return Z.math_blocks(table(spark, d, "part").select(F.col("p_partkey").alias("id"), source.alias("text"))).select("id", "kind", "content")
+    return Z.math_blocks(N.FORMULAS.sources(spark, d)).select("id", "kind", "content")
 
 
 @query("s29_tool_output", "SELECT doc_id, 'compiler' AS kind, 'cc' AS label, CAST(generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS INTEGER) AS line, length(unnest(string_split(coalesce(text, ''), chr(10)))) AS chars FROM documents")
@@ -252,12 +252,13 @@ def p1_columns(spark, d):
     return out
 
 
-@query("p3_cell_kinds", "SELECT lower(v) AS v, CASE WHEN trim(v) = '' THEN 'missing' WHEN v IN ('1', '-2.5', '1,234', '1e3') THEN 'number' WHEN v IN ('true', 'FALSE') THEN 'bool' ELSE 'text' END AS kind, (SELECT count(*) FROM region) AS n FROM (VALUES (''), ('NA'), ('null'), ('1'), ('-2.5'), ('1,234'), ('1e3'), ('true'), ('FALSE'), ('abc'), ('1x')) t(v)")
+CELLS = "CASE event_id % 7 WHEN 0 THEN repeat(' ', CAST(event_id % 3 AS INTEGER)) WHEN 1 THEN '-' || event_id || '.5' WHEN 2 THEN event_type WHEN 3 THEN CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'FALSE' END WHEN 4 THEN (event_id % 999 + 1) || ',234' WHEN 5 THEN event_id || 'e3' ELSE props END"
+
+
+@query("p3_cell_kinds", f"SELECT event_id, {CELLS} AS v, CASE event_id % 7 WHEN 0 THEN 'missing' WHEN 2 THEN 'text' WHEN 3 THEN 'bool' WHEN 6 THEN 'text' ELSE 'number' END AS kind FROM events")
 def p3_cell_kinds(spark, d):
-    """Missing, number, bool or text, for a cell of each kind a region."""
-    values = ["", "NA", "null", "1", "-2.5", "1,234", "1e3", "true", "FALSE", "abc", "1x"]
-    rows = table(spark, d, "region").select(F.explode(F.array(*(F.lit(v) for v in values))).alias("value"))
-    return rows.groupBy(F.lower("value").alias("v"), P.classify(F.col("value")).alias("kind")).agg(F.count("*").alias("n"))
+    """Missing, number, bool or text, for cells of each kind."""
+    return table(spark, d, "events").select("event_id", F.expr(CELLS).alias("v")).withColumn("kind", P.classify(F.col("v")))
 
 
 @query("p12_job_page", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")

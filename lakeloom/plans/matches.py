@@ -12,6 +12,7 @@ from ..operators import ordered as O
 from ..operators import rules as R
 from ..operators import search as V
 from ..operators import terms as T
+from . import generated as N
 from .base import query, table
 from .ordered import JACCARD, STOP, TERMS, terms
 from .terms import COUNTS, TURN_PAIRS, TURNS, counts, turn_counts
@@ -100,14 +101,10 @@ def j30_outside_spans(spark, d):
     return M.outside_spans(e.where("event_type = 'click'"), spans, ["user_id"], "at").select("event_id")
 
 
-SOURCE = "def walk(n):\n    for i in range(n):\n        walk(i)\n        self.turn(i)\n\ndef turn(n):\n    while n:\n        n = step(n)\n    return turn(n - 1)\n\ndef plain():\n    for x in y:\n        print(x)\n"
-
-
-@query("j31_recursive_loops", "SELECT p_partkey AS id, line, recursive FROM part, (VALUES (2, ['turn', 'walk']), (7, []::VARCHAR[]), (12, []::VARCHAR[])) v(line, recursive)")
+@query("j31_recursive_loops", f"SELECT id, line, CASE kind WHEN 'for' THEN list_concat(CASE WHEN {N.TURNS} THEN ['turn_' || p_size] ELSE [] END, CASE WHEN {N.WALKS} THEN ['walk_' || p_size] ELSE [] END) ELSE [] END AS recursive FROM {N.RECURSIVE.sql()} JOIN part ON p_partkey = id WHERE kind IS NOT NULL")
 def j31_recursive_loops(spark, d):
     """Loops of a source with the recursive functions that they call."""
-    sources = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit(SOURCE).alias("text"))
-    return M.recursive_calls(R.python_symbols(sources))
+    return M.recursive_calls(R.python_symbols(N.RECURSIVE.sources(spark, d)))
 
 
 @query("j32_cluster_ids", "SELECT conv_id, turn, role, CASE WHEN conv_id % 2 = 0 THEN CAST(dense AS INTEGER) END AS cluster FROM (SELECT conv_id, turn, role, dense_rank() OVER (PARTITION BY conv_id ORDER BY role) AS dense FROM conversations)")

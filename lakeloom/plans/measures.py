@@ -309,10 +309,13 @@ def w13_marked_sequences(spark, d):
     return found.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
-@query("w21_heading_sections", "SELECT p_partkey AS id, line, depth, parent, last FROM part, (VALUES (1, 1, NULL, 8), (3, 2, 1, 5), (4, 3, 3, 5), (6, 2, 1, 8), (9, 1, NULL, NULL), (10, 3, 9, NULL)) v(line, depth, parent, last)")
+HEADS = [("1", "1"), ("3", "2"), ("4", "CAST(2 + p_size % 2 AS INTEGER)"), ("6", "CAST(1 + p_partkey % 3 AS INTEGER)"), ("9", "CAST(1 + p_size % 3 AS INTEGER)"), ("10", "3")]
+
+
+@query("w21_heading_sections", "WITH h AS (SELECT p_partkey AS id, unnest([" + ", ".join(a for a, _ in HEADS) + "]) AS line, unnest([" + ", ".join(b for _, b in HEADS) + "]) AS depth FROM part) SELECT id, line, depth, (SELECT max(x.line) FROM h x WHERE x.id = h.id AND x.line < h.line AND x.depth < h.depth) AS parent, (SELECT min(x.line) - 1 FROM h x WHERE x.id = h.id AND x.line > h.line AND x.depth <= h.depth) AS last FROM h")
 def w21_heading_sections(spark, d):
     """Parents and ends of the sections of headings."""
-    rows = F.array(*(F.struct(F.lit(a).alias("line"), F.lit(b).alias("depth")) for a, b in ((1, 1), (3, 2), (4, 3), (6, 2), (9, 1), (10, 3))))
+    rows = F.array(*(F.struct(F.expr(a).alias("line"), F.expr(b).alias("depth")) for a, b in HEADS))
     heads = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(rows).alias("h")).select("id", "h.*")
     return O.parent_heading(heads, ["id"]).select("id", "line", "depth", "parent", F.col("end").alias("last"))
 

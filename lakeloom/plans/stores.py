@@ -69,11 +69,13 @@ def g4_depths(spark, d):
     return G.depths(table(spark, d, "part").select(key.alias("node"), F.when(key > 1, F.floor(key / 2)).alias("parent")))
 
 
-@query("s16_changed_files", "SELECT c_custkey AS path, c_nationkey AS size FROM customer ANTI JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey")
+@query("s16_changed_files", "SELECT o_orderkey AS path, o_custkey AS size, CASE o_orderkey % 7 WHEN 0 THEN 'new' WHEN 1 THEN 'later' ELSE 'other size' END AS kind FROM orders WHERE o_orderkey % 7 < 3")
 def s16_changed_files(spark, d):
-    found = table(spark, d, "customer").select(F.col("c_custkey").alias("path"), F.col("c_nationkey").alias("size"))
-    known = table(spark, d, "orders").select(F.col("o_custkey").alias("path"))
-    return S.changed_files(found, known, ("path",))
+    """Of all files those that a store does not have in this state: new ones, later ones, and ones of another size."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey") % 7
+    found = o.select(F.col("o_orderkey").alias("path"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("mtime"), F.col("o_custkey").alias("size"), F.when(k == 0, "new").when(k == 1, "later").when(k == 2, "other size").alias("kind"))
+    known = found.where("path % 7 <> 0").select("path", (F.col("mtime") - F.when(F.col("kind") == "later", 1).otherwise(0)).alias("mtime"), (F.col("size") - F.when(F.col("kind") == "other size", 1).otherwise(0)).alias("size"))
+    return S.changed_files(found, known).select("path", "size", "kind")
 
 
 @query("s17_latest", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE k = 1")

@@ -14,6 +14,7 @@ from ..operators import code as K
 from ..operators import rules as R
 from ..operators import segments as S
 from ..streaming import windows as W
+from . import generated as N
 from .base import query, table
 from .relations import SENTENCES
 from .streams import finished, shared, stream
@@ -42,69 +43,53 @@ def c7_guarded_lines(spark, d):
     return S.unit_chunks(documents(spark, d), "lines", 4, max_bytes=500).select("id", "chunk", "content", "error")
 
 
-HEADED = "# One\ntext\nTwo\n===\n```\n# no heading\n```\n2.1 Three\nmore\nFour\n---\n## Five"
-
-
-@query("c8_headings", "SELECT p_partkey AS id, line, depth, title, CAST(round(100 * 5 / 12, 4) AS DOUBLE) AS per_100_lines FROM part, (VALUES (1, 1, 'One'), (3, 1, 'Two'), (8, 2, 'Three'), (10, 2, 'Four'), (12, 2, 'Five')) v(line, depth, title)")
+@query("c8_headings", f"WITH l AS {N.HEADED.sql()}, n AS (SELECT id, count(*) AS n, count(depth) AS h FROM l GROUP BY 1) SELECT id, line, depth, name AS title, CAST(round(100 * h / n, 4) AS DOUBLE) AS per_100_lines FROM l JOIN n USING (id) WHERE depth IS NOT NULL")
 def c8_headings(spark, d):
     """Headings by sign, underline and number, outside of fenced code."""
-    return S.section_headings(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit(HEADED).alias("text")))
-
-
-CODE = "a = (1,\n     2)\nb = 3\ndef f():\n    return [\n        1,\n    ]\nc = 4\n"
-
+    return S.section_headings(N.HEADED.sources(spark, d))
 
-def sources(spark, d, text):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit(text).alias("text"))
 
-
-@query("c9_code_chunks", "SELECT p_partkey AS id, chunk, content FROM part, (VALUES (0, 'a = (1,' || chr(10) || '     2)' || chr(10) || 'b = 3'), (1, 'def f():'), (2, '    return [' || chr(10) || '        1,' || chr(10) || '    ]'), (3, 'c = 4')) v(chunk, content)")
+@query("c9_code_chunks", f"SELECT id, block AS chunk, string_agg(t, chr(10) ORDER BY line) AS content FROM {N.CODE.sql()} GROUP BY 1, 2")
 def c9_code_chunks(spark, d):
     """Chunks of three lines of code that end where nothing is open."""
-    return C.code_chunks(sources(spark, d, CODE), 3)
+    return C.code_chunks(N.CODE.sources(spark, d), 3)
 
 
-@query("c10_file_chunks", "SELECT '/src/' || p_partkey || '.py' AS path, chunk, CAST(first_line AS BIGINT) AS first_line, lines FROM part, (VALUES (0, 1, 3), (1, 4, 1), (2, 5, 3), (3, 8, 1)) v(chunk, first_line, lines)")
+@query("c10_file_chunks", f"SELECT '/src/' || id || '.py' AS path, block AS chunk, CAST(min(line) AS BIGINT) AS first_line, CAST(count(*) AS INTEGER) AS lines FROM {N.CODE.sql()} GROUP BY id, block")
 def c10_file_chunks(spark, d):
     """Chunks of many files with their lines."""
-    files = sources(spark, d, CODE).select(F.concat(F.lit("/src/"), "id", F.lit(".py")).alias("path"), "text")
+    files = N.CODE.sources(spark, d).select(F.concat(F.lit("/src/"), "id", F.lit(".py")).alias("path"), "text")
     return K.file_chunks(files, 3).select("path", "chunk", "first_line", "lines")
 
 
-PYTHON = "import os\nfrom a.b import c\n\nTOP = 1\n\nclass Base:\n    kind = 'x'\n\n    def run(self, n, *rest):\n        total = 0\n        for i in range(n):\n            while total < i:\n                total = total + step\n        self.total = total\n        return total\n\nclass Child(Base, object):\n    pass\n\nclass Alone:\n    pass\n\nclass Last(m.Child):\n    pass\n\ndef helper(x):\n    return x\n"
-
-
-@query("c11_class_chunks", "SELECT p_partkey AS id, chunk, name, first_line, last_line FROM part, (VALUES (1, 'Base', 6, 15), (2, 'Child', 17, 18), (3, 'Alone', 20, 21), (4, 'Last', 23, 24)) v(chunk, name, first_line, last_line)")
+@query("c11_class_chunks", f"SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY min(line)) AS INTEGER) AS chunk, max(name) FILTER (kind = 'class') AS name, min(line) AS first_line, max(line) AS last_line FROM {N.PYTHON.sql()} WHERE block <= 3 GROUP BY id, block")
 def c11_class_chunks(spark, d):
-    return K.symbol_chunks(sources(spark, d, PYTHON), "class", nested=False).drop("content")
+    return K.symbol_chunks(N.PYTHON.sources(spark, d), "class", nested=False).drop("content")
 
 
-@query("c12_function_chunks", "SELECT p_partkey AS id, chunk, name, first_line, last_line, content FROM part, (VALUES (1, 'helper', 26, 27, 'def helper(x):' || chr(10) || '    return x')) v(chunk, name, first_line, last_line, content)")
+@query("c12_function_chunks", f"SELECT id, 1 AS chunk, max(name) AS name, min(line) AS first_line, max(line) AS last_line, string_agg(t, chr(10) ORDER BY line) AS content FROM {N.PYTHON.sql()} WHERE block = 4 GROUP BY id")
 def c12_function_chunks(spark, d):
-    return K.symbol_chunks(sources(spark, d, PYTHON), "function", nested=False)
-
-
-BRACES = "class Outer {\n  int a; // class No {\n  class Inner { void f() {} }\n  String s = \"class X {\";\n}\nclass Gone;\nclass Open {\n  int b;\n"
+    return K.symbol_chunks(N.PYTHON.sources(spark, d), "function", nested=False)
 
 
-@query("c12_brace_chunks", "SELECT p_partkey AS id, chunk, name, first_line, last_line FROM part, (VALUES (1, 'Inner', 3, 3), (2, 'Outer', 1, 5), (3, 'Open', 7, 9)) v(chunk, name, first_line, last_line)")
+@query("c12_brace_chunks", f"SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY block) AS INTEGER) AS chunk, max(name) AS name, min(line) AS first_line, max(line) AS last_line FROM {N.BRACES.sql()} WHERE block IS NOT NULL GROUP BY id, block")
 def c12_brace_chunks(spark, d):
     """Classes of a language with braces, in closing order."""
-    return K.brace_chunks(sources(spark, d, BRACES), ("class",))
+    return K.brace_chunks(N.BRACES.sources(spark, d), ("class",))
 
 
-@query("c13_inheritance", "SELECT p_partkey AS id, name, group_name, depth FROM part, (VALUES ('Base', 'Base', 1), ('Child', 'Base', 2), ('Last', 'Base', 3), ('Alone', 'Alone', 1)) v(name, group_name, depth)")
+@query("c13_inheritance", f"SELECT * FROM (SELECT p_partkey AS id, unnest([{N.BASE}, 'Last_' || p_size, CASE WHEN {N.CHILD} THEN 'Child_' || p_size END]) AS name, unnest([{N.BASE}, CASE WHEN {N.CHILD} THEN {N.BASE} ELSE 'Last_' || p_size END, {N.BASE}]) AS group_name, unnest([1, CASE WHEN {N.CHILD} THEN 3 ELSE 1 END, 2]) AS depth FROM part) WHERE name IS NOT NULL")
 def c13_inheritance(spark, d):
     """Classes that are tied by inheritance."""
-    return K.inheritance_groups(K.class_bases(sources(spark, d, PYTHON)))
+    return K.inheritance_groups(K.class_bases(N.PYTHON.sources(spark, d)))
 
 
-@query("c14_structures", f"SELECT p_partkey AS id, 'code' AS kind, chunk, length(content) AS chars FROM part, (VALUES (0, 'a = (1,' || chr(10) || '     2)' || chr(10) || 'b = 3'), (1, 'def f():'), (2, '    return [' || chr(10) || '        1,' || chr(10) || '    ]'), (3, 'c = 4')) v(chunk, content) UNION ALL SELECT -doc_id - 1, 'text', 0, length(trim(regexp_replace(text, '[\\n]', ' ', 'g'), ' ')) FROM documents WHERE trim(regexp_replace(text, '[\\n]', ' ', 'g'), ' ') <> '' AND NOT regexp_matches(text, '[=;{{}}(]')")
+@query("c14_structures", f"WITH l AS {N.CODE.sql()}, c AS (SELECT l.*, {N.EVEN} AS code FROM l JOIN part ON p_partkey = id) SELECT id, CASE WHEN code THEN 'code' ELSE 'text' END AS kind, CASE WHEN code THEN block ELSE 0 END AS chunk, length(string_agg(t, chr(10) ORDER BY line)) AS chars FROM c GROUP BY 1, 2, 3 UNION ALL SELECT -doc_id - 1, 'text', 0, length(trim(regexp_replace(text, '[\\n]', ' ', 'g'), ' ')) FROM documents WHERE trim(regexp_replace(text, '[\\n]', ' ', 'g'), ' ') <> '' AND NOT regexp_matches(text, '[=;{{}}(]')")
 def c14_structures(spark, d):
-    """Code in chunks of lines, other texts in groups of paragraphs."""
+    """Code (half of the lines look like it) in chunks of lines, other texts in groups of paragraphs."""
     plain = F.regexp_replace("text", r"\n", " ")
     docs = documents(spark, d).where(~F.col("text").rlike("[=;{}(]")).select((-F.col("id") - 1).alias("id"), plain.alias("text"))
-    return K.structures(sources(spark, d, CODE).unionByName(docs), 3, 5).select("id", "kind", "chunk", F.length("content").cast("long").alias("chars"))
+    return K.structures(N.CODE.sources(spark, d).unionByName(docs), 3, 5).select("id", "kind", "chunk", F.length("content").cast("long").alias("chars"))
 
 
 def talks(spark, d):
@@ -180,41 +165,43 @@ def c24_summary_levels(spark, d):
     return S.group_levels(turns(spark, d).select("conv_id", "turn", F.col("text").alias("content")), ["conv_id"], "turn", 3, 60)
 
 
-@query("g5_imports", "SELECT p_partkey AS id, line, module FROM part, (VALUES (1, 'os'), (2, 'a.b')) v(line, module)")
+@query("g5_imports", f"SELECT id, line, name AS module FROM {N.PYTHON.sql()} WHERE kind = 'import'")
 def g5_imports(spark, d):
-    return R.import_references(sources(spark, d, PYTHON))
+    return R.import_references(N.PYTHON.sources(spark, d))
 
 
-@query("g6_outline", "SELECT '/src/' || (p_partkey % 3) AS folder, count(*) AS files, CAST(28 * count(*) AS BIGINT) AS lines, CAST(4 * count(*) AS BIGINT) AS classes, CAST(2 * count(*) AS BIGINT) AS functions, CAST(2 * count(*) AS BIGINT) AS imports FROM part GROUP BY 1")
+@query("g6_outline", f"SELECT '/src/' || (id % 3) AS folder, count(DISTINCT id) AS files, count(*) AS lines, count(*) FILTER (kind = 'class') AS classes, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'import') AS imports FROM {N.PYTHON.sql()} GROUP BY 1")
 def g6_outline(spark, d):
     """Sizes and symbols of sources by folder."""
-    files = sources(spark, d, PYTHON).withColumn("path", F.concat(F.lit("/src/"), F.col("id") % 3, F.lit("/"), "id", F.lit(".py")))
+    files = N.PYTHON.sources(spark, d).withColumn("path", F.concat(F.lit("/src/"), F.col("id") % 3, F.lit("/"), "id", F.lit(".py")))
     return K.outline(files)
 
 
-@query("g7_loops", "SELECT p_partkey AS id, line, kind, names FROM part, (VALUES (11, 'for', ['i', 'n', 'range', 'step', 'total']), (12, 'while', ['i', 'step', 'total'])) v(line, kind, names)")
+@query("g7_loops", f"SELECT id, line, kind, CASE kind WHEN 'for' THEN ['n', 'range', 'step_' || p_size, 'total'] ELSE ['n', 'shift', 'total'] END AS names FROM {N.PYTHON.sql()} JOIN part ON p_partkey = id WHERE kind IN ('for', 'while')")
 def g7_loops(spark, d):
     """Names that loops read."""
-    return K.loop_data(sources(spark, d, PYTHON))
+    return K.loop_data(N.PYTHON.sources(spark, d))
 
 
-@query("g8_variables", "SELECT p_partkey AS id, scope, depth, kind, name, line FROM part, (VALUES ('', 0, 'global', 'TOP', 4), ('Base', 1, 'field', 'kind', 7), ('Base.run', 2, 'parameter', 'self', 9), ('Base.run', 2, 'parameter', 'n', 9), ('Base.run', 2, 'parameter', 'rest', 9), ('Base.run', 2, 'local', 'total', 10), ('Base.run', 2, 'local', 'i', 11), ('Base.run', 2, 'field', 'total', 14), ('helper', 1, 'parameter', 'x', 26)) v(scope, depth, kind, name, line)")
+@query("g8_variables", N.VARIABLE_ROWS)
 def g8_variables(spark, d):
     """Variables with their scopes."""
-    return K.variables(sources(spark, d, PYTHON))
+    return K.variables(N.PYTHON.sources(spark, d))
 
 
-@query("g9_code_lines", "SELECT p_partkey AS id, line, code FROM part, (VALUES ('x = f(1)', true), ('Some words here.', false), ('for i in y:', true), ('}', true), ('print(x)', true), ('for the people', false), ('// note', true), ('', false)) v(line, code)")
+@query("g9_code_lines", "SELECT p_partkey AS id, unnest([" + ", ".join(t for t, _ in N.PAGE) + "]) AS line, unnest([" + ", ".join(c for _, c in N.PAGE) + "]) AS code FROM part")
 def g9_code_lines(spark, d):
     """Which lines of a page look like code."""
-    said = F.array(*(F.lit(x) for x in ("x = f(1)", "Some words here.", "for i in y:", "}", "print(x)", "for the people", "// note", "")))
+    said = F.array(*(F.expr(t) for t, _ in N.PAGE))
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(said).alias("line")).withColumn("code", K.is_code_line(F.col("line")))
 
 
-@query("g10_symbols", "SELECT p_partkey AS id, ['Base', 'run', 'my_name', 'camelCase'] AS symbols FROM part")
+SYMBOLS = "'class ' || replace(p_brand, '#', '') || ': def run_' || p_size || '(x): my_name_' || p_partkey || ' = ' || CASE WHEN p_partkey % 2 = 0 THEN 'camelCase' ELSE 'plain' END || ' + my_name_' || p_partkey"
+
+
+@query("g10_symbols", "SELECT p_partkey AS id, list_concat([replace(p_brand, '#', ''), 'run_' || p_size, 'my_name_' || p_partkey], CASE WHEN p_partkey % 2 = 0 THEN ['camelCase'] ELSE [] END) AS symbols FROM part")
 def g10_symbols(spark, d):
-    text = F.lit("class Base: def run(x): my_name = camelCase + plain + my_name")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), K.symbols(text).alias("symbols"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), K.symbols(F.expr(SYMBOLS)).alias("symbols"))
 
 
 EVENT = {"type": "object", "required": ["k"], "additionalProperties": False, "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 60}}}
@@ -241,16 +228,30 @@ def registry(spark, d):
     return actions, bad
 
 
-@query("u1_tools", "SELECT * FROM (VALUES ('best_parts', 'dearest parts', ['n']), ('count_rows', 'rows of a table', ['name']), ('top_parts', 'dearest parts', ['n'])) v(name, description, parameters)")
+def nation_actions(spark, d):
+    """Actions from a specification for each nation: some are no JSON, some lack their SQL, some take a name twice."""
+    n = table(spark, d, "nation")
+    name = F.concat(F.lit("top_"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))))
+    head = F.concat(F.lit('{"name": "'), name, F.lit('", "description": "dearest of '), F.col("n_name"), F.lit('", "parameters": ' + json.dumps(SPEC["parameters"])))
+    good, k = F.concat(head, F.lit(f', "sql": "{SPEC["sql"]}"}}')), F.col("n_nationkey")
+    first = n.select(F.col("n_name").alias("path"), F.when(k % 4 == 0, "{").when(k % 4 == 1, F.concat(head, F.lit("}"))).otherwise(good).alias("text"))
+    actions = A.Actions()
+    return actions, A.load_specs(first.unionAll(n.where(k % 5 == 0).select(F.concat("n_name", F.lit("2")), good)), actions)
+
+
+TOP = "'top_' || lower(replace(n_name, ' ', '_'))"
+
+
+@query("u1_tools", f"SELECT {TOP} AS name, 'dearest of ' || n_name AS description, ['n'] AS parameters FROM nation WHERE n_nationkey % 4 IN (2, 3) OR n_nationkey % 5 = 0")
 def u1_tools(spark, d):
     """All table functions that are registered."""
-    return registry(spark, d)[0].listing(spark)
+    return nation_actions(spark, d)[0].listing(spark)
 
 
-@query("u2_action_specs", "SELECT * FROM (VALUES ('b', 'not JSON'), ('c', '$.sql: missing'), ('d', 'taken: top_parts')) v(path, error)")
+@query("u2_action_specs", f"SELECT n_name AS path, CASE n_nationkey % 4 WHEN 0 THEN 'not JSON' ELSE '$.sql: missing' END AS error FROM nation WHERE n_nationkey % 4 IN (0, 1) UNION ALL SELECT n_name || '2', 'taken: ' || {TOP} FROM nation WHERE n_nationkey % 4 IN (2, 3) AND n_nationkey % 5 = 0")
 def u2_action_specs(spark, d):
     """Specifications of actions that cannot be registered."""
-    return spark.createDataFrame(registry(spark, d)[1], "path string, error string")
+    return spark.createDataFrame(nation_actions(spark, d)[1], "path string, error string")
 
 
 @query("u3_run_action", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 7")
@@ -265,11 +266,13 @@ def u6_alias(spark, d):
     return registry(spark, d)[0].run("best_parts", spark)
 
 
-@query("u5_rule_errors", "SELECT r_regionkey AS region, tag, error FROM region, (VALUES ('', 'no tag'), ('b', 'no pattern'), ('c', 'unknown kind'), ('d', 'not a regular expression')) v(tag, error)")
+RULES = ("CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'T' || p_partkey END AS tag", "CASE p_size % 5 WHEN 0 THEN 'like' WHEN 1 THEN 'regex' WHEN 2 THEN 'contains' WHEN 3 THEN 'prefix' ELSE 'suffix' END AS kind", "CASE WHEN p_partkey % 11 = 0 THEN ' ' WHEN p_partkey % 3 = 0 THEN '(' || p_brand ELSE p_brand || '+' END AS pattern")
+
+
+@query("u5_rule_errors", f"SELECT * FROM (SELECT tag, CASE WHEN tag = '' THEN 'no tag' WHEN trim(pattern) = '' THEN 'no pattern' WHEN kind = 'like' THEN 'unknown kind' WHEN kind = 'regex' AND left(pattern, 1) = '(' THEN 'not a regular expression' END AS error FROM (SELECT {', '.join(RULES)} FROM part)) WHERE error IS NOT NULL")
 def u5_rule_errors(spark, d):
     """Rules that cannot be applied."""
-    rules = spark.createDataFrame([("", "contains", "x"), ("b", "prefix", " "), ("c", "like", "x"), ("d", "regex", "("), ("e", "regex", "a+"), ("f", "suffix", "(")], "tag string, kind string, pattern string")
-    return table(spark, d, "region").select(F.col("r_regionkey").alias("region")).join(F.broadcast(A.rule_errors(rules)))
+    return A.rule_errors(table(spark, d, "part").selectExpr(*RULES))
 
 
 @query("e3_saved_records", "SELECT o_custkey, count(*) AS records, CAST(max(k) AS INTEGER) AS last FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey, o_orderstatus = 'F' ORDER BY o_orderkey) AS k FROM orders) GROUP BY 1")
