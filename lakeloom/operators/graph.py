@@ -50,6 +50,35 @@ def components(edges: DataFrame, cut=checkpointed) -> DataFrame:
     return nodes.join(links, nodes["node"] == links["a"], "left").select("node", F.coalesce("b", "node").alias("component"))
 
 
+def clusters(edges: DataFrame, most: int, limit: int | None = None, score: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``node, cluster, component, place`` and ``cluster, component, size, links, mean_score, truncated`` of linked nodes.
+
+    A cluster is a component, or a slice of ``most`` of its nodes in their order where it has more. Clusters are numbered from 1 by
+    component, then slice; those beyond ``limit`` are left out. ``truncated`` says that a component was cut, or that some were left out.
+    ``links`` are the edges inside a cluster, ``mean_score`` the mean of their ``score``. Numbers come from range partitions and their sizes, so
+    that a component of any size is the work of many tasks.
+    """
+    from .profile import global_row_number
+
+    held = checkpointed(edges.where("a <> b"))
+    numbered = checkpointed(global_row_number(components(held), ["component", "node"]))
+    first = numbered.groupBy("component").agg(F.min("_row").alias("_first"), F.count("*").alias("_nodes"))
+    placed = numbered.join(first, "component").withColumn("place", F.col("_row") - F.col("_first") + 1)
+    placed = placed.withColumn("_slice", F.floor((F.col("place") - 1) / most))
+    heads = global_row_number(placed.select("component", "_slice").distinct(), ["component", "_slice"]).withColumnRenamed("_row", "cluster")
+    nodes = checkpointed(placed.join(heads, ["component", "_slice"]).select("node", "cluster", "component", "place", (F.col("_nodes") > most).alias("_cut")))
+    over = limit is not None and not nodes.where(F.col("cluster") > limit).isEmpty()
+    if limit is not None:
+        nodes = nodes.where(F.col("cluster") <= limit)
+    ends = nodes.select("node", "cluster")
+    pairs = held.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col(score) if score else F.lit(None).cast("double")).alias("_score")).groupBy("a", "b").agg(F.max("_score").alias("_score"))
+    inner = pairs.join(ends.toDF("a", "cluster"), "a").join(ends.toDF("b", "cluster_b"), "b").where("cluster = cluster_b")
+    inner = inner.groupBy("cluster").agg(F.count("*").alias("links"), F.avg("_score").alias("mean_score"))
+    sizes = nodes.groupBy("cluster", "component").agg(F.count("*").alias("size"), F.max("_cut").alias("_cut"))
+    summary = sizes.join(inner, "cluster", "left").select("cluster", "component", "size", F.coalesce("links", F.lit(0)).alias("links"), "mean_score", (F.col("_cut") | F.lit(over)).alias("truncated"))
+    return nodes.drop("_cut"), summary
+
+
 def core_numbers(edges: DataFrame) -> DataFrame:
     """``node, core``: the largest k for which the node is in a subgraph of degrees of at least k."""
     left = checkpointed(symmetric(edges.select("a", "b").where("a <> b")))

@@ -41,25 +41,45 @@ def set_members(sets: DataFrame) -> DataFrame:
     return held.join(held.groupBy("_key").agg(F.min("id").alias("class_id")), "_key").select("id", "class_id")
 
 
+#: Words of 64 bits in a set's signature; each term sets one bit.
+SIGNATURE = 8
+
+
 def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     """``a, b, shared, jaccard, overlap``: all pairs a < b of distinct term sets (named as by ``set_classes``) with a Jaccard similarity of ``least`` > 0 or more.
 
-    Exact by prefixes: in one order of all terms, the rarest first, two such sets share one of their first
-    ``n - ceil(least * n) + 1`` terms, so frequent terms are no join keys; sizes rule out further pairs
-    before the sets are compared.
+    Exact, by filters that refuse pairs before any set is shipped. In one order of all terms, the rarest first, two
+    such sets share one of their first ``n - ceil(least * n) + 1`` terms, so frequent terms are no join keys. A posting carries the
+    set's size, the term's place and a signature of the set: sizes that differ too much, a rest behind the term that
+    is too short, and signatures that differ in more bits than the sets may in terms end a pair within the join. What is left is
+    aggregated by pair, which tells how many prefix terms it shares and how long its rests are, and only pairs that can still reach the bound
+    fetch their sets, as 64-bit hashes of terms.
     """
     from .state import checkpointed
 
-    classes = checkpointed(set_classes(sets))
-    each = classes.select("id", "n", F.explode("terms").alias("term"))
-    df = each.groupBy("term").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "term").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("by"))
+    held = checkpointed(sets.select("id", "term").distinct().withColumn("h", F.xxhash64("term")))
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(h, 3), 64) as int))")
+    words = [F.bit_or(F.when(F.pmod("h", F.lit(SIGNATURE)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(SIGNATURE)]
+    each = held.join(df, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "h"))).alias("by"), *words)
+    names = [f"s{k}" for k in range(SIGNATURE)]
+    key = F.sha2(F.array_join(F.transform("by", lambda t: t["term"]), "\n"), 256)
+    first = F.min_by(F.struct(F.transform("by", lambda t: F.struct(t["df"], t["h"])).alias("by"), *names), "id").alias("x")
+    classes = each.groupBy(key.alias("_key")).agg(F.min("id").alias("id"), first)
+    classes = checkpointed(classes.select("id", F.size("x.by").cast("int").alias("n"), "x.*"))
     size = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
-    posted = ranked.select("id", "n", F.explode(F.slice("by", F.lit(1), size)).alias("t")).where("t.df > 1").select("id", "n", "t.term")
-    a, b = (posted.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), "term") for x in "ab")
-    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9)
-    pairs = a.join(b, "term").where(near).select("a", "b").distinct()
-    one, other = (classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("terms").alias(f"t_{x}")) for x in "ab")
+    posted = classes.select("id", "n", *names, F.posexplode(F.slice("by", F.lit(1), size)).alias("at", "t"))
+    posted = posted.where("t.df > 1").select("id", "n", "at", "t.h", *names)
+    a, b = (posted.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "at", *names))) for x in "ab")
+    both = F.col("n_a") + F.col("n_b")
+    wanted = F.ceil(both * (least / (1 + least)) - 1e-9)
+    rest = lambda x, at: F.col(f"n_{x}") - F.col(at) - 1
+    reach = F.least("at_a", "at_b") + 1 + F.least(rest("a", "at_a"), rest("b", "at_b"))
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names), F.lit(0))
+    near = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9) & (reach >= wanted) & (differ <= both - 2 * wanted)
+    pairs = a.join(b, "h").where(near).groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("k"), F.max("at_a").alias("last_a"), F.max("at_b").alias("last_b"))
+    pairs = pairs.where(F.col("k") + F.least(rest("a", "last_a"), rest("b", "last_b")) >= wanted).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    one, other = (classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.transform("by", lambda t: t["h"]).alias(f"t_{x}")) for x in "ab")
     out = pairs.join(one, "a").join(other, "b").withColumn("shared", F.size(F.array_intersect("t_a", "t_b")).cast("long"))
     out = out.withColumns({"jaccard": F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), "overlap": F.col("shared") / F.least("n_a", "n_b")})
     return out.where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard", "overlap")

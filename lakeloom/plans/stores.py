@@ -9,6 +9,7 @@ from ..operators import graph as G
 from ..operators import lexicon as L
 from ..operators import stores as S
 from ..operators import terms as T
+from ..operators.state import checkpointed
 from .base import query, table
 from .terms import PAIRS, similar
 
@@ -28,7 +29,30 @@ def a37_degrees(spark, d):
 
 @query("a39_components", RECURSIVE + f""", {EDGES}, r AS (SELECT a AS node, a AS other FROM y UNION SELECT r.node, y.b FROM r JOIN y ON r.other = y.a) SELECT node, min(other) AS component FROM r GROUP BY 1""")
 def a39_components(spark, d):
-    return G.components(edges(spark, d))
+    return G.components(checkpointed(edges(spark, d)))
+
+
+KIN = """y AS (SELECT c_custkey AS b, lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS a, c_acctbal AS score FROM customer),
+n AS (SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey) AS component, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place, count(*) OVER (PARTITION BY c_nationkey) AS nodes FROM customer),
+k AS (SELECT *, CAST(dense_rank() OVER (ORDER BY component, (place - 1) // 25) AS BIGINT) AS cluster FROM n WHERE nodes > 1), w AS (SELECT max(cluster) > 60 AS over FROM k)"""
+
+
+def kin(spark, d):
+    """Customers of a nation, each linked to the next."""
+    c = table(spark, d, "customer").withColumn("a", F.lag("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).where("a is not null")
+    return c.select("a", F.col("c_custkey").alias("b"), F.col("c_acctbal").alias("score"))
+
+
+@query("a39_cluster_members", f"WITH {KIN} SELECT node, cluster, component, place FROM k WHERE cluster <= 60")
+def a39_cluster_members(spark, d):
+    """Components in slices of 25 nodes at most, the first 60 of them."""
+    return G.clusters(kin(spark, d), 25, 60)[0]
+
+
+@query("a39_clusters", f"WITH {KIN}, i AS (SELECT x.cluster, count(*) AS links, avg(score) AS s FROM y JOIN k x ON x.node = a JOIN k z ON z.node = b AND z.cluster = x.cluster GROUP BY 1) SELECT cluster, component, count(*) AS size, coalesce(max(links), 0) AS links, round(max(s), 4) AS mean_score, bool_or(nodes > 25) OR any_value(over) AS truncated FROM k LEFT JOIN i USING (cluster), w WHERE cluster <= 60 GROUP BY 1, 2")
+def a39_clusters(spark, d):
+    """Sizes, links and mean scores of the slices, and whether something was cut."""
+    return G.clusters(kin(spark, d), 25, 60, "score")[1].withColumn("mean_score", F.round("mean_score", 4))
 
 
 @query("a38_core_numbers", RECURSIVE + f""", {EDGES}, h AS (SELECT a AS node, count(*) AS c, 0 AS i FROM y GROUP BY 1

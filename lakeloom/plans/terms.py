@@ -119,6 +119,12 @@ def j5_jaccard_pairs(spark, d):
     return rounded(similar(spark, d))
 
 
+@query("j5_loose_pairs", PAIRS.replace(">= 0.5)", ">= 0.2)") + " SELECT a, b, shared, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap FROM j")
+def j5_loose_pairs(spark, d):
+    """The same at a fifth, where four fifths of each set are join keys."""
+    return rounded(T.jaccard_pairs(counts(spark, d).select("id", "term"), 0.2))
+
+
 @query("j5_members", PAIRS + ", y AS (SELECT a, b FROM j UNION ALL SELECT b, a FROM j) SELECT k.id, c.id AS class_id, (SELECT count(*) FROM y WHERE y.a = c.id) AS links FROM k JOIN c USING (k)")
 def j5_members(spark, d):
     """Each document with the class of its term set, and how many other classes that is similar to."""

@@ -223,3 +223,39 @@ def test_empty_inputs(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
     events = spark.createDataFrame([], "ts timestamp, v double")
     assert ordered.dense_buckets(events, "ts", 1000, F.count("*").alias("n")).count() == 0
+
+
+def test_similarity_join_equals_brute_force_with_hot_terms(spark):
+    rng = random.Random(12)
+    sets = {}
+    for i in range(160):
+        base = sets[rng.randrange(i)] if i and rng.random() < 0.6 else set(rng.sample(range(60), rng.randrange(1, 40)))
+        sets[i] = {x for x in base if rng.random() > 0.1} | set(rng.sample(range(60), rng.randrange(3))) | {"hot"}
+    rows = [(i, str(t)) for i, s in sets.items() for t in s]
+    df = spark.createDataFrame(rows + rows[:50], "id long, term string")
+    names = {}
+    for i, s in sets.items():
+        names.setdefault(frozenset(s), i)
+    for least in (0.2, 0.5, 0.8, 1.0):
+        want = {}
+        for x, a in names.items():
+            for y, b in names.items():
+                if a < b and len(x & y) / len(x | y) >= least:
+                    want[a, b] = (len(x & y), round(len(x & y) / len(x | y), 9), round(len(x & y) / min(len(x), len(y)), 9))
+        got = {(r.a, r.b): (r.shared, round(r.jaccard, 9), round(r.overlap, 9)) for r in terms.jaccard_pairs(df, least).collect()}
+        assert got == want, least
+    assert terms.jaccard_pairs(df.where("false"), 0.5).count() == 0
+
+
+def test_clusters_are_slices_of_components(spark):
+    edges = [(i, i + 1, float(i)) for i in range(0, 30)] + [(100, 101, 1.0), (101, 100, 3.0), (7, 7, 9.0)]
+    df = spark.createDataFrame(edges, "a long, b long, s double")
+    nodes, summary = graph.clusters(df, 12, None, "s")
+    got = {}
+    for r in nodes.collect():
+        got.setdefault(r.cluster, []).append((r.place, r.node))
+    assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == {1: list(range(12)), 2: list(range(12, 24)), 3: list(range(24, 31)), 4: [100, 101]}
+    assert sorted(map(tuple, summary.collect())) == [(1, 0, 12, 11, 5.0, True), (2, 0, 12, 11, 17.0, True), (3, 0, 7, 6, 26.5, True), (4, 100, 2, 1, 3.0, False)]
+    nodes, summary = graph.clusters(df, 40, 1)
+    assert nodes.count() == 31 and [r.truncated for r in summary.collect()] == [True]
+    assert graph.clusters(df.where("false"), 3)[1].count() == 0
