@@ -1,15 +1,19 @@
 """Lexicon joins, rules, text search and sentence selection.
 
-A lexicon or a rule table is an input of its own; it is joined by containment, which has no equi-key,
-so it is broadcast. ``MAX_TERMS`` bounds what is broadcast: larger lexicons are joined on tokens (``by_token``).
+A lexicon is an input of its own. Containment has no equi-key, so its terms are broadcast and found by an automaton in one pass
+over each text. ``MAX_TERMS`` bounds what is broadcast: larger lexicons are joined on tokens (``by_token``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import lines, occurrences, sentences, snippet, tokens
+from ..functions.text import lines, sentences, snippet, tokens
 
 #: Largest lexicon, in rows and in bytes of its terms, that is joined by containment.
 MAX_TERMS, MAX_BYTES = 100_000, 4_000_000
@@ -24,11 +28,53 @@ def checked(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms)
 
 
+def automaton_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``docs`` with ``_low``, the lower-cased text, and ``_hit`` (term, n, first_at): one row for each different lower-cased term that a text contains.
+
+    All terms are looked for in one pass over a text by an automaton, which every task builds from the broadcast terms; the work does not grow with their number. ``n``
+    counts occurrences that do not overlap, from the left.
+    """
+    spark = docs.sparkSession
+    checked(terms)
+    known = sorted({r[0] for r in terms.select(F.lower("term")).distinct().collect() if r[0]})
+    held = spark.sparkContext.broadcast(known)
+    low = docs.withColumn("_low", F.coalesce(F.lower("text"), F.lit("")))
+    hit = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType()), T.StructField("first_at", T.IntegerType())]))
+    at = low.columns.index("_low")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        trie = ahocorasick.Automaton()
+        for k, term in enumerate(held.value):
+            trie.add_word(term, k)
+        trie.make_automaton()
+        sizes = [len(t) for t in held.value]
+        kind = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64()), ("first_at", pa.int32())]))
+        for batch in batches:
+            out = []
+            for text in batch.column(at).to_pylist():
+                found: dict[int, list[int]] = {}  # term: count, first, where the last one counted ends
+                for end, k in trie.iter(text) if sizes else ():
+                    first = end + 1 - sizes[k]
+                    own = found.get(k)
+                    if own is None:
+                        found[k] = [1, first + 1, end]
+                    elif first > own[2]:
+                        own[0], own[2] = own[0] + 1, end
+                out.append([{"term": held.value[k], "n": n, "first_at": first} for k, (n, first, _) in found.items()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "_hits"])
+
+    rows = low.mapInArrow(run, T.StructType([*low.schema.fields, T.StructField("_hits", hit)]))
+    return rows.withColumn("_hit", F.explode("_hits")).drop("_hits")
+
+
 def match_terms(docs: DataFrame, terms: DataFrame, radius: int = 40) -> DataFrame:
-    """Terms that occur in the lower-cased text: how often, where first, and the text around that."""
-    pairs = docs.withColumn("_low", F.lower("text")).join(checked(terms), F.contains(F.col("_low"), F.lower("term")))
-    at = F.expr("locate(lower(term), _low)")
-    return pairs.withColumns({"n": occurrences(F.col("_low"), F.lower("term")), "first_at": at}).withColumn("snippet", snippet(F.col("text"), F.col("first_at"), F.length("term"), radius)).drop("_low")
+    """Terms that occur in the lower-cased text: how often, where first, and the text around that. Empty and null terms and texts match nothing."""
+    hits = automaton_hits(docs, terms)
+    pairs = hits.join(F.broadcast(terms), F.lower("term") == F.col("_hit.term"))
+    pairs = pairs.withColumns({"n": F.col("_hit.n"), "first_at": F.col("_hit.first_at")})
+    return pairs.withColumn("snippet", snippet(F.col("text"), F.col("first_at"), F.length("term"), radius)).drop("_low", "_hit")
 
 
 def by_token(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -39,8 +85,12 @@ def by_token(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def categories(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``id, category, terms, active`` for every document and category, also where nothing matches."""
-    own = F.count(F.when(F.contains(F.lower("text"), F.lower("term")), 1))
-    return docs.select("id", "text").join(checked(terms)).groupBy("id", "category").agg(own.alias("terms")).withColumn("active", F.col("terms") > 0)
+    hits = automaton_hits(docs.select("id", "text"), terms)
+    own = hits.join(F.broadcast(terms.select("term", "category")), F.lower("term") == F.col("_hit.term")).groupBy("id", "category").agg(F.count("*").alias("terms"))
+    names = [r[0] for r in terms.select("category").distinct().collect()]
+    every = docs.select("id").distinct().withColumn("category", F.explode(F.array(*(F.lit(n) for n in names))))
+    found = every.join(own, every["id"].eqNullSafe(own["id"]) & every["category"].eqNullSafe(own["category"]), "left").select(every["id"], every["category"], F.coalesce("terms", F.lit(0)).alias("terms"))
+    return found.withColumn("active", F.col("terms") > 0)
 
 
 def weighted_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -259,3 +259,16 @@ def test_clusters_are_slices_of_components(spark):
     nodes, summary = graph.clusters(df, 40, 1)
     assert nodes.count() == 31 and [r.truncated for r in summary.collect()] == [True]
     assert graph.clusters(df.where("false"), 3)[1].count() == 0
+
+
+def test_automaton_equals_search_term_by_term(spark):
+    rng = random.Random(2)
+    texts = [(i, "".join(rng.choice("abÄé🎉 ") for _ in range(rng.randrange(60)))) for i in range(80)] + [(99, None), (100, ""), (100, "aaaa")]
+    words = sorted({"".join(rng.choice("abä🎉") for _ in range(rng.randrange(1, 4))) for _ in range(40)} | {"aa", "AA", ""})
+    docs = spark.createDataFrame(texts, "id long, text string")
+    lex = spark.createDataFrame([(w, f"c{k % 3}") for k, w in enumerate(words)] + [(None, "none")], "term string, category string")
+    want = {(i, w): (t.lower().count(w.lower()), t.lower().find(w.lower()) + 1) for i, t in texts for w in words if t and w and w.lower() in t.lower()}
+    assert {(r.id, r.term): (r.n, r.first_at) for r in lexicon.match_terms(docs, lex).collect()} == want
+    found = {(r.id, r.category): r.terms for r in lexicon.categories(docs, lex).collect()}
+    assert found == {(i, c): sum((i, w) in want and f"c{k % 3}" == c for k, w in enumerate(words)) for i, _ in texts for c in ("c0", "c1", "c2", "none")}
+    assert lexicon.match_terms(docs, lex.where("false")).count() == 0
