@@ -46,7 +46,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 _WORD = r"ads?|advert\w*|adsense|sponsor(?:ed|s)?|promo(?:tion|tions|s)?|banner|sidebar|comments?|commentlist|respond|replies|disqus|notices?|cookies?|consent|gdpr|newsletter|subscri\w*|signup|login|signin|share|sharing|social|related|recommend\w*|breadcrumbs?|menu|nav|navbar|navigation|footer|masthead|popup|modal|paywall|widgets?|toolbar|pagination|pager|skip|disclaimer|alert"
 UNWANTED = re.compile(rf"(?:^|[\s_-])(?:{_WORD})(?=$|[\s_-])", re.I)
 HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: A tag holds no ``<`` outside of quotes, so a broken one ends where the next begins and no text is scanned twice for its end.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^<>]*>", re.S)
 ATTR = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 
 
@@ -97,9 +98,8 @@ class Page:
                     stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, end)
                     pos = end = stop.start() if stop else len(source)
         if end < len(source):
-            tail = source[end:]
-            cut = re.search(r"<[a-zA-Z/!][^>]*$", tail)  # a tag that the page breaks off in
-            self.add(tail[: cut.start()] if cut else tail)
+            cut = re.compile(r"<[a-zA-Z/!]").search(source, max(end, source.rfind(">") + 1))  # a tag that the page breaks off in
+            self.add(source[end : cut.start()] if cut else source[end:])
         self.flush()
 
     def add(self, text: str) -> None:

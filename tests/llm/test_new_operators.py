@@ -4,13 +4,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from lakeloom.llm import caps, common, repair, trie
+from lakeloom.llm import caps, common, html, repair, trie
 
 
 @pytest.fixture(autouse=True, scope="module")
@@ -244,3 +245,12 @@ def test_decoding_finds_all_filters_over_the_bound():
         scores = (scores[:, :, None] + (part / np.linalg.norm(part, axis=1, keepdims=True) @ block.T)[:, None, :]).reshape(50, -1)
     want = {(i, f) for i in range(50) for f in range(scores.shape[1]) if scores[i, f] >= min(code.bound, scores[i].max()) - 1e-12}
     assert set(zip(row.tolist(), name.tolist())) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '", "<!", "</", "<", "<a href='x\"", '<a "\'', "<!--", '<p class="'])
+def test_broken_tags_take_time_in_proportion(piece):
+    began = time.time()
+    for end in ("", ">", "</p>"):
+        html.Page(piece * (3_000_000 // len(piece)) + end)
+    assert time.time() - began < 20
+    assert [b[1] for b in html.Page(f"<p>one</p>{piece}<p>two</p>").blocks][:1] == ["one"]
