@@ -81,7 +81,60 @@ VARIABLES = [
     (15, "true", f"{BASE} || '.run_' || p_size", 2, "field", "'last_' || p_size"),
     (24, "true", "'helper_' || p_partkey", 1, "parameter", "'x'"),
 ]
-VARIABLE_ROWS = "SELECT v.id, v.scope, v.depth, v.kind, v.name, l.line FROM (SELECT p_partkey AS id, unnest([" + ", ".join(f"{{'pos': {p}, 'there': ({c}), 'scope': {s}, 'depth': {d}, 'kind': '{k}', 'name': {n}}}" for p, c, s, d, k, n in VARIABLES) + "], recursive := true) FROM part) v JOIN " + PYTHON.sql() + " l ON l.id = v.id AND l.pos = v.pos WHERE v.there"
+
+
+def variable_rows(found: list[tuple], lines: Lines) -> str:
+    """SQL for ``id, scope, depth, kind, name, line`` of variables that are said with the place of their line."""
+    each = ", ".join(f"{{'pos': {p}, 'there': ({c}), 'scope': {s}, 'depth': {d}, 'kind': '{k}', 'name': {n}}}" for p, c, s, d, k, n in found)
+    return f"SELECT v.id, v.scope, v.depth, v.kind, v.name, l.line FROM (SELECT p_partkey AS id, unnest([{each}], recursive := true) FROM part) v JOIN {lines.sql()} l ON l.id = v.id AND l.pos = v.pos WHERE v.there"
+
+
+JAVA, GO, SCRIPT, C = (f"p_partkey % 4 = {k}" for k in range(4))
+LOOP = " AND p_size % 3 <> 0"
+
+
+def loop(kind: str, *names: str) -> dict:
+    """A loop and the names that it reads, joined by commas."""
+    return {"kind": f"'{kind}'", "name": " || ',' || ".join(names)}
+
+
+#: One source of four languages, by the key.
+BRACED = Lines(
+    (JAVA, "'class Box_' || p_size || ' {'"),
+    (JAVA, "'  int size_' || p_partkey || ' = 3; // for (int q = 0;;) {}'"),
+    (JAVA, "'  int run(int n) {'"),
+    (JAVA + LOOP, "'    for (int i = 0; i < n; i++) {'", loop("for", "'i'", "'n'", "'step_' || p_size", "'total'")),
+    (JAVA + LOOP, "'      total = total + step_' || p_size || '(i); }'"),
+    (JAVA, "'    return n; } }'"),
+    (GO, "'func Sum_' || p_size || '(xs []int, most int) int {'"),
+    (GO + LOOP, "'  for i := 0; i < most; i++ {'", loop("for", "'i'", "'most'", "'use_' || p_partkey", "'xs'")),
+    (GO + LOOP, "'    use_' || p_partkey || '(xs[i]) }'"),
+    (GO, "'  return most }'"),
+    (SCRIPT, "'const top_' || p_partkey || ' = `while (x) {`;'"),
+    (SCRIPT, "'function walk_' || p_size || '(node, depth = 1) {'"),
+    (SCRIPT + LOOP, "'  while (ready_' || p_partkey || ') go();'", loop("while", "'go'", "'ready_' || p_partkey")),
+    (SCRIPT, "'  return node; }'"),
+    (C, "'int count_' || p_size || '(char *s, int n) {'"),
+    (C, "'  int k = 0; /* while (k) { */'"),
+    (C + LOOP, "'  for (int i = 0; i < n; i++)'", loop("for", "'i'", "'k'", "'n'", "'s'")),
+    (C + LOOP, "'    if (s[i] == 7) k++;'"),
+    (C, "'  return k; }'"),
+)
+BRACED_VARIABLES = [
+    (2, JAVA, "'Box_' || p_size", 1, "field", "'size_' || p_partkey"),
+    (3, JAVA, "'Box_' || p_size || '.run'", 2, "parameter", "'n'"),
+    (4, JAVA + LOOP, "'Box_' || p_size || '.run'", 2, "local", "'i'"),
+    (7, GO, "'Sum_' || p_size", 1, "parameter", "'xs'"),
+    (7, GO, "'Sum_' || p_size", 1, "parameter", "'most'"),
+    (8, GO + LOOP, "'Sum_' || p_size", 1, "local", "'i'"),
+    (11, SCRIPT, "''", 0, "global", "'top_' || p_partkey"),
+    (12, SCRIPT, "'walk_' || p_size", 1, "parameter", "'node'"),
+    (12, SCRIPT, "'walk_' || p_size", 1, "parameter", "'depth'"),
+    (15, C, "'count_' || p_size", 1, "parameter", "'s'"),
+    (15, C, "'count_' || p_size", 1, "parameter", "'n'"),
+    (16, C, "'count_' || p_size", 1, "local", "'k'"),
+    (17, C + LOOP, "'count_' || p_size", 1, "local", "'i'"),
+]
 
 EVEN = "p_size % 2 = 0"
 #: Chunks of three lines that end where nothing is open; without the third line the function's head joins the first chunk.

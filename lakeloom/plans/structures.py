@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import actions as A
+from ..operators import braces as B
 from ..operators import chunking as C
 from ..operators import code as K
 from ..operators import rules as R
@@ -183,12 +184,24 @@ def g7_loops(spark, d):
     return K.loop_data(N.PYTHON.sources(spark, d))
 
 
-@query("g8_variables", N.VARIABLE_ROWS)
+@query("g8_variables", N.variable_rows(N.VARIABLES, N.PYTHON))
 def g8_variables(spark, d):
     """Variables with their scopes."""
     return K.variables(N.PYTHON.sources(spark, d))
 
 
+@query("g7_brace_loops", f"SELECT id, line, kind, string_split(name, ',') AS names FROM {N.BRACED.sql()} WHERE kind IS NOT NULL")
+def g7_brace_loops(spark, d):
+    """Names that loops of four other languages read."""
+    return B.brace_loops(N.BRACED.sources(spark, d))
+
+
+@query("g8_brace_variables", N.variable_rows(N.BRACED_VARIABLES, N.BRACED))
+def g8_brace_variables(spark, d):
+    """Variables of four other languages with their scopes."""
+    return B.brace_variables(N.BRACED.sources(spark, d))
+
+
 @query("g9_code_lines", "SELECT p_partkey AS id, unnest([" + ", ".join(t for t, _ in N.PAGE) + "]) AS line, unnest([" + ", ".join(c for _, c in N.PAGE) + "]) AS code FROM part")
 def g9_code_lines(spark, d):
     """Which lines of a page look like code."""
