@@ -192,12 +192,13 @@ def a42_wave_stats(spark, d):
     return w.select("vec_id", F.round("s.rms", 6).alias("rms"), F.round("s.peak", 6).alias("peak"), F.round("s.crossings", 6).alias("crossings"), F.round("s.centroid", 4).alias("centroid"))
 
 
-@query("a47_style_references", "SELECT o_orderpriority AS term, o_orderstatus AS category, count(*) AS n, list(o_orderkey ORDER BY o_orderkey)[1:5] AS segments FROM orders WHERE o_custkey < 100 GROUP BY 1, 2")
+@query("a47_style_references", "SELECT o_orderpriority AS term, o_orderstatus AS category, count(*) AS n, list(o_orderkey ORDER BY o_orderkey)[1:5] AS segments FROM orders GROUP BY 1, 2")
 def a47_style_references(spark, d):
-    """Terms by category, with their number and the first five places."""
-    o = table(spark, d, "orders").where("o_custkey < 100").select(F.col("o_orderpriority").alias("term"), F.col("o_orderstatus").alias("category"), F.col("o_orderkey").alias("id"))
-    ranked = o.withColumn("k", F.row_number().over(Window.partitionBy("term", "category").orderBy("id")))
-    return ranked.groupBy("term", "category").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.col("id")))).alias("segments"))
+    """Terms by category, with their number and the first five places, which every part of a term finds for itself first."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("term"), F.col("o_orderstatus").alias("category"), F.col("o_orderkey").alias("id"), F.pmod(F.xxhash64("o_orderkey"), F.lit(64)).alias("part"))
+    five = o.withColumn("k", F.row_number().over(Window.partitionBy("term", "category", "part").orderBy("id"))).where("k <= 5")
+    first = five.groupBy("term", "category").agg(F.slice(F.array_sort(F.collect_list("id")), 1, 5).alias("segments"))
+    return o.groupBy("term", "category").agg(F.count("*").alias("n")).join(first, ["term", "category"]).select("term", "category", "n", "segments")
 
 
 DOMAINS = ", ".join(f"('{n}', '{w}')" for n, ws in TAXONOMY.items() for w in ws)

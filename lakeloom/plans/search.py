@@ -97,8 +97,7 @@ def o4_federated(spark, d):
     from pyspark.sql import Window
 
     own = Window.partitionBy("query_id", "store")
-    n = hits(spark, d).groupBy("query_id", "store").agg(F.count("*").alias("n"))
-    ranked = hits(spark, d).withColumn("i", F.row_number().over(own.orderBy(F.desc("score"), "id"))).where("i <= 20").join(n, ["query_id", "store"])
+    ranked = hits(spark, d).withColumns({"i": F.row_number().over(own.orderBy(F.desc("score"), "id")), "n": F.count("*").over(own)}).where("i <= 20")
     rs = F.when(F.col("n") == 1, 1.0).otherwise(1 - (F.col("i") - 1) / (F.col("n") - 1))
     out = ranked.withColumn("final", F.round((rs + F.greatest("score", F.lit(0.0))) / 2, 9))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "store", "id"))
