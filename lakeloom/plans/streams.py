@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,23 @@ from ..streaming import windows as W
 from .base import query, table
 
 
+_WRITTEN: list[str] = []
+
+
+def _delete_written() -> None:
+    """At the end of the process: delete what queries wrote for themselves, if its session is still there."""
+    context = SparkContext._active_spark_context
+    if context is None or context._jsc is None:
+        return
+    path_of, conf = context._jvm.org.apache.hadoop.fs.Path, context._jsc.hadoopConfiguration()
+    for place in _WRITTEN:
+        store = path_of(place).getFileSystem(conf)
+        for found in store.globStatus(path_of(place + "*")) or ():  # with what has its name and an ending
+            store.delete(found.getPath(), True)
+
+
 def shared(spark: SparkSession) -> str:
-    """A new place in the folder that driver and executors share; a local one only for a local master."""
+    """A new place in the folder that driver and executors share; a local one only for a local master. It goes with the process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -23,7 +39,10 @@ def shared(spark: SparkSession) -> str:
         own = tempfile.mkdtemp(prefix="lakeloom-stream-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
-    return f"{found}/stream-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_delete_written)
+    _WRITTEN.append(f"{found}/stream-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
