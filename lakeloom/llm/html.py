@@ -5,8 +5,9 @@ tokens that share the vector of their occurrences form a class, and valid classe
 template. An element whose tags belong to a class is a slot; slots nest as their elements do. The
 main slot is found by going down from the widest one as long as one inner slot holds most of the text
 of all pages that is no link. The text that fills it is the main text, but for slots of menus, forms,
-comments and the like: those are known by HTML's own elements and roles, and by class names only where
-the template has the name, so a name that one page gives to its own paragraph counts for nothing.
+comments and the like: those are known by HTML's own elements and roles, and by class names. Names of
+adverts, notices, menus, forms, side and foot parts and comments count on every page, however many pages of
+the host have them; names that may as well be a paragraph's subject (``TOPICS``) only where the template has them.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ LEAST_SHARE = 0.5
 LEAST_TAGS = 2
 #: Share of a slot's text that an inner slot must hold to be taken for it.
 MOST_TEXT = 0.6
-#: Share of a slot's text in links from which on it is a menu.
+#: Share of a part's text in links from which on it is a menu.
 LINKS = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,8 +44,14 @@ ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd td th tr tbody ul ol dl".split())
 NOT_TEXT = frozenset("head nav footer aside form script style noscript template button select option textarea iframe object svg math canvas audio video menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-_WORD = r"ads?|advert\w*|adsense|sponsor(?:ed|s)?|promo(?:tion|tions|s)?|banner|sidebar|comments?|commentlist|respond|replies|disqus|notices?|cookies?|consent|gdpr|newsletter|subscri\w*|signup|login|signin|share|sharing|social|related|recommend\w*|breadcrumbs?|menu|nav|navbar|navigation|footer|masthead|popup|modal|paywall|widgets?|toolbar|pagination|pager|skip|disclaimer|alert"
+_WORD = r"ads?|advert\w*|adsense|sponsor(?:ed|s)?|promo(?:tion|tions|s)?|banner|sidebar|comments?|commentlist|respond|replies|disqus|notices?|cookies?|consent|gdpr|newsletter|subscri\w*|signup|login|signin|breadcrumbs?|menu|nav|navbar|navigation|footer|masthead|popup|modal|paywall|toolbar|pagination|pager|disclaimer|alert"
+_TOPIC = r"share|sharing|social|related|recommend\w*|widgets?|skip"
 UNWANTED = re.compile(rf"(?:^|[\s_-])(?:{_WORD})(?=$|[\s_-])", re.I)
+TOPICS = re.compile(rf"(?:^|[\s_-])(?:{_TOPIC})(?=$|[\s_-])", re.I)
+#: Elements nested deeper than browsers keep apart share the place of the last one above; their text stays.
+DEEPEST = 512
+#: Longer class lists stand in a place as their digest.
+LONGEST_NAME = 64
 HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 #: A tag holds no ``<`` outside of quotes, so a broken one ends where the next begins and no text is scanned twice for its end.
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^<>]*>", re.S)
@@ -56,24 +63,32 @@ def hash64(text: str) -> int:
 
 
 class Node:
-    """An open element: its place, whether its text is unwanted by HTML's own elements, the place whose class name says so, and whether it lies in an article or main part."""
+    """An open element: its place, the token of its end, its depth, the name of the nearest block, whether HTML's own elements make its text unwanted, the places around it whose names may, and the article or main part it lies in."""
 
-    __slots__ = ("name", "path", "bad", "named", "root")
+    __slots__ = ("name", "path", "shut", "depth", "block", "bad", "named", "root")
 
-    def __init__(self, name: str, path: str, bad: bool, named: str, root: str):
-        self.name, self.path, self.bad, self.named, self.root = name, path, bad, named, root
+    def __init__(self, name: str, path: str, shut: str, depth: int, block: str, bad: bool, named: tuple[str, ...], root: str):
+        self.name, self.path, self.shut, self.depth, self.block = name, path, shut, depth, block
+        self.bad, self.named, self.root = bad, named, root
 
 
 class Page:
     """Blocks of text and tag tokens of a page.
 
-    ``blocks``: path, text, article or main part around it, unwanted, named place, characters in links, position.
+    ``blocks``: path, text, article or main part around it, unwanted, named places, characters in links, position.
+    ``strong``: named places whose name counts on every page. ``heads``, ``parts``: the named places around first
+    headings and around article and main parts.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, str, bool, str, int, int]] = []
+        self.blocks: list[tuple[str, str, str, bool, tuple[str, ...], int, int]] = []
         self.tags: list[tuple[str, int]] = []
-        self.stack = [Node("", "", False, "", "")]
+        self.stack = [Node("", "", "/", 0, "", False, (), "")]
+        self.known: dict[str, str] = {}
+        self.opened: dict[str, int] = {}
+        self.strong: set[str] = set()
+        self.heads: dict[tuple[str, ...], None] = {}
+        self.parts: dict[tuple[str, ...], None] = {}
         self.text: list[str] = []
         self.linked: list[str] = []
         self.links = 0
@@ -117,26 +132,41 @@ class Page:
                 self.blocks.append((top.path, text, top.root, top.bad, top.named, min(links, len(text)), self.at))
                 self.at += 1
 
+    def place(self, path: str) -> str:
+        """The path as one string, however many elements have it."""
+        return self.known.setdefault(path, path)
+
     def tag(self, path: str) -> None:
         self.tags.append((path, self.at))
         self.at += 1
 
+    def pop(self, keep: int) -> None:
+        for node in self.stack[keep:]:
+            self.opened[node.name] -= 1
+            self.links -= node.name == "a"
+        del self.stack[keep:]
+
     def open(self, name: str, attrs: str) -> None:
         if name in BLOCK:
             self.flush()
             ends = ENDS.get(name, {"p"} if name not in ("option",) else set())
-            while self.stack[-1].name in ends or (self.inline() and self.block_below() in ends):
-                self.links -= self.stack.pop().name == "a"
+            while self.stack[-1].name in ends or (self.inline() and self.stack[-1].block in ends):
+                self.pop(len(self.stack) - 1)
         elif name == "br":
             self.text.append(" ")
         if name in VOID:
             if name != "br":
-                self.tag(f"{self.stack[-1].path}/{name}")
+                self.tag(self.place(f"{self.stack[-1].path}/{name}"))
             return
         up = self.stack[-1]
         marks = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if attrs else {}
         label = " ".join(x for x in (marks.get("class", ""), marks.get("id", "")) if x)
-        path = f"{up.path}/{name}" + (f".{'.'.join(marks['class'].split())}" if marks.get("class") else "")
+        if up.depth < DEEPEST:
+            names = ".".join(marks.get("class", "").replace("/", " ").split())
+            path = self.place(f"{up.path}/{name}" + (f".{names}" if names and len(names) <= LONGEST_NAME else f".{hash64(names):x}" if names else ""))
+            shut = self.place(path + "/")
+        else:
+            path, shut = up.path, up.shut
         part = name in ("article", "main") or marks.get("role") == "main"
         if name in ("html", "body", "main"):
             bad = up.bad
@@ -144,45 +174,75 @@ class Page:
             # an article inside another one is a reader's comment
             bad = up.bad or name in NOT_TEXT or marks.get("role", "").lower() in ROLES or (name == "header" and not up.root) or (name == "article" and self.in_article())
             bad = bad or bool(attrs and HIDDEN.search(re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "=", attrs) if "hidden" in attrs and "aria-hidden" not in attrs else attrs))
-        named = up.named or (path if label and name not in ("html", "body") and UNWANTED.search(label) else "")
-        self.stack.append(Node(name, path, bad, named, up.root or (path if part else "")))
+        named = up.named
+        if label and name not in ("html", "body"):
+            strong = bool(UNWANTED.search(label))
+            if (strong or TOPICS.search(label)) and path not in named[-1:]:
+                named = (*named, path)
+            if strong:
+                self.strong.add(path)
+        root = up.root or (path if part else "")
+        if not bad and name == "h1":
+            self.heads.setdefault(named)
+        if not bad and part:
+            self.parts.setdefault(named)
+        self.stack.append(Node(name, path, shut, up.depth + 1, name if name in BLOCK else up.block, bad, named, root))
+        self.opened[name] = self.opened.get(name, 0) + 1
         self.links += name == "a"
         self.tag(path)
 
     def in_article(self) -> bool:
-        return any(n.name == "article" for n in self.stack)
+        return self.opened.get("article", 0) > 0
 
     def inline(self) -> bool:
         return self.stack[-1].name not in BLOCK and len(self.stack) > 1
 
-    def block_below(self) -> str:
-        return next((n.name for n in reversed(self.stack) if n.name in BLOCK), "")
-
     def close(self, name: str) -> None:
         if name in BLOCK:
             self.flush()
         elif name == "br":
             self.text.append(" ")
             return
+        if not self.opened.get(name):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].name == name:
-                self.tag(self.stack[k].path + "/")
-                self.links -= sum(n.name == "a" for n in self.stack[k:])
-                del self.stack[k:]
+                self.tag(self.stack[k].shut)
+                self.pop(k)
                 return
             if name not in BLOCK and self.stack[k].name in BLOCK:
                 return  # an inline end tag does not reach over a block
 
     def wanted(self, named: frozenset[int] | None) -> list[tuple]:
-        """Blocks that no element of HTML and no class name makes unwanted; names count if the template has their place (``None``: always)."""
-        return [b for b in self.blocks if not b[3] and not (b[4] and (named is None or hash64(b[4]) in named))]
+        """Blocks that no element of HTML and no name makes unwanted.
+
+        Weak names count if the template has their place (``None``: always). Names that would take away all first headings,
+        all article and main parts and most of the text are the page's own: those around its first part (or heading) do not count.
+        """
+        counts = lambda p: named is None or p in self.strong or hash64(p) in named
+        hit = {c: any(map(counts, c)) for c in {*self.heads, *self.parts, *(b[4] for b in self.blocks)}}
+        blocks = [b for b in self.blocks if not b[3]]
+        left = [b for b in blocks if not hit[b[4]]]
+        if (self.heads or self.parts) and all(map(hit.get, self.heads)) and all(map(hit.get, self.parts)):
+            own = next(iter(self.parts or self.heads))
+            more = [b for b in blocks if not any(counts(p) for p in b[4] if p not in own)]
+            if sum(len(b[1]) for b in more) > 2 * sum(len(b[1]) for b in left):
+                return more
+        return left
 
     def main(self, named: frozenset[int] | None = None, main_path: str | None = None) -> list[str]:
-        """Texts of the main slot; a page that does not have it is judged by itself."""
+        """Texts of the main slot, and of article and main parts beside it that are no lists of links; a page that does not have it is judged by itself."""
         wanted = self.wanted(named)
         if main_path is None or not any(inside(b[0], main_path) for b in wanted):
             main_path = main_slot(masses(wanted), {b[2] for b in wanted if b[2]})
-        return [b[1] for b in wanted if inside(b[0], main_path)]
+        beside: dict[str, list[int]] = {}
+        for b in wanted:
+            if b[2] and b[2].rpartition("/")[0] == main_path.rpartition("/")[0]:
+                row = beside.setdefault(b[2], [0, 0])
+                row[0] += len(b[1])
+                row[1] += b[5]
+        paths = [main_path] + ([p for p, (chars, links) in beside.items() if links < LINKS * chars] if main_path in beside else [])
+        return [b[1] for b in wanted if any(inside(b[0], p) for p in paths)]
 
 
 def inside(path: str, container: str) -> bool:
@@ -249,7 +309,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
     """Statistics of tokens by host, added up batch by batch before they are shuffled.
 
     ``host, kind, token long, label, pages, vector long, place double, chars, links, heads long``. Kinds: ``tag``,
-    ``slot`` (places around wanted text), ``part`` (articles and main parts with text), ``named`` (places with an unwanted
+    ``slot`` (places around wanted text), ``part`` (articles and main parts with text), ``named`` (places with a weak
     class name), ``page`` (one row a different text), ``all`` (the host's pages). ``vector`` adds up a number drawn from page
     and count, so tokens with equal vectors of occurrences have equal ones.
     """
@@ -267,7 +327,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 wanted = page.wanted(frozenset())
                 rows += [("slot", hash64(path), path, 0, 1, tuple(m)) for path, m in masses(wanted).items()]
                 rows += [("part", hash64(path), path, 0, 1, (0, 0, 0)) for path in {b[2] for b in wanted if b[2]}]
-                rows += [("named", hash64(path), path, 0, 1, (0, 0, 0)) for path in {b[4] for b in page.blocks if b[4]}]
+                rows += [("named", hash64(path), path, 0, 1, (0, 0, 0)) for path in {p for b in page.blocks for p in b[4]} - page.strong]
                 rows.append(("page", hash64("\n\n".join(b[1] for b in page.blocks)), "", 0, 1, (0, 0, 0)))
                 rows.append(("all", 0, "", 0, 1, (0, 0, 0)))
                 for kind, token, label, place, count, mass in rows:
@@ -293,7 +353,7 @@ def templates(pages: DataFrame, scope: str = "lakeloom", tokens: DataFrame | Non
     """One row a host with at least ``LEAST_PAGES`` different pages: its template.
 
     ``host, pages long, main_path string`` (the main slot), ``named array<long>`` (places of the template with
-    an unwanted class name, and slots that are mostly links), ``classes array<struct<id:int,parent:int,
+    a weak class name), ``classes array<struct<id:int,parent:int,
     pages:long,tags:array<string>>>``: the valid classes, each with the class it nests in (-1: none) and its
     tags in page order.
     """
@@ -331,8 +391,6 @@ def templates(pages: DataFrame, scope: str = "lakeloom", tokens: DataFrame | Non
             slots[""] = [sum(m[k] for p, m in slots.items() if p and "/" not in p[1:]) or slots[""][k] for k in range(2)] + [slots[""][2]]
         parts = {r["label"] for r in rows if r["kind"] == "part" and r["label"] in slots}
         found = main_slot(slots, parts) if slots else None
-        if found:
-            named |= {hash64(p) for p, m in slots.items() if p != found and inside(p, found) and m[0] and m[1] >= LINKS * m[0]}
         kind = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("pages", pa.int64()), ("tags", pa.list_(pa.string()))]))
         columns = {"host": pa.array([rows[0]["host"]], pa.string()), "pages": pa.array([rows[0]["of"]], pa.int64()), "main_path": pa.array([found or None], pa.string())}
         return pa.table(columns | {"named": pa.array([sorted(named)], pa.list_(pa.int64())), "classes": pa.array([out], kind)})

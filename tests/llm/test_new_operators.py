@@ -254,3 +254,50 @@ def test_broken_tags_take_time_in_proportion(piece):
         html.Page(piece * (3_000_000 // len(piece)) + end)
     assert time.time() - began < 20
     assert [b[1] for b in html.Page(f"<p>one</p>{piece}<p>two</p>").blocks][:1] == ["one"]
+
+
+def main_texts(spark, pages):
+    rows = [(k, f"https://n.example/{k}", source) for k, source in enumerate(pages)]
+    found = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+@pytest.mark.parametrize("pages", [1, 2, 9])
+def test_adverts_and_comments_go_on_however_many_pages(spark, pages):
+    """An advert on a third of the pages, comments on another third; other names of the page's own stay."""
+    odd = {0: '<div class="ad">Buy now</div>', 1: '<div class="comments"><p>First!</p></div>', 2: '<p class="notice">We moved</p>'}
+    page = "<html><body><article class=story><h1>Story {k}</h1><p>Text {k}</p>{odd}<p>End {k}</p></article></body></html>"
+    got = main_texts(spark, [page.format(k=k, odd=odd[k % 3]) for k in range(pages)])
+    assert got == [f"Story {k}\n\nText {k}\n\nEnd {k}" for k in range(pages)]
+
+
+def test_articles_side_by_side(spark):
+    page = '<html><body><div class="page"><article class="lead"><h1>Story {k}</h1><p>Lead {k}</p></article><article class="body"><p>Body {k} and its long text</p></article><article class="more"><a href=/>Other stories of the day</a></article></div></body></html>'
+    for pages in (1, 4):
+        assert main_texts(spark, [page.replace("{k}", str(k)) for k in range(pages)]) == [f"Story {k}\n\nLead {k}\n\nBody {k} and its long text" for k in range(pages)]
+
+
+def test_names_around_the_whole_page_are_its_own():
+    long = "words of the story " * 9
+    for wrap in ("promo-page", "social", "comments-open"):
+        page = html.Page(f'<body><div class="masthead"><h1>Site</h1></div><div class="{wrap}"><article><p>{long}</p><div class="ad">Buy</div></article></div></body>')
+        assert page.main() == page.main(frozenset()) == [long.strip()]
+        page = html.Page(f'<body><div class="{wrap}"><h1>Story</h1><p>{long}</p><div class="ad">Buy</div></div></body>')
+        assert page.main() == page.main(frozenset()) == ["Story", long.strip()]
+    page = html.Page(f'<body><div class="post"><h1>T</h1><p>{long}</p></div><div class="comments"><article>{long * 5}</article></div></body>')
+    assert page.main() == page.main(frozenset()) == ["T", long.strip()]
+    assert html.Page(f'<body><div class="ad">{long}</div></body>').main() == []
+
+
+@pytest.mark.parametrize("source", ["<div>" * 100_000 + "deep" + "</div>" * 100_000, "<div>" * 50_000 + "deep" + "</section>" * 50_000, "<span>" * 50_000 + "<p>deep" * 50_000, "<div class=ad><p>" * 50_000 + "deep", f"<div class='{'name ' * 2000}'>" * 300 + "deep"])
+def test_deep_pages_take_time_and_memory_in_proportion(source):
+    import tracemalloc
+
+    began = time.time()
+    page = html.Page(source)
+    assert time.time() - began < 20
+    assert page.blocks[0][1] == "deep"
+    tracemalloc.start()
+    html.Page(source)
+    assert tracemalloc.get_traced_memory()[1] < 120_000_000
+    tracemalloc.stop()
