@@ -12,6 +12,7 @@ common passage in many surroundings gives, are cut again by longer grams, at las
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -218,6 +219,12 @@ def keyed(documents: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...
     return documents.select(F.coalesce(own, F.lit(-(2**63))).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_text"), own.alias("_doc"), *kept)
 
 
+def stored(value: pa.Scalar) -> bytes:
+    """The bytes of a string or binary value."""
+    data = value.as_py()
+    return data.encode() if isinstance(data, str) else data
+
+
 def find_segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """``h, seg, _id, _h, start int, n int, twice boolean``: every segment of every text."""
 
@@ -232,7 +239,7 @@ def find_segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     a, size = b + 1, 0
 
     def found(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t.as_py().encode() for t in batch.column(2)]
+        texts = [stored(t) for t in batch.column(2)]
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         joined, first = b"".join(texts), np.cumsum(size) - size
         text, start, n, h, twice = segments(np.frombuffer(joined, np.uint8), first, size, length, gram)
@@ -265,7 +272,7 @@ def fetch(rows: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             out, size = [], 0
             for text, asked in zip(batch.column(0), batch.column(1), strict=True):
-                data = text.as_py().encode()
+                data = stored(text)
                 for q in asked.as_py():
                     a, n = q["start"], q["n"]
                     out.append((q["h"], q["seg"], q["times"], data[a : a + n + length - 1]))
@@ -412,6 +419,79 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     return joined.mapInArrow(run, schema)
 
 
+#: Bytes that stand for a word.
+CODE = 4
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+class Codes(dict):
+    """The code of each word; the words of a task are remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        code = self[word] = xxhash.xxh32_intdigest(word)
+        return code
+
+
+def word_codes(rows: DataFrame) -> DataFrame:
+    """``_id, _h, _text binary``: the words of each text, between ASCII white space, as codes of ``CODE`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            out = [np.fromiter(map(codes.__getitem__, stored(t).split()), "<u4").tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["_id", "_h", "_text"])
+
+    return rows.select("_id", "_h", "_text").mapInArrow(run, "_id long, _h long, _text binary")
+
+
+def word_spans(runs: list[dict] | None, words: int) -> list[tuple[int, int]]:
+    """Maximal runs of words (first, behind the last) from runs of windows over codes; windows between two words count for nothing."""
+    whole = [{"a": -(-r["a"] // CODE), "b": r["b"] // CODE} for r in runs or ()]
+    return spans([r for r in whole if r["a"] <= r["b"]], words)
+
+
+def remove_repeated_words(documents: DataFrame, words: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), scope: str = "lakeloom") -> DataFrame:
+    """Remove every word that a run of ``words`` words covers which also starts anywhere else.
+
+    The suffix arrays are over sequences of words, each a code of 32 bits, so a run of short words is found as one of long words, and
+    none of fewer words is; runs that differ in words of equal code only would count as equal. Returns a row a row of the
+    input: ``doc_id, n_words, n_removed, n_spans long, kept_text string`` and the columns in ``keep``. Words are what lies between
+    ASCII white space; runs are judged on the input, and white space between words does not matter; overlaps and repeats within a text count; all copies
+    of a passage go, with the white space inside, and that around it stays. Null texts count as empty, texts of fewer words stay whole; repeated rows are copies of each other; an
+    empty table gives no rows. Columns of any name may be there; only the id, the text and ``keep`` are read.
+    """
+    rows = keyed(documents, id_col, text_col, keep)
+    codes = materialize(word_codes(rows), scope)
+    found = repeats(codes, CODE * words, CODE * gram, scope).withColumnRenamed("runs", "_runs")
+    kinds = dict(documents.dtypes)
+    joined = rows.join(found, ["_id", "_h"], "left")
+    joined = joined.select("_doc", "_text", "_runs", *(f"_k{k}" for k in range(len(keep))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, removed, count, kept = [], [], [], []
+            for own, runs in zip(batch.column(1), batch.column(2), strict=True):
+                data = stored(own)
+                cut = word_spans(runs.as_py(), words)
+                places = [m.span() for m in WORD.finditer(data)] if cut else []
+                at, rest = 0, []
+                for a, b in cut:
+                    rest.append(data[at : places[a][0]])
+                    at = places[b - 1][1]
+                rest.append(data[at:])
+                kept.append(b"".join(rest).decode())
+                sizes.append(len(places) if cut else len(data.split()))
+                removed.append(sum(b - a for a, b in cut))
+                count.append(len(cut))
+            out = {"doc_id": batch.column(0), "n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept_text": pa.array(kept, pa.string())}
+            yield pa.RecordBatch.from_pydict(out | {c: batch.column(3 + k) for k, c in enumerate(keep)})
+
+    schema = ", ".join(["doc_id long", "n_words long", "n_removed long", "n_spans long", "kept_text string", *(f"`{c}` {kinds[c]}" for c in keep)])
+    return joined.mapInArrow(run, schema)
+
+
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What is left of every document without the 400-byte strings that occur elsewhere."""
     from .common import table

@@ -6,12 +6,12 @@ import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from lakeloom.llm import caps, common, html, repair, trie
+from lakeloom.llm import caps, common, html, repair, suffix, trie
 
 
 @pytest.fixture(autouse=True, scope="module")
@@ -301,3 +301,38 @@ def test_deep_pages_take_time_and_memory_in_proportion(source):
     html.Page(source)
     assert tracemalloc.get_traced_memory()[1] < 120_000_000
     tracemalloc.stop()
+
+
+def repeated_words(texts, words):
+    """Number of words, of words covered by a repeated run, and what is left, by comparing all runs."""
+    split = [(t or "").split() for t in texts]
+    count = Counter(tuple(w[a : a + words]) for w in split for a in range(len(w) - words + 1))
+    out = []
+    for w in split:
+        covered = {k for a in range(len(w) - words + 1) if count[tuple(w[a : a + words])] > 1 for k in range(a, a + words)}
+        out.append((len(w), len(covered), [x for k, x in enumerate(w) if k not in covered]))
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_repeated_runs_of_words(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT_SEGMENTS", hot)
+    draw = random.Random(5)
+    own = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    short = [f"{a}{b}" for a in "abcdefg" for b in "stuvwxyz"][:50]
+    exact, less, wide = own(50), own(49), [w * 9 for w in own(70)]
+    texts = [None, "", " \n ", "few words", " ".join(less), " ".join(less + own(3)), " ".join(exact), "x " + "\n\t".join(exact) + "  y z"]
+    texts += [" ".join(own(k) + short + own(9)) for k in (0, 7, 200)] + [" ".join(own(30) + wide[:60] + own(5)), " ".join(wide), "na " * 60, "na " * 30 + "é日本 " * 90, "same text of its own " * 4]
+    texts += [" ".join(draw.choice("ab") for _ in range(300)), " ".join(own(20) + wide[5:58] + short[:49] + own(10))]
+    texts += [" ".join(own(2) + exact[:25] + own(1) + exact[26:] + own(40)) for _ in range(3)]
+    rows = [(k, t, k) for k, t in enumerate(texts)] + [(3, "few words", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words long")
+    got = suffix.remove_repeated_words(df.withColumnRenamed("n_words", "row"), keep=("row",), scope="words").collect()
+    assert len(got) == len(rows)
+    want = repeated_words(texts, 50)
+    for r in got:
+        assert (r.n_words, r.n_removed, r.kept_text.split()) == want[r.doc_id] and r.row == r.doc_id
+        assert r.n_removed or r.kept_text == (texts[r.doc_id] or "")
+    assert {r.doc_id for r in got if r.n_removed} >= {6, 7, 8, 9, 10, 11, 12, 13} and not {r.doc_id for r in got if r.n_removed} & {0, 1, 2, 3, 4, 5}
+    assert suffix.remove_repeated_words(df.limit(0), scope="words").count() == 0
+    common.release(spark, "words")
