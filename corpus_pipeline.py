@@ -39,15 +39,12 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words that occur elsewhere too; those with nothing else are gone.
-
-    A character that a passage's end cuts goes with the passage.
-    """
+    """Documents without the passages of 50 words that occur elsewhere too; those with nothing else are gone."""
     common.put_on_path(spark)
     common.release(spark, "pipeline-copies")
     columns = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
-    left = suffix.remove_repeats(rows, PASSAGE_BYTES, PASSAGE_GRAM, keep=("row",), text=True, least_words=PASSAGE_WORDS, scope="pipeline-repeats").where("n_removed = 0 or n_removed < n_bytes")
+    left = suffix.remove_repeated_words(rows, PASSAGE_WORDS, keep=("row",), scope="pipeline-repeats").where("n_removed = 0 or n_removed < n_words")
     left = left.select("doc_id", F.col("kept_text").alias("text"), "row.*").withColumn("n_chars", F.length("text").cast("long"))
     return left.select(*docs.columns)
 
@@ -59,8 +56,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-#: Passages of at least so many words go; repeats are found by strings of so many bytes, hardly ever longer than such a passage.
-PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 50, 192, 64
+#: Passages of at least so many words go.
+PASSAGE_WORDS = 50
 
 STAGES = [
     ("quality classifier", keep_good),
