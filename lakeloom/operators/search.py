@@ -32,19 +32,6 @@ def vector_search(store: DataFrame, queries: DataFrame, top: int, least: float |
     return found
 
 
-def all_scores(store: DataFrame, queries: DataFrame, block: int = 1000) -> DataFrame:
-    """``query_id, id, score``: the cosine of every stored vector with each of a stated query set, which goes out in blocks."""
-    unit = store.select("id", normalized(F.col("v")).alias("v"))
-    asked = queries.select(F.col("id").alias("query_id"), normalized(F.col("v")).alias("q"))
-    blocks = max(1, -(-asked.count() // block))
-    out = None
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        part = unit.join(F.broadcast(mine), F.size("v") == F.size("q")).select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
-        out = part if out is None else out.unionAll(part)
-    return out
-
-
 def group_means(vectors: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
     """``..., v``: mean vector of each group, divided by its length; weighted if a weight is given."""
     w = F.lit(1.0) if weight is None else weight

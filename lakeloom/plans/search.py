@@ -85,10 +85,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, store ORDER BY score D
 k AS (SELECT *, CASE WHEN n = 1 THEN 1.0 ELSE 1 - (i - 1) / (n - 1) END AS rs FROM r)"""
 
 
-def hits(spark, d):
-    """Scores of all vectors, each in its store, with every hundredth."""
-    found = S.all_scores(store(spark, d).select("id", "v"), store(spark, d).where("id % 100 = 0"))
-    return found.join(store(spark, d).select("id", F.concat(F.lit("store"), F.col("label")).alias("store")), "id").select("query_id", "store", "id", "score")
+def hits(spark, d, top: int):
+    """States of the scores of all vectors, each in its store, with every hundredth."""
+    from ..operators.scores import store_scores
+
+    stores = store(spark, d).withColumn("store", F.concat(F.lit("store"), F.col("label")))
+    return store_scores(stores, store(spark, d).where("id % 100 = 0"), top)
 
 
 @query("o4_federated", FEDERATED + " SELECT query_id, store, id, round(round((rs + greatest(score, 0)) / 2, 9), 6) AS final, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round((rs + greatest(score, 0)) / 2, 9) DESC, store, id) AS INTEGER) AS position FROM k WHERE i <= 20")
@@ -96,8 +98,7 @@ def o4_federated(spark, d):
     """The 20 best of each store in one order for each query."""
     from pyspark.sql import Window
 
-    own = Window.partitionBy("query_id", "store")
-    ranked = hits(spark, d).withColumns({"i": F.row_number().over(own.orderBy(F.desc("score"), "id")), "n": F.count("*").over(own)}).where("i <= 20")
+    ranked = hits(spark, d, 20).select("query_id", "store", "n", F.posexplode("hits").alias("i", "hit")).select("query_id", "store", "n", (F.col("i") + 1).alias("i"), "hit.*")
     rs = F.when(F.col("n") == 1, 1.0).otherwise(1 - (F.col("i") - 1) / (F.col("n") - 1))
     out = ranked.withColumn("final", F.round((rs + F.greatest("score", F.lit(0.0))) / 2, 9))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "store", "id"))
@@ -107,13 +108,8 @@ def o4_federated(spark, d):
 @query("a36_document_hits", FEDERATED + " SELECT query_id, store, count(*) AS n, round(max(score), 6) AS best, round(avg(score), 6) AS mean, list(id ORDER BY i) FILTER (i <= 3) AS chunks FROM r GROUP BY 1, 2")
 def a36_document_hits(spark, d):
     """Hits of each store for each query: number, best and mean score, and the three best."""
-    from pyspark.sql import Window
-
-    rows = hits(spark, d)
-    best = rows.withColumn("i", F.row_number().over(Window.partitionBy("query_id", "store").orderBy(F.desc("score"), "id"))).where("i <= 3")
-    chunks = best.groupBy("query_id", "store").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("chunks"))
-    found = rows.groupBy("query_id", "store").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"))
-    return found.join(chunks, ["query_id", "store"])
+    ids = F.transform("hits", lambda h: h["id"])
+    return hits(spark, d, 3).select("query_id", "store", "n", F.round("best", 6).alias("best"), F.round(F.col("total") / F.col("n"), 6).alias("mean"), ids.alias("chunks"))
 
 
 @query("j7_dot_self_join", f"""WITH {UNIT}, p AS (SELECT a.label, a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 9) AS score FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id),

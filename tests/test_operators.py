@@ -3,12 +3,13 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as X
 from lakeloom.functions import vectors as V
-from lakeloom.operators import chunking, graph, lexicon, ordered, profile, rules, stores, terms
+from lakeloom.operators import chunking, graph, lexicon, ordered, profile, rules, scores, stores, terms
 from lakeloom.sources import files
 from lakeloom.streaming import windows
 
@@ -272,3 +273,31 @@ def test_automaton_equals_search_term_by_term(spark):
     found = {(r.id, r.category): r.terms for r in lexicon.categories(docs, lex).collect()}
     assert found == {(i, c): sum((i, w) in want and f"c{k % 3}" == c for k, w in enumerate(words)) for i, _ in texts for c in ("c0", "c1", "c2", "none")}
     assert lexicon.match_terms(docs, lex.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("entries", [500_000, 10])
+def test_store_scores_equal_all_products(spark, monkeypatch, entries):
+    """Several stores, blocks and partial states, ties, odd vectors, lengths of two kinds."""
+    monkeypatch.setattr(scores, "MOST_ENTRIES", entries)
+    monkeypatch.setattr(scores, "ROWS", 7)
+    rng = random.Random(3)
+    rows = [(k, rng.choice(["a", "b", None]), [float(rng.randrange(-2, 3)) for _ in range(rng.choice([3, 3, 2]))]) for k in range(300)]
+    rows += [(300, "a", None), (301, "a", []), (302, "b", [1.0, None, 0.0]), (303, "b", [float("nan"), 1.0, 0.0]), (304, "c", [0.0, 0.0, 0.0]), (7, *rows[7][1:])]
+    df = spark.createDataFrame(rows, "id long, store string, v array<double>").repartition(5)
+    asked = df.where("id % 40 = 0 or id >= 300")
+    got = {(r.query_id, r.store): r for r in scores.store_scores(df, asked, 4, block=4).collect()}
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1.0)
+    good = [(i, s, unit(v)) for i, s, v in rows if v and not any(x is None or x != x for x in v)]
+    seen = set()
+    for q, _, x in good:
+        if q % 40 and q < 300:
+            continue
+        for store in ("a", "b", None, "c"):
+            hits = sorted((-round(float(x @ v), 9), i) for i, s, v in good if s == store and len(v) == len(x))
+            if hits:
+                r = got[q, store]
+                assert r.n == len(hits) and r.total == pytest.approx(-sum(h[0] for h in hits)) and r.best == pytest.approx(-hits[0][0])
+                assert [h.id for h in r.hits] == [h[1] for h in hits[:4]]
+                seen.add((q, store))
+    assert seen == set(got)
+    assert scores.store_scores(df.limit(0), asked, 4).count() == 0 and scores.store_scores(df, asked.limit(0), 4).count() == 0
