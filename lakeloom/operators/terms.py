@@ -142,6 +142,17 @@ def tfidf_cosine(counts: DataFrame, by: list[str], least: float, top: int, max_d
     return top_neighbours(both_ways(pairs), "cosine", top, tuple(by)).where("a < b").select(*by, "a", "b", "cosine")
 
 
+def with_shared_terms(pairs: DataFrame, terms: DataFrame, by: list[str], most: int) -> DataFrame:
+    """``pairs`` (``by..., a, b`` and more) with ``shared_terms``: the first ``most`` terms in order that both sides have.
+
+    ``terms`` has ``by..., id, term``. Only pairs that are left after all ranking are joined with term sets.
+    """
+    sets = terms.groupBy(*by, "id").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
+    for side in "ab":
+        pairs = pairs.join(sets.select(*by, F.col("id").alias(side), F.col("_terms").alias(f"_{side}")), [*by, side])
+    return pairs.withColumn("shared_terms", F.slice(F.array_intersect("_a", "_b"), 1, most)).drop("_a", "_b")
+
+
 def cooccurrence(counts: DataFrame, top_terms: int) -> DataFrame:
     """Pairs of the most frequent terms by the documents that hold both: count, Jaccard, overlap and their mean."""
     df = counts.groupBy("term").agg(F.count("*").alias("df"))

@@ -100,6 +100,10 @@ TURN_PAIRS = f"""WITH {TURNS}, z AS (SELECT conv_id, id, count(*) AS n FROM coun
 j AS (SELECT p.*, shared / (x.n + y.n - shared) AS jaccard, shared / least(x.n, y.n) AS overlap FROM p JOIN z x ON x.conv_id = p.conv_id AND x.id = a JOIN z y ON y.conv_id = p.conv_id AND y.id = b)"""
 
 
+#: Names of the shared terms of each pair of ``r``, in order, eight at most.
+SHARED = "t AS (SELECT conv_id, id, list(DISTINCT term) AS terms FROM counts GROUP BY 1, 2), l AS (SELECT r.*, list_sort(list_intersect(x.terms, y.terms))[1:8] AS shared_terms FROM r JOIN t x ON x.conv_id = r.conv_id AND x.id = a JOIN t y ON y.conv_id = r.conv_id AND y.id = b WHERE rank <= 5)"
+
+
 def turn_counts(spark, d):
     """Terms of the turns of conversations, which are to each conversation what chunks are to a file."""
     words = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("id"), F.explode(tokens("text", least=3, stopwords=STOPWORDS)).alias("term"))
@@ -107,11 +111,12 @@ def turn_counts(spark, d):
 
 
 @query("j1_cross_references", TURN_PAIRS + """, e AS (SELECT conv_id, a, b, shared FROM p WHERE shared >= 2 UNION ALL SELECT conv_id, b, a, shared FROM p WHERE shared >= 2),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, a ORDER BY shared DESC, b) AS INTEGER) AS rank FROM e) SELECT * FROM r WHERE rank <= 5""")
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, a ORDER BY shared DESC, b) AS INTEGER) AS rank FROM e), """ + SHARED + " SELECT * FROM l")
 def j1_cross_references(spark, d):
-    """For each turn the turns of its conversation that share most terms with it."""
-    pairs = T.scoped_similarity(turn_counts(spark, d).drop("n"), ["conv_id"], least_shared=2).select("conv_id", "a", "b", "shared")
-    return T.top_neighbours(T.both_ways(pairs), "shared", 5, ("conv_id",))
+    """For each turn the turns of its conversation that share most terms with it, and the first eight of those terms."""
+    terms = turn_counts(spark, d).drop("n")
+    pairs = T.scoped_similarity(terms, ["conv_id"], least_shared=2).select("conv_id", "a", "b", "shared")
+    return T.with_shared_terms(T.top_neighbours(T.both_ways(pairs), "shared", 5, ("conv_id",)), terms, ["conv_id"], 8)
 
 
 @query("j5_jaccard_pairs", PAIRS + " SELECT a, b, shared, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap FROM j")
@@ -137,11 +142,13 @@ def j5_members(spark, d):
 w AS (SELECT conv_id, id, term, counts.n * (ln((of + 1) / (df + 1)) + 1) AS w FROM counts JOIN df USING (conv_id, term) JOIN n USING (conv_id) WHERE df <= 0.75 * of), z AS (SELECT conv_id, id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1, 2),
 u AS (SELECT conv_id, id, term, w / norm AS w FROM w JOIN z USING (conv_id, id)),
 p AS (SELECT a.conv_id, a.id AS a, b.id AS b, sum(a.w * b.w) AS cosine FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.term = b.term AND a.id < b.id GROUP BY 1, 2, 3 HAVING sum(a.w * b.w) >= 0.02),
-e AS (SELECT conv_id, a, b, round(cosine, 9) AS cosine FROM p UNION ALL SELECT conv_id, b, a, round(cosine, 9) FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, a ORDER BY cosine DESC, b) AS rank FROM e)
-SELECT conv_id, a, b, round(cosine, 6) AS cosine FROM r WHERE rank <= 5 AND a < b""")
+e AS (SELECT conv_id, a, b, round(cosine, 9) AS cosine FROM p UNION ALL SELECT conv_id, b, a, round(cosine, 9) FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, a ORDER BY cosine DESC, b) AS rank FROM e),
+""" + SHARED + " SELECT conv_id, a, b, round(cosine, 6) AS cosine, shared_terms FROM l WHERE a < b")
 def j2_tfidf_cosine(spark, d):
-    """Similar turns of a conversation, by the weight of the terms that they share."""
-    return T.tfidf_cosine(turn_counts(spark, d), ["conv_id"], 0.02, 5).withColumn("cosine", F.round("cosine", 6))
+    """Similar turns of a conversation, by the weight of the terms that they share, and the first eight of those terms."""
+    counted = turn_counts(spark, d)
+    pairs = T.tfidf_cosine(counted, ["conv_id"], 0.02, 5).withColumn("cosine", F.round("cosine", 6))
+    return T.with_shared_terms(pairs, counted, ["conv_id"], 8)
 
 
 @query("j3_bipartite_match", f"""WITH {COUNTS}, i AS (SELECT item_id AS id, unnest(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9_]+)', 1), lambda t: length(t) >= 3 AND t NOT IN ({STOP})))) AS term FROM benchmark), x AS (SELECT id, count(*) AS n FROM i GROUP BY 1), z AS (SELECT id, count(*) AS n FROM counts GROUP BY 1),

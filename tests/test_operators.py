@@ -301,3 +301,16 @@ def test_store_scores_equal_all_products(spark, monkeypatch, entries):
                 seen.add((q, store))
     assert seen == set(got)
     assert scores.store_scores(df.limit(0), asked, 4).count() == 0 and scores.store_scores(df, asked.limit(0), 4).count() == 0
+
+
+def test_shared_terms_are_in_order_and_bounded(spark):
+    sets = {1: "dbcea", 2: "xdcab", 3: "qx", 4: "dbcea"}
+    held = spark.createDataFrame([(g, k, t) for g in ("s", "t") for k, ts in sets.items() for t in ts * 2] + [(None, 1, "a"), ("s", None, "a")], "g string, id long, term string")
+    pairs = spark.createDataFrame([("s", 1, 2, 0.5), ("t", 2, 1, 0.5), ("s", 2, 3, 0.1), ("s", 1, 3, 0.0), ("t", 1, 4, 1.0)], "g string, a long, b long, score double")
+    got = {(r.g, r.a, r.b): r.shared_terms for r in terms_of(pairs, held).collect()}
+    assert got == {("s", 1, 2): ["a", "b", "c"], ("t", 2, 1): ["a", "b", "c"], ("s", 2, 3): ["x"], ("s", 1, 3): [], ("t", 1, 4): ["a", "b", "c"]}
+    assert terms_of(pairs.limit(0), held).count() == 0
+
+
+def terms_of(pairs, sets):
+    return terms.with_shared_terms(pairs, sets, ["g"], 3)
