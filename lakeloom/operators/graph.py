@@ -6,11 +6,17 @@ sees counts only.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import parts
 from .state import checkpointed
 
+#: Edges that one task holds to solve whole components; larger components are solved in rounds over all tasks.
+MOST_EDGES = 1 << 20
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """``a, b, ...`` with every edge in both directions, once."""
@@ -79,24 +85,64 @@ def clusters(edges: DataFrame, most: int, limit: int | None = None, score: str |
     return nodes.drop("_cut"), summary
 
 
+def in_one_task(edges: DataFrame, solve, schema: str) -> DataFrame:
+    """What ``solve`` returns for all edges together; the caller has checked their number."""
+    return edges.select("a", "b", F.lit(0).alias("group")).groupBy("group").applyInArrow(lambda table: solve(table.select(["a", "b"])), schema)
+
+
+def by_component(edges: DataFrame, schema: str, solve, rounds) -> DataFrame:
+    """What ``solve`` returns for the edges ``a, b`` of whole components, as rows of ``schema``.
+
+    Components of up to ``MOST_EDGES`` edges are dealt into groups, each the work of one task with
+    a bounded table; ``rounds`` gets the edges of larger ones and works over all tasks. A graph that is
+    no larger than that is one group, without a search for its components.
+    """
+    if edges.count() <= MOST_EDGES:
+        return in_one_task(edges, solve, schema)
+    of = components(edges)
+    named = checkpointed(edges.join(of, edges["a"] == of["node"]).select("a", "b", "component"))
+    sizes = checkpointed(named.groupBy("component").agg(F.count("*").alias("_n")))
+    small = sizes.where(F.col("_n") <= MOST_EDGES)
+    groups = -(-4 * (small.agg(F.sum("_n")).first()[0] or 0) // MOST_EDGES)
+    found = None
+    if groups:
+        dealt = named.join(small, "component").select("a", "b", F.pmod(F.xxhash64("component"), F.lit(groups)).alias("group"))
+        found = dealt.groupBy("group").applyInArrow(lambda table: solve(table.select(["a", "b"])), schema)
+    large = sizes.where(F.col("_n") > MOST_EDGES)
+    if large.isEmpty():
+        return found
+    more = rounds(checkpointed(named.join(large, "component").select("a", "b")))
+    return more if found is None else found.unionByName(more)
+
+
 def core_numbers(edges: DataFrame) -> DataFrame:
-    """``node, core``: the largest k for which the node is in a subgraph of degrees of at least k."""
-    left = checkpointed(symmetric(edges.select("a", "b").where("a <> b")))
-    done, k = None, 0
-    while not left.isEmpty():
-        degree = left.groupBy("a").agg(F.count("*").alias("degree"))
-        low = degree.agg(F.min("degree")).first()[0]
-        k = max(k, low)
-        gone = checkpointed(degree.where(F.col("degree") <= k).select(F.col("a").alias("node")))
-        found = gone.withColumn("core", F.lit(k))
-        done = found if done is None else done.unionAll(found)
-        rest = left.join(gone, left.a == gone.node, "left_anti")
-        kept = checkpointed(rest.join(gone, rest.b == gone.node, "left_anti"))
-        # a node whose last neighbours went with this round has core k as well
-        alone = left.select("a").distinct().join(gone, F.col("a") == gone.node, "left_anti").join(kept.select("a").distinct(), "a", "left_anti")
-        done = checkpointed(done.unionAll(alone.select(F.col("a").alias("node"), F.lit(k).alias("core"))))
-        left = kept
-    return edges.sparkSession.createDataFrame([], f"node {dict(edges.dtypes)['a']}, core int") if done is None else done
+    """``node, core int``: the largest k for which the node is in a subgraph of degrees of at least k.
+
+    Edges from a node to itself and edges with a null end do not count, repeated ones count once. Components
+    are solved within tasks (``by_component``); larger ones are peeled over all tasks until what is left fits one.
+    """
+    both = checkpointed(symmetric(edges.select("a", "b").where("a <> b")))
+    schema = f"node {dict(both.dtypes)['a']}, core int"
+    return by_component(both, schema, parts.cores, lambda large: peeled(large, schema))
+
+
+def peeled(both: DataFrame, schema: str) -> DataFrame:
+    """``node, core`` of edges in both directions, by rounds that remove all nodes of the lowest degrees."""
+    left, done, k, size = both, [], 0, both.count()
+    while size > MOST_EDGES:
+        degree = checkpointed(left.groupBy("a").agg(F.count("*").alias("degree")))
+        k = max(k, degree.agg(F.min("degree")).first()[0])
+        gone = degree.where(F.col("degree") <= k).select(F.col("a").alias("node"))
+        kept = checkpointed(left.join(gone, left["a"] == gone["node"], "left_anti").join(gone, F.col("b") == gone["node"], "left_anti"))
+        # with a node's last neighbours goes the node, at this k
+        at = kept.select("a").distinct()
+        done.append(degree.join(at, "a", "left_anti").select(F.col("a").alias("node"), F.lit(k).alias("core")))
+        if len(done) == 16:
+            done = [checkpointed(functools.reduce(DataFrame.unionAll, done))]
+        left, size = kept, kept.count()
+    if size:
+        done.append(in_one_task(left, functools.partial(parts.cores, least=k), schema))
+    return functools.reduce(DataFrame.unionAll, done)
 
 
 def best_paths(edges: DataFrame, hops: int, least: float) -> DataFrame:
@@ -132,30 +178,45 @@ def depths(parents: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node, component``: nodes that reach each other share the smallest of them.
 
-    Trims nodes without incoming or outgoing edges, then colours forward with the smallest reaching node and
-    keeps what reaches its colour backwards; repeats on the rest.
+    Edges with a null end do not count. Weak components are solved within tasks (``by_component``); larger ones by
+    ``coloured`` over all tasks until what is left fits one.
+    """
+    held = checkpointed(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    kind = dict(held.dtypes)["a"]
+    schema = f"node {kind}, component {kind}"
+    return by_component(held, schema, parts.strong, lambda large: coloured(large, schema))
+
+
+def coloured(edges: DataFrame, schema: str) -> DataFrame:
+    """``node, component`` of directed edges, by the smallest node that reaches each node and the smallest that it reaches.
+
+    Both spread in the same job, and jump to what the node they name has found, so that chains take about the logarithm of
+    their length. Where the two are equal, that node's component is found; nodes of one component have
+    equal pairs, so edges between different pairs go, and the rest is coloured again.
     """
-    left = checkpointed(edges.select("a", "b").distinct())
-    nodes = checkpointed(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
-    done = None
-    while not nodes.isEmpty():
-        colour = checkpointed(nodes.select("node", F.col("node").alias("c")))
+    left, nodes = edges, checkpointed(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
+    done, size = [], left.count()
+    while size > MOST_EDGES:
+        mark = nodes.select("node", F.col("node").alias("f"), F.col("node").alias("t"))
         while True:
-            near = left.join(colour, left.a == colour.node).groupBy("b").agg(F.min("c").alias("m"))
-            after = checkpointed(colour.join(near, colour.node == near.b, "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c")))
-            same = after.join(colour.withColumnRenamed("c", "old"), "node").where("c <> old").isEmpty()
-            colour = after
-            if same:
+            ahead = left.join(mark, left["a"] == mark["node"]).select(F.col("b").alias("node"), "f", F.lit(None).alias("t"))
+            behind = left.join(mark, left["b"] == mark["node"]).select(F.col("a").alias("node"), F.lit(None).alias("f"), "t")
+            near = ahead.unionAll(behind).groupBy("node").agg(F.min("f").alias("nf"), F.min("t").alias("nt"))
+            spread = checkpointed(mark.join(near, "node", "left").select("node", F.least("f", "nf").alias("f"), F.least("t", "nt").alias("t"), "f", "t").toDF("node", "f", "t", "of", "ot"))
+            jump = spread.join(spread.select(F.col("node").alias("f"), F.col("f").alias("ff")), "f").join(spread.select(F.col("node").alias("t"), F.col("t").alias("tt")), "t")
+            after = checkpointed(jump.select("node", F.least("f", "ff").alias("f"), F.least("t", "tt").alias("t"), "of", "ot"))
+            mark = after.select("node", "f", "t")
+            if after.where("f <> of or t <> ot").isEmpty():
                 break
-        inside = left.join(colour.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select("a", "b", F.col("ca").alias("c"))
-        inside = checkpointed(inside)
-        reach = checkpointed(colour.where("node = c"))
-        front = reach
-        while not front.isEmpty():
-            front = checkpointed(inside.join(front.select(F.col("node").alias("b"), "c"), ["b", "c"]).select(F.col("a").alias("node"), "c").distinct().join(reach, ["node", "c"], "left_anti"))
-            reach = checkpointed(reach.unionAll(front))
-        found = reach.select("node", F.col("c").alias("component"))
-        done = found if done is None else done.unionAll(found)
-        nodes = checkpointed(nodes.join(reach, "node", "left_anti"))
-        left = checkpointed(left.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").join(nodes.withColumnRenamed("node", "b"), "b", "left_semi"))
-    return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0) if done is None else done
+        done.append(mark.where("f = t").select("node", F.col("f").alias("component")))
+        if len(done) == 16:
+            done = [checkpointed(functools.reduce(DataFrame.unionAll, done))]
+        rest = mark.where("f <> t")
+        one, other = rest.toDF("a", "f", "t"), rest.toDF("b", "f2", "t2")
+        left = checkpointed(left.join(one, "a").join(other, "b").where("f = f2 and t = t2").select("a", "b"))
+        nodes, size = checkpointed(rest.select("node")), left.count()
+    if size:
+        done.append(checkpointed(in_one_task(left, parts.strong, schema)))
+        nodes = nodes.join(done[-1], "node", "left_anti")
+    done.append(nodes.select("node", F.col("node").alias("component")))
+    return functools.reduce(DataFrame.unionAll, done)

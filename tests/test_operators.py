@@ -19,7 +19,9 @@ def edges_of(seed, n, m):
     return sorted({(min(p), max(p)) for p in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if p[0] != p[1]})
 
 
-def test_components_and_cores(spark):
+@pytest.mark.parametrize("most", [1 << 20, 30])
+def test_components_and_cores(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "MOST_EDGES", most)
     edges = edges_of(1, 60, 55)
     df = spark.createDataFrame(edges, "a long, b long")
     near = defaultdict(set)
@@ -52,7 +54,9 @@ def test_triangle_has_core_two(spark):
     assert {r.core for r in graph.core_numbers(df).collect()} == {2}
 
 
-def test_strong_components(spark):
+@pytest.mark.parametrize("most", [1 << 20, 12])
+def test_strong_components(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "MOST_EDGES", most)
     rng = random.Random(3)
     edges = {(rng.randrange(25), rng.randrange(25)) for _ in range(45)} | {(7, 7)}
     reach = {x: {x} for e in edges for x in e}
@@ -64,6 +68,40 @@ def test_strong_components(spark):
     assert {r.node: r.component for r in got.collect()} == want
 
 
+def jobs(spark, name, work):
+    """How many jobs ``work`` takes."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("rest", "rest")
+
+
+def test_graph_of_words_nulls_and_repeats(spark):
+    edges = [("é", "a"), ("a", "b"), ("b", "é"), ("b", "é"), ("b", "z"), ("z", "z"), ("q", "q"), (None, "a"), ("a", None), (None, None)]
+    df = spark.createDataFrame(edges, "a string, b string").withColumn("component", F.lit(1)).withColumn("node", F.lit("x"))
+    assert {tuple(r) for r in graph.core_numbers(df).collect()} == {("a", 2), ("b", 2), ("é", 2), ("z", 1)}
+    assert {tuple(r) for r in graph.strong_components(df).collect()} == {("a", "a"), ("b", "a"), ("é", "a"), ("z", "z"), ("q", "q")}
+    assert graph.strong_components(df.limit(0)).count() == 0
+
+
+def test_long_paths_take_few_jobs(spark):
+    n, rng = 10_000, random.Random(4)
+    names = rng.sample(range(n), n)
+    path = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")
+    assert jobs(spark, "cores", lambda: check_cores(path, n)) < 40
+    assert jobs(spark, "strong", lambda: check_strong(path, n)) < 40
+
+
+def check_cores(path, n):
+    assert [tuple(r) for r in graph.core_numbers(path).groupBy("core").count().collect()] == [(1, n)]
+
+
+def check_strong(path, n):
+    assert graph.strong_components(path).where("node = component").count() == n
+
+
 def test_depths_of_forest_and_cycle(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 9), (5, 6), (6, 5)], "node long, parent long")
     assert {r.node: r.depth for r in graph.depths(df).collect()} == {1: 0, 2: 1, 3: 2, 4: 0, 5: 0, 6: 0}
