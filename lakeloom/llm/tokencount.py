@@ -14,8 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import ranges
+
 #: Bytes of a block of a file; blocks are scanned independently of each other.
 BLOCK_BYTES = 1 << 20
+#: Bytes of blocks that one task scans, one after the other.
+TASK_BYTES = 32 << 20
 #: Documents of a token file; a task writes as many files as it needs.
 FILE_ROWS = 4096
 
@@ -44,19 +48,13 @@ def row_of(file, ordinal, rows_per_file: int = FILE_ROWS) -> F.Column:
 def read_blocks(spark: SparkSession, path: str, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``file string, block long, data binary``: flat files cut at fixed offsets, wherever documents end.
 
-    A file is read whole by one task, as Spark's binary source does, so files should stay well under
-    an executor's memory; ``write_token_files`` bounds the documents of a file.
+    Blocks are byte ranges, so a file of any size is the work of many tasks, which hold one block each at a time. Files
+    are reached through pyarrow's file systems (local and shared folders, HDFS, S3, GCS). Empty files have no blocks.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                buffer = content.as_buffer()
-                for k, a in enumerate(range(0, buffer.size, block_bytes)):
-                    yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([k], pa.int64()), "data": pa.array([buffer.slice(a, min(block_bytes, buffer.size - a)).to_pybytes()], pa.binary())})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, block long, data binary")
+    ranges.register(spark)
+    step = max(width, block_bytes - block_bytes % width)
+    held = spark.read.format("lakeloom_ranges").option("block", step).option("task", TASK_BYTES).load(path)
+    return held.where("size > 0").select(F.col("path").alias("file"), (F.col("offset") / step).cast("long").alias("block"), F.col("content").alias("data"))
 
 
 def scan_blocks(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
@@ -128,7 +126,7 @@ def document_counts(scanned: DataFrame) -> DataFrame:
 
 def count_tokens(spark: SparkSession, path: str, separator: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Token counts of the documents in the flat files under ``path``; empty files have none."""
-    return document_counts(scan_blocks(read_blocks(spark, path, width, block_bytes - block_bytes % width), separator, width))
+    return document_counts(scan_blocks(read_blocks(spark, path, width, block_bytes), separator, width))
 
 
 def packed_ids(documents: DataFrame, ranks: str, pattern: str, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,11 +155,12 @@ def packed_ids(documents: DataFrame, ranks: str, pattern: str, width: int = 2, i
     return rows.mapInArrow(run, "doc_id long, tokens binary")
 
 
-def counted_documents(documents: DataFrame, ranks: str, pattern: str, separator: int, width: int = 2, rows_per_file: int = FILE_ROWS, scope: str = "lakeloom") -> DataFrame:
+def counted_documents(documents: DataFrame, ranks: str, pattern: str, separator: int, width: int = 2, rows_per_file: int = FILE_ROWS, scope: str = "lakeloom", settled: bool = False) -> DataFrame:
     """``doc_id, start_token, n_tokens``: all documents (``doc_id, text``) written as flat token files, scanned, and matched to their counts.
 
     The files carry no ids. A task writes its rows in their order, so file names and ordinals give the row
-    number of a document in the scan. That both scans are dealt alike is checked: a document without a count
+    number of a document in the scan. ``documents`` is scanned twice, and a frame behind a shuffle may be dealt out
+    otherwise the second time; so it is written first, unless it is ``settled``: a plain scan of files that do not change. A document without a count
     or a count without a document is an error, never a null. The token files go when they are counted. Null
     texts count as empty and have 0 tokens; repeated rows are documents of their own; an empty table gives no rows.
     """
@@ -170,6 +169,8 @@ def counted_documents(documents: DataFrame, ranks: str, pattern: str, separator:
     from .common import delete, materialize, shared_dir
 
     spark = documents.sparkSession
+    if not settled:
+        documents = materialize(documents.select("doc_id", "text"), scope)
     path = f"{shared_dir(spark)}/lakeloom-tokens-{uuid.uuid4().hex}"
     write_token_files(packed_ids(documents, ranks, pattern, width), path, separator, width, rows_per_file)
     counts = count_tokens(spark, path, separator, width)
@@ -188,4 +189,4 @@ def op8_separator_scan(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return counted_documents(documents, tokenizers_dir.path("byte_bpe_multi_50k.tiktoken"), tokenizers_dir.PATTERN, 50256)
+    return counted_documents(documents, tokenizers_dir.path("byte_bpe_multi_50k.tiktoken"), tokenizers_dir.PATTERN, 50256, settled=True)

@@ -175,6 +175,17 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_large_token_files_are_the_work_of_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokencount, "TASK_BYTES", 1 << 18)
+    ids = np.random.default_rng(2).integers(0, 50, 1 << 20).astype("<u2")
+    ids.tofile(tmp_path / "x.bin")
+    ends = np.flatnonzero(ids == 9)
+    sizes = np.append(np.diff(np.concatenate(([-1], ends))) - 1, [len(ids) - ends[-1] - 1] if ends[-1] < len(ids) - 1 else [])
+    assert tokencount.read_blocks(spark, str(tmp_path), 2, 1 << 16).rdd.getNumPartitions() > 4
+    got = tokencount.count_tokens(spark, str(tmp_path), 9, 2, 1 << 16).orderBy("ordinal").toPandas()
+    assert got["n_tokens"].tolist() == sizes.tolist()
+
+
 def test_separator_scan_of_odd_documents(spark, docs, none):
     import tiktoken
 
@@ -187,6 +198,18 @@ def test_separator_scan_of_odd_documents(spark, docs, none):
         held = common.materialize(rows.select("doc_id", "text"), "test-tokens")
         got = tokencount.counted_documents(held, ranks, public_tokenizers.PATTERN, 50256, rows_per_file=per_file)
         assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=str) == want
+
+    def otherwise(batches):
+        """The rows in another order every time."""
+        import pyarrow as pa
+
+        rows = [r for b in batches for r in b.to_pylist()]
+        random.SystemRandom().shuffle(rows)
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+
+    turned = docs.select("doc_id", "text").mapInArrow(otherwise, "doc_id long, text string")
+    got = tokencount.counted_documents(turned, ranks, public_tokenizers.PATTERN, 50256, rows_per_file=4)
+    assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=str) == want
     spark.conf.set("spark.sql.files.maxRecordsPerFile", 2)
     got = tokencount.counted_documents(held, ranks, public_tokenizers.PATTERN, 50256)
     spark.conf.unset("spark.sql.files.maxRecordsPerFile")
