@@ -152,10 +152,14 @@ def global_row_number(df: DataFrame, order: list[str]) -> DataFrame:
     """Rows with ``_row``, their 1-based place in a total order.
 
     Sorts by range partitions; each partition's offset is the number of rows in those before it, of
-    which there are as many as partitions.
+    which there are as many as partitions. The sorted rows are checkpointed: bounds of ranges are sampled, and
+    joined partitions depend on sizes, so a second evaluation for the offsets might deal rows otherwise.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inside = ordered.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = inside.groupBy("_part").agg(F.count("*").alias("_size"))
+    from .state import checkpointed
+
+    # the upper bits of the identifier are the partition's, the lower 33 the place in it
+    ordered = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("_part", F.shiftright("_id", 33))
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_size"))
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return inside.join(F.broadcast(offsets), "_part").withColumn("_row", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    return ordered.join(F.broadcast(offsets), "_part").withColumn("_row", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_id", "_before")
