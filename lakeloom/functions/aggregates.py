@@ -14,7 +14,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +89,15 @@ def distinct_sketch(k: int) -> Aggregate:
 MEAN = register("mean", _moment(lambda s: float(s[1]) if s[0] else None))
 VARIANCE = register("variance", _moment(lambda s: float(s[2] / (s[0] - 1)) if s[0] > 1 else None))
 DISTINCT = register("distinct", distinct_sketch(4096))
+#: Keeps every hash, of which equal ones come from equal numbers only: exact, but a state grows with its values, so keys are to be split as by ``value_part``.
+EXACT_DISTINCT = register("exact_distinct", distinct_sketch(sys.maxsize))
+#: Parts of the values of a key.
+VALUE_PARTS = 64
+
+
+def value_part(value: str) -> Column:
+    """The part that a value belongs to: different values of a key are the sum of those of its parts."""
+    return F.pmod(F.xxhash64(value), F.lit(VALUE_PARTS)).cast("int")
 
 
 def partial_states(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
