@@ -21,7 +21,13 @@ def j19_name_references(spark, d):
     pages = table(spark, d, "pages")
     links = pages.select(F.col("page_id").alias("source"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("name")).withColumn("name", F.lower("name"))
     names = pages.select(F.col("page_id").alias("target"), F.lower(F.coalesce(F.get(F.split("url", "/"), F.lit(3)), F.lit(""))).alias("name")).where("name <> ''")
-    return links.join(names, "name").where("source <> target").groupBy("source", "target").agg((F.count("*") * 2).alias("weight"))
+    links = links.groupBy("source", "name").agg(F.count("*").alias("links"))
+    named = names.groupBy("target", "name").agg(F.count("*").alias("rows"))
+    several = named.groupBy("target").agg(F.count("*").alias("names")).where("names > 1").select("target")
+    weight = F.col("links") * F.col("rows") * 2
+    meet = lambda part: links.join(part, "name").where("source <> target").select("source", "target", weight.alias("weight"))
+    # a page of one name meets a source once, so only pages of several names are summed by pair
+    return meet(named.join(several, "target", "left_anti")).unionAll(meet(named.join(several, "target", "left_semi")).groupBy("source", "target").agg(F.sum("weight").alias("weight")))
 
 
 @query("j20_document_query", """WITH q AS (SELECT unnest(['the', 'license', 'that', 'und']) AS t), w AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) AS t FROM documents), o AS (SELECT id, count(*) AS overlap FROM w JOIN q USING (t) GROUP BY 1), r AS (SELECT doc_id AS id, quality AS refs FROM labels)
