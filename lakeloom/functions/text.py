@@ -110,7 +110,12 @@ def vowels(word) -> Column:
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n neighbours of an array, joined by spaces."""
     size = F.size(words)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    # shifted copies are zipped: a lambda over places would compute ``words`` again for each of them
+    shifted = lambda k: F.slice(words, k + 1, F.greatest(size - n + 1, F.lit(0)))
+    runs = F.transform(shifted(0), lambda w: F.coalesce(w, F.lit("")))
+    for k in range(1, n):
+        runs = F.zip_with(shifted(0) if k == 1 else runs, shifted(k), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(size >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
 def word_forms(text) -> Column:
