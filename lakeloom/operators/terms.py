@@ -162,8 +162,10 @@ def top_neighbours(pairs: DataFrame, score: str, top: int, by: tuple[str, ...] =
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
+    """Each pair in both directions; pairs are computed once, not once for each."""
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *rest))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.select(F.explode(ways).alias("_way"), *rest).select("_way.a", "_way.b", *rest)
 
 
 def tfidf_cosine(counts: DataFrame, by: list[str], least: float, top: int, max_df_ratio: float = 0.75) -> DataFrame:
