@@ -9,7 +9,9 @@ the threshold must share one of; equal sets take part once. Nothing else is left
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +137,85 @@ def scoped_similarity(sets: DataFrame, by: list[str], least: float = 0.0, least_
     return out.where((F.col("jaccard") >= least) & (F.col("shared") >= least_shared)).select(*by, "a", "b", "shared", "jaccard", "overlap")
 
 
+#: Sets of a block; two blocks of one scope meet in a cell of ``scoped_overlaps``, whose counts are a matrix of that many rows and columns.
+CELL_SETS = 4096
+
+
+def scoped_overlaps(sets: DataFrame, by: list[str], least_shared: int) -> DataFrame:
+    """``by..., a, b, shared``: pairs a < b of one scope that share ``least_shared`` > 0 terms or more, of sets ``by..., id, term`` whose scopes grow with the table.
+
+    A scope's sets are dealt into blocks of about ``CELL_SETS``. A set is sent once to each cell of its block, shared terms are counted within the
+    cell, and no pair is shuffled. A term that an id has twice in one scope counts for each; null scopes match nothing.
+    """
+    from .state import checkpointed
+
+    scoped = sets.where(" and ".join(f"`{c}` is not null" for c in [*by, "id", "term"]))
+    held = checkpointed(scoped.groupBy(*by, "id").agg(F.collect_list("term").alias("terms")))
+    blocks = held.groupBy(*by).agg(F.ceil(F.count("*") / CELL_SETS).alias("_blocks"))
+    dealt = held.join(blocks, by).withColumn("_block", F.pmod(F.xxhash64("id"), "_blocks")).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    dealt = dealt.select(*by, F.least("_block", "_k").alias("_x"), F.greatest("_block", "_k").alias("_y"), "_block", "id", "terms")
+    # cells are few bytes and much work: as many tasks as shuffles have partitions
+    spread = dealt.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_x", "_y")
+    kind = lambda c: sets.schema[c].dataType.simpleString()
+    schema = ", ".join([*(f"`{c}` {kind(c)}" for c in by), f"a {kind('id')}, b {kind('id')}, shared long"])
+    return spread.groupBy(*by, "_x", "_y").applyInArrow(_overlaps_in_cell(by, least_shared), schema)
+
+
+def _overlaps_in_cell(by: list[str], least: int):
+    """Counts of a cell: each term adds one at all its left by all its right sets; pairs leave it by some rows at a time."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    def postings(codes: np.ndarray, rows: np.ndarray, terms: int):
+        """Rows and their repeats by term, and where each term's begin."""
+        keys, n = np.unique(codes * (rows.max(initial=0) + 1) + rows, return_counts=True)
+        code, row = np.divmod(keys, rows.max(initial=0) + 1)
+        return row, n, np.searchsorted(code, np.arange(terms + 1))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).select(["_block", "id", "terms"]).combine_chunks()
+        ids, lists, block = (table.column(c).combine_chunks() for c in ("id", "terms", "_block"))
+        x, y = key[-2].as_py(), key[-1].as_py()
+        block, n = block.to_numpy(zero_copy_only=False), table.num_rows
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        encoded = pc.dictionary_encode(lists.flatten())
+        codes, terms = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(encoded.dictionary)
+        place = np.empty(n, np.int64)
+        place[pc.sort_indices(ids).to_numpy(zero_copy_only=False)] = np.arange(n)
+        members = [np.flatnonzero(block == k) for k in (x, y)]
+        sides = []
+        for own in members:
+            at = np.full(n, -1)
+            at[own] = np.arange(len(own))
+            row = np.repeat(at, sizes)
+            sides.append(postings(codes[row >= 0], row[row >= 0], terms))
+        (left, left_n, left_at), (right, right_n, right_at) = sides
+        most = int(sizes.max(initial=0)) * int(max(left_n.max(initial=1), right_n.max(initial=1)))
+        counts = np.zeros((len(members[0]), len(members[1])), np.min_scalar_type(most))
+        a, b = np.diff(left_at), np.diff(right_at)
+        for t in np.flatnonzero(a * b >= 256):
+            l, r = slice(left_at[t], left_at[t + 1]), slice(right_at[t], right_at[t + 1])
+            counts[left[l][:, None], right[r]] += np.outer(left_n[l], right_n[r]).astype(counts.dtype)
+        rare = np.flatnonzero((a * b > 0) & (a * b < 256))
+        product = (a * b)[rare]
+        t = np.repeat(rare, product)
+        step = np.arange(len(t)) - np.repeat(np.cumsum(product) - product, product)
+        l, r = left_at[t] + step // b[t], right_at[t] + step % b[t]
+        np.add.at(counts, (left[l], right[r]), (left_n[l] * right_n[r]).astype(counts.dtype))
+        for first in range(0, len(counts), 64):
+            part = counts[first : first + 64]
+            p, q = np.nonzero(part >= least)
+            one, other = members[0][p + first], members[1][q]
+            keep = place[one] < place[other] if x == y else np.ones(len(one), bool)
+            one, other, shared = one[keep], other[keep], part[p, q][keep].astype(np.int64)
+            swapped = place[one] > place[other]
+            low, high = np.where(swapped, other, one), np.where(swapped, one, other)
+            if len(low):
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(k, len(low)) for k in key[:-2]), ids.take(pa.array(low)), ids.take(pa.array(high)), pa.array(shared)], names=[*by, "a", "b", "shared"])
+
+    return run
+
+
 def shared_terms(left: DataFrame, right: DataFrame, within: Column | None = None) -> DataFrame:
     """``a, b, shared``: how many terms each pair of a left and a right document shares, with ``within`` as a condition on a and b."""
     pairs = left.select(F.col("id").alias("a"), "term").join(right.select(F.col("id").alias("b"), "term"), "term")

@@ -82,7 +82,7 @@ def j24_keyword_sets(spark, d):
     """Documents of one source and language that share three of their ten keywords."""
     named = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
     sets = key_terms(spark, d).join(named, "id")
-    return T.scoped_similarity(sets, ["source", "lang"], least_shared=3).select("source", "lang", "a", "b", "shared")
+    return T.scoped_overlaps(sets, ["source", "lang"], 3)
 
 
 @query("j27_line_chunks", "WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS c, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text <> '') SELECT id, CAST(line AS INTEGER) AS line, CAST(greatest(0, (line - 2) // 4) AS INTEGER) AS chunk FROM l WHERE contains(c, ', ')")
