@@ -5,31 +5,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, normalized
+from ..functions.vectors import normalized
 from .profile import global_row_number
 
 
-def vector_search(store: DataFrame, queries: DataFrame, top: int, least: float | None = None, block: int = 1000) -> DataFrame:
+#: Queries of a block and stored vectors of a part; a block meets a part in one cell.
+CELL_QUERIES, CELL_VECTORS = 4096, 8192
+#: Rows of a store whose scores with a block of queries are held at a time.
+ROWS = 1024
+#: Scores are ranked by nine digits; products of matrices, whose sums have another order, are off by far less than this.
+SLACK = 3e-9
+
+
+def vector_search(store: DataFrame, queries: DataFrame, top: int, least: float | None = None) -> DataFrame:
     """``query_id, id, score, rank``: the nearest vectors of a stated query set by cosine, ties to the smaller id.
 
-    ``store`` and ``queries`` have ``id, v``. Queries go out in broadcast blocks of ``block`` rows, each
-    against one scan of the store; beyond one block further scans follow. Partial top lists are kept
-    within a partition's groups before they are merged. Vectors of another length are skipped.
+    ``store`` and ``queries`` have ``id, v``. Blocks of queries meet parts of the store in cells, each of a bounded size, in which a matrix product finds the
+    candidates; only those leave it, with their scores in the order of components. Vectors of another length than the query's are skipped, as are null ones;
+    a score with a null component is null and comes last, one that is not a number comes first.
     """
-    unit = store.select("id", normalized(F.col("v")).alias("v"))
-    asked = queries.select(F.col("id").alias("query_id"), normalized(F.col("v")).alias("q"))
-    blocks = max(1, -(-asked.count() // block))
+    # the sides share no column, else a cogroup of one table with itself loses those of one side
+    unit, asked = (rows.where("v is not null").select(F.col("id").alias(name), normalized(F.col("v")).alias(v)) for rows, name, v in ((store, "id", "v"), (queries, "query_id", "q")))
+    blocks, parts = (max(1, -(-rows.count() // most)) for rows, most in ((queries, CELL_QUERIES), (store, CELL_VECTORS)))
+    dealt = lambda rows, own, n, other, m: rows.select("*", F.pmod(F.xxhash64(rows.columns[0]), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    tasks = min(blocks * parts, int(store.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x, y = (rows.repartition(tasks, "_part", "_block").groupBy("_part", "_block") for rows in (dealt(unit, "_part", parts, "_block", blocks), dealt(asked, "_block", blocks, "_part", parts)))
+    schema = f"query_id {dict(queries.dtypes)['id']}, id {dict(store.dtypes)['id']}, score double"
+    pairs = x.cogroup(y).applyInArrow(_nearest_in_cell(top, least), schema).withColumn("score", F.round("score", 9))
+    if least is not None:
+        pairs = pairs.where(F.col("score") >= least)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    found = None
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = unit.join(F.broadcast(mine), F.size("v") == F.size("q")).select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
-        if least is not None:
-            pairs = pairs.where(F.col("score") >= least)
-        # Catalyst turns the rank filter into a partial top-k before the shuffle (window group limit)
-        part = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-        found = part if found is None else found.unionAll(part)
-    return found
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def _nearest_in_cell(top: int, least: float | None):
+    """Of a cell's vectors those that may be among the ``top`` best of each of its queries, equal ones by id."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def read(table: pa.Table):
+        """Ids, their order, lengths, where each vector begins, components, and which vectors hold a null."""
+        ids, lists = (table.column(k).combine_chunks() for k in range(2))
+        place = np.empty(len(ids), np.int64)
+        place[pc.sort_indices(ids).to_numpy(zero_copy_only=False)] = np.arange(len(ids))
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, starts = lists.flatten(), np.cumsum(sizes) - sizes
+        gaps = np.append(0, np.cumsum(flat.is_null().to_numpy(zero_copy_only=False)))
+        return ids, place, sizes, starts, flat.fill_null(0.0).to_numpy(zero_copy_only=False), gaps[starts + sizes] > gaps[starts]
+
+    def run(store: pa.Table, asked: pa.Table) -> pa.Table:
+        if not store.num_columns or not asked.num_columns:  # a side without rows has no columns
+            return pa.table({})
+        ids, place, sizes, starts, values, holes = read(store)
+        names, _, lengths, begins, wanted, gone = read(asked)
+        out: list[tuple] = []
+        for size in np.intersect1d(sizes, lengths):
+            mine, own = np.flatnonzero(lengths == size), np.flatnonzero(sizes == size)
+            q = wanted[begins[mine][:, None] + np.arange(size)]
+            floor = np.full(len(mine), -np.inf if least is None else least - SLACK)
+            held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, float))
+            for first in range(0, len(own), ROWS):
+                rows = own[first : first + ROWS]
+                v = values[starts[rows][:, None] + np.arange(size)]
+                with np.errstate(invalid="ignore"):
+                    near = q @ v.T
+                near[np.isnan(near)] = np.inf
+                near[gone[mine], :] = near[:, holes[rows]] = -np.inf
+                if len(rows) > top:
+                    floor = np.maximum(floor, np.partition(near, len(rows) - top, axis=1)[:, len(rows) - top] - SLACK) if not first else floor
+                at, row = np.nonzero(near >= floor[:, None])
+                score = np.zeros(len(at))
+                for k in range(size):  # as Spark adds them up
+                    score += q[at, k] * v[row, k]
+                score[np.isneginf(near[at, row])] = -np.inf
+                held = tuple(np.append(x, y) for x, y in zip(held, (at, rows[row], score), strict=True))
+                # of equal scores the smallest ids are enough; the best scores so far bound those to come
+                key = np.where(np.isnan(held[2]), np.inf, held[2])
+                order = np.lexsort((place[held[1]], -key, held[0]))
+                at, key = held[0][order], key[order]
+                rank = np.arange(len(at)) - np.searchsorted(at, at)
+                last = rank == top - 1
+                floor[at[last]] = np.maximum(floor[at[last]], key[last] - SLACK)
+                fresh = np.append(True, (at[1:] != at[:-1]) | (key[1:] != key[:-1]))[: len(at)]
+                run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+                keep = order[(key >= floor[at]) & (np.arange(len(at)) - run_start < top)]
+                held = tuple(x[keep] for x in held)
+            out.append((mine[held[0]], held[1], held[2]))
+        at, row, score = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, float)))
+        return pa.table({"query_id": names.take(pa.array(at)), "id": ids.take(pa.array(row)), "score": pa.array(score, mask=np.isneginf(score), from_pandas=False)})
+
+    return run
 
 
 def group_means(vectors: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
