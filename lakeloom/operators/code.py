@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import chunking, graph
-from .rules import import_references, python_symbols
+from .rules import import_references, python_symbols, spread
 from .segments import line_rows
 
 
@@ -71,7 +71,7 @@ def brace_chunks(sources: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
                 out += [(i, k + 1, *c) for k, c in enumerate(closed)]
             yield pd.DataFrame(out, columns=["id", "chunk", "name", "first_line", "last_line"])
 
-    return sources.select("id", "text").mapInPandas(run, f"id {dict(sources.dtypes)['id']}, chunk int, name string, first_line int, last_line int")
+    return spread(sources).mapInPandas(run, f"id {dict(sources.dtypes)['id']}, chunk int, name string, first_line int, last_line int")
 
 
 def class_bases(sources: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def variables(sources: DataFrame) -> DataFrame:
                 rows += [(i, *k, line) for k, line in first.items()]
             yield pd.DataFrame(rows, columns=["id", "scope", "depth", "kind", "name", "line"])
 
-    return sources.select("id", "text").mapInPandas(run, f"id {dict(sources.dtypes)['id']}, scope string, depth int, kind string, name string, line int")
+    return spread(sources).mapInPandas(run, f"id {dict(sources.dtypes)['id']}, scope string, depth int, kind string, name string, line int")
 
 
 def loop_data(sources: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def loop_data(sources: DataFrame) -> DataFrame:
                         out.append((i, node.lineno, "while" if isinstance(node, ast.While) else "for", names))
             yield pd.DataFrame(out, columns=["id", "line", "kind", "names"])
 
-    return sources.select("id", "text").mapInPandas(run, f"id {dict(sources.dtypes)['id']}, line int, kind string, names array<string>")
+    return spread(sources).mapInPandas(run, f"id {dict(sources.dtypes)['id']}, line int, kind string, names array<string>")
 
 
 def symbols(text: Column, most: int = 0) -> Column:

@@ -80,10 +80,11 @@ def outside_spans(points: DataFrame, spans: DataFrame, by: list[str], at: str) -
 
 def recursive_calls(symbols: DataFrame) -> DataFrame:
     """``id, line, recursive``: loops of ``python_symbols`` with the recursive functions that they call, sorted; a call counts by its last name."""
-    own = symbols.where("kind = 'function'").where(F.array_contains("calls", F.col("name"))).select("id", F.col("name").alias("call")).distinct()
-    calls = symbols.where("kind = 'loop'").select("id", "line", F.explode_outer("calls").alias("called")).withColumn("call", F.element_at(F.split("called", r"\."), -1))
-    hits = calls.join(own.withColumn("hit", F.col("call")), ["id", "call"], "left")
-    return hits.groupBy("id", "line").agg(F.array_sort(F.collect_set("hit")).alias("recursive"))
+    own = F.when((F.col("kind") == "function") & F.array_contains("calls", F.col("name")), F.col("name"))
+    known = symbols.withColumn("_own", F.collect_set(own).over(Window.partitionBy("id"))).where("kind = 'loop'")  # sources are parsed once
+    called = F.transform(F.coalesce("calls", F.array().cast("array<string>")), lambda c: F.element_at(F.split(c, r"\."), -1))
+    hits = known.select("id", "line", F.array_intersect(called, "_own").alias("hits"))
+    return hits.groupBy("id", "line").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("recursive"))
 
 
 def score_chunks(questions: DataFrame, weighted: DataFrame, first: DataFrame, top: int) -> DataFrame:

@@ -114,20 +114,34 @@ def import_references(sources: DataFrame) -> DataFrame:
     return rows.select("id", (F.col("pos") + 1).alias("line"), hit.alias("module")).where("module is not null")
 
 
+def spread(sources: DataFrame) -> DataFrame:
+    """``id, text`` dealt out to as many tasks as shuffles have partitions: a small file of sources is much work, and would be one task's."""
+    return sources.select("id", "text").repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
 def python_symbols(sources: DataFrame) -> DataFrame:
     """``id, kind, name, line, end, parent, calls``: functions, classes and loops of Python sources, by their syntax tree; unparsable ones have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ast
 
+        kinds = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.ClassDef: "class", ast.For: "loop", ast.AsyncFor: "loop", ast.While: "loop"}
+
         def walk(node, parent, i, out):
+            """Appends what is below a node, and returns the names called there."""
+            called = set()
             for child in ast.iter_child_nodes(node):
-                kind = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.ClassDef: "class", ast.For: "loop", ast.AsyncFor: "loop", ast.While: "loop"}.get(type(child))
-                name = getattr(child, "name", None) or (type(child).__name__.lower() if kind else None)
+                kind, at = kinds.get(type(child)), len(out)
+                name = (getattr(child, "name", None) or type(child).__name__.lower()) if kind else None
+                if kind:
+                    out.append(None)
+                below = walk(child, name if kind in ("function", "class") else parent, i, out)
+                if isinstance(child, ast.Call) and isinstance(child.func, (ast.Name, ast.Attribute)):
+                    below.add(child.func.id if isinstance(child.func, ast.Name) else child.func.attr)
                 if kind:
-                    calls = sorted({c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(child) if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute))})
-                    out.append((i, kind, name, child.lineno, child.end_lineno, parent, calls))
-                walk(child, name if kind in ("function", "class") else parent, i, out)
+                    out[at] = (i, kind, name, child.lineno, child.end_lineno, parent, sorted(below))
+                called |= below
+            return called
 
         for pdf in batches:
             out: list = []
@@ -139,7 +153,7 @@ def python_symbols(sources: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "kind", "name", "line", "end", "parent", "calls"])
 
     kind = dict(sources.dtypes)["id"]
-    return sources.select("id", "text").mapInPandas(run, f"id {kind}, kind string, name string, line int, end int, parent string, calls array<string>")
+    return spread(sources).mapInPandas(run, f"id {kind}, kind string, name string, line int, end int, parent string, calls array<string>")
 
 
 def leader_clusters(rows: DataFrame, least: float, most: int) -> DataFrame:
