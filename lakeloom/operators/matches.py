@@ -12,6 +12,10 @@ from ..functions.vectors import cosine, jaccard, ratio
 from .terms import both_ways, top_neighbours
 
 
+#: Terms of all labels that are broadcast, so that no document's terms are shuffled to meet them.
+MOST_LABEL_TERMS = 100_000
+
+
 def scoped_pairs(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """``by..., a, b`` (a < b) and the columns of both sides as structs ``x``, ``y``."""
     side = lambda name, s: rows.select(*by, F.col("id").alias(name), F.struct(*columns).alias(s))
@@ -101,8 +105,11 @@ def score_chunks(questions: DataFrame, weighted: DataFrame, first: DataFrame, to
 
 def recommend_labels(sets: DataFrame, labels: DataFrame, top: int, mode: str = "overlap") -> DataFrame:
     """``id, label, shared, score, coverage, rank``: labels (``label, term``) by the overlap coefficient or Jaccard similarity with a term set (``id, term``), best first, ties by shared terms and name."""
+    from .state import checkpointed
+
+    labels = checkpointed(labels)
     n, m = sets.groupBy("id").agg(F.count("*").alias("n")), labels.groupBy("label").agg(F.count("*").alias("m"))
-    shared = sets.join(labels, "term").groupBy("id", "label").agg(F.count("*").alias("shared")).join(n, "id").join(m, "label")
+    shared = sets.join(F.broadcast(labels) if labels.count() <= MOST_LABEL_TERMS else labels, "term").groupBy("id", "label").agg(F.count("*").alias("shared")).join(n, "id").join(m, "label")
     base = F.least("n", "m") if mode == "overlap" else F.col("n") + F.col("m") - F.col("shared")
     out = shared.withColumns({"score": F.round(F.col("shared") / base, 6), "coverage": F.round(F.col("shared") / F.col("n"), 6)})
     order = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("shared"), "label")

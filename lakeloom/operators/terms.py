@@ -19,8 +19,12 @@ from ..functions.text import ngrams, tokens
 
 
 def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text", pattern: str = "[a-z0-9_]+", least: int = 1, stopwords: tuple[str, ...] = ()) -> DataFrame:
-    """``id, term, n, first``: counts of each document's terms and the place of their first occurrence."""
-    at = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(text_col, pattern=pattern, least=least, stopwords=stopwords)).alias("pos", "term"))
+    """``id, term, n, first``: counts of each document's terms and the place of their first occurrence.
+
+    Texts are dealt out by id before they become terms, so rows of one id meet and no term is shuffled.
+    """
+    dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).repartition("id")
+    at = dealt.select("id", F.posexplode(tokens("_text", pattern=pattern, least=least, stopwords=stopwords)).alias("pos", "term"))
     return at.groupBy("id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
@@ -226,6 +230,10 @@ def shared_terms(left: DataFrame, right: DataFrame, within: Column | None = None
 
 def set_similarity(sets: DataFrame, least: float = 0.0, least_shared: int = 1, within: Column | None = None, other: DataFrame | None = None) -> DataFrame:
     """``a, b, shared, jaccard, overlap`` of pairs of term sets, each pair once (a < b) or left by right with ``other``."""
+    from .state import checkpointed
+
+    if other is None:
+        sets = checkpointed(sets)  # read three times
     right = sets if other is None else other
     rule = (F.col("a") < F.col("b")) if other is None else F.lit(True)
     pairs = shared_terms(sets, right, rule if within is None else rule & within)
