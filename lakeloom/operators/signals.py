@@ -62,17 +62,20 @@ def assigned(words: Column, taxonomy: dict[str, tuple[str, ...]], most: int, oth
     scored = [F.struct((-hits(words, listed)).alias("s"), F.lit(at[name]).alias("k"), F.lit(name).alias("name")) for name, listed in taxonomy.items()]
     best = F.slice(F.array_sort(F.filter(F.array(*scored), lambda x: x["s"] < 0)), 1, most)
     found = F.transform(best, lambda x: F.struct(x["name"].alias("name"), (-x["s"]).alias("hits")))
-    return F.when(F.size(found) == 0, F.array(F.struct(F.lit(otherwise).alias("name"), F.lit(0).alias("hits")))).otherwise(found)
+    none = F.array(F.struct(F.lit(otherwise).alias("name"), F.lit(0).alias("hits")))
+    return F.get(F.transform(F.array(found), lambda f: F.when(F.size(f) == 0, none).otherwise(f)), F.lit(0))  # hits are counted once
 
 
 def buckets(rows: DataFrame, top: int) -> DataFrame:
     """``category, items, terms``: how many items (``id, category, words``) each category has, and its most frequent words, ties by word."""
-    items = rows.groupBy("category").agg(F.count("*").alias("items"))
-    words = rows.select("category", F.explode("words").alias("term")).groupBy("category", "term").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("category").orderBy(F.desc("n"), "term")
-    best = words.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)
-    terms = best.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]).alias("terms"))
-    return items.join(terms, "category", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    # an item counts as a cell of its own beside its words, so that rows are read once
+    cell = lambda item, term: F.struct(F.lit(item).alias("item"), term.alias("term"))
+    words = F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda t: cell(False, t))
+    cells = rows.select("category", F.explode(F.concat(F.array(cell(True, F.lit(None).cast("string"))), words)).alias("x")).groupBy("category", "x.item", "x.term").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("category", "item").orderBy(F.desc("n"), "term")
+    best = cells.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)
+    terms = F.array_sort(F.collect_list(F.when(~F.col("item"), F.struct("k", "term"))))
+    return best.groupBy("category").agg(F.max(F.when(F.col("item"), F.col("n"))).alias("items"), F.transform(terms, lambda x: x["term"]).alias("terms"))
 
 
 def relationship(left: str, right: str, similar: Column, least_negation: float = 0.3) -> Column:

@@ -58,9 +58,10 @@ def p27_taxonomy(spark, d):
 @query("a19_taxonomy_buckets", f"WITH {ASSIGNED}, r AS (SELECT unnest(c).name AS category, w FROM c), n AS (SELECT category, count(*) AS items FROM r GROUP BY 1), k AS (SELECT category, t, count(*) AS n FROM (SELECT category, unnest(w) AS t FROM r) GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, t) AS k FROM k) SELECT n.category, n.items, coalesce(list(t ORDER BY k) FILTER (t IS NOT NULL), []) AS terms FROM n LEFT JOIN b ON b.category = n.category AND k <= 3 GROUP BY 1, 2")
 def a19_taxonomy_buckets(spark, d):
     """Documents and most frequent words of each category."""
-    words = X.tokens("text")
-    found = table(spark, d, "documents").select("doc_id", words.alias("words"), G.assigned(words, TAXONOMY, 2).alias("c"))
-    return G.buckets(found.select(F.col("doc_id").alias("id"), F.explode("c.name").alias("category"), "words"), 3)
+    # a text becomes words once, for all categories
+    named = F.transform(F.array(X.tokens("text")), lambda w: F.transform(G.assigned(w, TAXONOMY, 2), lambda c: F.struct(c["name"].alias("category"), w.alias("words"))))
+    found = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.flatten(named)).alias("x"))
+    return G.buckets(found.select("id", "x.category", "x.words"), 3)
 
 
 def neg_sql(w):
