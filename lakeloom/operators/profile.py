@@ -51,8 +51,8 @@ def column_kinds(cells: DataFrame, least_ratio: float = 0.6) -> DataFrame:
     return counted.withColumn("kind", F.when(numeric, "numeric").otherwise("categorical"))
 
 
-def numeric_summary(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Count, missing, mean, median, sample deviation, range, quartiles and the 95 % interval of the mean.
+def numeric_summary(cells: DataFrame, by: list[str], quantiles: bool = True) -> DataFrame:
+    """Count, missing, mean, sample deviation, range, the 95 % interval of the mean and, with ``quantiles``, median and quartiles.
 
     The deviation of one value is 0; quantiles interpolate linearly. ``cells`` has ``value double``.
     """
@@ -61,15 +61,45 @@ def numeric_summary(cells: DataFrame, by: list[str]) -> DataFrame:
         F.count(v).alias("n"),
         F.count(F.when(v.isNull(), 1)).alias("missing"),
         F.avg(v).alias("mean"),
-        F.percentile(v, F.lit(0.5)).alias("median"),
         F.coalesce(F.stddev_samp(v), F.when(F.count(v) > 0, F.lit(0.0))).alias("sd"),
         F.min(v).alias("low"),
         F.max(v).alias("high"),
-        F.percentile(v, F.lit(0.25)).alias("p25"),
-        F.percentile(v, F.lit(0.75)).alias("p75"),
     )
     reach = 1.96 * F.col("sd") / F.sqrt("n")
-    return found.withColumn("ci_low", F.col("mean") - reach).withColumn("ci_high", F.col("mean") + reach)
+    found = found.withColumn("ci_low", F.col("mean") - reach).withColumn("ci_high", F.col("mean") + reach)
+    if not quantiles:
+        return found
+    same = lambda one, other: [one[c].eqNullSafe(other[f"_{c}"]) for c in by]
+    held = exact_quantiles(cells, by, {"median": 0.5, "p25": 0.25, "p75": 0.75}).withColumnsRenamed({c: f"_{c}" for c in by})
+    return found.join(held, same(found, held), "left").drop(*(f"_{c}" for c in by))
+
+
+def exact_quantiles(cells: DataFrame, by: list[str], at: dict[str, float]) -> DataFrame:
+    """``by...`` and quantiles of ``value`` by name, interpolated linearly; nulls do not count, groups of nulls only have no row.
+
+    Equal values are counted first and dealt out by ranges; what lies before a value follows from the ranges' sums, so no task holds the values of a group.
+    """
+    from .state import checkpointed
+
+    counted = cells.where(F.col("value").isNotNull()).groupBy(*by, "value").agg(F.count("*").alias("_n"))
+    # checkpointed, as bounds of ranges are sampled
+    ordered = checkpointed(counted.repartitionByRange(*by, "value").withColumn("_part", F.spark_partition_id()))
+    sums = ordered.groupBy(*by, "_part").agg(F.sum("_n").alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_sum").over(before), F.lit(0)), "_all": F.sum("_sum").over(Window.partitionBy(*by))}).drop("_sum")
+    sums = sums.withColumnsRenamed({c: f"_{c}" for c in [*by, "_part"]})
+    placed = ordered.join(sums, [ordered["_part"] == sums["__part"], *(ordered[c].eqNullSafe(sums[f"_{c}"]) for c in by)])
+    last = F.col("_before") + F.sum("_n").over(Window.partitionBy("_part", *by).orderBy("value"))
+    placed = placed.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n"))
+    found = []
+    for name, q in at.items():
+        place = (F.col("_all") - 1) * F.lit(q)
+        one = lambda k: F.max(F.when((F.col("_first") <= k) & (k < F.col("_last")), F.col("value")))
+        found += [one(F.floor(place)).alias(f"_low_{name}"), one(F.ceil(place)).alias(f"_high_{name}"), F.max(place - F.floor(place)).alias(f"_rest_{name}")]
+    low, high, rest = (lambda n, s=s: F.col(f"_{s}_{n}") for s in ("low", "high", "rest"))
+    # as Spark's percentile puts it
+    between = lambda n: F.when((rest(n) == 0) | (low(n) == high(n)), low(n)).otherwise((1 - rest(n)) * low(n) + rest(n) * high(n))
+    return placed.groupBy(*by).agg(*found).select(*by, *(between(n).alias(n) for n in at))
 
 
 def categorical_summary(cells: DataFrame, by: list[str], top: int = 10) -> DataFrame:
