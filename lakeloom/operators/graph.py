@@ -162,17 +162,20 @@ def best_paths(edges: DataFrame, hops: int, least: float) -> DataFrame:
 
 
 def depths(parents: DataFrame) -> DataFrame:
-    """``node, depth`` from ``node, parent``: roots have 0; nodes on a cycle or under one are roots of their own, with 0."""
+    """``node, depth`` from ``node, parent``: roots have 0; nodes on a cycle or under one are roots of their own, with 0.
+
+    Fronts and nodes grow with the table, so joins with them are merged: a broadcast would pass each of them through the driver.
+    """
     held = checkpointed(parents.select("node", "parent"))
     known = held.where(F.col("parent").isNull()).select("node", F.lit(0).alias("depth"))
-    orphans = held.join(held.select(F.col("node").alias("p")), F.col("parent") == F.col("p"), "left_anti").where(F.col("parent").isNotNull()).select("node", F.lit(0).alias("depth"))
+    orphans = held.join(held.select(F.col("node").alias("p")).hint("merge"), F.col("parent") == F.col("p"), "left_anti").where(F.col("parent").isNotNull()).select("node", F.lit(0).alias("depth"))
     known = checkpointed(known.unionAll(orphans).distinct())
     front, depth = known, 0
     while not front.isEmpty():
         depth += 1
-        front = checkpointed(held.join(front.select(F.col("node").alias("p")), F.col("parent") == F.col("p")).select("node", F.lit(depth).alias("depth")).distinct())
+        front = checkpointed(held.join(front.select(F.col("node").alias("p")).hint("merge"), F.col("parent") == F.col("p")).select("node", F.lit(depth).alias("depth")).distinct())
         known = known.unionAll(front)
-    return checkpointed(known.unionAll(held.join(known, "node", "left_anti").select("node", F.lit(0).alias("depth")).distinct()))
+    return checkpointed(known.unionAll(held.join(known.hint("merge"), "node", "left_anti").select("node", F.lit(0).alias("depth")).distinct()))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
