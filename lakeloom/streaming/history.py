@@ -2,50 +2,83 @@
 
 from __future__ import annotations
 
+import heapq
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import AtomicType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows and bytes that a task holds when it looks for rows that change no state.
+CHUNK_ROWS, CHUNK_BYTES = 1 << 18, 1 << 24
+
+
+def telling(rows: pa.Table, key: str, time: str, item: str, kind: str, most: int) -> pa.Table:
+    """The rows that can change a state: each key's ``most`` latest different items and one latest row of each of its kinds."""
+    df = rows.to_pandas()
+    df.columns = ["key", "time", "item", "kind"]
+    order = df.sort_values(["time", "item"])
+    items = order.drop_duplicates(["key", "time", "item"]).groupby("key", dropna=False).tail(most)
+    kinds = order[order["kind"].notna()].drop_duplicates(["key", "kind"], keep="last")
+    return rows.take(pa.array(np.union1d(items.index, kinds.index)))
+
+
+def combine(batches: Iterator[pa.RecordBatch], *names) -> Iterator[pa.RecordBatch]:
+    """``telling`` rows of every chunk, so that a key with very many rows sends few of them to its task."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK_ROWS or sum(b.nbytes for b in held) >= CHUNK_BYTES:
+            yield from telling(pa.Table.from_batches(held), *names).to_batches()
+            held = []
+    if held:
+        yield from telling(pa.Table.from_batches(held), *names).to_batches()
+
+
 class Latest(StatefulProcessor):
-    """Keeps the ``most`` latest items of a key in a list, and when each kind was last seen in a map.
+    """Keeps the ``most`` latest items of a key, and when each kind was last seen, in one value: each call that a key makes for its state is a round trip to the JVM.
 
-    Whatever the order of arrival, the items with the greatest (time, item) stay. Both states forget what has not been written for ``keep_ms``, if given.
+    Whatever the order of arrival, the items with the greatest (time, item) stay. The items are forgotten when their key gets no rows for ``keep_ms``, if given, a kind when it has not been written for so long.
     """
 
+    STATE = "times array<long>, items array<long>, kinds array<string>, seen array<long>, written array<long>"
+
     def __init__(self, key: str, time: str, item: str, kind: str, most: int, keep_ms: int | None = None):
         self.names, self.most, self.keep_ms = (key, time, item, kind), most, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getListState("items", "at long, item long", self.keep_ms)
-        self.kinds = handle.getMapState("kinds", "kind string", "at long", self.keep_ms)
+        self.state = handle.getValueState("latest", self.STATE, self.keep_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         _, time, item, kind = self.names
-        held = {(int(r[0]), int(r[1])) for r in self.items.get()}
-        last: dict[str, int] = {}
-        for part in rows:
-            held |= set(zip(part[time].tolist(), part[item].tolist(), strict=True))
-            for k, t in part.groupby(kind, dropna=True)[time].max().items():
-                last[k] = max(int(t), last.get(k, int(t)))
-            held = set(sorted(held)[-self.most :])
-        order = sorted(held)
-        self.items.put(order)
-        for k, t in last.items():
-            before = self.kinds.getValue((k,)) if self.kinds.containsKey((k,)) else None
-            if before is None or before[0] < t:
-                self.kinds.updateValue((k,), (t,))
-        kinds = sum(1 for _ in self.kinds.keys())  # noqa: SIM118
-        n = len(order)
-        yield pd.DataFrame({self.names[0]: [key[0]] * n, "place": range(n, 0, -1), "at": [t for t, _ in order], "item": [i for _, i in order], "kinds": [kinds] * n})
+        now = timerValues.getCurrentProcessingTimeInMs() if self.keep_ms else 0
+        times, items, *kinds = self.state.get() or ([], [], [], [], [])
+        held = list(zip(times, items, strict=True))  # ascending, so a heap
+        last = {k: (t, w) for k, t, w in zip(*kinds, strict=True) if not self.keep_ms or now < w + self.keep_ms}
+        for row in rows:
+            t, k = row[time], row[kind]
+            one = (t, row[item])
+            if len(held) < self.most:
+                if one not in held:
+                    heapq.heappush(held, one)
+            elif held[0] < one and one not in held:
+                heapq.heapreplace(held, one)
+            if k is not None and (k not in last or last[k][0] < t):
+                last[k] = t, now
+        held.sort()
+        self.state.update(([t for t, _ in held], [i for _, i in held], list(last), [t for t, _ in last.values()], [w for _, w in last.values()]))
+        found = Row(self.names[0], "place", "at", "item", "kinds")
+        for place, (t, i) in enumerate(reversed(held), 1):
+            yield found(key[0], place, t, i, len(last))
 
     def close(self) -> None:
         pass
@@ -61,4 +94,6 @@ def latest_items(rows: DataFrame, key: str, time: str, item: str, kind: str, mos
     rows = rows.select(key, time, item, kind).where(" and ".join(f"`{c}` is not null" for c in (key, time, item)))
     schema = f"{key} {dict(rows.dtypes)[key]}, place long, at long, item long, kinds long"
     processor = Latest(key, time, item, kind, most, keep_ms)
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Update", "ProcessingTime" if keep_ms else "None")
+    if isinstance(rows.schema[key].dataType, AtomicType):
+        rows = rows.mapInArrow(lambda batches: combine(batches, key, time, item, kind, most), rows.schema)
+    return rows.groupBy(key).transformWithState(processor, schema, "Update", "ProcessingTime" if keep_ms else "None")
