@@ -34,8 +34,8 @@ _TABLE = np.random.default_rng(20240401).integers(0, 1 << 64, 256, dtype=np.uint
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every run of ``size`` bytes, from those of powers of two, which follow by doubling."""
-    h, k, p = _TABLE[data], 1, np.uint64(0x9E3779B97F4A7C15)
+    """A hash of every run of ``size`` bytes or word codes, from those of powers of two, which follow by doubling."""
+    h, k, p = _TABLE[data] if data.dtype == np.uint8 else spread(data.astype(np.uint64)), 1, np.uint64(0x9E3779B97F4A7C15)
     n, out, at = len(data) - size + 1, np.zeros(max(0, len(data) - size + 1), np.uint64), 0
     with np.errstate(over="ignore"):
         while True:
@@ -46,10 +46,15 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
                 break
             h = h[:-k] * p + h[k:]
             k, p = 2 * k, p * p
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return out
+    return spread(out)
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    """Mix the bits of ``x`` in place."""
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def finer_grams(length: int, gram: int) -> list[int]:
@@ -225,8 +230,11 @@ def stored(value: pa.Scalar) -> bytes:
     return data.encode() if isinstance(data, str) else data
 
 
-def find_segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """``h, seg, _id, _h, start int, n int, twice boolean``: every segment of every text."""
+def find_segments(rows: DataFrame, length: int, gram: int, unit: int = 1) -> DataFrame:
+    """``h, seg, _id, _h, start int, n int, twice boolean``: every segment of every text, in bytes.
+
+    With a ``unit`` of 4 bytes windows start at whole word codes only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +250,9 @@ def find_segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
         texts = [stored(t) for t in batch.column(2)]
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         joined, first = b"".join(texts), np.cumsum(size) - size
-        text, start, n, h, twice = segments(np.frombuffer(joined, np.uint8), first, size, length, gram)
+        data = np.frombuffer(joined, "<u4" if unit == CODE else np.uint8)
+        text, start, n, h, twice = segments(data, first // unit, size // unit, length // unit, gram // unit)
+        start, n = start * unit, (n - 1) * unit + 1
         hash64 = xxhash.xxh3_64_intdigest
         seg = np.array([hash64(joined[a:b]) for a, b in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)], np.uint64)
         rows = pa.array(text)
@@ -354,9 +364,9 @@ def solve(parts: DataFrame, length: int, grams: list[int], scope: str) -> DataFr
     return found.unionByName(materialize(back.groupBy("h", "seg").agg(F.flatten(F.collect_list("runs")).alias("runs")), scope))
 
 
-def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, scope: str = "lakeloom") -> DataFrame:
-    """``_id, _h, runs array<struct<a,b>>``: first and last windows of the runs that occur elsewhere too."""
-    all_segments = materialize(find_segments(rows, length, gram), scope)
+def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, scope: str = "lakeloom", unit: int = 1) -> DataFrame:
+    """``_id, _h, runs array<struct<a,b>>``: first and last windows of the runs that occur elsewhere too; with a ``unit`` those in between may be missing unless they start at one."""
+    all_segments = materialize(find_segments(rows, length, gram, unit), scope)
     often = all_segments.groupBy("h").agg(F.count("*").alias("k"), F.max("twice").alias("twice")).where("k > 1 or twice").select("h")
     some = materialize(all_segments.join(often, "h").drop("twice"), scope)
     discard(all_segments)
@@ -364,8 +374,10 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, scope: str
     distinct = some.groupBy("h", "seg").agg(F.count("*").alias("times"), rep)
     parts = materialize(fetch(rows, distinct, length), scope)
     found = solve(parts, length, finer_grams(length, gram), scope)
-    found = some.join(found, ["h", "seg"]).select("_id", "_h", shifted("runs", "start").alias("runs"))
-    return found.groupBy("_id", "_h").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    placed = some.join(found, ["h", "seg"]).select("_id", "_h", shifted("runs", "start").alias("runs"))
+    placed = materialize(placed.groupBy("_id", "_h").agg(F.flatten(F.collect_list("runs")).alias("runs")), scope)
+    discard(some, parts, found)
+    return placed
 
 
 def spans(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -379,21 +391,24 @@ def spans(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), text: bool = False, least_words: int = 0, scope: str = "lakeloom") -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), text: bool = False, least_words: int = 0, passage_words: int = 0, scope: str = "lakeloom") -> DataFrame:
     """Remove every byte that a ``length``-byte string covers which also starts anywhere else.
 
     Returns a row a row of the input: ``doc_id, n_bytes, n_removed, n_spans long, kept binary`` and
     the columns in ``keep``; with ``text`` also ``kept_text``, the kept bytes without those that are no
-    whole character. With ``least_words`` only maximal runs of at least so many words go. Strings are UTF-8 bytes of one text, judged on the input; overlaps and
+    whole character. With ``least_words`` only maximal runs of at least so many words go. With ``passage_words`` there are also
+    ``n_passage_words, n_passages long``: the words (between ASCII white space) that a run of so many words covers which also starts
+    anywhere else, however few its bytes, and the maximal runs of them; they stay in ``kept``. Strings are UTF-8 bytes of one text, judged on the input; overlaps and
     repeats within a text count; all copies of a passage go. Null texts count as empty, texts shorter
     than ``length`` stay whole; repeated rows are copies of each other; an empty table gives no rows.
     Bytes may be cut inside a character. Columns of any name may be there; only the id, the text and ``keep`` are read.
     """
     rows = keyed(documents, id_col, text_col, keep)
-    found = repeats(rows, length, gram, scope).withColumnRenamed("runs", "_runs")
+    joined = rows.join(repeats(rows, length, gram, scope).withColumnRenamed("runs", "_runs"), ["_id", "_h"], "left")
+    if passage_words:
+        joined = joined.join(repeated_word_runs(rows, passage_words, scope=scope).withColumnRenamed("runs", "_again"), ["_id", "_h"], "left")
     kinds = dict(documents.dtypes)
-    joined = rows.join(found, ["_id", "_h"], "left")
-    joined = joined.select("_doc", "_text", "_runs", *(f"_k{k}" for k in range(len(keep))))
+    joined = joined.select("_doc", "_text", "_runs", *["_again"] * bool(passage_words), *(f"_k{k}" for k in range(len(keep))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -413,34 +428,63 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
             out = {"doc_id": batch.column(0), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept": pa.array(kept, pa.binary())}
             if text:
                 out["kept_text"] = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string())
-            yield pa.RecordBatch.from_pydict(out | {c: batch.column(3 + k) for k, c in enumerate(keep)})
-
-    schema = ", ".join(["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept binary", *["kept_text string"] * text, *(f"`{c}` {kinds[c]}" for c in keep)])
+            if passage_words:
+                found = [word_spans(runs.as_py(), passage_words) for runs in batch.column(3)]
+                out["n_passage_words"] = pa.array([sum(b - a for a, b in runs) for runs in found], pa.int64())
+                out["n_passages"] = pa.array([len(runs) for runs in found], pa.int64())
+            yield pa.RecordBatch.from_pydict(out | {c: batch.column(3 + bool(passage_words) + k) for k, c in enumerate(keep)})
+
+    passages = [f"{c} long" for c in ("n_passage_words", "n_passages")] * bool(passage_words)
+    schema = ", ".join(["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept binary", *["kept_text string"] * text, *passages, *(f"`{c}` {kinds[c]}" for c in keep)])
     return joined.mapInArrow(run, schema)
 
 
 #: Bytes that stand for a word.
 CODE = 4
+#: Words of a repeated passage, at least.
+PASSAGE_WORDS = 50
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-class Codes(dict):
-    """The code of each word; the words of a task are remembered up to a bound."""
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+_POWERS = np.cumprod(np.full(LONG_WORD, 0xD6E8FEB86659FD93, np.uint64))
+
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
-            self.clear()
-        code = self[word] = xxhash.xxh32_intdigest(word)
-        return code
+def codes_of(texts: list[bytes]) -> list[bytes]:
+    """The words of each text, between ASCII white space, as codes of ``CODE`` bytes."""
+    joined = b" ".join(texts) + b" "
+    data = np.frombuffer(joined, np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.diff(space.view(np.int8), prepend=np.int8(1))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge[1:] == 1) + 1
+    if not len(start):
+        return [b""] * len(texts)
+    at = np.arange(len(data), dtype=np.int32)
+    offset = at - np.maximum.accumulate(np.where(edge == -1, at, np.int32(0)))
+    value = _TABLE[data] * _POWERS[np.minimum(offset, LONG_WORD - 1)]
+    value[space] = 0
+    codes = (spread(np.add.reduceat(value, start)) >> np.uint64(32)).astype("<u4")
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        codes[k] = xxhash.xxh32_intdigest(joined[start[k] : end[k]])
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    cuts = np.searchsorted(start, np.cumsum(size)).tolist()
+    return [codes[x:y].tobytes() for x, y in zip([0, *cuts], cuts, strict=False)]
 
 
 def word_codes(rows: DataFrame) -> DataFrame:
     """``_id, _h, _text binary``: the words of each text, between ASCII white space, as codes of ``CODE`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
         for batch in batches:
-            out = [np.fromiter(map(codes.__getitem__, stored(t).split()), "<u4").tobytes() for t in batch.column(2)]
+            out, some, size = [], [], 0
+            for t in batch.column(2):
+                some.append(stored(t))
+                size += len(some[-1])
+                if size >= 200_000:
+                    out += codes_of(some)
+                    some, size = [], 0
+            out += codes_of(some)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["_id", "_h", "_text"])
 
     return rows.select("_id", "_h", "_text").mapInArrow(run, "_id long, _h long, _text binary")
@@ -452,6 +496,14 @@ def word_spans(runs: list[dict] | None, words: int) -> list[tuple[int, int]]:
     return spans([r for r in whole if r["a"] <= r["b"]], words)
 
 
+def repeated_word_runs(rows: DataFrame, words: int, gram: int = 16, scope: str = "lakeloom") -> DataFrame:
+    """``_id, _h, runs``: runs of windows of ``words`` word codes that occur elsewhere too, for ``word_spans``."""
+    codes = materialize(word_codes(rows), scope)
+    found = repeats(codes, CODE * words, CODE * gram, scope, CODE)
+    discard(codes)
+    return found
+
+
 def remove_repeated_words(documents: DataFrame, words: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), scope: str = "lakeloom") -> DataFrame:
     """Remove every word that a run of ``words`` words covers which also starts anywhere else.
 
@@ -463,8 +515,7 @@ def remove_repeated_words(documents: DataFrame, words: int = 50, gram: int = 16,
     empty table gives no rows. Columns of any name may be there; only the id, the text and ``keep`` are read.
     """
     rows = keyed(documents, id_col, text_col, keep)
-    codes = materialize(word_codes(rows), scope)
-    found = repeats(codes, CODE * words, CODE * gram, scope).withColumnRenamed("runs", "_runs")
+    found = repeated_word_runs(rows, words, gram, scope).withColumnRenamed("runs", "_runs")
     kinds = dict(documents.dtypes)
     joined = rows.join(found, ["_id", "_h"], "left")
     joined = joined.select("_doc", "_text", "_runs", *(f"_k{k}" for k in range(len(keep))))
@@ -493,8 +544,9 @@ def remove_repeated_words(documents: DataFrame, words: int = 50, gram: int = 16,
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """What is left of every document without the 400-byte strings that occur elsewhere."""
+    """What is left of every document without the 400-byte strings that occur elsewhere, and its words in repeated passages of any length in bytes."""
     from .common import table
 
-    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), text=True)
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"))
+    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), text=True, passage_words=PASSAGE_WORDS)
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text")]
+    return kept.select(*columns, "n_passage_words", "n_passages")

@@ -336,3 +336,31 @@ def test_repeated_runs_of_words(spark, monkeypatch, hot):
     assert {r.doc_id for r in got if r.n_removed} >= {6, 7, 8, 9, 10, 11, 12, 13} and not {r.doc_id for r in got if r.n_removed} & {0, 1, 2, 3, 4, 5}
     assert suffix.remove_repeated_words(df.limit(0), scope="words").count() == 0
     common.release(spark, "words")
+
+
+def test_word_codes():
+    texts = ["", " ", "a", "a b", "\n b\ta\x0b\x0ca\r b ", "x" * 64, "x" * 65 + " " + "x" * 66 + " " + "x" * 65, "é\u00a0日本 a"]
+    code = {}
+    for t, codes in zip(texts, suffix.codes_of([t.encode() for t in texts]), strict=True):
+        found = np.frombuffer(codes, "<u4").tolist()
+        assert len(found) == len(t.encode().split())
+        assert all(code.setdefault(w, c) == c for w, c in zip(t.encode().split(), found, strict=True))
+    assert len(set(code.values())) == len(code) and suffix.codes_of([]) == []
+    alone = [suffix.codes_of([t.encode()])[0] for t in texts]
+    assert alone == suffix.codes_of([t.encode() for t in texts])
+
+
+def test_suffix_query_counts_passages_under_400_bytes(spark, tmp_path):
+    """Passages of 50 words or more that no 400-byte string holds: the contract's columns leave them, the words of passages count them."""
+    draw = random.Random(41)
+    own = lambda n: [f"{draw.randrange(10**5)}" for _ in range(n)]
+    passages = [own(k) for k in (50, 51, 55, 60, 49)]
+    texts = [" ".join(own(draw.randint(0, 90)) + passages[k % 5] + own(draw.randint(1, 90))) for k in range(25)]
+    texts += [" ".join(own(draw.randint(1, 200))) for _ in range(15)] + [None, "", "one " * 55, " \n".join(passages[1])]
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    got = {r.doc_id: r for r in suffix.op7_suffix_dedup(spark, f"{tmp_path}/in").collect()}
+    want = repeated_words(texts, 50)
+    assert {k: r.n_passage_words for k, r in got.items()} == {k: n for k, (_, n, _) in enumerate(want)}
+    assert all((r.n_passages > 0) == (r.n_passage_words > 0) and r.n_removed == 0 and r.text == (texts[k] or "") for k, r in got.items())
+    assert {k for k in range(40) if got[k].n_passages} == {k for k in range(25) if k % 5 < 4} and got[42].n_passages == got[43].n_passages == 1
