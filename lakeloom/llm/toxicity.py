@@ -8,6 +8,7 @@ step alone and each distinct one is looked up once a batch.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import chain, groupby, islice
 from operator import eq
@@ -302,12 +303,22 @@ def fit(docs: list[list[str]], y: np.ndarray, rounds: int = 3, steps: int = 130,
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = 1500) -> Network:
-    """Train on at most ``rows`` labelled documents of each class outside the held-out fifth."""
+    """Train on at most ``rows`` labelled documents of each class outside the held-out fifth.
+
+    One task trains, so that the driver gets the network's tables of fixed sizes and no text.
+    """
     from .common import labelled_sample
 
-    found = labelled_sample(documents, labels, "toxic", rows, per_class=True).select("doc_id", "y", "text").toArrow()
-    order = sorted(zip(found["doc_id"].to_pylist(), found["y"].to_pylist(), found["text"].to_pylist(), strict=True), key=lambda r: (r[0], r[1], r[2]))
-    return fit([split_words(t) for _, _, t in order], np.array([y for _, y, _ in order], np.float32))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = sorted(chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches))
+        known: dict[str, str] = {}  # a step that many documents have is held once
+        docs = [[known.setdefault(w, w) for w in split_words(t)] for _, _, t in order]
+        net = fit(docs, np.array([y for _, y, _ in order], np.float32))
+        yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(net)], pa.binary())})
+
+    found = labelled_sample(documents, labels, "toxic", rows, per_class=True).select("doc_id", "y", "text")
+    sent = found.coalesce(1).mapInArrow(run, "net binary").first()
+    return pickle.loads(sent["net"]) if sent else fit([], np.empty(0, np.float32))
 
 
 def score_toxicity(documents: DataFrame, net: Network, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
