@@ -130,14 +130,14 @@ def j33_question_chunks(spark, d):
     return M.score_chunks(q, held, docs.agg(F.min("doc_id").alias("chunk")), 3)
 
 
-@query("j34_recommended_labels", f"""WITH {COUNTS}, lt AS (SELECT lang AS label, term, sum(n) AS n FROM counts JOIN documents ON doc_id = id WHERE id % 2 = 0 GROUP BY 1, 2), l AS (SELECT label, term FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, term) AS k FROM lt) WHERE k <= 30),
+@query("j34_recommended_labels", f"""WITH {COUNTS}, lt AS (SELECT lang AS label, term, sum(n) AS n FROM counts JOIN documents ON doc_id = id GROUP BY 1, 2), l AS (SELECT label, term FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, term) AS k FROM lt) WHERE k <= 30),
 s AS (SELECT id, term FROM counts), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT s.id, label, count(*) AS shared FROM s JOIN l USING (term) GROUP BY 1, 2), c AS (SELECT p.id, label, shared, round(shared / least(n, (SELECT count(*) FROM l x WHERE x.label = p.label)), 6) AS score, round(shared / n, 6) AS coverage FROM p JOIN n USING (id)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, shared DESC, label) AS INTEGER) AS rank FROM c) SELECT * FROM r WHERE rank <= 2""")
 def j34_recommended_labels(spark, d):
     """Languages by the overlap of their most frequent terms with a document's."""
     c = counts(spark, d)
     lang = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
-    by = c.where("id % 2 = 0").join(lang, "id").groupBy("label", "term").agg(F.sum("n").alias("n"))
+    by = c.join(lang, "id").groupBy("label", "term").agg(F.sum("n").alias("n"))
     labels = by.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "term"))).where("k <= 30").select("label", "term")
     return M.recommend_labels(c.select("id", "term"), labels, 2)
 
