@@ -38,8 +38,35 @@ def vector_search(store: DataFrame, queries: DataFrame, top: int, least: float |
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def _nearest_in_cell(top: int, least: float | None):
-    """Of a cell's vectors those that may be among the ``top`` best of each of its queries, equal ones by id."""
+def scoped_neighbours(rows: DataFrame, by: list[str], top: int, least: float) -> DataFrame:
+    """``by..., query_id, id, score, rank``: for each row of a scope (``by..., id, v``) the nearest of its other ids by cosine, ``least`` or more, ties to the smaller id.
+
+    A scope's vectors are dealt into blocks of about ``CELL_QUERIES``; a block meets a block in one cell, as in ``vector_search``, so pairs are products of matrices
+    and only candidates leave a cell. Null scopes match nothing.
+    """
+    from .state import checkpointed
+
+    unit = checkpointed(rows.where(" and ".join(f"`{c}` is not null" for c in [*by, "id", "v"])).select("id", normalized(F.col("v")).alias("v"), *by))
+    sizes = unit.groupBy(*by).agg(F.ceil(F.count("*") / CELL_QUERIES).alias("_n"))
+    dealt = lambda name, v, own, other: unit.join(sizes, by).select(F.col("id").alias(name), F.col("v").alias(v), *(F.col(c).alias(c) for c in by), F.pmod(F.xxhash64("id"), "_n").alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias(other))
+    tasks, cell = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*by, "_part", "_block"]
+    x, y = (side.repartition(tasks, *cell).groupBy(*cell) for side in (dealt("id", "v", "_part", "_block"), dealt("query_id", "q", "_block", "_part")))
+    kind, inner = dict(rows.dtypes), _nearest_in_cell(top, least, apart=True)
+
+    def run(key, store, asked):
+        import pyarrow as pa
+
+        found = inner(store, asked)
+        return pa.table({c: pa.repeat(k, len(found)) for c, k in zip(by, key, strict=False)} | dict(zip(found.column_names, found.columns, strict=True))) if found.num_columns else found
+
+    schema = ", ".join([*(f"`{c}` {kind[c]}" for c in by), f"query_id {kind['id']}, id {kind['id']}, score double"])
+    pairs = x.cogroup(y).applyInArrow(run, schema).withColumn("score", F.round("score", 9)).where(F.col("score") >= least)
+    order = Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "id")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def _nearest_in_cell(top: int, least: float | None, apart: bool = False):
+    """Of a cell's vectors those that may be among the ``top`` best of each of its queries, equal ones by id; with ``apart`` (and ``least``) no vector of the query's id."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -59,6 +86,8 @@ def _nearest_in_cell(top: int, least: float | None):
             return pa.table({})
         ids, place, sizes, starts, values, holes = read(store)
         names, _, lengths, begins, wanted, gone = read(asked)
+        number = pc.index_in(names, value_set=pc.unique(ids)).fill_null(-1).to_numpy(zero_copy_only=False) if apart else None
+        own_number = pc.index_in(ids, value_set=pc.unique(ids)).to_numpy(zero_copy_only=False) if apart else None
         out: list[tuple] = []
         for size in np.intersect1d(sizes, lengths):
             mine, own = np.flatnonzero(lengths == size), np.flatnonzero(sizes == size)
@@ -72,6 +101,8 @@ def _nearest_in_cell(top: int, least: float | None):
                     near = q @ v.T
                 near[np.isnan(near)] = np.inf
                 near[gone[mine], :] = near[:, holes[rows]] = -np.inf
+                if apart:
+                    near[number[mine][:, None] == own_number[rows]] = -np.inf
                 if len(rows) > top:
                     floor = np.maximum(floor, np.partition(near, len(rows) - top, axis=1)[:, len(rows) - top] - SLACK) if not first else floor
                 at, row = np.nonzero(near >= floor[:, None])

@@ -116,10 +116,5 @@ def a36_document_hits(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY score DESC, b) AS rank FROM p WHERE score >= 0.1) SELECT label, a, b, round(score, 6) AS score FROM r WHERE rank <= 5 AND a < b""")
 def j7_dot_self_join(spark, d):
     """Similar vectors of one label, which is to them what a file is to its chunks."""
-    from ..operators.matches import scoped_pairs
-    from ..operators.terms import both_ways, top_neighbours
-
-    unit = store(spark, d).select("id", "label", V.normalized(F.col("v")).alias("v"))
-    pairs = scoped_pairs(unit, ["label"], ["v"]).select("label", "a", "b", F.round(V.dot(F.col("x.v"), F.col("y.v")), 9).alias("score")).where("score >= 0.1")
-    found = top_neighbours(both_ways(pairs), "score", 5, ("label",)).where("a < b")
-    return found.select("label", "a", "b", F.round("score", 6).alias("score"))
+    found = S.scoped_neighbours(store(spark, d), ["label"], 5, 0.1).where("query_id < id")
+    return found.select("label", F.col("query_id").alias("a"), F.col("id").alias("b"), F.round("score", 6).alias("score"))
