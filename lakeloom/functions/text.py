@@ -147,8 +147,11 @@ def size_statistics(text) -> Column:
 
 
 def named_terms(text) -> Column:
-    """Distinct runs of capitalised words, in order of their first occurrence."""
-    found = F.regexp_extract_all(_text(text), F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+)*)"), F.lit(1))
+    """Distinct runs of capitalised words, in order of their first occurrence.
+
+    The repeat is possessive: it matches the same, and a run of any length takes no stack.
+    """
+    found = F.regexp_extract_all(_text(text), F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+)*+)"), F.lit(1))
     return F.array_distinct(found)
 
 

@@ -96,11 +96,17 @@ def score_chunks(questions: DataFrame, weighted: DataFrame, first: DataFrame, to
 
     A question that no chunk answers gets the first chunk (one row ``chunk``) with score 0.
     """
-    hits = questions.distinct().join(weighted, "term").groupBy("question", "chunk").agg(F.sum("weight").alias("score"))
+    from .state import checkpointed
+
+    # questions and the first chunk are found before the chunks are read: a broadcast that waits behind those ends with an error after some minutes
+    asked, least = checkpointed(questions.distinct()), first.select("chunk").first()
+    side = F.broadcast(asked) if asked.count() <= MOST_LABEL_TERMS else asked
+    hits = weighted.join(side, "term").groupBy("question", "chunk").agg(F.sum("weight").alias("score"))
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "chunk"))).where(F.col("rank") <= top)
-    alone = questions.select("question").distinct().join(ranked, "question", "left_anti")
-    fallback = alone.join(F.broadcast(first.limit(1))).select("question", "chunk", F.lit(0).cast("long").alias("score"), F.lit(1).alias("rank"))
-    return ranked.select("question", "chunk", "score", "rank").unionByName(fallback)
+    ranked = checkpointed(ranked.select("question", "chunk", "score", "rank"))
+    alone = asked.select("question").distinct().join(ranked.select("question").distinct(), "question", "left_anti")
+    chunk = F.lit(least["chunk"] if least else None).cast(weighted.schema["chunk"].dataType)
+    return ranked.unionByName(alone.select("question", chunk.alias("chunk"), F.lit(0).cast("long").alias("score"), F.lit(1).alias("rank")))
 
 
 def recommend_labels(sets: DataFrame, labels: DataFrame, top: int, mode: str = "overlap") -> DataFrame:
