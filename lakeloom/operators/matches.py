@@ -22,6 +22,24 @@ def scoped_pairs(rows: DataFrame, by: list[str], columns: list[str]) -> DataFram
     return side("a", "x").join(side("b", "y"), by).where("a < b")
 
 
+#: Right rows of one key that a task of ``spread_join`` meets.
+KEY_ROWS = 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """The inner join on ``key``, whose few values may have very many rows on both sides, with a key as the work of many tasks.
+
+    The right rows of a key are dealt by ``by`` into blocks of about ``KEY_ROWS``; a left row is sent once to each block of its key. Rows of a block are few
+    bytes and much work, so there are as many tasks as shuffles have partitions.
+    """
+    sizes = right.groupBy(key).agg(F.ceil(F.count("*") / KEY_ROWS).alias("_n"))
+    x = left.join(sizes, key).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+    y = right.join(sizes, key).withColumn("_block", F.pmod(F.xxhash64(by), "_n")).drop("_n")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x, y = (rows.repartition(tasks, key, "_block") for rows in (x, y))
+    return x.join(y.hint("merge"), [key, "_block"]).drop("_block")
+
+
 def similar_parts(rows: DataFrame, by: list[str], least: float, top: int) -> DataFrame:
     """``by..., a, b, score, relation``: parts (``id, v, terms``) of one scope by the cosine of their vectors where both have one, else by Jaccard; pairs a < b in the top list of a."""
     both = F.col("x.v").isNotNull() & F.col("y.v").isNotNull()

@@ -25,7 +25,7 @@ def j19_name_references(spark, d):
     named = names.groupBy("target", "name").agg(F.count("*").alias("rows"))
     several = named.groupBy("target").agg(F.count("*").alias("names")).where("names > 1").select("target")
     weight = F.col("links") * F.col("rows") * 2
-    meet = lambda part: links.join(part, "name").where("source <> target").select("source", "target", weight.alias("weight"))
+    meet = lambda part: M.spread_join(links, part, "name", "target").where("source <> target").select("source", "target", weight.alias("weight"))
     # a page of one name meets a source once, so only pages of several names are summed by pair
     return meet(named.join(several, "target", "left_anti")).unionAll(meet(named.join(several, "target", "left_semi")).groupBy("source", "target").agg(F.sum("weight").alias("weight")))
 
